@@ -212,3 +212,123 @@ SELECT s.Category, s.Count, coalesce(u.UniqueBorrowers, 0) AS UniqueBorrowers, s
        coalesce(k.TopKeywords, '') AS TopKeywords, coalesce(m.SampleReasons, '') AS SampleReasons
 FROM stats s LEFT JOIN uniq u USING (Category) LEFT JOIN ents e USING (Category)
      LEFT JOIN kw k USING (Category) LEFT JOIN samp m USING (Category)"""
+
+
+# ---------------------------------------------------------------- explore
+def reasons_cte(view: str, opts: Options) -> str:
+    flag_filter = f"flag IN {yes_list(opts)}" if opts.only_override_rows else "TRUE"
+    return f"""src AS ({VIEW_SQL[view]}),
+rs AS (SELECT row_id, {strip("coalesce(CAST(reason_text AS VARCHAR), '')")} AS reason, {flag('override_flag')} AS flag FROM src),
+r AS (SELECT row_id, reason FROM rs WHERE length(reason) >= {opts.min_reason_length} AND {flag_filter}),
+tok AS (SELECT row_id, {tokens('reason', opts)} AS tokens FROM r),
+occ AS (SELECT row_id, unnest(tokens) AS token, unnest(generate_series(0, len(tokens) - 1)) AS pos FROM tok),
+wc AS (SELECT token, count(*) AS n, count(DISTINCT row_id) AS df, min(row_id * 1000000 + pos) AS f FROM occ GROUP BY token)"""
+
+
+def _in(col: str, values) -> str:
+    values = list(values)
+    return f"{col} IN (" + ", ".join(q(v) for v in values) + ")" if values else "FALSE"
+
+
+def word_frequency_sql(view: str, opts: Options) -> str:
+    return "WITH " + reasons_cte(view, opts) + f""",
+top AS (SELECT * FROM wc ORDER BY n DESC, f LIMIT {opts.word_frequency_rows}),
+tot AS (SELECT CAST(count(*) AS DOUBLE) AS total FROM r)
+SELECT token AS Word, n AS TotalOccurrences, df AS InNReasons,
+       {rint('df / total * 100', 1)} AS PctOfReasons,
+       CASE WHEN {_in('token', opts.stopwords)} THEN 'YES' ELSE '' END AS AlreadyInStopwords,
+       CASE WHEN df / total > CAST(0.4 AS DOUBLE) AND NOT ({_in('token', opts.stopwords)})
+            THEN {q(D.SUGGEST_STOPWORD)} ELSE '' END AS Suggestion
+FROM top, tot WHERE length(token) >= 3"""
+
+
+def abbreviation_sql(view: str, opts: Options) -> str:
+    pat = f"(?:^|{MARK})([A-Z]{{2,6}})(?:[^{W}{MARK}]|$)"
+    abbrs = opts.abbreviation_map
+    known = sorted({a.upper() for a in abbrs})
+    meaning = "CASE abbr " + " ".join(f"WHEN {q(k)} THEN {q(v)}" for k, v in abbrs.items()) + " ELSE '' END" \
+        if abbrs else "''"
+    return "WITH " + reasons_cte(view, opts) + f""",
+ml AS (SELECT row_id, reason AS text, regexp_extract_all({mark('reason')}, {q(pat)}, 1) AS l FROM r),
+m AS (SELECT row_id, text, unnest(l) AS abbr, unnest(generate_series(0, len(l) - 1)) AS pos FROM ml),
+rk AS (SELECT *, row_number() OVER (PARTITION BY abbr ORDER BY row_id, pos) AS rn FROM m),
+g AS (SELECT abbr, count(*) AS ExampleCount, min(row_id * 1000000 + pos) AS f,
+             max(CASE WHEN rn = 1 THEN text END) AS e1, max(CASE WHEN rn = 2 THEN text END) AS e2,
+             max(CASE WHEN rn = 3 THEN text END) AS e3
+      FROM rk WHERE rn <= {opts.abbreviation_examples} GROUP BY abbr)
+SELECT abbr AS Abbreviation, ExampleCount,
+       CASE WHEN {_in('abbr', known)} THEN 'YES' ELSE '' END AS AlreadyDefined,
+       {meaning} AS CurrentMeaning, '' AS YourMeaning,
+       coalesce(e1, '') AS Example1, coalesce(e2, '') AS Example2, coalesce(e3, '') AS Example3
+FROM g"""
+
+
+def stem_sql(e: str) -> str:
+    whens = " ".join(
+        f"WHEN ends_with({e}, {q(s)}) AND length({e}) - {len(s)} >= {D.STEM_MIN_ROOT} "
+        f"THEN left({e}, length({e}) - {len(s)})" for s in D.STEM_SUFFIXES)
+    return f"(CASE {whens} ELSE {e} END)"
+
+
+def stem_groups_sql(view: str, opts: Options, top: int | None = None) -> str:
+    rep = "CASE WHEN contains(token, '''') THEN '\"' || token || '\"' ELSE '''' || token || '''' END"
+    limit = f" ORDER BY TotalFrequency DESC, StemRoot LIMIT {top}" if top else ""
+    return "WITH " + reasons_cte(view, opts) + f""",
+s AS (SELECT token, n, {stem_sql('token')} AS stem, {_in('token', opts.synonym_phrases)} AS syn FROM wc),
+g AS (SELECT stem, count(*) AS VariantCount, CAST(sum(n) AS BIGINT) AS TotalFrequency,
+             string_agg(token, ', ' ORDER BY n DESC, token) AS Variants,
+             string_agg({rep}, ', ' ORDER BY n DESC, token) AS qv, bool_or(syn) AS syn
+      FROM s GROUP BY stem HAVING count(*) >= {opts.stem_min_variants})
+SELECT stem AS StemRoot, Variants, VariantCount, TotalFrequency,
+       CASE WHEN syn THEN 'YES' ELSE '' END AS AlreadyInSynonyms,
+       'Add to SYNONYMS: "' || stem || '": [' || qv || ']' AS Suggestion
+FROM g{limit}"""
+
+
+def bigram_cte() -> str:
+    return """big AS (SELECT unnest(list_transform(generate_series(1, len(tokens) - 1), lambda i: tokens[i])) AS w1,
+                    unnest(list_transform(generate_series(1, len(tokens) - 1), lambda i: tokens[i + 1])) AS w2
+             FROM tok),
+bc AS (SELECT w1, w2, count(*) AS Count FROM big GROUP BY w1, w2)"""
+
+
+def collocations_sql(view: str, opts: Options, view_top: int | None = None) -> str:
+    tail = (f"\nSELECT * FROM co WHERE PMI_Score > CAST(3.0 AS DOUBLE) ORDER BY PMI_Score DESC, Count DESC, Phrase "
+            f"LIMIT {view_top}") if view_top else "\nSELECT * FROM co"
+    return "WITH " + reasons_cte(view, opts) + ",\n" + bigram_cte() + f""",
+tot AS (SELECT CAST(sum(len(tokens)) AS DOUBLE) AS total FROM tok),
+j AS (SELECT b.w1, b.w2, b.Count, u1.n AS n1, u2.n AS n2, total
+      FROM bc b JOIN wc u1 ON b.w1 = u1.token JOIN wc u2 ON b.w2 = u2.token, tot
+      WHERE b.Count >= {opts.collocation_min_count}),
+p AS (SELECT w1 || ' ' || w2 AS Phrase, Count, w1, w2,
+             ln((Count / total) / ((n1 / total) * (n2 / total) + CAST(1e-12 AS DOUBLE))) AS pmi FROM j),
+co AS (SELECT Phrase, Count, {rint('pmi', 2)} AS PMI_Score, w1 AS Word1, w2 AS Word2,
+              CASE WHEN {_in('Phrase', opts.synonym_phrases)} THEN 'YES' ELSE '' END AS AlreadyInSynonyms,
+              CASE WHEN pmi > CAST(3.0 AS DOUBLE) THEN 'Consider adding "' || Phrase || '" to a SYNONYMS group'
+                   ELSE '' END AS Suggestion
+       FROM p ORDER BY PMI_Score DESC, Count DESC, Phrase LIMIT {opts.collocation_top_n}){tail}"""
+
+
+def context_sql(view: str, opts: Options, view_top: int | None = None) -> str:
+    phrases = opts.synonym_phrases
+    already = f"({_in('Word1', phrases)} OR {_in('Word2', phrases)})"
+    tail = (f"\nSELECT * FROM cs WHERE ContextSimilarity > CAST(0.5 AS DOUBLE) ORDER BY score DESC, i DESC, j DESC "
+            f"LIMIT {view_top}") if view_top else "\nSELECT * FROM cs"
+    sql = "WITH " + reasons_cte(view, opts) + f""",
+vc AS (SELECT token, n, df, f FROM wc ORDER BY n DESC, f LIMIT {2 * opts.context_top_words}),
+vr AS (SELECT token, n, df, row_number() OVER (ORDER BY n DESC, f) - 1 AS idx FROM vc WHERE df >= {opts.context_min_doc_freq}),
+vocab AS (SELECT * FROM vr WHERE idx < {opts.context_top_words}),
+docs AS (SELECT DISTINCT row_id, unnest(tokens) AS token FROM tok),
+dv AS (SELECT d.row_id, v.idx FROM docs d JOIN vocab v USING (token)),
+pr AS (SELECT a.idx AS i, b.idx AS j, count(*) AS n FROM dv a JOIN dv b ON a.row_id = b.row_id AND a.idx < b.idx GROUP BY a.idx, b.idx),
+sc AS (SELECT pr.i, pr.j, va.token AS Word1, vb.token AS Word2, va.n AS Freq_Word1, vb.n AS Freq_Word2,
+              pr.n / (sqrt(va.df) * sqrt(vb.df)) AS score
+       FROM pr JOIN vocab va ON pr.i = va.idx JOIN vocab vb ON pr.j = vb.idx),
+cs AS (SELECT Word1, Word2, {rint('score', 3)} AS ContextSimilarity, Freq_Word1, Freq_Word2,
+              CASE WHEN {already} THEN 'YES' ELSE '' END AS AlreadyInSynonyms,
+              CASE WHEN score > CAST(0.5 AS DOUBLE) AND NOT {already}
+                   THEN 'Consider grouping "' || Word1 || '" and "' || Word2 || '" in SYNONYMS' ELSE '' END AS Suggestion,
+              score, i, j
+       FROM sc WHERE score > CAST(0.3 AS DOUBLE) ORDER BY score DESC, i DESC, j DESC LIMIT {opts.context_top_pairs})"""
+    return sql + tail.replace("SELECT *", "SELECT Word1, Word2, ContextSimilarity, Freq_Word1, Freq_Word2, "
+                                          "AlreadyInSynonyms, Suggestion")
