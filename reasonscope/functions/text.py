@@ -106,6 +106,11 @@ def token_set(col) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(_c(col)), F.lit(D.TOKEN_PATTERN), 0))
 
 
+def _gram_at(t: Column, n: int):
+    # a one-argument lambda: PySpark reads a second parameter as the index
+    return lambda i: F.array_join(F.slice(t, i, n), " ")
+
+
 def ngrams(tokens, lo: int = 1, hi: int = 2) -> Column:
     """n-grams for n = lo..hi, each joined by one space; unigrams first."""
     t = _c(tokens)
@@ -114,8 +119,7 @@ def ngrams(tokens, lo: int = 1, hi: int = 2) -> Column:
         if n == 1:
             parts.append(t)
         else:
-            grams = F.transform(F.sequence(F.lit(1), F.size(t) - (n - 1)),
-                                lambda i, n=n: F.array_join(F.slice(t, i, n), " "))
+            grams = F.transform(F.sequence(F.lit(1), F.size(t) - (n - 1)), _gram_at(t, n))
             parts.append(F.when(F.size(t) >= n, grams).otherwise(F.array().cast("array<string>")))
     return parts[0] if len(parts) == 1 else F.concat(*parts)
 

@@ -332,3 +332,108 @@ cs AS (SELECT Word1, Word2, {rint('score', 3)} AS ContextSimilarity, Freq_Word1,
        FROM sc WHERE score > CAST(0.3 AS DOUBLE) ORDER BY score DESC, i DESC, j DESC LIMIT {opts.context_top_pairs})"""
     return sql + tail.replace("SELECT *", "SELECT Word1, Word2, ContextSimilarity, Freq_Word1, Freq_Word2, "
                                           "AlreadyInSynonyms, Suggestion")
+
+
+# ---------------------------------------------------------------- rollup
+def rollup_sql(view: str, opts: Options) -> str:
+    return "WITH " + ruled_cte(view, opts) + f""",
+base AS (SELECT Category, EntityId, count(*) AS OverrideCount, {rint('avg(NotchDifference)', 2)} AS AvgNotchDiff
+         FROM cat GROUP BY Category, EntityId),
+nf AS (SELECT Category, EntityId, BorrowerName, min(row_id) AS f FROM cat WHERE BorrowerName IS NOT NULL
+       GROUP BY Category, EntityId, BorrowerName),
+nr AS (SELECT *, row_number() OVER (PARTITION BY Category, EntityId ORDER BY f, BorrowerName) AS rn FROM nf),
+nm AS (SELECT Category, EntityId, string_agg(BorrowerName, ' / ' ORDER BY rn) AS names FROM nr
+       WHERE rn <= {opts.rollup_names} GROUP BY Category, EntityId)
+SELECT b.Category, b.EntityId, coalesce(n.names, '') AS BorrowerName, b.OverrideCount, b.AvgNotchDiff
+FROM base b LEFT JOIN nm n ON b.Category IS NOT DISTINCT FROM n.Category AND b.EntityId IS NOT DISTINCT FROM n.EntityId"""
+
+
+# ---------------------------------------------------------------- tf-idf
+def _ngrams12(tk: str) -> str:
+    return f"list_concat({tk}, list_transform(generate_series(1, len({tk}) - 1), lambda i: {tk}[i] || ' ' || {tk}[i + 1]))"
+
+
+def tfidf_sql(view: str, opts: Options, mode: str) -> str:
+    if tuple(opts.ngram_range) != (1, 2):
+        raise NotImplementedError("oracle covers ngram_range (1, 2)")
+    if opts.tfidf_profile == "sublinear":
+        stop = "[" + ", ".join(q(w) for w in opts.stopwords) + "]"
+        tk = (f"list_filter(regexp_extract_all(lower(ReasonText), {q('[' + W + ']{2,}')}), "
+              f"lambda t: NOT list_contains({stop}, t))")
+        key, tf = "cnt", "(1 + ln(CAST(c AS DOUBLE)))"
+    else:
+        tk = tokens("ReasonText", opts)
+        key, tf = "df", "(CAST(c AS DOUBLE) / CAST(sum(c) OVER (PARTITION BY row_id) AS DOUBLE))"
+    body = "WITH " + prepared_cte(view, opts) + f""",
+un AS (SELECT row_id, ReasonText FROM detail WHERE {rule_case('ReasonText', opts)} IS NULL),
+tk AS (SELECT row_id, {tk} AS tk FROM un),
+tm AS (SELECT row_id, {_ngrams12('tk')} AS terms FROM tk),
+occ AS (SELECT row_id, unnest(terms) AS term FROM tm),
+st AS (SELECT term, count(*) AS cnt, count(DISTINCT row_id) AS df FROM occ GROUP BY term),
+vocab AS (SELECT * FROM (SELECT term, df, cnt, row_number() OVER (ORDER BY {key} DESC, term) - 1 AS idx FROM st)
+          WHERE idx < {opts.max_features}),
+nd AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM tm),
+cn AS (SELECT o.row_id, o.term, count(*) AS c FROM occ o JOIN vocab v USING (term) GROUP BY o.row_id, o.term),
+w0 AS (SELECT cn.row_id, cn.term, {tf} * (ln((n + 1) / (v.df + 1)) + 1) AS w FROM cn JOIN vocab v USING (term), nd),
+wn AS (SELECT row_id, term, CASE WHEN sqrt(sum(w * w) OVER (PARTITION BY row_id)) > 0
+                                 THEN w / sqrt(sum(w * w) OVER (PARTITION BY row_id)) ELSE w END AS weight FROM w0)"""
+    if mode == "vocab":
+        return body + "\nSELECT term, df, CAST(idx AS BIGINT) AS idx FROM vocab"
+    if mode == "weights":
+        return body + f"\nSELECT row_id, term, {rint('weight', 6)} AS weight FROM wn"
+    if mode == "labels":
+        return body + f""",
+role AS (SELECT row_id, actual_rating AS cluster FROM src),
+nrole AS (SELECT r.cluster, count(*) AS n FROM role r JOIN tm USING (row_id) GROUP BY r.cluster),
+cen AS (SELECT r.cluster, wn.term, {rint('sum(wn.weight) / nr.n', 9)} AS weight
+        FROM wn JOIN role r USING (row_id) JOIN nrole nr ON r.cluster = nr.cluster GROUP BY r.cluster, wn.term, nr.n),
+rk AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY weight DESC, term) AS rn FROM cen),
+lab AS (SELECT cluster, string_agg(term, ', ' ORDER BY rn) AS label FROM rk
+        WHERE rn <= {opts.top_keywords_per_cluster} AND weight > 0 GROUP BY cluster)
+SELECT c.cluster, coalesce(l.label, 'miscellaneous') AS label FROM (SELECT DISTINCT cluster FROM cen) c
+LEFT JOIN lab l USING (cluster)"""
+    raise ValueError(mode)
+
+
+# ---------------------------------------------------------------- k-means on embeddings
+_PTS = "pts AS (SELECT vec_id, label, list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS x FROM embeddings)"
+
+
+def _dist(a: str, b: str) -> str:
+    return f"list_sum(list_transform(generate_series(1, len({a})), lambda i: ({a}[i] - {b}[i]) * ({a}[i] - {b}[i])))"
+
+
+def _assign(step: int) -> str:
+    return f"""a{step} AS (SELECT vec_id, x, k, d FROM (
+    SELECT p.vec_id, p.x, c.k, {_dist('p.x', 'c.c')} AS d,
+           row_number() OVER (PARTITION BY p.vec_id ORDER BY {_dist('p.x', 'c.c')}, c.k) AS rn
+    FROM pts p, c{step} c) WHERE rn = 1)"""
+
+
+def _update(step: int) -> str:
+    prev = step - 1
+    return f"""u{step} AS (SELECT k, unnest(x) AS v, unnest(generate_series(1, len(x))) AS i FROM a{prev}),
+m{step} AS (SELECT k, list(v ORDER BY i) AS c FROM (SELECT k, i, avg(v) AS v FROM u{step} GROUP BY k, i) GROUP BY k),
+c{step} AS (SELECT c{prev}.k, coalesce(m{step}.c, c{prev}.c) AS c FROM c{prev} LEFT JOIN m{step} USING (k))"""
+
+
+def kmeans_sql(k: int, steps: int, mode: str) -> str:
+    parts = [_PTS, f"c0 AS (SELECT CAST(row_number() OVER (ORDER BY vec_id) - 1 AS BIGINT) AS k, x AS c "
+                   f"FROM pts ORDER BY vec_id LIMIT {k})", _assign(0)]
+    for s in range(1, steps + 1):
+        parts += [_update(s), _assign(s)]
+    last = f"a{steps}"
+    sel = (f"SELECT vec_id, k AS cluster, {rint('d', 6)} AS dist2 FROM {last}" if mode == "assign"
+           else f"SELECT {rint('sum(d)', 6)} AS inertia FROM {last}")
+    return "WITH " + ",\n".join(parts) + "\n" + sel
+
+
+def silhouette_sql() -> str:
+    return "WITH " + _PTS + f""",
+pr AS (SELECT a.vec_id, a.label AS la, b.label AS lb, {_dist('a.x', 'b.x')} AS d FROM pts a, pts b),
+md AS (SELECT vec_id, la, lb, avg(d) AS m, count(*) AS n FROM pr GROUP BY vec_id, la, lb),
+ab AS (SELECT vec_id, max(CASE WHEN la = lb THEN (CASE WHEN n > 1 THEN m ELSE 0 END) END) AS a,
+              min(CASE WHEN la <> lb THEN m END) AS b FROM md GROUP BY vec_id),
+s AS (SELECT CASE WHEN greatest(a, b) > 0 THEN (b - a) / greatest(a, b) ELSE 0 END AS s FROM ab)
+SELECT CASE WHEN (SELECT count(DISTINCT label) FROM pts) <= 1 THEN CAST(-1 AS DOUBLE)
+            ELSE {rint('avg(s)', 6)} END AS silhouette FROM s"""
