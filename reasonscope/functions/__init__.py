@@ -1,7 +1,7 @@
 """Column builders: text cleaning, tokenizing, stemming, coercion."""
 
 from reasonscope.functions.text import (  # noqa: F401
-    canon_flag, clean_reason_steps, clean_whitespace, coerce_notch, expand_abbreviations,
-    ngrams, normalize_synonyms_steps, python_strip, repr_quote, rint_round, stem,
+    canon_flag, clean_reason, clean_whitespace, coerce_notch, expand_abbreviations, normalize_synonyms,
+    ngrams, python_strip, repr_quote, rint_round, stem,
     token_set, tokenize, with_clean_text,
 )

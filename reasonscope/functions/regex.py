@@ -58,28 +58,38 @@ def is_word_char(ch: str) -> bool:
     return re.match(r"\w", ch) is not None
 
 
-def whole_word(phrase_pattern: str, first: str, last: str) -> str:
+def whole_word(phrase_pattern: str, first: str, last: str, length: int | None = None) -> str:
     """Wrap a pattern with Python ``\\b`` semantics at both ends, given the
-    first and last character the pattern matches."""
-    left = f"(?<!{WORD_CLASS})" if is_word_char(first) else f"(?<={WORD_CLASS})"
+    first and last character the pattern matches.
+
+    With a fixed match ``length`` the pattern starts with the literal and
+    checks the left boundary afterwards, looking back past the match; Java
+    then rejects most positions on the first character, which is several
+    times faster than a leading lookbehind.
+    """
     right = f"(?!{WORD_CLASS})" if is_word_char(last) else f"(?={WORD_CLASS})"
-    return left + phrase_pattern + right
+    if length is None:
+        left = f"(?<!{WORD_CLASS})" if is_word_char(first) else f"(?<={WORD_CLASS})"
+        return left + phrase_pattern + right
+    back = f"{WORD_CLASS}.{{{length}}}"
+    left = f"(?<!{back})" if is_word_char(first) else f"(?<={back})"
+    return phrase_pattern + left + right
 
 
 def phrase_pattern(phrase: str, ignore_case: bool = True) -> str:
     """``\\bPHRASE\\b`` (literal phrase), optionally case-insensitive (Unicode)."""
     if not phrase:
         raise ValueError("empty phrase")
-    body = whole_word(escape_literal(phrase), phrase[0], phrase[-1])
-    return ("(?iu)" if ignore_case else "") + body
+    body = whole_word(escape_literal(phrase), phrase[0], phrase[-1], len(phrase))
+    return ("(?ius)" if ignore_case else "(?s)") + body
 
 
 def any_phrase_pattern(phrases: list[str] | tuple[str, ...], ignore_case: bool = True) -> str:
     """Match any of the phrases as a whole word (for existence tests only)."""
-    alts = [whole_word(escape_literal(p), p[0], p[-1]) for p in phrases if p]
+    alts = [whole_word(escape_literal(p), p[0], p[-1], len(p)) for p in phrases if p]
     if not alts:
         raise ValueError("no phrases")
-    return ("(?iu)" if ignore_case else "") + "(?:" + "|".join(alts) + ")"
+    return ("(?ius)" if ignore_case else "(?s)") + "(?:" + "|".join(alts) + ")"
 
 
 def java_replacement(text: str) -> str:

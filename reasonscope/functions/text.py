@@ -7,17 +7,22 @@ generation and work on batch and streaming DataFrames alike.
 
 from __future__ import annotations
 
+import sys
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reasonscope import defaults as D
 from reasonscope.functions.regex import (
-    any_phrase_pattern, java_replacement, phrase_pattern, space_class,
+    any_phrase_pattern, java_replacement, phrase_pattern, space_class, space_class_body,
 )
 from reasonscope.options import Options
 
 _S = space_class()
-_STRIP = f"^{_S}+|{_S}+$"
+# the characters Python's str.strip() removes (str.isspace)
+_SPACE_CHARS = "".join(chr(c) for c in range(sys.maxunicode + 1) if chr(c).isspace())
+# whitespace runs that are not already one plain space
+_RUN = f"{_S}{{2,}}|[{space_class_body()}&&[^ ]]"
 # ASCII whitespace accepted around numbers by the numeric coercion
 _NUM_WS = r"[ \t\n\x0b\x0c\r]*"
 _NUMBER = (r"^[+-]?(?:(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?"
@@ -30,12 +35,31 @@ def _c(col) -> Column:
 
 def python_strip(col) -> Column:
     """``str.strip()``: remove leading/trailing Unicode whitespace."""
-    return F.regexp_replace(_c(col), _STRIP, "")
+    return F.btrim(_c(col), F.lit(_SPACE_CHARS))
 
 
 def clean_whitespace(col) -> Column:
-    """Strip, then collapse every whitespace run to one space."""
-    return F.regexp_replace(python_strip(col), f"{_S}+", " ")
+    """Strip, then collapse every whitespace run to one space (runs that
+    already are one plain space are left alone, which saves most matches)."""
+    return F.regexp_replace(python_strip(col), _RUN, " ")
+
+
+def _let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and pass it to ``body`` (a one-argument Column
+    function): the result never duplicates ``value``'s expression tree."""
+    return F.element_at(F.transform(F.array(value), lambda x: body(x)), 1)
+
+
+def _guarded_chain(c: Column, guard: str, reps: list[tuple[str, str]]) -> Column:
+    """Apply the replacements in order, but only to texts the guard finds a
+    phrase in; exact, because no replacement can fire on a text none of the
+    phrases matches."""
+    def body(x):
+        chain = x
+        for pat, rep in reps:
+            chain = F.regexp_replace(chain, pat, rep)
+        return F.when(x.rlike(guard), chain).otherwise(x)
+    return _let(c, body)
 
 
 def expand_abbreviations(col, abbreviations) -> Column:
@@ -45,11 +69,8 @@ def expand_abbreviations(col, abbreviations) -> Column:
     c = _c(col)
     if not items:
         return c
-    chain = c
-    for abbr, full in items:
-        chain = F.regexp_replace(chain, phrase_pattern(abbr), java_replacement(full))
-    guard = any_phrase_pattern([a for a, _ in items])
-    return F.when(c.rlike(guard), chain).otherwise(c)
+    reps = [(phrase_pattern(abbr), java_replacement(full)) for abbr, full in items]
+    return _guarded_chain(c, any_phrase_pattern([a for a, _ in items]), reps)
 
 
 def normalize_synonyms_steps(synonyms) -> list[tuple[str, list[tuple[str, str]]]]:
@@ -65,30 +86,71 @@ def normalize_synonyms_steps(synonyms) -> list[tuple[str, list[tuple[str, str]]]
     return steps
 
 
-def _apply_group(c: Column, guard: str, reps: list[tuple[str, str]]) -> Column:
-    chain = c
-    for pat, rep in reps:
-        chain = F.regexp_replace(chain, pat, rep)
-    return F.when(c.rlike(guard), chain).otherwise(c)
+def normalize_synonyms(col, synonyms) -> Column:
+    c = _c(col)
+    for guard, reps in normalize_synonyms_steps(synonyms):
+        c = _guarded_chain(c, guard, reps)
+    return c
 
 
-def clean_reason_steps(opts: Options) -> list:
-    """The cleaning as a list of functions Column -> Column, applied in order."""
-    steps = [lambda c: clean_whitespace(F.coalesce(c, F.lit(""))),
-             lambda c: expand_abbreviations(c, opts.abbreviations)]
-    for guard, reps in normalize_synonyms_steps(opts.synonyms):
-        steps.append(lambda c, g=guard, r=reps: _apply_group(c, g, r))
-    return steps
+def clean_reason(col, opts: Options) -> Column:
+    """null -> "", whitespace, abbreviations, synonyms (letter case kept)."""
+    c = clean_whitespace(F.coalesce(_c(col), F.lit("")))
+    c = _let(c, lambda x: expand_abbreviations(x, opts.abbreviations))
+    return normalize_synonyms(c, opts.synonyms)
 
 
 def with_clean_text(df: DataFrame, src: str, dst: str, opts: Options) -> DataFrame:
-    """Add ``dst`` = cleaned ``src``: null -> "", whitespace, abbreviations,
-    synonyms. Each synonym group is its own projection so the guarded chains
-    are evaluated once per row instead of being inlined several times."""
-    out = df.withColumn(dst, F.col(src))
-    for step in clean_reason_steps(opts):
-        out = out.withColumn(dst, step(F.col(dst)))
-    return out
+    """Add (or replace) ``dst`` = cleaned ``src``.
+
+    The value comes out of a generator (explode of a one-element array), which
+    the optimizer does not push filters below: a later filter on the cleaned
+    text (e.g. its length) reads the computed value instead of re-running the
+    regex chain inside the filter.
+    """
+    cols = [F.col(f"`{c}`") for c in df.columns if c != dst]
+    return df.select(*cols, F.explode_outer(F.array(clean_reason(F.col(src), opts))).alias(dst))
+
+
+def explode_positions(df: DataFrame, array_col: str, pos_col: str, value_col: str) -> DataFrame:
+    """One row per array element with its 0-based position; rows with an
+    empty array vanish. Uses the outer generator plus a null filter: for the
+    plain generator the optimizer infers ``size(array) > 0`` and pushes it
+    below earlier exchanges, computing the array a second time there."""
+    cols = [c for c in df.columns if c != array_col]
+    out = df.select(*cols, F.posexplode_outer(array_col).alias(pos_col, value_col))
+    return out.where(F.col(pos_col).isNotNull())
+
+
+def explode_values(df: DataFrame, array_col: str, value_col: str) -> DataFrame:
+    """One row per array element (see :func:`explode_positions`)."""
+    return explode_positions(df, array_col, "_pos", value_col).drop("_pos")
+
+
+def token_stats(df: DataFrame, keys: list[str], tokens_col: str, row_col: str = "row_id") -> DataFrame:
+    """Per (keys, token): occurrences ``n``, rows holding it ``df`` and the
+    first appearance as (``first_row``, ``first_rank``).
+
+    The order in which tokens first appear inside one row equals their order
+    in ``array_distinct(tokens)``, so (row, index in the distinct array)
+    orders first appearances exactly like (row, position) does, and each
+    (token, row) pair occurs once: ``min(row)`` and ``min_by(rank, row)``
+    are then exact, and everything is one hash aggregation with map-side
+    partial results (no struct minimum, no per-row shuffle).
+    """
+    t = F.col(tokens_col)
+    occ = F.transform(t, lambda x: F.struct(x.alias("token"), F.lit(1).alias("o"), F.lit(-1).alias("rank")))
+    dist = F.transform(F.array_distinct(t),
+                       lambda x, i: F.struct(x.alias("token"), F.lit(0).alias("o"), i.alias("rank")))
+    # one generator over both lists: the token array is computed once per row
+    ex = explode_values(df.select(*keys, F.col(row_col).alias("_row"), F.concat(occ, dist).alias("_e")),
+                        "_e", "_x")
+    first = F.col("_x.rank") >= 0
+    return ex.groupBy(*keys, F.col("_x.token").alias("token")).agg(
+        F.sum("_x.o").cast("long").alias("n"),
+        F.sum(F.when(first, 1).otherwise(0)).cast("long").alias("df"),
+        F.min(F.when(first, F.col("_row"))).alias("first_row"),
+        F.min_by(F.col("_x.rank"), F.when(first, F.col("_row"))).alias("first_rank"))
 
 
 def tokenize(col, stopwords=D.STOPWORDS) -> Column:

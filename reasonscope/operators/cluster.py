@@ -111,24 +111,32 @@ def silhouette(df: DataFrame, vec_col: str, label_col: str) -> DataFrame:
 
 
 def fit_kmeans(points: DataFrame, k: int, features_col: str = "features", n_init: int = D.KMEANS_N_INIT,
-               seed: int = D.KMEANS_SEED, max_iter: int = D.KMEANS_MAX_ITER, tol: float = D.KMEANS_TOL):
-    """K-Means (MLlib, k-means|| seeding) with ``n_init`` restarts; the fit
-    with the lowest training cost wins. Points should be persisted."""
-    best = None
-    for i in range(max(1, n_init)):
+               seed: int = D.KMEANS_SEED, max_iter: int = D.KMEANS_MAX_ITER, tol: float = D.KMEANS_TOL,
+               parallel: int = 4):
+    """K-Means (MLlib, k-means|| seeding) with ``n_init`` restarts (seeds
+    seed, seed+1, ...); the fit with the lowest training cost wins, ties to
+    the earlier seed. Restarts are independent jobs and run ``parallel`` at a
+    time from driver threads. Points should be persisted."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    def one(i):
         model = KMeans(k=k, seed=seed + i, maxIter=max_iter, tol=tol, featuresCol=features_col,
                        predictionCol="_cluster").fit(points)
-        cost = model.summary.trainingCost
-        if best is None or cost < best[1]:
-            best = (model, cost)
-    return best[0]
+        return model.summary.trainingCost, i, model
+
+    runs = max(1, n_init)
+    if parallel > 1 and runs > 1:
+        with ThreadPoolExecutor(max_workers=min(parallel, runs)) as pool:
+            fits = list(pool.map(one, range(runs)))
+    else:
+        fits = [one(i) for i in range(runs)]
+    return min(fits, key=lambda t: (t[0], t[1]))[2]
 
 
 def choose_k(points: DataFrame, n_points: int, features_col: str, min_k: int, max_k: int, **fit_kw) -> int:
     """k in min_k..max_k (below n) with the best silhouette; strictly better
     scores win, so ties keep the smaller k."""
     best_k, best_score = min_k, -1.0
-    arr = points.select(vector_to_array(features_col).alias("_x"))
     for k in range(min_k, max_k + 1):
         if k >= n_points:
             break
@@ -137,7 +145,6 @@ def choose_k(points: DataFrame, n_points: int, features_col: str, min_k: int, ma
         score = silhouette(labeled, "_x", "_cluster").first()["silhouette"]
         if score is not None and score > best_score:
             best_k, best_score = k, score
-    del arr
     return best_k
 
 

@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 
 from reasonscope import defaults as D
 from reasonscope.functions.regex import whole_word
-from reasonscope.functions.text import repr_quote, rint_round, stem, tokenize
+from reasonscope.functions.text import (
+    explode_positions, explode_values, repr_quote, rint_round, stem, token_stats, tokenize,
+)
 from reasonscope.options import Options
 
 
@@ -31,25 +33,21 @@ def reason_tokens(reasons: DataFrame, opts: Options, text_col: str = "reason") -
 
 
 def word_counts(tok: DataFrame) -> DataFrame:
-    """Per token: total occurrences, number of rows holding it, first
-    appearance (row_id, pos). One shuffle keyed by token: occurrences and
-    per-row distinct tokens are unioned and summed together."""
-    occ = tok.select(F.posexplode("tokens").alias("pos", "token"), "row_id").select(
-        "token", F.lit(1).alias("_o"), F.lit(0).alias("_d"), F.struct("row_id", "pos").alias("_f"))
-    docs = tok.select(F.explode(F.array_distinct("tokens")).alias("token")).select(
-        "token", F.lit(0).alias("_o"), F.lit(1).alias("_d"),
-        F.lit(None).cast("struct<row_id:bigint,pos:int>").alias("_f"))
-    return occ.unionByName(docs).groupBy("token").agg(
-        F.sum("_o").cast("long").alias("n"), F.sum("_d").cast("long").alias("df"), F.min("_f").alias("first"))
+    """Per token: total occurrences ``n``, rows holding it ``df`` and first
+    appearance ``first`` = (row_id, rank of first appearance inside that
+    row), which orders tokens exactly like their first positions do."""
+    st = token_stats(tok, [], "tokens")
+    return st.select("token", "n", "df", F.struct(F.col("first_row").alias("row_id"),
+                                                  F.col("first_rank").alias("pos")).alias("first"))
 
 
 def unigram_counts(tok: DataFrame) -> DataFrame:
-    return (tok.select(F.explode("tokens").alias("token"))
+    return (explode_values(tok, "tokens", "token")
             .groupBy("token").agg(F.count(F.lit(1)).alias("Count")))
 
 
 def document_frequency(tok: DataFrame) -> DataFrame:
-    return (tok.select(F.explode(F.array_distinct("tokens")).alias("token"))
+    return (explode_values(tok.select(F.array_distinct("tokens").alias("tokens")), "tokens", "token")
             .groupBy("token").agg(F.count(F.lit(1)).alias("DocFreq")))
 
 
@@ -63,7 +61,7 @@ def _adjacent_pairs(tokens_col: str = "tokens"):
 
 def bigram_counts(tok: DataFrame) -> DataFrame:
     """Adjacent token pairs within a row (after stopword removal)."""
-    return (tok.select(F.explode(_adjacent_pairs()).alias("b"))
+    return (explode_values(tok.select(_adjacent_pairs().alias("p")), "p", "b")
             .select("b.w1", "b.w2").groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("Count")))
 
 
@@ -98,9 +96,9 @@ ABBREVIATION_PATTERN = whole_word(D.ABBREVIATION_LETTERS, "A", "A")
 
 def abbreviation_matches(reasons: DataFrame, text_col: str = "reason") -> DataFrame:
     """Every case-sensitive 2-6 capital word: (row_id, pos, abbr, text)."""
-    return reasons.select("row_id", F.col(text_col).alias("text"),
-                          F.posexplode(F.regexp_extract_all(text_col, F.lit(ABBREVIATION_PATTERN), 0))
-                          .alias("pos", "abbr"))
+    m = reasons.select("row_id", F.col(text_col).alias("text"),
+                       F.regexp_extract_all(text_col, F.lit(ABBREVIATION_PATTERN), 0).alias("_m"))
+    return explode_positions(m, "_m", "pos", "abbr")
 
 
 def abbreviation_report(reasons: DataFrame, opts: Options, text_col: str = "reason") -> DataFrame:

@@ -63,8 +63,9 @@ class Vocabulary:
 
 def term_statistics(terms: DataFrame) -> DataFrame:
     """Per term: document frequency and total count (one shuffle by term)."""
-    occ = terms.select(F.explode("terms").alias("term")).select("term", F.lit(1).alias("_o"), F.lit(0).alias("_d"))
-    docs = terms.select(F.explode(F.array_distinct("terms")).alias("term")).select(
+    occ = (terms.select(F.explode_outer("terms").alias("term")).where(F.col("term").isNotNull())
+           .select("term", F.lit(1).alias("_o"), F.lit(0).alias("_d")))
+    docs = terms.select(F.explode_outer(F.array_distinct("terms")).alias("term")).where(F.col("term").isNotNull()).select(
         "term", F.lit(0).alias("_o"), F.lit(1).alias("_d"))
     return occ.unionByName(docs).groupBy("term").agg(F.sum("_o").cast("long").alias("count"),
                                                       F.sum("_d").cast("long").alias("df"))
@@ -92,7 +93,8 @@ def tfidf_long(terms: DataFrame, opts: Options) -> DataFrame:
     # the vocabulary has at most max_features rows: a bounded broadcast
     v = F.broadcast(vocab.select("term", idf.alias("idf")))
     # one shuffle by row: the count aggregation and both row windows reuse it
-    counts = (terms.repartition("row_id").select("row_id", F.explode("terms").alias("term"))
+    counts = (terms.repartition("row_id").select("row_id", F.explode_outer("terms").alias("term"))
+              .where(F.col("term").isNotNull())
               .join(v, "term").groupBy("row_id", "term", "idf").agg(F.count(F.lit(1)).alias("c")))
     if opts.tfidf_profile == "sublinear":
         tf = 1.0 + F.log(F.col("c").cast("double"))

@@ -10,6 +10,7 @@ from reasonscope.functions.text import (
 )
 from reasonscope.options import Options
 from reasonscope.sources.columns import LOGICAL_FIELDS, project_fields
+from reasonscope.sources.readers import spread
 
 DETAIL_COLUMNS = ("row_id", "BorrowerName", "EntityId", "ActualRating", "ModelRating",
                   "NotchDifference", "OverrideFlag", "ReasonText")
@@ -19,11 +20,13 @@ def map_fields(df: DataFrame, opts: Options) -> DataFrame:
     """Apply the column map when one is given; otherwise the table must
     already carry the logical field names."""
     if opts.column_map:
-        return project_fields(df, opts.column_map, keep=(opts.row_id_col,))
-    missing = [f for f in LOGICAL_FIELDS if f not in df.columns]
-    if missing:
-        raise KeyError(f"missing fields {missing}; give Options.column_map")
-    return df.select(opts.row_id_col, *LOGICAL_FIELDS)
+        out = project_fields(df, opts.column_map, keep=(opts.row_id_col,))
+    else:
+        missing = [f for f in LOGICAL_FIELDS if f not in df.columns]
+        if missing:
+            raise KeyError(f"missing fields {missing}; give Options.column_map")
+        out = df.select(opts.row_id_col, *LOGICAL_FIELDS)
+    return spread(out, opts.row_id_col)
 
 
 def flag_predicate(flag_col, opts: Options):

@@ -25,7 +25,9 @@ def categorize(df: DataFrame, opts: Options, persist: bool = True):
     """
     ruled = rule_categorized(df, opts)
     if not opts.cluster_unmatched:
-        return ruled.withColumn("Category", F.coalesce("Category", F.lit(opts.unmatched_label))), None
+        detail = ruled.withColumn("Category", F.coalesce("Category", F.lit(opts.unmatched_label)))
+        # every report reads the cleaned rows: clean once
+        return (detail.persist(StorageLevel.MEMORY_AND_DISK) if persist else detail), None
     if persist:
         # the cleaned rows feed the rule split, the vectoriser and the reports
         ruled = ruled.persist(StorageLevel.MEMORY_AND_DISK)

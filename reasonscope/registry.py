@@ -37,7 +37,7 @@ def _rules_only(view):
 
 def _detail_rules(spark, sf, view):
     opts = _rules_only(view)
-    d, _ = categorize(_view(spark, sf, view), opts, persist=False)
+    d, _ = categorize(_view(spark, sf, view), opts)
     return d, opts
 
 

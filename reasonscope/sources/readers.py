@@ -24,3 +24,16 @@ def with_row_id(df: DataFrame, name: str = "row_id") -> DataFrame:
     of the reports follow this id).
     """
     return df.withColumn(name, F.monotonically_increasing_id())
+
+
+def spread(df: DataFrame, key: str = "row_id") -> DataFrame:
+    """Hash-partition a table by ``key`` when it has fewer partitions than
+    the cluster has cores (e.g. one unsplittable file) so that the CPU-heavy
+    text work after it runs in parallel. Tables that already arrive in
+    enough partitions -- any large input -- are left as they are."""
+    if df.isStreaming:
+        return df
+    target = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target, key)
