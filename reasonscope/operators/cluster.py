@@ -112,11 +112,12 @@ def silhouette(df: DataFrame, vec_col: str, label_col: str) -> DataFrame:
 
 def fit_kmeans(points: DataFrame, k: int, features_col: str = "features", n_init: int = D.KMEANS_N_INIT,
                seed: int = D.KMEANS_SEED, max_iter: int = D.KMEANS_MAX_ITER, tol: float = D.KMEANS_TOL,
-               parallel: int = 4):
+               parallel: int | None = None):
     """K-Means (MLlib, k-means|| seeding) with ``n_init`` restarts (seeds
     seed, seed+1, ...); the fit with the lowest training cost wins, ties to
     the earlier seed. Restarts are independent jobs and run ``parallel`` at a
-    time from driver threads. Points should be persisted."""
+    time from driver threads (default: all at once; the scheduler shares
+    the executors among them). Points should be persisted."""
     from concurrent.futures import ThreadPoolExecutor
 
     def one(i):
@@ -125,6 +126,7 @@ def fit_kmeans(points: DataFrame, k: int, features_col: str = "features", n_init
         return model.summary.trainingCost, i, model
 
     runs = max(1, n_init)
+    parallel = runs if parallel is None else parallel
     if parallel > 1 and runs > 1:
         with ThreadPoolExecutor(max_workers=min(parallel, runs)) as pool:
             fits = list(pool.map(one, range(runs)))

@@ -79,9 +79,9 @@ def vocabulary_table(terms: DataFrame, opts: Options) -> DataFrame:
     return top.withColumn("idx", (F.row_number().over(Window.orderBy(key.desc(), F.col("term"))) - 1).cast("int"))
 
 
-def build_vocabulary(terms: DataFrame, opts: Options) -> Vocabulary:
+def build_vocabulary(terms: DataFrame, opts: Options, n_docs: int | None = None) -> Vocabulary:
     rows = vocabulary_table(terms, opts).orderBy("idx").collect()    # <= max_features rows
-    n_docs = terms.count()
+    n_docs = terms.count() if n_docs is None else n_docs
     return Vocabulary([r["term"] for r in rows], [int(r["df"]) for r in rows], n_docs)
 
 

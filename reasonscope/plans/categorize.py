@@ -33,3 +33,18 @@ def categorize(df: DataFrame, opts: Options, persist: bool = True):
         ruled = ruled.persist(StorageLevel.MEMORY_AND_DISK)
     from reasonscope.plans.hybrid import cluster_unmatched
     return cluster_unmatched(ruled, opts)
+
+
+def run_categorize(df: DataFrame, opts: Options) -> dict[str, DataFrame]:
+    """The four report tables of a categorize run (detail sorted by
+    Category, EntityId; summary by Count desc, AvgNotchDiff asc; rollup by
+    Category, OverrideCount desc)."""
+    from reasonscope.operators import reports as R
+    from reasonscope.sources.sinks import run_info
+    detail, _ = categorize(df, opts)
+    return {
+        "detailed_results": R.detail_report(detail),
+        "group_summary": R.group_summary(detail, opts),
+        "entity_rollup": R.entity_rollup(detail, opts),
+        "run_info": run_info(df.sparkSession, opts),
+    }

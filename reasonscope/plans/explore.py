@@ -25,6 +25,9 @@ def run_explore(df: DataFrame, opts: Options, persist: bool = True) -> dict[str,
     stems = X.stem_groups(counts, opts)
     colloc = X.collocations(tok, counts, opts)
     context = X.context_similarity(tok, counts, opts)
+    if persist:
+        # small results (<= vocabulary / top-n rows) read again by the views
+        stems, colloc, context = (t.persist(StorageLevel.MEMORY_AND_DISK) for t in (stems, colloc, context))
     return {
         "abbreviations": X.abbreviation_report(reasons, opts),
         "word_frequencies": X.word_frequency(counts, reasons, opts),

@@ -42,7 +42,7 @@ def cluster_unmatched(ruled: DataFrame, opts: Options):
     n = termed.count()
     if n == 0:
         return ruled, None
-    vocab = build_vocabulary(termed.select("row_id", "terms"), opts)
+    vocab = build_vocabulary(termed.select("row_id", "terms"), opts, n_docs=n)
     if not vocab.terms:
         # every remaining row is a zero vector: a single group
         name = D.AUTO_GROUP_FORMAT.format(n=1, label=D.MISC_LABEL)
