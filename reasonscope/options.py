@@ -21,6 +21,10 @@ class Options:
     or synonym applies first. Use :meth:`with_` to derive a changed copy.
     """
 
+    # how the cleaned rows are kept for their several readers:
+    # "persist" (cache), "checkpoint" (written to spark.checkpoint.dir), "none"
+    materialize: str = "persist"
+
     # input mapping: logical field -> column spec (letter, header text or name)
     column_map: tuple[tuple[str, str], ...] = ()
     row_id_col: str = "row_id"

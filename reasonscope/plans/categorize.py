@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reasonscope.operators.prepare import prepare_comments
 from reasonscope.operators.rules import with_rule_category
 from reasonscope.options import Options
+from reasonscope.session import materialize
 
 
 def rule_categorized(df: DataFrame, opts: Options) -> DataFrame:
@@ -27,10 +27,10 @@ def categorize(df: DataFrame, opts: Options, persist: bool = True):
     if not opts.cluster_unmatched:
         detail = ruled.withColumn("Category", F.coalesce("Category", F.lit(opts.unmatched_label)))
         # every report reads the cleaned rows: clean once
-        return (detail.persist(StorageLevel.MEMORY_AND_DISK) if persist else detail), None
+        return (materialize(detail, opts.materialize) if persist else detail), None
     if persist:
         # the cleaned rows feed the rule split, the vectoriser and the reports
-        ruled = ruled.persist(StorageLevel.MEMORY_AND_DISK)
+        ruled = materialize(ruled, opts.materialize)
     from reasonscope.plans.hybrid import cluster_unmatched
     return cluster_unmatched(ruled, opts)
 

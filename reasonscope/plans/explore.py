@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from reasonscope.operators import explore as X
 from reasonscope.operators.prepare import explore_reasons
 from reasonscope.options import Options
+from reasonscope.session import materialize
 
 
 def run_explore(df: DataFrame, opts: Options, persist: bool = True) -> dict[str, DataFrame]:
@@ -20,8 +21,8 @@ def run_explore(df: DataFrame, opts: Options, persist: bool = True) -> dict[str,
     tok = X.reason_tokens(reasons, opts)
     counts = X.word_counts(tok)
     if persist:
-        tok = tok.persist(StorageLevel.MEMORY_AND_DISK)
-        counts = counts.persist(StorageLevel.MEMORY_AND_DISK)
+        tok = materialize(tok, opts.materialize)
+        counts = materialize(X.word_counts(tok), "persist")
     stems = X.stem_groups(counts, opts)
     colloc = X.collocations(tok, counts, opts)
     context = X.context_similarity(tok, counts, opts)

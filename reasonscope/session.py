@@ -5,7 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(master: str | None = None, app_name: str = "reasonscope",
@@ -53,3 +54,21 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     local = tempfile.mkdtemp(prefix="reasonscope-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(local)
     return sc.getCheckpointDir() or local
+
+
+def materialize(df: DataFrame, mode: str = "persist") -> DataFrame:
+    """Keep an intermediate result that several consumers read.
+
+    ``persist``: cached (memory, spilling to disk); a lost executor's blocks
+    are recomputed from lineage. ``checkpoint``: written to the shared
+    checkpoint directory and the lineage is cut, so a lost executor costs a
+    re-read instead of re-running the work before it. ``none``: as is.
+    """
+    if mode == "checkpoint":
+        ensure_checkpoint_dir(df.sparkSession)
+        return df.checkpoint(eager=True)
+    if mode == "persist":
+        return df.persist(StorageLevel.MEMORY_AND_DISK)
+    if mode == "none":
+        return df
+    raise ValueError(f"unknown materialize mode {mode!r}")

@@ -82,3 +82,10 @@ def test_empty_input_keeps_schema(spark):
     assert s.count() == 0
     assert s.columns == list(R.SUMMARY_COLUMNS)
     assert R.entity_rollup(d, RULES).columns == list(R.ROLLUP_COLUMNS)
+
+
+def test_checkpoint_materialize_same_result(spark):
+    a = R.group_summary(categorize(comments(spark, ROWS), RULES)[0], RULES).collect()
+    opts = RULES.with_(materialize="checkpoint")
+    b = R.group_summary(categorize(comments(spark, ROWS), opts)[0], opts).collect()
+    assert a == b
