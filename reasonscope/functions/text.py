@@ -103,13 +103,31 @@ def clean_reason(col, opts: Options) -> Column:
 def with_clean_text(df: DataFrame, src: str, dst: str, opts: Options) -> DataFrame:
     """Add (or replace) ``dst`` = cleaned ``src``.
 
-    The value comes out of a generator (explode of a one-element array), which
-    the optimizer does not push filters below: a later filter on the cleaned
-    text (e.g. its length) reads the computed value instead of re-running the
-    regex chain inside the filter.
+    Each step is its own projection over the previous step's column, so the
+    guarded chains (which read their input three times) are evaluated once
+    per row without lambda bindings; the optimizer keeps such projections
+    apart because merging them would repeat non-cheap expressions. The final
+    value comes out of a generator (explode of a one-element array), which
+    filters are not pushed below: a later filter on the cleaned text (e.g.
+    its length) reads the computed value instead of re-running the chain.
     """
-    cols = [F.col(f"`{c}`") for c in df.columns if c != dst]
-    return df.select(*cols, F.explode_outer(F.array(clean_reason(F.col(src), opts))).alias(dst))
+    tmp = "_clean"
+    out = df.withColumn(tmp, clean_whitespace(F.coalesce(F.col(src), F.lit(""))))
+    items = list(opts.abbreviations)
+    if items:
+        reps = [(phrase_pattern(a), java_replacement(f)) for a, f in items]
+        out = out.withColumn(tmp, _guarded(F.col(tmp), any_phrase_pattern([a for a, _ in items]), reps))
+    for guard, reps in normalize_synonyms_steps(opts.synonyms):
+        out = out.withColumn(tmp, _guarded(F.col(tmp), guard, reps))
+    cols = [F.col(f"`{c}`") for c in out.columns if c not in (dst, tmp)]
+    return out.select(*cols, F.explode_outer(F.array(F.col(tmp))).alias(dst))
+
+
+def _guarded(c: Column, guard: str, reps: list[tuple[str, str]]) -> Column:
+    chain = c
+    for pat, rep in reps:
+        chain = F.regexp_replace(chain, pat, rep)
+    return F.when(c.rlike(guard), chain).otherwise(c)
 
 
 def explode_positions(df: DataFrame, array_col: str, pos_col: str, value_col: str) -> DataFrame:
@@ -127,30 +145,48 @@ def explode_values(df: DataFrame, array_col: str, value_col: str) -> DataFrame:
     return explode_positions(df, array_col, "_pos", value_col).drop("_pos")
 
 
-def token_stats(df: DataFrame, keys: list[str], tokens_col: str, row_col: str = "row_id") -> DataFrame:
+def token_stats(df: DataFrame, keys: list[str], tokens_col: str, row_col: str = "row_id",
+                stopwords=None, min_length: int | None = None) -> DataFrame:
     """Per (keys, token): occurrences ``n``, rows holding it ``df`` and the
     first appearance as (``first_row``, ``first_rank``).
 
     The order in which tokens first appear inside one row equals their order
-    in ``array_distinct(tokens)``, so (row, index in the distinct array)
-    orders first appearances exactly like (row, position) does, and each
-    (token, row) pair occurs once: ``min(row)`` and ``min_by(rank, row)``
-    are then exact, and everything is one hash aggregation with map-side
-    partial results (no struct minimum, no per-row shuffle).
+    in ``array_distinct(tokens)`` (also after dropping stopwords, which
+    removes whole values), so (row, index in the distinct array) orders
+    first appearances exactly like (row, position), and each (token, row)
+    pair occurs once: ``min(row)`` and ``min_by(rank, row)`` are exact.
+    One generator emits the occurrences (rank -1) and the distinct entries;
+    stopwords and short tokens are dropped after it with code-generated
+    predicates; one hash aggregation with map-side partial results follows.
     """
     t = F.col(tokens_col)
-    occ = F.transform(t, lambda x: F.struct(x.alias("token"), F.lit(1).alias("o"), F.lit(-1).alias("rank")))
-    dist = F.transform(F.array_distinct(t),
-                       lambda x, i: F.struct(x.alias("token"), F.lit(0).alias("o"), i.alias("rank")))
-    # one generator over both lists: the token array is computed once per row
-    ex = explode_values(df.select(*keys, F.col(row_col).alias("_row"), F.concat(occ, dist).alias("_e")),
-                        "_e", "_x")
-    first = F.col("_x.rank") >= 0
-    return ex.groupBy(*keys, F.col("_x.token").alias("token")).agg(
-        F.sum("_x.o").cast("long").alias("n"),
+    d = F.array_distinct(t)
+    parts = df.select(
+        *keys, F.col(row_col).alias("_row"),
+        t.alias("token"), F.array_repeat(F.lit(-1), F.size(t)).alias("rank"),
+        d.alias("_dt"),
+        F.when(F.size(d) > 0, F.sequence(F.lit(0), F.size(d) - 1)).otherwise(F.array().cast("array<int>"))
+         .alias("_dr"))
+    both = parts.select(*keys, "_row", F.concat(F.arrays_zip("token", "rank"),
+                                               F.arrays_zip(F.col("_dt").alias("token"),
+                                                            F.col("_dr").alias("rank"))).alias("_e"))
+    ex = explode_values(both, "_e", "_x").select(*keys, "_row", F.col("_x.token").alias("token"),
+                                                 F.col("_x.rank").alias("rank"))
+    if stopwords:
+        ex = ex.where(~F.col("token").isin(list(stopwords)))
+    if min_length:
+        ex = ex.where(F.length("token") >= min_length)
+    first = F.col("rank") >= 0
+    return ex.groupBy(*keys, "token").agg(
+        F.sum(F.when(first, 0).otherwise(1)).cast("long").alias("n"),
         F.sum(F.when(first, 1).otherwise(0)).cast("long").alias("df"),
         F.min(F.when(first, F.col("_row"))).alias("first_row"),
-        F.min_by(F.col("_x.rank"), F.when(first, F.col("_row"))).alias("first_rank"))
+        F.min_by(F.col("rank"), F.when(first, F.col("_row"))).alias("first_rank"))
+
+
+def raw_tokens(col) -> Column:
+    """All lower-case tokens ``[a-zA-Z][a-zA-Z\\-']+`` in text order."""
+    return F.regexp_extract_all(F.lower(_c(col)), F.lit(D.TOKEN_PATTERN), 0)
 
 
 def tokenize(col, stopwords=D.STOPWORDS) -> Column:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from reasonscope import defaults as D
-from reasonscope.functions.text import rint_round, token_stats, tokenize
+from reasonscope.functions.text import raw_tokens, rint_round, token_stats
 from reasonscope.options import Options
 
 
@@ -40,8 +40,9 @@ def top_tokens(detail: DataFrame, keys: list[str], n: int, out_col: str, opts: O
                text_col: str = "ReasonText") -> DataFrame:
     """Per key group: the ``n`` most frequent tokens, ties by first
     appearance, joined by ', '."""
-    toks = detail.select(*keys, "row_id", tokenize(text_col, opts.stopwords).alias("_t"))
-    counts = token_stats(toks, keys, "_t").withColumnRenamed("n", "_n")
+    toks = detail.select(*keys, "row_id", raw_tokens(text_col).alias("_t"))
+    counts = token_stats(toks, keys, "_t", stopwords=opts.stopwords,
+                         min_length=D.TOKEN_MIN_LENGTH).withColumnRenamed("n", "_n")
     w = Window.partitionBy(*keys).orderBy(F.col("_n").desc(), F.col("first_row"), F.col("first_rank"))
     ranked = counts.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n)
     return (ranked.groupBy(*keys)
