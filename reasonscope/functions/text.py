@@ -192,11 +192,12 @@ def raw_tokens(col) -> Column:
 def tokenize(col, stopwords=D.STOPWORDS) -> Column:
     """Lower-case tokens ``[a-zA-Z][a-zA-Z\\-']+`` without stopwords and
     without tokens shorter than 3 characters, in text order."""
-    stop = F.array(*[F.lit(w) for w in stopwords]) if stopwords else None
     raw = F.regexp_extract_all(F.lower(_c(col)), F.lit(D.TOKEN_PATTERN), 0)
-    if stop is None:
+    if not stopwords:
         return F.filter(raw, lambda t: F.length(t) >= D.TOKEN_MIN_LENGTH)
-    return F.filter(raw, lambda t: (~F.array_contains(stop, t)) & (F.length(t) >= D.TOKEN_MIN_LENGTH))
+    stop = list(stopwords)
+    # isin becomes a hash set lookup (INSET) inside the lambda
+    return F.filter(raw, lambda t: (~t.isin(stop)) & (F.length(t) >= D.TOKEN_MIN_LENGTH))
 
 
 def token_set(col) -> Column:

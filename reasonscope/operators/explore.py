@@ -190,22 +190,25 @@ def context_vocabulary(counts: DataFrame, opts: Options) -> list[tuple[str, int,
     return [(r["token"], r["n"], r["df"]) for r in cand if r["df"] >= opts.context_min_doc_freq][: opts.context_top_words]
 
 
-def _cooccurrence_partials(vocab_size: int):
+def _cooccurrence_partials(vocab: list[str]):
+    index = {w: i for i, w in enumerate(vocab)}
+    v = len(vocab)
+
     def run(batches):
-        acc = np.zeros((vocab_size, vocab_size), dtype=np.int64)
+        acc = np.zeros((v, v), dtype=np.int64)
         for pdf in batches:
-            lists = pdf["vi"]
+            lists = pdf["vw"]
             if len(lists) == 0:
                 continue
             lens = np.fromiter((len(x) for x in lists), dtype=np.int64, count=len(lists))
             if lens.sum() == 0:
                 continue
             rows = np.repeat(np.arange(len(lists)), lens)
-            cols = np.concatenate([np.asarray(x, dtype=np.int64) for x in lists if len(x)])
-            m = np.zeros((len(lists), vocab_size), dtype=np.int32)
+            cols = np.fromiter((index[w] for x in lists for w in x), dtype=np.int64, count=int(lens.sum()))
+            m = np.zeros((len(lists), v), dtype=np.int64)
             m[rows, cols] = 1
-            acc += m.T.astype(np.int64) @ m.astype(np.int64)
-        i, j = np.triu_indices(vocab_size)
+            acc += m.T @ m
+        i, j = np.triu_indices(v)
         n = acc[i, j]
         keep = n > 0
         yield pd.DataFrame({"i": i[keep].astype(np.int32), "j": j[keep].astype(np.int32), "n": n[keep]})
@@ -214,14 +217,13 @@ def _cooccurrence_partials(vocab_size: int):
 
 def cooccurrence(tok: DataFrame, vocab: list[str]) -> DataFrame:
     """Rows holding both words, for every pair i <= j of the vocabulary
-    (i == j gives the word's own row count). Each partition multiplies its
-    binary row x word block with numpy and emits at most V(V+1)/2 partial
-    counts, which Spark sums per pair."""
-    v = len(vocab)
+    (i == j gives the word's own row count). ``array_intersect`` (hash
+    based) keeps each row's distinct vocabulary words; each partition then
+    multiplies its binary row x word block with numpy and emits at most
+    V(V+1)/2 partial counts, which Spark sums per pair."""
     arr = F.array(*[F.lit(w) for w in vocab])
-    idx = F.array_distinct(F.filter(F.transform("tokens", lambda t: F.array_position(arr, t).cast("int") - 1),
-                                    lambda i: i >= 0))
-    parts = tok.select(idx.alias("vi")).mapInPandas(_cooccurrence_partials(v), "i int, j int, n long")
+    words = tok.select(F.array_intersect("tokens", arr).alias("vw"))
+    parts = words.mapInPandas(_cooccurrence_partials(vocab), "i int, j int, n long")
     return parts.groupBy("i", "j").agg(F.sum("n").alias("n"))
 
 

@@ -41,9 +41,9 @@ def with_terms(df: DataFrame, opts: Options, text_col: str = "ReasonText") -> Da
     """Add ``terms``: the n-grams each row contributes (other columns kept)."""
     lo, hi = opts.ngram_range
     if opts.tfidf_profile == "sublinear":
-        stop = F.array(*[F.lit(w) for w in opts.stopwords])
+        stop = list(opts.stopwords)
         raw = F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(SUBLINEAR_TOKEN), 0)
-        toks = F.filter(raw, lambda t: ~F.array_contains(stop, t)) if opts.stopwords else raw
+        toks = F.filter(raw, lambda t: ~t.isin(stop)) if stop else raw
     else:
         toks = tokenize(text_col, opts.stopwords)
     return df.withColumn("terms", ngrams(toks, lo, hi))
