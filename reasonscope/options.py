@@ -57,6 +57,10 @@ class Options:
     # fixed number of range partitions of the points before fitting, so that a
     # fit does not depend on the input layout; None keeps the layout as is
     fit_partitions: int | None = None
+    # otherwise the points are coalesced (no shuffle) to about this many rows
+    # per partition: each K-Means iteration is a job, and on small inputs its
+    # cost is task latency, not work; large inputs keep all their partitions
+    fit_rows_per_partition: int = 100_000
 
     # reports
     max_sample_reasons: int = D.MAX_SAMPLE_REASONS_PER_GROUP

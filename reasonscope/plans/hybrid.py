@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
@@ -52,6 +53,10 @@ def cluster_unmatched(ruled: DataFrame, opts: Options):
     if opts.fit_partitions:
         # a fixed layout makes the fit independent of how the input was split
         points = points.repartitionByRange(opts.fit_partitions, "row_id").sortWithinPartitions("row_id")
+    else:
+        target = max(1, math.ceil(n / max(1, opts.fit_rows_per_partition)))
+        if points.rdd.getNumPartitions() > target:
+            points = points.coalesce(target)
     points = points.persist(StorageLevel.MEMORY_AND_DISK)
     k = min(opts.n_clusters, n)
     fit_kw = dict(n_init=opts.kmeans_n_init, seed=opts.kmeans_seed, max_iter=opts.kmeans_max_iter,

@@ -33,7 +33,11 @@ def spread(df: DataFrame, key: str = "row_id") -> DataFrame:
     enough partitions -- any large input -- are left as they are."""
     if df.isStreaming:
         return df
-    target = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= target:
+    try:
+        target = df.sparkSession.sparkContext.defaultParallelism
+        current = df.rdd.getNumPartitions()
+    except Exception:   # no RDD view of the plan (e.g. a remote session)
+        return df
+    if current >= target:
         return df
     return df.repartition(target, key)
