@@ -20,6 +20,7 @@ from reasonscope.functions.text import (
     explode_positions, explode_values, repr_quote, rint_round, stem, token_stats, tokenize,
 )
 from reasonscope.options import Options
+from reasonscope.session import bounded_broadcast
 
 
 def _in_list(col, values):
@@ -251,10 +252,12 @@ def context_similarity(tok: DataFrame, counts: DataFrame, opts: Options) -> Data
     # the vocabulary table has at most top_words rows
     vt = spark.createDataFrame([(i, w, n) for i, (w, n, _) in enumerate(vocab)], "idx int, word string, freq long")
     diag = co.where(F.col("i") == F.col("j")).select(F.col("i").alias("idx"), F.col("n").alias("dfv"))
-    a = F.broadcast(vt.join(diag, "idx").select(F.col("idx").alias("i"), F.col("word").alias("Word1"),
-                                                F.col("freq").alias("Freq_Word1"), F.col("dfv").alias("df1")))
-    b = F.broadcast(vt.join(diag, "idx").select(F.col("idx").alias("j"), F.col("word").alias("Word2"),
-                                                F.col("freq").alias("Freq_Word2"), F.col("dfv").alias("df2")))
+    a = bounded_broadcast(vt.join(diag, "idx").select(F.col("idx").alias("i"), F.col("word").alias("Word1"),
+                                                F.col("freq").alias("Freq_Word1"), F.col("dfv").alias("df1")),
+                          len(vocab))
+    b = bounded_broadcast(vt.join(diag, "idx").select(F.col("idx").alias("j"), F.col("word").alias("Word2"),
+                                                F.col("freq").alias("Freq_Word2"), F.col("dfv").alias("df2")),
+                          len(vocab))
     pairs = co.where(F.col("i") < F.col("j")).join(a, "i").join(b, "j")
     score = F.col("n") / (F.sqrt(F.col("df1").cast("double")) * F.sqrt(F.col("df2").cast("double")))
     phrases = opts.synonym_phrases

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from reasonscope.functions.regex import WORD_CLASS
 from reasonscope.functions.text import ngrams, tokenize
 from reasonscope.options import Options
+from reasonscope.session import bounded_broadcast
 
 SUBLINEAR_TOKEN = WORD_CLASS + "{2,}"
 
@@ -91,7 +92,7 @@ def tfidf_long(terms: DataFrame, opts: Options) -> DataFrame:
     n_docs = terms.select(F.count(F.lit(1)).cast("double")).scalar()
     idf = F.log((n_docs + 1) / (F.col("df") + 1)) + 1.0
     # the vocabulary has at most max_features rows: a bounded broadcast
-    v = F.broadcast(vocab.select("term", idf.alias("idf")))
+    v = bounded_broadcast(vocab.select("term", idf.alias("idf")), opts.max_features)
     # one shuffle by row: the count aggregation and both row windows reuse it
     counts = (terms.repartition("row_id").select("row_id", F.explode_outer("terms").alias("term"))
               .where(F.col("term").isNotNull())

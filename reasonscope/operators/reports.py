@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from reasonscope import defaults as D
 from reasonscope.functions.text import raw_tokens, rint_round, token_stats
 from reasonscope.options import Options
+from reasonscope.session import bounded_broadcast
 
 
 def first_n_distinct(df: DataFrame, keys: list[str], value_col: str, n: int, sep: str,
@@ -73,9 +74,11 @@ def group_summary(detail: DataFrame, opts: Options, ordered: bool = True) -> Dat
     samples, _ = first_n_distinct(detail, ["Category"], "ReasonText", opts.max_sample_reasons,
                                   D.SAMPLE_SEPARATOR, "SampleReasons")
     kws = top_tokens(detail, ["Category"], opts.summary_keywords, "TopKeywords", opts)
+    # one row per category: at most (#rule groups + #clusters + 1) rows
+    bound = len(opts.priority_groups) + opts.n_clusters + 1
     out = stats
     for small in (uniq, ents, samples, kws):
-        out = out.join(F.broadcast(small), "Category", "left")
+        out = out.join(bounded_broadcast(small, bound), "Category", "left")
     out = out.select(
         "Category", "Count",
         F.coalesce(F.col("UniqueBorrowers"), F.lit(0).cast("long")).alias("UniqueBorrowers"),

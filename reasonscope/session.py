@@ -72,3 +72,16 @@ def materialize(df: DataFrame, mode: str = "persist") -> DataFrame:
     if mode == "none":
         return df
     raise ValueError(f"unknown materialize mode {mode!r}")
+
+
+# largest number of rows a broadcast hint is given for; beyond it the planner
+# (and AQE, with runtime sizes) picks the join
+BROADCAST_ROW_LIMIT = 100_000
+
+
+def bounded_broadcast(df: DataFrame, max_rows: int, limit: int = BROADCAST_ROW_LIMIT) -> DataFrame:
+    """Broadcast ``df`` only when its proven row bound ``max_rows`` (derived
+    from options, not from the data) is within ``limit``; otherwise return it
+    unchanged for a shuffle join."""
+    from pyspark.sql import functions as F
+    return F.broadcast(df) if max_rows <= limit else df
