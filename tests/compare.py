@@ -31,13 +31,25 @@ def _norm(v):
     return str(v) if not isinstance(v, (int, bool)) else v
 
 
+SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+                 "boolean": "BOOLEAN", "float": "FLOAT", "smallint": "SMALLINT", "tinyint": "TINYINT"}
+
+
 def compare(spark_df, con, sql: str, show: int = 5) -> dict:
     srows = [tuple(r) for r in spark_df.collect()]
     scols = list(spark_df.columns)
+    stypes = {f.name: SPARK_TO_DUCK.get(f.dataType.simpleString(), f.dataType.simpleString())
+              for f in spark_df.schema.fields}
     res = con.execute(sql)
     dcols = [d[0] for d in res.description]
+    rel = con.sql(sql)
+    dtypes = {c: str(t) for c, t in zip(rel.columns, rel.types)}
     drows = res.fetchall()
     out = {"spark_rows": len(srows), "duck_rows": len(drows), "cols_ok": sorted(scols) == sorted(dcols)}
+    bad = {c: (stypes.get(c), dtypes.get(c)) for c in scols if stypes.get(c) != dtypes.get(c)}
+    out["types_ok"] = not bad
+    if bad:
+        out["type_diff"] = bad
     if not out["cols_ok"]:
         out["spark_cols"], out["duck_cols"] = scols, dcols
         return out

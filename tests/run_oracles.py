@@ -39,10 +39,10 @@ def main():
             r = {"error": repr(e)[:1500]}
         r["sec"] = round(time.time() - t, 2)
         results[name] = r
-        ok = r.get("values_ok", "rows_only" in r)
+        ok = r.get("values_ok", "rows_only" in r) and r.get("types_ok", True)
         print(("OK  " if ok else "FAIL"), name, json.dumps(r, default=str)[:1500], flush=True)
         spark.catalog.clearCache()
-    bad = [k for k, r in results.items() if not r.get("values_ok", "rows_only" in r)]
+    bad = [k for k, r in results.items() if not (r.get("values_ok", "rows_only" in r) and r.get("types_ok", True))]
     print("failed:", bad)
 
 
