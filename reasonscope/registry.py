@@ -4,7 +4,6 @@ lives in :mod:`reasonscope.oracle` and is listed by :func:`oracle_sql`."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reasonscope import oracle as O
@@ -14,7 +13,7 @@ from reasonscope.operators import explore as X
 from reasonscope.operators import features as FT
 from reasonscope.operators import reports as R
 from reasonscope.operators.prepare import explore_reasons, prepare_comments
-from reasonscope.operators.rules import priority_category, priority_counts
+from reasonscope.operators.rules import priority_counts
 from reasonscope.plans.categorize import categorize, rule_categorized
 from reasonscope.sources.columns import Header, project_fields
 from reasonscope.sources.fixtures import COMMENT_COLUMNS, VIEW_OPTIONS, VIEWS, table
