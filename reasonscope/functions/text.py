@@ -253,6 +253,39 @@ def rint_round(col, digits: int) -> Column:
     return F.rint(_c(col) * F.lit(scale)) / F.lit(scale)
 
 
+_SPLIT = 134217729.0   # 2^27 + 1: Dekker's splitting constant for doubles
+
+
+def _split(v: Column):
+    c = v * F.lit(_SPLIT)
+    hi = c - (c - v)
+    return hi, v - hi
+
+
+def py_round(col, digits: int) -> Column:
+    """Python's ``round(x, digits)`` on a float: half-even on the *exact*
+    binary value of x (``round(12.35, 1) == 12.3``, while rint(123.5)/10
+    gives 12.4).
+
+    p = fl(x * 10^d) is exact enough except when p lands exactly on a .5
+    tie; then the sign of the product's rounding error e (Dekker's exact
+    two-product, plain double arithmetic) tells on which side the exact
+    value lies.
+    """
+    x = _c(col).cast("double")
+    s = F.lit(float(10 ** digits))
+    p = x * s
+    xh, xl = _split(x)
+    sh, sl = _split(s)
+    e = ((xh * sh - p) + xh * sl + xl * sh) + xl * sl
+    f = F.floor(p).cast("double")
+    at_tie = p == f + F.lit(0.5)
+    r = (F.when(at_tie & (e > 0), f + F.lit(1.0))
+          .when(at_tie & (e < 0), f)
+          .otherwise(F.rint(p)))
+    return r / s
+
+
 def repr_quote(col) -> Column:
     """Python ``repr`` of a token (tokens hold only letters, '-' and ')."""
     c = _c(col)

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from reasonscope import defaults as D
 from reasonscope.functions.regex import whole_word
 from reasonscope.functions.text import (
-    explode_positions, explode_values, repr_quote, rint_round, stem, token_stats, tokenize,
+    explode_positions, explode_values, py_round, repr_quote, rint_round, stem, token_stats, tokenize,
 )
 from reasonscope.options import Options
 from reasonscope.session import bounded_broadcast
@@ -84,7 +84,7 @@ def word_frequency(counts: DataFrame, reasons: DataFrame, opts: Options) -> Data
         F.col("token").alias("Word"),
         F.col("n").alias("TotalOccurrences"),
         F.col("df").alias("InNReasons"),
-        rint_round(share * 100, 1).alias("PctOfReasons"),
+        py_round(share * 100, 1).alias("PctOfReasons"),
         F.when(in_stop, F.lit(D.YES)).otherwise(F.lit("")).alias("AlreadyInStopwords"),
         F.when((share > D.STOPWORD_SHARE_ABOVE) & ~in_stop, F.lit(D.SUGGEST_STOPWORD))
          .otherwise(F.lit("")).alias("Suggestion"),
@@ -266,7 +266,7 @@ def context_similarity(tok: DataFrame, counts: DataFrame, opts: Options) -> Data
                           already.alias("already")).where(F.col("score") > D.CONTEXT_MIN_SIMILARITY)
     top = scored.orderBy(F.col("score").desc(), F.col("i").desc(), F.col("j").desc()).limit(opts.context_top_pairs)
     return top.select(
-        "Word1", "Word2", rint_round("score", 3).alias("ContextSimilarity"), "Freq_Word1", "Freq_Word2",
+        "Word1", "Word2", py_round("score", 3).alias("ContextSimilarity"), "Freq_Word1", "Freq_Word2",
         F.when(F.col("already"), F.lit(D.YES)).otherwise(F.lit("")).alias("AlreadyInSynonyms"),
         F.when((F.col("score") > D.CONTEXT_SUGGEST_ABOVE) & ~F.col("already"),
                F.concat(F.lit('Consider grouping "'), F.col("Word1"), F.lit('" and "'), F.col("Word2"),

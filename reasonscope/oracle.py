@@ -66,6 +66,19 @@ def rint(e: str, digits: int) -> str:
     return f"(round_even(CAST({e} AS DOUBLE) * CAST({scale} AS DOUBLE), 0) / CAST({scale} AS DOUBLE))"
 
 
+def pyround(e: str, digits: int) -> str:
+    """Python round() on a double (exact half-even), same formula as Spark's."""
+    s = f"CAST({10 ** digits} AS DOUBLE)"
+    k = "CAST(134217729.0 AS DOUBLE)"
+    x = f"CAST({e} AS DOUBLE)"
+    return f"""(SELECT CASE WHEN p = f + 0.5 AND e > 0 THEN f + 1 WHEN p = f + 0.5 AND e < 0 THEN f
+                      ELSE round_even(p, 0) END / s FROM (
+   SELECT p, floor(p) AS f, ((xh * sh - p) + xh * sl + xl * sh) + xl * sl AS e, s FROM (
+     SELECT x * s AS p, xh, x - xh AS xl, sh, s - sh AS sl, s FROM (
+       SELECT x, s, ({k} * x) - (({k} * x) - x) AS xh, ({k} * s) - (({k} * s) - s) AS sh FROM (
+         SELECT {x} AS x, {s} AS s)))))"""
+
+
 def _marked(text: str) -> str:
     return "".join(ch + (MARK if not is_word_char(ch) else "") for ch in text)
 
@@ -235,7 +248,7 @@ def word_frequency_sql(view: str, opts: Options) -> str:
 top AS (SELECT * FROM wc ORDER BY n DESC, f LIMIT {opts.word_frequency_rows}),
 tot AS (SELECT CAST(count(*) AS DOUBLE) AS total FROM r)
 SELECT token AS Word, n AS TotalOccurrences, df AS InNReasons,
-       {rint('df / total * 100', 1)} AS PctOfReasons,
+       {pyround('df / total * 100', 1)} AS PctOfReasons,
        CASE WHEN {_in('token', opts.stopwords)} THEN 'YES' ELSE '' END AS AlreadyInStopwords,
        CASE WHEN df / total > CAST(0.4 AS DOUBLE) AND NOT ({_in('token', opts.stopwords)})
             THEN {q(D.SUGGEST_STOPWORD)} ELSE '' END AS Suggestion
@@ -324,7 +337,7 @@ pr AS (SELECT a.idx AS i, b.idx AS j, count(*) AS n FROM dv a JOIN dv b ON a.row
 sc AS (SELECT pr.i, pr.j, va.token AS Word1, vb.token AS Word2, va.n AS Freq_Word1, vb.n AS Freq_Word2,
               pr.n / (sqrt(va.df) * sqrt(vb.df)) AS score
        FROM pr JOIN vocab va ON pr.i = va.idx JOIN vocab vb ON pr.j = vb.idx),
-cs AS (SELECT Word1, Word2, {rint('score', 3)} AS ContextSimilarity, Freq_Word1, Freq_Word2,
+cs AS (SELECT Word1, Word2, {pyround('score', 3)} AS ContextSimilarity, Freq_Word1, Freq_Word2,
               CASE WHEN {already} THEN 'YES' ELSE '' END AS AlreadyInSynonyms,
               CASE WHEN score > CAST(0.5 AS DOUBLE) AND NOT {already}
                    THEN 'Consider grouping "' || Word1 || '" and "' || Word2 || '" in SYNONYMS' ELSE '' END AS Suggestion,

@@ -109,3 +109,14 @@ def test_whole_word_replace_matches_python(spark, text, phrase):
     expected = re.sub(rf"\b{re.escape(phrase)}\b", "<X>", text, flags=re.IGNORECASE)
     got = one(spark, text, lambda c: F.regexp_replace(c, phrase_pattern(phrase), "<X>"))
     assert got == expected
+
+
+def test_py_round_matches_python(spark):
+    import random
+    rnd = random.Random(5)
+    xs = [12.35, 0.35, 2.675, 0.125, 1.005, 66.66666666666667, 0.5, -2.5, 1e-9, 99.95]
+    xs += [rnd.randint(0, 10000) / rnd.randint(1, 3000) * 100 for _ in range(300)]
+    df = spark.createDataFrame([(x,) for x in xs], "x double")
+    for d in (1, 3):
+        got = [r[0] for r in df.select(T.py_round("x", d)).collect()]
+        assert got == [round(x, d) for x in xs]
