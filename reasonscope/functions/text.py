@@ -50,16 +50,19 @@ def _let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), lambda x: body(x)), 1)
 
 
-def _guarded_chain(c: Column, guard: str, reps: list[tuple[str, str]]) -> Column:
+def _guarded(c: Column, guard: str, reps: list[tuple[str, str]]) -> Column:
     """Apply the replacements in order, but only to texts the guard finds a
     phrase in; exact, because no replacement can fire on a text none of the
-    phrases matches."""
-    def body(x):
-        chain = x
-        for pat, rep in reps:
-            chain = F.regexp_replace(chain, pat, rep)
-        return F.when(x.rlike(guard), chain).otherwise(x)
-    return _let(c, body)
+    phrases matches. Reads ``c`` three times: give it a column reference or
+    bind it with :func:`_let`."""
+    chain = c
+    for pat, rep in reps:
+        chain = F.regexp_replace(chain, pat, rep)
+    return F.when(c.rlike(guard), chain).otherwise(c)
+
+
+def _guarded_chain(c: Column, guard: str, reps: list[tuple[str, str]]) -> Column:
+    return _let(c, lambda x: _guarded(x, guard, reps))
 
 
 def expand_abbreviations(col, abbreviations) -> Column:
@@ -96,12 +99,12 @@ def normalize_synonyms(col, synonyms) -> Column:
 def clean_reason(col, opts: Options) -> Column:
     """null -> "", whitespace, abbreviations, synonyms (letter case kept)."""
     c = clean_whitespace(F.coalesce(_c(col), F.lit("")))
-    c = _let(c, lambda x: expand_abbreviations(x, opts.abbreviations))
-    return normalize_synonyms(c, opts.synonyms)
+    return normalize_synonyms(expand_abbreviations(c, opts.abbreviations), opts.synonyms)
 
 
 def with_clean_text(df: DataFrame, src: str, dst: str, opts: Options) -> DataFrame:
-    """Add (or replace) ``dst`` = cleaned ``src``.
+    """Add (or replace) ``dst`` = cleaned ``src`` (what :func:`clean_reason`
+    computes, laid out for the optimizer).
 
     Each step is its own projection over the previous step's column, so the
     guarded chains (which read their input three times) are evaluated once
@@ -123,13 +126,6 @@ def with_clean_text(df: DataFrame, src: str, dst: str, opts: Options) -> DataFra
     return out.select(*cols, F.explode_outer(F.array(F.col(tmp))).alias(dst))
 
 
-def _guarded(c: Column, guard: str, reps: list[tuple[str, str]]) -> Column:
-    chain = c
-    for pat, rep in reps:
-        chain = F.regexp_replace(chain, pat, rep)
-    return F.when(c.rlike(guard), chain).otherwise(c)
-
-
 def explode_positions(df: DataFrame, array_col: str, pos_col: str, value_col: str) -> DataFrame:
     """One row per array element with its 0-based position; rows with an
     empty array vanish. Uses the outer generator plus a null filter: for the
