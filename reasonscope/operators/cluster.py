@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reasonscope import defaults as D
+from reasonscope.session import literal_table
 
 
 def _arr(col) -> Column:
@@ -86,7 +87,7 @@ def silhouette(df: DataFrame, vec_col: str, label_col: str) -> DataFrame:
              .groupBy("_l").agg(Summarizer.metrics("sum", "count").summary(F.col("_v")).alias("s"),
                                 F.sum("_q").alias("q")).collect())    # one row per cluster
     if len(stats) <= 1:
-        return spark.createDataFrame([(-1.0,)], "silhouette double")
+        return literal_table(spark, [(-1.0,)], "silhouette double")
     labels, spread, means, sizes = [], [], [], []
     for r in stats:
         n = r["s"]["count"]

@@ -20,7 +20,7 @@ from reasonscope.functions.text import (
     explode_positions, explode_values, py_round, repr_quote, rint_round, stem, token_stats, tokenize,
 )
 from reasonscope.options import Options
-from reasonscope.session import bounded_broadcast
+from reasonscope.session import bounded_broadcast, literal_table
 
 
 def _in_list(col, values):
@@ -246,11 +246,11 @@ def context_similarity(tok: DataFrame, counts: DataFrame, opts: Options) -> Data
     schema = "Word1 string, Word2 string, ContextSimilarity double, Freq_Word1 long, Freq_Word2 long, " \
              "AlreadyInSynonyms string, Suggestion string"
     if len(vocab) < 2:
-        return spark.createDataFrame([], schema)
+        return literal_table(spark, [], schema)
     words = [w for w, _, _ in vocab]
     co = cooccurrence(tok, words)
     # the vocabulary table has at most top_words rows
-    vt = spark.createDataFrame([(i, w, n) for i, (w, n, _) in enumerate(vocab)], "idx int, word string, freq long")
+    vt = literal_table(spark, [(i, w, n) for i, (w, n, _) in enumerate(vocab)], "idx int, word string, freq long")
     diag = co.where(F.col("i") == F.col("j")).select(F.col("i").alias("idx"), F.col("n").alias("dfv"))
     a = bounded_broadcast(vt.join(diag, "idx").select(F.col("idx").alias("i"), F.col("word").alias("Word1"),
                                                 F.col("freq").alias("Freq_Word1"), F.col("dfv").alias("df1")),

@@ -7,6 +7,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from reasonscope import oracle as O
+from reasonscope.session import literal_table
 from reasonscope.functions import text as T
 from reasonscope.operators import cluster as C
 from reasonscope.operators import explore as X
@@ -341,7 +342,7 @@ def q_choose_k(spark, sf):
                                  .alias("features")).cache()
     n = emb.count()
     k = C.choose_k(emb, n, "features", 3, 8)
-    return emb.sparkSession.createDataFrame([(k,)], "k long")
+    return literal_table(emb.sparkSession, [(k,)], "k long")
 
 
 # ------------------------------------------------------------------ full hybrid

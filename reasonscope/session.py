@@ -85,3 +85,16 @@ def bounded_broadcast(df: DataFrame, max_rows: int, limit: int = BROADCAST_ROW_L
     unchanged for a shuffle join."""
     from pyspark.sql import functions as F
     return F.broadcast(df) if max_rows <= limit else df
+
+
+def literal_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A small table (a handful of rows made on the driver: settings, a
+    bounded vocabulary) built from literals in the JVM, so no Python worker
+    is started to deserialize it."""
+    from pyspark.sql import functions as F
+    from pyspark.sql.types import _parse_datatype_string
+    st = _parse_datatype_string(schema)
+    if not rows:
+        return spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in st.fields])
+    structs = [F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(r, st.fields)]) for r in rows]
+    return spark.range(1).select(F.inline(F.array(*structs)))

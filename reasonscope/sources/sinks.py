@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reasonscope.options import Options
+from reasonscope.session import literal_table
 
 CATEGORIZE_TABLES = ("detailed_results", "group_summary", "entity_rollup", "run_info")
 EXPLORE_TABLES = ("abbreviations", "word_frequencies", "stem_groups", "collocations", "context_similarity")
@@ -28,7 +29,7 @@ def run_info(spark: SparkSession, opts: Options, engine: str = "spark-mllib") ->
         ("n-gram range", str(tuple(opts.ngram_range))),
         ("Engine", engine),
     ]
-    return spark.createDataFrame(rows, "Setting string, Value string")
+    return literal_table(spark, rows, "Setting string, Value string")
 
 
 def write_tables(tables: dict[str, DataFrame], out_dir: str, fmt: str = "parquet", **options) -> dict[str, str]:
