@@ -55,7 +55,11 @@ def cluster_unmatched(ruled: DataFrame, opts: Options):
         points = points.repartitionByRange(opts.fit_partitions, "row_id").sortWithinPartitions("row_id")
     else:
         target = max(1, math.ceil(n / max(1, opts.fit_rows_per_partition)))
-        if points.rdd.getNumPartitions() > target:
+        try:
+            current = points.rdd.getNumPartitions()
+        except Exception:   # no RDD view of the plan (e.g. a remote session)
+            current = 0
+        if current > target:
             points = points.coalesce(target)
     points = points.persist(StorageLevel.MEMORY_AND_DISK)
     k = min(opts.n_clusters, n)
