@@ -246,6 +246,11 @@ def q_entity_rollup_turn(spark, sf):
     return R.entity_rollup(d, opts)
 
 
+def q_entity_rollup_doc(spark, sf):
+    d, opts = _detail_rules(spark, sf, "doc")
+    return R.entity_rollup(d, opts)
+
+
 def q_detail_report(spark, sf):
     d, _ = _detail_rules(spark, sf, "order")
     return R.detail_report(d)
@@ -279,6 +284,19 @@ def q_tfidf_weights(spark, sf):
     return w.select("row_id", "term", T.rint_round("weight", 6).alias("weight"))
 
 
+def q_tfidf_vectors(spark, sf):
+    """The MLlib vector path (CountVectorizerModel -> idf -> L2 norm) as a
+    long table, checked against the same weights as ``tfidf_weights``."""
+    from pyspark.ml.functions import vector_to_array
+    terms, opts = _unmatched_terms(spark, sf, "turn")
+    vocab = FT.build_vocabulary(terms, opts)
+    vec = FT.tfidf_features(terms, vocab, opts)
+    terms_arr = F.array(*[F.lit(t) for t in vocab.terms])     # <= max_features literals
+    x = vec.select("row_id", F.posexplode(vector_to_array("features")).alias("i", "w")).where(F.col("w") != 0)
+    return x.select("row_id", F.element_at(terms_arr, F.col("i") + 1).alias("term"),
+                    T.rint_round("w", 6).alias("weight"))
+
+
 def q_tfidf_sublinear(spark, sf):
     terms, opts = _unmatched_terms(spark, sf, "turn", tfidf_profile="sublinear")
     w = FT.tfidf_long(terms, opts)
@@ -428,6 +446,7 @@ SELECT row_id, CAST(unnest(generate_series(0, len(l) - 1)) AS BIGINT) AS pos, un
                                + " SELECT * FROM kw")
     sql["entity_rollup"] = O.rollup_sql("order", ro)
     sql["entity_rollup_turn"] = O.rollup_sql("turn", rt)
+    sql["entity_rollup_doc"] = O.rollup_sql("doc", rd)
     sql["detail_report"] = ("WITH " + O.ruled_cte("order", ro) + " SELECT row_id, BorrowerName, EntityId, ActualRating, "
                             "ModelRating, NotchDifference, OverrideFlag, ReasonText, Category FROM cat")
     sql["priority_counts"] = ("WITH " + O.prepared_cte("order", o) + f""",
@@ -438,6 +457,7 @@ SELECT Category, count(*) AS Count FROM pc WHERE Category IS NOT NULL GROUP BY C
     sql["tfidf_vocab"] = O.tfidf_sql("turn", t, "vocab")
     sql["tfidf_weights"] = O.tfidf_sql("turn", t, "weights")
     sql["tfidf_sublinear"] = O.tfidf_sql("turn", t.with_(tfidf_profile="sublinear"), "weights")
+    sql["tfidf_vectors"] = O.tfidf_sql("turn", t, "weights")
     sql["cluster_labels"] = O.tfidf_sql("turn", t.with_(only_override_rows=False), "labels")
     sql["kmeans_assign"] = O.kmeans_sql(FIXED_K, 0, "assign")
     sql["kmeans_lloyd"] = O.kmeans_sql(FIXED_K, LLOYD_STEPS, "assign")
