@@ -77,6 +77,7 @@ def vocabulary_table(terms: DataFrame, opts: Options) -> DataFrame:
     stats = term_statistics(terms)
     key = F.col("count") if opts.tfidf_profile == "sublinear" else F.col("df")
     top = stats.orderBy(key.desc(), F.col("term")).limit(opts.max_features)
+    # a single-partition window is fine here: ``top`` has at most max_features rows
     return top.withColumn("idx", (F.row_number().over(Window.orderBy(key.desc(), F.col("term"))) - 1).cast("int"))
 
 
