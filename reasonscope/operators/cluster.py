@@ -70,7 +70,7 @@ def inertia(df: DataFrame, vec_col: str, centers: list[list[float]]) -> DataFram
     return assign_nearest(df, vec_col, centers).agg(F.sum("dist2").alias("inertia"))
 
 
-def silhouette(df: DataFrame, vec_col: str, label_col: str) -> DataFrame:
+def silhouette(df: DataFrame, vec_col: str, label_col: str, weight_col: str | None = None) -> DataFrame:
     """Mean silhouette with squared Euclidean distances, with the original
     tool's conventions: a point's own-cluster mean includes the point itself,
     a singleton scores a = 0, one cluster only gives -1.
@@ -78,19 +78,21 @@ def silhouette(df: DataFrame, vec_col: str, label_col: str) -> DataFrame:
     Exact in O(n * k): the mean squared distance from x to cluster c is
     |x - mean_c|^2 + (Q_c / n_c - |mean_c|^2), with Q_c the sum of squared
     norms. (Plain Euclidean distances, as in the original, have no such
-    decomposition and would need every pair of points.)
+    decomposition and would need every pair of points.) With ``weight_col``
+    each row stands for that many identical points.
     """
     spark = df.sparkSession
+    w = F.col(weight_col).cast("double") if weight_col else F.lit(1.0)
     v = array_to_vector(_arr(vec_col))
-    stats = (df.select(F.col(label_col).alias("_l"), v.alias("_v"),
-                       F.aggregate(_arr(vec_col), F.lit(0.0), lambda a, x: a + x * x).alias("_q"))
-             .groupBy("_l").agg(Summarizer.metrics("sum", "count").summary(F.col("_v")).alias("s"),
-                                F.sum("_q").alias("q")).collect())    # one row per cluster
+    stats = (df.select(F.col(label_col).alias("_l"), v.alias("_v"), w.alias("_w"),
+                       (w * F.aggregate(_arr(vec_col), F.lit(0.0), lambda a, x: a + x * x)).alias("_q"))
+             .groupBy("_l").agg(Summarizer.metrics("sum").summary(F.col("_v"), F.col("_w")).alias("s"),
+                                F.sum("_w").alias("n"), F.sum("_q").alias("q")).collect())    # one row per cluster
     if len(stats) <= 1:
         return literal_table(spark, [(-1.0,)], "silhouette double")
     labels, spread, means, sizes = [], [], [], []
     for r in stats:
-        n = r["s"]["count"]
+        n = r["n"]
         mu = [float(x) / n for x in r["s"]["sum"].toArray()]
         labels.append(r["_l"])
         means.append(mu)
@@ -99,17 +101,17 @@ def silhouette(df: DataFrame, vec_col: str, label_col: str) -> DataFrame:
     x = _arr(vec_col)
     lab = F.col(label_col)
     per = [sq_distance(x, mu) + F.lit(t) for mu, t in zip(means, spread)]
-    own = F.coalesce(*[F.when(lab == F.lit(l), F.lit(0.0) if n == 1 else d) for l, n, d in zip(labels, sizes, per)])
+    own = F.coalesce(*[F.when(lab == F.lit(l), F.lit(0.0) if n <= 1 else d) for l, n, d in zip(labels, sizes, per)])
     other = F.array_min(F.array(*[F.when(lab != F.lit(l), d) for l, d in zip(labels, per)]))
-    scored = df.select(own.alias("a"), other.alias("b"))
+    scored = df.select(own.alias("a"), other.alias("b"), w.alias("w"))
     denom = F.greatest("a", "b")
     s = F.when(denom > 0, (F.col("b") - F.col("a")) / denom).otherwise(F.lit(0.0))
-    return scored.agg(F.avg(s).alias("silhouette"))
+    return scored.agg((F.sum(s * F.col("w")) / F.sum("w")).alias("silhouette"))
 
 
 def fit_kmeans(points: DataFrame, k: int, features_col: str = "features", n_init: int = D.KMEANS_N_INIT,
                seed: int = D.KMEANS_SEED, max_iter: int = D.KMEANS_MAX_ITER, tol: float = D.KMEANS_TOL,
-               parallel: int | None = None):
+               parallel: int | None = None, weight_col: str | None = None):
     """K-Means (MLlib, k-means|| seeding) with ``n_init`` restarts (seeds
     seed, seed+1, ...); the fit with the lowest training cost wins, ties to
     the earlier seed. Restarts are independent jobs and run ``parallel`` at a
@@ -118,8 +120,11 @@ def fit_kmeans(points: DataFrame, k: int, features_col: str = "features", n_init
     from concurrent.futures import ThreadPoolExecutor
 
     def one(i):
-        model = KMeans(k=k, seed=seed + i, maxIter=max_iter, tol=tol, featuresCol=features_col,
-                       predictionCol="_cluster").fit(points)
+        km = KMeans(k=k, seed=seed + i, maxIter=max_iter, tol=tol, featuresCol=features_col,
+                    predictionCol="_cluster")
+        if weight_col:
+            km = km.setWeightCol(weight_col)
+        model = km.fit(points)
         return model.summary.trainingCost, i, model
 
     runs = max(1, n_init)
@@ -132,16 +137,18 @@ def fit_kmeans(points: DataFrame, k: int, features_col: str = "features", n_init
     return min(fits, key=lambda t: (t[0], t[1]))[2]
 
 
-def choose_k(points: DataFrame, n_points: int, features_col: str, min_k: int, max_k: int, **fit_kw) -> int:
+def choose_k(points: DataFrame, n_points: int, features_col: str, min_k: int, max_k: int,
+             weight_col: str | None = None, **fit_kw) -> int:
     """k in min_k..max_k (below n) with the best silhouette; strictly better
     scores win, so ties keep the smaller k."""
     best_k, best_score = min_k, -1.0
     for k in range(min_k, max_k + 1):
         if k >= n_points:
             break
-        model = fit_kmeans(points, k, features_col, **fit_kw)
-        labeled = model.transform(points).select(vector_to_array(features_col).alias("_x"), "_cluster")
-        score = silhouette(labeled, "_x", "_cluster").first()["silhouette"]
+        model = fit_kmeans(points, k, features_col, weight_col=weight_col, **fit_kw)
+        cols = [vector_to_array(features_col).alias("_x"), "_cluster"] + ([weight_col] if weight_col else [])
+        labeled = model.transform(points).select(*cols)
+        score = silhouette(labeled, "_x", "_cluster", weight_col).first()["silhouette"]
         if score is not None and score > best_score:
             best_k, best_score = k, score
     return best_k

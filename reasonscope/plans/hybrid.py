@@ -49,28 +49,35 @@ def cluster_unmatched(ruled: DataFrame, opts: Options):
         name = D.AUTO_GROUP_FORMAT.format(n=1, label=D.MISC_LABEL)
         out = matched.unionByName(unmatched.withColumn("Category", F.lit(name)))
         return out, CategorizeModel(vocab, None, {0: name}, {0: n}, 1)
-    points = tfidf_features(termed, vocab, opts)
+    # Identical texts give identical vectors: fit on the distinct term lists
+    # weighted by how often they occur (Lloyd steps on weighted points equal
+    # those on the repeated rows); a hot text is combined map-side.
+    distinct = termed.groupBy("terms").agg(F.count(F.lit(1)).cast("double").alias("_weight"))
+    points = tfidf_features(distinct, vocab, opts)
+    n_distinct = None
     if opts.fit_partitions:
         # a fixed layout makes the fit independent of how the input was split
-        points = points.repartitionByRange(opts.fit_partitions, "row_id").sortWithinPartitions("row_id")
-    else:
-        target = max(1, math.ceil(n / max(1, opts.fit_rows_per_partition)))
+        points = points.repartitionByRange(opts.fit_partitions, "terms").sortWithinPartitions("terms")
+    points = points.persist(StorageLevel.MEMORY_AND_DISK)
+    if not opts.fit_partitions:
+        n_distinct = points.count()
+        target = max(1, math.ceil(n_distinct / max(1, opts.fit_rows_per_partition)))
         try:
             current = points.rdd.getNumPartitions()
         except Exception:   # no RDD view of the plan (e.g. a remote session)
             current = 0
         if current > target:
             points = points.coalesce(target)
-    points = points.persist(StorageLevel.MEMORY_AND_DISK)
     k = min(opts.n_clusters, n)
     fit_kw = dict(n_init=opts.kmeans_n_init, seed=opts.kmeans_seed, max_iter=opts.kmeans_max_iter,
-                  tol=opts.kmeans_tol)
+                  tol=opts.kmeans_tol, weight_col="_weight")
     if opts.auto_select_k and n >= 2 * opts.min_k:
         k = choose_k(points, n, "features", opts.min_k, opts.n_clusters, **fit_kw)
     model = fit_kmeans(points, k, "features", **fit_kw)
     centers = [list(map(float, c)) for c in model.clusterCenters()]
     labels = {i: label_for_center(c, vocab.terms, opts.top_keywords_per_cluster) for i, c in enumerate(centers)}
-    pred = model.transform(points)
+    # every row is assigned row-locally (no join back to the distinct texts)
+    pred = model.transform(tfidf_features(termed, vocab, opts))
     sizes = {int(r["_cluster"]): int(r["count"]) for r in pred.groupBy("_cluster").count().collect()}
     # group numbers: larger groups first, then label text (MLlib indices are arbitrary)
     order = sorted(labels, key=lambda i: (-sizes.get(i, 0), labels[i]))

@@ -115,3 +115,15 @@ def test_termless_rows_form_one_group(spark):
     rows = [(1, "n", "e", "0", "Y", "the of and"), (2, "n", "e", "0", "Y", "12 34 56")]
     d, model = categorize(comments(spark, rows), Options())
     assert {r["Category"] for r in d.collect()} == {"Auto Group 1: miscellaneous"}
+
+
+def test_weighted_silhouette_equals_repeated_rows(spark):
+    rng = np.random.default_rng(11)
+    X = rng.normal(size=(12, 3))
+    lab = np.array([0, 0, 0, 1, 1, 1, 2, 2, 2, 3, 0, 1])
+    w = rng.integers(1, 4, size=12)
+    weighted = spark.createDataFrame([(i, [float(v) for v in X[i]], int(lab[i]), float(w[i])) for i in range(12)],
+                                     "id long, v array<double>, label int, w double")
+    got = C.silhouette(weighted, "v", "label", "w").first()[0]
+    rep = np.repeat(np.arange(12), w)
+    assert got == pytest.approx(brute_silhouette_sq(X[rep], lab[rep]), abs=1e-9)
