@@ -13,6 +13,7 @@ from reasonscope import defaults as D
 from reasonscope.operators.cluster import choose_k, fit_kmeans, label_for_center
 from reasonscope.operators.features import Vocabulary, build_vocabulary, tfidf_features, with_terms
 from reasonscope.options import Options
+from reasonscope.session import materialize
 
 
 @dataclass
@@ -76,12 +77,20 @@ def cluster_unmatched(ruled: DataFrame, opts: Options):
     model = fit_kmeans(points, k, "features", **fit_kw)
     centers = [list(map(float, c)) for c in model.clusterCenters()]
     labels = {i: label_for_center(c, vocab.terms, opts.top_keywords_per_cluster) for i, c in enumerate(centers)}
-    # every row is assigned row-locally (no join back to the distinct texts)
-    pred = model.transform(tfidf_features(termed, vocab, opts))
-    sizes = {int(r["_cluster"]): int(r["count"]) for r in pred.groupBy("_cluster").count().collect()}
+    # every row is assigned row-locally (no join back to the distinct texts);
+    # the union of matched and clustered rows is kept once for all reports,
+    # and the group sizes that name the clusters are read from it
+    pred = model.transform(tfidf_features(termed, vocab, opts)).select(*cols, "_cluster")
+    both = matched.withColumn("_cluster", F.lit(None).cast("int")).unionByName(pred)
+    both = materialize(both, opts.materialize)
+    sizes = {int(r["_cluster"]): int(r["count"])
+             for r in both.where(F.col("_cluster").isNotNull()).groupBy("_cluster").count().collect()}
+    points.unpersist()
+    if opts.materialize != "none":
+        ruled.unpersist()
     # group numbers: larger groups first, then label text (MLlib indices are arbitrary)
     order = sorted(labels, key=lambda i: (-sizes.get(i, 0), labels[i]))
     names = {i: D.AUTO_GROUP_FORMAT.format(n=r + 1, label=labels[i]) for r, i in enumerate(order)}
-    clustered = pred.withColumn("Category", F.element_at(_name_map(names), F.col("_cluster"))).select(*cols)
-    out = matched.unionByName(clustered)
+    out = both.withColumn("Category", F.coalesce(F.col("Category"),
+                                                 F.element_at(_name_map(names), F.col("_cluster")))).drop("_cluster")
     return out, CategorizeModel(vocab, model, names, sizes, len(centers))
