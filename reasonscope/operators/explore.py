@@ -214,7 +214,7 @@ def _cooccurrence_partials(vocab: list[str]):
             m = np.zeros((len(lists), v), dtype=np.int64)
             m[rows, cols] = 1
             acc += m.T @ m
-        i, j = np.triu_indices(v)
+        i, j = np.triu_indices(v, k=1)
         n = acc[i, j]
         keep = n > 0
         yield pd.DataFrame({"i": i[keep].astype(np.int32), "j": j[keep].astype(np.int32), "n": n[keep]})
@@ -222,11 +222,11 @@ def _cooccurrence_partials(vocab: list[str]):
 
 
 def cooccurrence(tok: DataFrame, vocab: list[str]) -> DataFrame:
-    """Rows holding both words, for every pair i <= j of the vocabulary
-    (i == j gives the word's own row count). ``array_intersect`` (hash
+    """Rows holding both words, for every pair i < j of the vocabulary.
+    ``array_intersect`` (hash
     based) keeps each row's distinct vocabulary words; each partition then
     multiplies its binary row x word block with numpy and emits at most
-    V(V+1)/2 partial counts, which Spark sums per pair."""
+    V(V-1)/2 partial counts, which Spark sums per pair."""
     arr = F.array(*[F.lit(w) for w in vocab])
     words = tok.select(F.array_intersect("tokens", arr).alias("vw"))
     parts = words.mapInPandas(_cooccurrence_partials(vocab), "i int, j int, n long")
@@ -249,16 +249,14 @@ def context_similarity(tok: DataFrame, counts: DataFrame, opts: Options) -> Data
         return literal_table(spark, [], schema)
     words = [w for w, _, _ in vocab]
     co = cooccurrence(tok, words)
-    # the vocabulary table has at most top_words rows
-    vt = literal_table(spark, [(i, w, n) for i, (w, n, _) in enumerate(vocab)], "idx int, word string, freq long")
-    diag = co.where(F.col("i") == F.col("j")).select(F.col("i").alias("idx"), F.col("n").alias("dfv"))
-    a = bounded_broadcast(vt.join(diag, "idx").select(F.col("idx").alias("i"), F.col("word").alias("Word1"),
-                                                F.col("freq").alias("Freq_Word1"), F.col("dfv").alias("df1")),
-                          len(vocab))
-    b = bounded_broadcast(vt.join(diag, "idx").select(F.col("idx").alias("j"), F.col("word").alias("Word2"),
-                                                F.col("freq").alias("Freq_Word2"), F.col("dfv").alias("df2")),
-                          len(vocab))
-    pairs = co.where(F.col("i") < F.col("j")).join(a, "i").join(b, "j")
+    # the vocabulary (<= top_words rows, with each word's row count) as literals
+    vt = literal_table(spark, [(i, w, n, d) for i, (w, n, d) in enumerate(vocab)],
+                       "idx int, word string, freq long, dfv long")
+    a = bounded_broadcast(vt.select(F.col("idx").alias("i"), F.col("word").alias("Word1"),
+                                    F.col("freq").alias("Freq_Word1"), F.col("dfv").alias("df1")), len(vocab))
+    b = bounded_broadcast(vt.select(F.col("idx").alias("j"), F.col("word").alias("Word2"),
+                                    F.col("freq").alias("Freq_Word2"), F.col("dfv").alias("df2")), len(vocab))
+    pairs = co.join(a, "i").join(b, "j")
     score = F.col("n") / (F.sqrt(F.col("df1").cast("double")) * F.sqrt(F.col("df2").cast("double")))
     phrases = opts.synonym_phrases
     already = _in_list("Word1", phrases) | _in_list("Word2", phrases)
