@@ -62,27 +62,30 @@ class Vocabulary:
         return [math.log((self.n_docs + 1) / (d + 1)) + 1.0 for d in self.df]
 
 
-def term_statistics(terms: DataFrame) -> DataFrame:
-    """Per term: document frequency and total count (one shuffle by term)."""
-    occ = (terms.select(F.explode_outer("terms").alias("term")).where(F.col("term").isNotNull())
-           .select("term", F.lit(1).alias("_o"), F.lit(0).alias("_d")))
-    docs = terms.select(F.explode_outer(F.array_distinct("terms")).alias("term")).where(F.col("term").isNotNull()).select(
-        "term", F.lit(0).alias("_o"), F.lit(1).alias("_d"))
+def term_statistics(terms: DataFrame, weight_col: str | None = None) -> DataFrame:
+    """Per term: document frequency and total count (one shuffle by term).
+    With ``weight_col`` each row stands for that many identical rows."""
+    w = F.col(weight_col).cast("long") if weight_col else F.lit(1).cast("long")
+    occ = (terms.select(F.explode_outer("terms").alias("term"), w.alias("_w")).where(F.col("term").isNotNull())
+           .select("term", F.col("_w").alias("_o"), F.lit(0).cast("long").alias("_d")))
+    docs = (terms.select(F.explode_outer(F.array_distinct("terms")).alias("term"), w.alias("_w"))
+            .where(F.col("term").isNotNull()).select("term", F.lit(0).cast("long").alias("_o"), F.col("_w").alias("_d")))
     return occ.unionByName(docs).groupBy("term").agg(F.sum("_o").cast("long").alias("count"),
                                                       F.sum("_d").cast("long").alias("df"))
 
 
-def vocabulary_table(terms: DataFrame, opts: Options) -> DataFrame:
+def vocabulary_table(terms: DataFrame, opts: Options, weight_col: str | None = None) -> DataFrame:
     """Top ``max_features`` terms with their df and 0-based index."""
-    stats = term_statistics(terms)
+    stats = term_statistics(terms, weight_col)
     key = F.col("count") if opts.tfidf_profile == "sublinear" else F.col("df")
     top = stats.orderBy(key.desc(), F.col("term")).limit(opts.max_features)
     # a single-partition window is fine here: ``top`` has at most max_features rows
     return top.withColumn("idx", (F.row_number().over(Window.orderBy(key.desc(), F.col("term"))) - 1).cast("int"))
 
 
-def build_vocabulary(terms: DataFrame, opts: Options, n_docs: int | None = None) -> Vocabulary:
-    rows = vocabulary_table(terms, opts).orderBy("idx").collect()    # <= max_features rows
+def build_vocabulary(terms: DataFrame, opts: Options, n_docs: int | None = None,
+                     weight_col: str | None = None) -> Vocabulary:
+    rows = vocabulary_table(terms, opts, weight_col).orderBy("idx").collect()    # <= max_features rows
     n_docs = terms.count() if n_docs is None else n_docs
     return Vocabulary([r["term"] for r in rows], [int(r["df"]) for r in rows], n_docs)
 

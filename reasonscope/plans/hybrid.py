@@ -44,24 +44,27 @@ def cluster_unmatched(ruled: DataFrame, opts: Options):
     n = termed.count()
     if n == 0:
         return ruled, None
-    vocab = build_vocabulary(termed.select("row_id", "terms"), opts, n_docs=n)
+    # Identical texts give identical term lists and vectors: the distinct
+    # lists with their counts (a hot text is combined map-side) feed both the
+    # vocabulary (df and counts as weighted sums, exact) and the fit (Lloyd
+    # steps on weighted points equal those on the repeated rows).
+    distinct = termed.groupBy("terms").agg(F.count(F.lit(1)).cast("double").alias("_weight"))
+    distinct = distinct.persist(StorageLevel.MEMORY_AND_DISK)
+    vocab = build_vocabulary(distinct, opts, n_docs=n, weight_col="_weight")
     if not vocab.terms:
         # every remaining row is a zero vector: a single group
+        distinct.unpersist()
         name = D.AUTO_GROUP_FORMAT.format(n=1, label=D.MISC_LABEL)
         out = matched.unionByName(unmatched.withColumn("Category", F.lit(name)))
         return out, CategorizeModel(vocab, None, {0: name}, {0: n}, 1)
-    # Identical texts give identical vectors: fit on the distinct term lists
-    # weighted by how often they occur (Lloyd steps on weighted points equal
-    # those on the repeated rows); a hot text is combined map-side.
-    distinct = termed.groupBy("terms").agg(F.count(F.lit(1)).cast("double").alias("_weight"))
     points = tfidf_features(distinct, vocab, opts)
-    n_distinct = None
     if opts.fit_partitions:
         # a fixed layout makes the fit independent of how the input was split
         points = points.repartitionByRange(opts.fit_partitions, "terms").sortWithinPartitions("terms")
     points = points.persist(StorageLevel.MEMORY_AND_DISK)
+    n_distinct = points.count()
+    distinct.unpersist()
     if not opts.fit_partitions:
-        n_distinct = points.count()
         target = max(1, math.ceil(n_distinct / max(1, opts.fit_rows_per_partition)))
         try:
             current = points.rdd.getNumPartitions()
