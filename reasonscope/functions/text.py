@@ -142,7 +142,7 @@ def explode_values(df: DataFrame, array_col: str, value_col: str) -> DataFrame:
 
 
 def token_stats(df: DataFrame, keys: list[str], tokens_col: str, row_col: str = "row_id",
-                stopwords=None, min_length: int | None = None) -> DataFrame:
+                stopwords=None, min_length: int | None = None, weight_col: str | None = None) -> DataFrame:
     """Per (keys, token): occurrences ``n``, rows holding it ``df`` and the
     first appearance as (``first_row``, ``first_rank``).
 
@@ -154,19 +154,22 @@ def token_stats(df: DataFrame, keys: list[str], tokens_col: str, row_col: str =
     One generator emits the occurrences (rank -1) and the distinct entries;
     stopwords and short tokens are dropped after it with code-generated
     predicates; one hash aggregation with map-side partial results follows.
+    With ``weight_col`` a row stands for that many rows holding the same
+    tokens (``row_col`` then being the first of them).
     """
     t = F.col(tokens_col)
     d = F.array_distinct(t)
+    wt = (F.col(weight_col) if weight_col else F.lit(1)).cast("long")
     parts = df.select(
-        *keys, F.col(row_col).alias("_row"),
+        *keys, F.col(row_col).alias("_row"), wt.alias("_wt"),
         t.alias("token"), F.array_repeat(F.lit(-1), F.size(t)).alias("rank"),
         d.alias("_dt"),
         F.when(F.size(d) > 0, F.sequence(F.lit(0), F.size(d) - 1)).otherwise(F.array().cast("array<int>"))
          .alias("_dr"))
-    both = parts.select(*keys, "_row", F.concat(F.arrays_zip("token", "rank"),
+    both = parts.select(*keys, "_row", "_wt", F.concat(F.arrays_zip("token", "rank"),
                                                F.arrays_zip(F.col("_dt").alias("token"),
                                                             F.col("_dr").alias("rank"))).alias("_e"))
-    ex = explode_values(both, "_e", "_x").select(*keys, "_row", F.col("_x.token").alias("token"),
+    ex = explode_values(both, "_e", "_x").select(*keys, "_row", "_wt", F.col("_x.token").alias("token"),
                                                  F.col("_x.rank").alias("rank"))
     if stopwords:
         ex = ex.where(~F.col("token").isin(list(stopwords)))
@@ -174,8 +177,8 @@ def token_stats(df: DataFrame, keys: list[str], tokens_col: str, row_col: str =
         ex = ex.where(F.length("token") >= min_length)
     first = F.col("rank") >= 0
     return ex.groupBy(*keys, "token").agg(
-        F.sum(F.when(first, 0).otherwise(1)).cast("long").alias("n"),
-        F.sum(F.when(first, 1).otherwise(0)).cast("long").alias("df"),
+        F.sum(F.when(first, 0).otherwise(F.col("_wt"))).cast("long").alias("n"),
+        F.sum(F.when(first, F.col("_wt")).otherwise(0)).cast("long").alias("df"),
         F.min(F.when(first, F.col("_row"))).alias("first_row"),
         F.min_by(F.col("rank"), F.when(first, F.col("_row"))).alias("first_rank"))
 

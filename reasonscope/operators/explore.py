@@ -29,27 +29,38 @@ def _in_list(col, values):
 
 
 def reason_tokens(reasons: DataFrame, opts: Options, text_col: str = "reason") -> DataFrame:
-    """(row_id, tokens): filtered lower-case tokens in text order."""
-    return reasons.select("row_id", tokenize(text_col, opts.stopwords).alias("tokens"))
+    """(row_id, weight, tokens) per *distinct* text: row_id is the first row
+    holding the text, weight the number of rows holding it. Repeated texts
+    (templates, copies) are tokenized once; a hot text is combined map-side.
+    Every table below weighs rows by ``weight``, so the results equal those
+    over all rows."""
+    distinct = reasons.groupBy(text_col).agg(F.min("row_id").alias("row_id"),
+                                             F.count(F.lit(1)).alias("weight"))
+    return distinct.select("row_id", "weight", tokenize(text_col, opts.stopwords).alias("tokens"))
+
+
+def _weight(tok: DataFrame):
+    return F.col("weight") if "weight" in tok.columns else F.lit(1).cast("long")
 
 
 def word_counts(tok: DataFrame) -> DataFrame:
     """Per token: total occurrences ``n``, rows holding it ``df`` and first
     appearance ``first`` = (row_id, rank of first appearance inside that
     row), which orders tokens exactly like their first positions do."""
-    st = token_stats(tok, [], "tokens")
+    st = token_stats(tok, [], "tokens", weight_col="weight" if "weight" in tok.columns else None)
     return st.select("token", "n", "df", F.struct(F.col("first_row").alias("row_id"),
                                                   F.col("first_rank").alias("pos")).alias("first"))
 
 
 def unigram_counts(tok: DataFrame) -> DataFrame:
-    return (explode_values(tok, "tokens", "token")
-            .groupBy("token").agg(F.count(F.lit(1)).alias("Count")))
+    return (explode_values(tok.select(_weight(tok).alias("w"), "tokens"), "tokens", "token")
+            .groupBy("token").agg(F.sum("w").cast("long").alias("Count")))
 
 
 def document_frequency(tok: DataFrame) -> DataFrame:
-    return (explode_values(tok.select(F.array_distinct("tokens").alias("tokens")), "tokens", "token")
-            .groupBy("token").agg(F.count(F.lit(1)).alias("DocFreq")))
+    return (explode_values(tok.select(_weight(tok).alias("w"), F.array_distinct("tokens").alias("tokens")),
+                           "tokens", "token")
+            .groupBy("token").agg(F.sum("w").cast("long").alias("DocFreq")))
 
 
 def _adjacent_pairs(tokens_col: str = "tokens"):
@@ -62,8 +73,8 @@ def _adjacent_pairs(tokens_col: str = "tokens"):
 
 def bigram_counts(tok: DataFrame) -> DataFrame:
     """Adjacent token pairs within a row (after stopword removal)."""
-    return (explode_values(tok.select(_adjacent_pairs().alias("p")), "p", "b")
-            .select("b.w1", "b.w2").groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("Count")))
+    return (explode_values(tok.select(_weight(tok).alias("w"), _adjacent_pairs().alias("p")), "p", "b")
+            .select("w", "b.w1", "b.w2").groupBy("w1", "w2").agg(F.sum("w").cast("long").alias("Count")))
 
 
 WORD_FREQUENCY_COLUMNS = ("Word", "TotalOccurrences", "InNReasons", "PctOfReasons",
@@ -76,7 +87,8 @@ def word_frequency(counts: DataFrame, reasons: DataFrame, opts: Options) -> Data
     per word; the stopword and length filters drop whole words, so for every
     word that survives them the count equals the one over unfiltered token
     sets. ``reasons`` may be the texts or their token rows (same rows)."""
-    total = reasons.select(F.count(F.lit(1)).cast("double")).scalar()
+    w = _weight(reasons) if "tokens" in reasons.columns else F.lit(1)
+    total = reasons.select(F.sum(w).cast("double")).scalar()
     top = counts.orderBy(F.col("n").desc(), F.col("first")).limit(opts.word_frequency_rows)
     share = F.col("df") / total
     in_stop = _in_list("token", opts.stopwords)
@@ -166,7 +178,7 @@ def collocations(tok: DataFrame, counts: DataFrame, opts: Options) -> DataFrame:
     """Bigrams seen at least ``min_count`` times, scored by
     PMI = ln(p12 / (p1 p2 + 1e-12)), all probabilities over total tokens."""
     # scalar subquery: evaluated once, no driver round trip
-    total = tok.select(F.sum(F.size("tokens")).cast("double")).scalar()
+    total = tok.select(F.sum(F.size("tokens") * _weight(tok)).cast("double")).scalar()
     big = bigram_counts(tok).where(F.col("Count") >= opts.collocation_min_count)
     u1 = counts.select(F.col("token").alias("w1"), F.col("n").alias("n1"))
     u2 = counts.select(F.col("token").alias("w2"), F.col("n").alias("n2"))
@@ -213,7 +225,8 @@ def _cooccurrence_partials(vocab: list[str]):
             cols = np.fromiter((index[w] for x in lists for w in x), dtype=np.int64, count=int(lens.sum()))
             m = np.zeros((len(lists), v), dtype=np.int64)
             m[rows, cols] = 1
-            acc += m.T @ m
+            weights = pdf["w"].to_numpy(dtype=np.int64)
+            acc += (m * weights[:, None]).T @ m
         i, j = np.triu_indices(v, k=1)
         n = acc[i, j]
         keep = n > 0
@@ -228,7 +241,7 @@ def cooccurrence(tok: DataFrame, vocab: list[str]) -> DataFrame:
     multiplies its binary row x word block with numpy and emits at most
     V(V-1)/2 partial counts, which Spark sums per pair."""
     arr = F.array(*[F.lit(w) for w in vocab])
-    words = tok.select(F.array_intersect("tokens", arr).alias("vw"))
+    words = tok.select(F.array_intersect("tokens", arr).alias("vw"), _weight(tok).cast("long").alias("w"))
     parts = words.mapInPandas(_cooccurrence_partials(vocab), "i int, j int, n long")
     return parts.groupBy("i", "j").agg(F.sum("n").alias("n"))
 

@@ -31,7 +31,7 @@ def run_explore(df: DataFrame, opts: Options, persist: bool = True) -> dict[str,
         stems, colloc, context = (t.persist(StorageLevel.MEMORY_AND_DISK) for t in (stems, colloc, context))
     return {
         "abbreviations": X.abbreviation_report(reasons, opts),
-        # row total from the kept token rows (one row per text) instead of a rescan
+        # row total from the kept token rows (weights sum to the rows) instead of a rescan
         "word_frequencies": X.word_frequency(counts, tok, opts),
         "stem_groups": stems,
         "collocations": colloc,

@@ -80,3 +80,16 @@ def test_run_explore_tables(spark):
     out = run_explore(r, OPTS)
     assert set(out) >= {"abbreviations", "word_frequencies", "stem_groups", "collocations", "context_similarity"}
     assert out["abbreviations"].first()["Abbreviation"] == "LOC"
+
+
+def test_repeated_texts_count_per_row(spark):
+    # distinct texts are tokenized once but weighted by their rows
+    r = reasons(spark, ["cash flow weak", "cash flow weak", "cash flow weak", "weak demand"])
+    tok = X.reason_tokens(r, OPTS)
+    assert tok.count() == 2
+    counts = {x["token"]: (x["n"], x["df"]) for x in X.word_counts(tok).collect()}
+    assert counts["cash"] == (3, 3) and counts["weak"] == (4, 4) and counts["demand"] == (1, 1)
+    bigrams = {(x["w1"], x["w2"]): x["Count"] for x in X.bigram_counts(tok).collect()}
+    assert bigrams[("cash", "flow")] == 3 and bigrams[("flow", "weak")] == 3
+    wf = {x["Word"]: x["PctOfReasons"] for x in X.word_frequency(X.word_counts(tok), tok, OPTS).collect()}
+    assert wf["weak"] == 100.0 and wf["demand"] == 25.0
