@@ -23,8 +23,6 @@ _S = space_class()
 _SPACE_CHARS = "".join(chr(c) for c in range(sys.maxunicode + 1) if chr(c).isspace())
 # whitespace runs that are not already one plain space
 _RUN = f"{_S}{{2,}}|[{space_class_body()}&&[^ ]]"
-# ASCII whitespace accepted around numbers by the numeric coercion
-_NUM_WS = r"[ \t\n\x0b\x0c\r]*"
 _NUMBER = (r"^[+-]?(?:(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?"
            r"|(?i:inf|infinity|nan))$")
 
@@ -236,7 +234,7 @@ def stem(col) -> Column:
 def coerce_notch(col) -> Column:
     """Numeric coercion with failures -> null (plain decimal / exponent form,
     inf, nan; NaN itself becomes null because it counts as missing)."""
-    s = F.regexp_replace(F.col(col) if isinstance(col, str) else col, f"^{_NUM_WS}|{_NUM_WS}$", "")
+    s = F.btrim(F.col(col) if isinstance(col, str) else col, F.lit(" \t\n\x0b\x0c\r"))
     v = F.when(s.rlike(_NUMBER), s.try_cast("double"))
     return F.when(F.isnan(v), F.lit(None).cast("double")).otherwise(v)
 
