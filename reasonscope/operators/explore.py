@@ -119,11 +119,25 @@ def abbreviation_matches(reasons: DataFrame, text_col: str = "reason") -> DataFr
     return explode_positions(m, "_m", "pos", "abbr")
 
 
+def _first_rows_per_text(reasons: DataFrame, text_col: str, k: int) -> DataFrame:
+    """(row_id, text) for the first ``k`` rows of every distinct text. Once
+    a text's first k rows hold a match, every later row of that text comes
+    after k earlier example slots, so these rows decide the examples. The
+    limit runs as a partial WindowGroupLimit, so a hot text stays bounded."""
+    w = Window.partitionBy(text_col).orderBy("row_id")
+    return (reasons.select("row_id", text_col).withColumn("_r", F.row_number().over(w))
+            .where(F.col("_r") <= k).drop("_r"))
+
+
 def abbreviation_report(reasons: DataFrame, opts: Options, text_col: str = "reason") -> DataFrame:
     """Abbreviation candidates with up to 3 example texts (one per match,
-    first matches first), whether they are defined and their meaning."""
-    m = abbreviation_matches(reasons, text_col)
+    first matches first), whether they are defined and their meaning.
+    Each distinct text is scanned once (with its first k rows)."""
     k = opts.abbreviation_examples
+    firsts = _first_rows_per_text(reasons, text_col, k)
+    distinct = firsts.groupBy(text_col).agg(F.collect_list("row_id").alias("_rows"))   # <= k ids
+    scanned = abbreviation_matches(distinct.select(F.col("_rows").alias("row_id"), text_col), text_col)
+    m = scanned.select(F.explode("row_id").alias("row_id"), "text", "pos", "abbr")
     w = Window.partitionBy("abbr").orderBy("row_id", "pos")
     ranked = m.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k)
     ex = [F.max(F.when(F.col("rn") == i, F.col("text"))).alias(f"Example{i}") for i in range(1, 4)]

@@ -203,6 +203,11 @@ def q_word_frequency_order(spark, sf):
     return X.word_frequency(counts, reasons, opts)
 
 
+def q_abbreviation_report_order(spark, sf):
+    reasons, _, _, opts = _reasons_tok(spark, sf, "order")
+    return X.abbreviation_report(reasons, opts)
+
+
 def q_collocations_turn(spark, sf):
     _, tok, counts, opts = _reasons_tok(spark, sf, "turn")
     return X.collocations(tok, counts, opts)
@@ -433,6 +438,7 @@ SELECT row_id, CAST(unnest(generate_series(0, len(l) - 1)) AS BIGINT) AS pos, un
     sql["top_context_pairs"] = O.context_sql("doc", d, view_top=20)
     sql["word_frequency_order"] = O.word_frequency_sql("order", o)
     sql["collocations_turn"] = O.collocations_sql("turn", t)
+    sql["abbreviation_report_order"] = O.abbreviation_sql("order", o)
     sql["group_summary"] = "WITH " + O.ruled_cte("order", ro) + O.summary_select(ro)
     sql["group_summary_doc"] = "WITH " + O.ruled_cte("doc", rd) + O.summary_select(rd)
     sql["summary_entity_ids"] = ("WITH " + O.ruled_cte("turn", rt) + ",\n"
