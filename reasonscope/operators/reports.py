@@ -22,6 +22,17 @@ from reasonscope.options import Options
 from reasonscope.session import bounded_broadcast
 
 
+def first_n_from(firsts: DataFrame, keys: list[str], value_col: str, n: int, sep: str,
+                 out_col: str, first_col: str = "_first") -> DataFrame:
+    """Per key group, the first ``n`` values of a (keys, value, first) table in
+    first-seen order, joined by ``sep``."""
+    w = Window.partitionBy(*keys).orderBy(F.col(first_col), F.col(value_col))
+    ranked = firsts.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n)
+    return (ranked.groupBy(*keys)
+            .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_rn", value_col))),
+                                          lambda x: x[value_col]), sep).alias(out_col)))
+
+
 def first_n_distinct(df: DataFrame, keys: list[str], value_col: str, n: int, sep: str,
                      out_col: str, order_col: str = "row_id") -> tuple[DataFrame, DataFrame]:
     """Per key group: the first ``n`` distinct non-null values in first-seen
@@ -29,21 +40,24 @@ def first_n_distinct(df: DataFrame, keys: list[str], value_col: str, n: int, sep
     first) for distinct counts."""
     firsts = (df.where(F.col(value_col).isNotNull())
               .groupBy(*keys, value_col).agg(F.min(order_col).alias("_first")))
-    w = Window.partitionBy(*keys).orderBy(F.col("_first"), F.col(value_col))
-    ranked = firsts.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n)
-    joined = (ranked.groupBy(*keys)
-              .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_rn", value_col))),
-                                            lambda x: x[value_col]), sep).alias(out_col)))
-    return joined, firsts
+    return first_n_from(firsts, keys, value_col, n, sep, out_col), firsts
 
 
-def top_tokens(detail: DataFrame, keys: list[str], n: int, out_col: str, opts: Options,
-               text_col: str = "ReasonText") -> DataFrame:
+def distinct_texts(detail: DataFrame, keys: list[str], text_col: str = "ReasonText") -> DataFrame:
+    """(keys, text, first row, rows) per distinct text of a group; a hot text
+    is combined map-side. Samples and keywords both read it."""
+    return (detail.where(F.col(text_col).isNotNull()).groupBy(*keys, text_col)
+            .agg(F.min("row_id").alias("_first"), F.count(F.lit(1)).alias("_w")))
+
+
+def top_tokens_from_texts(texts: DataFrame, keys: list[str], n: int, out_col: str, opts: Options,
+                          text_col: str = "ReasonText") -> DataFrame:
     """Per key group: the ``n`` most frequent tokens, ties by first
-    appearance, joined by ', '."""
-    toks = detail.select(*keys, "row_id", raw_tokens(text_col).alias("_t"))
-    counts = token_stats(toks, keys, "_t", stopwords=opts.stopwords,
-                         min_length=D.TOKEN_MIN_LENGTH).withColumnRenamed("n", "_n")
+    appearance, joined by ', ', from distinct texts weighted by their rows
+    (a token first appears in the earliest first row of a text holding it)."""
+    toks = texts.select(*keys, F.col("_first").alias("row_id"), "_w", raw_tokens(text_col).alias("_t"))
+    counts = token_stats(toks, keys, "_t", stopwords=opts.stopwords, min_length=D.TOKEN_MIN_LENGTH,
+                         weight_col="_w").withColumnRenamed("n", "_n")
     w = Window.partitionBy(*keys).orderBy(F.col("_n").desc(), F.col("first_row"), F.col("first_rank"))
     ranked = counts.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n)
     return (ranked.groupBy(*keys)
@@ -51,6 +65,13 @@ def top_tokens(detail: DataFrame, keys: list[str], n: int, out_col: str, opts: O
                                           lambda x: x["token"]), D.KEYWORD_SEPARATOR).alias(out_col)))
 
 
+def top_tokens(detail: DataFrame, keys: list[str], n: int, out_col: str, opts: Options,
+               text_col: str = "ReasonText") -> DataFrame:
+    """Per key group: the ``n`` most frequent tokens, ties by first
+    appearance, joined by ', '."""
+    return top_tokens_from_texts(distinct_texts(detail, keys, text_col), keys, n, out_col, opts, text_col)
+
+
 SUMMARY_COLUMNS = ("Category", "Count", "UniqueBorrowers", "AvgNotchDiff", "MedianNotchDiff",
                    "MinNotchDiff", "MaxNotchDiff", "EntityIds", "TopKeywords", "SampleReasons")
 
@@ -71,9 +92,11 @@ def group_summary(detail: DataFrame, opts: Options, ordered: bool = True) -> Dat
     ents, ent_firsts = first_n_distinct(detail, ["Category"], "EntityId", opts.max_entity_ids,
                                         D.ENTITY_SEPARATOR, "EntityIds")
     uniq = ent_firsts.groupBy("Category").agg(F.count(F.lit(1)).alias("UniqueBorrowers"))
-    samples, _ = first_n_distinct(detail, ["Category"], "ReasonText", opts.max_sample_reasons,
-                                  D.SAMPLE_SEPARATOR, "SampleReasons")
-    kws = top_tokens(detail, ["Category"], opts.summary_keywords, "TopKeywords", opts)
+    # one aggregation per (category, text) feeds both the samples and the keywords
+    texts = distinct_texts(detail, ["Category"])
+    samples = first_n_from(texts.select("Category", "ReasonText", "_first"), ["Category"], "ReasonText",
+                           opts.max_sample_reasons, D.SAMPLE_SEPARATOR, "SampleReasons")
+    kws = top_tokens_from_texts(texts, ["Category"], opts.summary_keywords, "TopKeywords", opts)
     # one row per category: at most (#rule groups + #clusters + 1) rows
     bound = len(opts.priority_groups) + opts.n_clusters + 1
     out = stats
