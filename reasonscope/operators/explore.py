@@ -34,6 +34,9 @@ def reason_tokens(reasons: DataFrame, opts: Options, text_col: str = "reason") -
     (templates, copies) are tokenized once; a hot text is combined map-side.
     Every table below weighs rows by ``weight``, so the results equal those
     over all rows."""
+    if not opts.dedupe_texts:
+        return reasons.select("row_id", F.lit(1).cast("long").alias("weight"),
+                              tokenize(text_col, opts.stopwords).alias("tokens"))
     distinct = reasons.groupBy(text_col).agg(F.min("row_id").alias("row_id"),
                                              F.count(F.lit(1)).alias("weight"))
     return distinct.select("row_id", "weight", tokenize(text_col, opts.stopwords).alias("tokens"))
@@ -134,10 +137,13 @@ def abbreviation_report(reasons: DataFrame, opts: Options, text_col: str = "reas
     first matches first), whether they are defined and their meaning.
     Each distinct text is scanned once (with its first k rows)."""
     k = opts.abbreviation_examples
-    firsts = _first_rows_per_text(reasons, text_col, k)
-    distinct = firsts.groupBy(text_col).agg(F.collect_list("row_id").alias("_rows"))   # <= k ids
-    scanned = abbreviation_matches(distinct.select(F.col("_rows").alias("row_id"), text_col), text_col)
-    m = scanned.select(F.explode("row_id").alias("row_id"), "text", "pos", "abbr")
+    if opts.dedupe_texts:
+        firsts = _first_rows_per_text(reasons, text_col, k)
+        distinct = firsts.groupBy(text_col).agg(F.collect_list("row_id").alias("_rows"))   # <= k ids
+        scanned = abbreviation_matches(distinct.select(F.col("_rows").alias("row_id"), text_col), text_col)
+        m = scanned.select(F.explode("row_id").alias("row_id"), "text", "pos", "abbr")
+    else:
+        m = abbreviation_matches(reasons, text_col)
     w = Window.partitionBy("abbr").orderBy("row_id", "pos")
     ranked = m.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k)
     ex = [F.max(F.when(F.col("rn") == i, F.col("text"))).alias(f"Example{i}") for i in range(1, 4)]

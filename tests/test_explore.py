@@ -93,3 +93,12 @@ def test_repeated_texts_count_per_row(spark):
     assert bigrams[("cash", "flow")] == 3 and bigrams[("flow", "weak")] == 3
     wf = {x["Word"]: x["PctOfReasons"] for x in X.word_frequency(X.word_counts(tok), tok, OPTS).collect()}
     assert wf["weak"] == 100.0 and wf["demand"] == 25.0
+
+
+def test_dedupe_option_gives_same_tables(spark):
+    texts = ["PS cash flow weak", "PS cash flow weak", "weak demand PS", "LOC renewal", "cash flow"]
+    r = comments(spark, [(i, "n", "e", "0", "Y", t) for i, t in enumerate(texts)])
+    a = run_explore(r, OPTS)
+    b = run_explore(r, OPTS.with_(dedupe_texts=False))
+    for name in ("abbreviations", "word_frequencies", "stem_groups", "collocations", "context_similarity"):
+        assert sorted(map(tuple, a[name].collect())) == sorted(map(tuple, b[name].collect())), name
