@@ -70,9 +70,9 @@ class Options:
     exact_median: bool = True     # False: percentile_approx for huge groups
 
     # explore
-    # tokenize / scan each distinct text once (weights keep every count
-    # exact); worth it for repetitive comments, a needless shuffle of the
-    # text for corpora of unique documents
+    # tokenize / scan / fit each distinct text once (weights keep every count
+    # and every Lloyd step exact); worth it for repetitive comments, a
+    # needless shuffle of the text for corpora of unique documents
     dedupe_texts: bool = True
     abbreviation_examples: int = D.ABBREVIATION_EXAMPLES
     stem_min_variants: int = D.STEM_MIN_VARIANTS

@@ -48,7 +48,10 @@ def cluster_unmatched(ruled: DataFrame, opts: Options):
     # lists with their counts (a hot text is combined map-side) feed both the
     # vocabulary (df and counts as weighted sums, exact) and the fit (Lloyd
     # steps on weighted points equal those on the repeated rows).
-    distinct = termed.groupBy("terms").agg(F.count(F.lit(1)).cast("double").alias("_weight"))
+    if opts.dedupe_texts:
+        distinct = termed.groupBy("terms").agg(F.count(F.lit(1)).cast("double").alias("_weight"))
+    else:
+        distinct = termed.select("terms", F.lit(1.0).alias("_weight"))
     distinct = distinct.persist(StorageLevel.MEMORY_AND_DISK)
     vocab = build_vocabulary(distinct, opts, n_docs=n, weight_col="_weight")
     if not vocab.terms:

@@ -127,3 +127,14 @@ def test_weighted_silhouette_equals_repeated_rows(spark):
     got = C.silhouette(weighted, "v", "label", "w").first()[0]
     rep = np.repeat(np.arange(12), w)
     assert got == pytest.approx(brute_silhouette_sq(X[rep], lab[rep]), abs=1e-9)
+
+
+def test_hybrid_without_dedupe(spark):
+    texts = ["cash flow weak", "cash flow weak", "equipment purchase", "equipment purchase new", "house rule"]
+    rows = [(i, "n", f"e{i}", "0", "Y", t) for i, t in enumerate(texts)]
+    opts = Options().with_(abbreviations={}, synonyms={}, priority_groups={"House": ["house"]},
+                           n_clusters=2, kmeans_n_init=2, dedupe_texts=False)
+    d, model = categorize(comments(spark, rows), opts)
+    cats = {r["row_id"]: r["Category"] for r in d.collect()}
+    assert cats[4] == "House" and cats[0] == cats[1] and cats[2] == cats[3] and cats[0] != cats[2]
+    assert sum(model.sizes.values()) == 4
