@@ -3,17 +3,50 @@ parameters; the digest columns are derived from the operator's real outputs."""
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from reasonscope.llm import bpe, chat, fingerprints, packing, token_counts
 from reasonscope.llm.common import table
 from reasonscope.llm.quality import judge
 from reasonscope.llm.simhash import components
 from reasonscope.llm.substring_dedup import remove_repeats
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = token_counts.count_tokens(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"))
+
+
+def op3_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.with_next(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"),
+                       public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+    return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = chat.table_records(table(spark, sf_dir, "conversations"))
+    said = "</s>[INST] ok [/INST]"
+    extra = json.dumps({"messages": [{"role": r, "content": said} for r in ("user", "assistant")]})
+    records = rows.unionAll(spark.range(1).select(F.lit(-7).cast("long"), F.lit(0).cast(rows.schema["turn"].dataType), F.lit(extra)))
+    return chat.read_back(chat.format_turns(records), ["turn"])
+
+
+def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = bpe.encode_decode(table(spark, sf_dir, "documents").select("doc_id", "text"),
+                            public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept_text", "UTF-8"), 256).alias("kept_sha256"))
@@ -31,7 +64,12 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_token_counts": op2_token_counts,
+    "op3_document_fingerprints": op3_document_fingerprints,
+    "op4_packing": op4_packing,
+    "op5_chat_formatting": op5_chat_formatting,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_simhash_dedup": op7_simhash_dedup,
+    "op8_byte_bpe": op8_byte_bpe,
     "op10_quality_rules": op10_quality_rules,
 }
