@@ -115,13 +115,12 @@ def canonical(record, mapping: Mapping) -> list[tuple[str, str]]:
     return [(ROLES.get(role, role) if mapping.turns else role, _at(r, mapping.text)) for role, r in roles]
 
 
-_CONTROL = re.compile("|".join(re.escape(c) for c in sorted(CONTROLS, key=len, reverse=True)))
+_CONTROL = re.compile(f"(?={'|'.join(map(re.escape, CONTROLS))})(.)", re.S)
 
 
 def escape(text: str) -> str:
     """Reversible by ``unescape``; the result holds no control string."""
-    text = text.replace("\\", "\\\\")
-    return _CONTROL.sub(lambda m: m[0][0] + "\\" + m[0][1:], text)
+    return _CONTROL.sub(r"\1\\", text.replace("\\", "\\\\"))
 
 
 def unescape(text: str) -> str:

@@ -10,13 +10,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reasonscope.llm import bpe, chat, fingerprints, packing, token_counts
+from reasonscope.llm import bpe, chat, fingerprints, hmm, packing, token_counts
 from reasonscope.llm.common import table
 from reasonscope.llm.quality import judge
 from reasonscope.llm.simhash import components
 from reasonscope.llm.substring_dedup import remove_repeats
 
 
+def op1_hmm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.score(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = token_counts.count_tokens(docs, public_tokenizers.path("word_bpe_49k.json"))
@@ -64,6 +68,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_hmm_scores": op1_hmm_scores,
     "op2_token_counts": op2_token_counts,
     "op3_document_fingerprints": op3_document_fingerprints,
     "op4_packing": op4_packing,
