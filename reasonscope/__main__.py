@@ -5,7 +5,8 @@
         --options options.json
 
 ``--options`` is a JSON object with any :class:`reasonscope.options.Options`
-field (dictionaries as objects/lists, e.g. {"column_map": {"reason_text": "R", ...},
+field (dictionaries as objects/lists, e.g. {"column_map": {"reason_text": "R",
+"entity_id": {"header": "EntityId"}, ...},
 "synonyms": {...}, "n_clusters": 6}).
 """
 

@@ -153,3 +153,14 @@ ENTITY_SEPARATOR = ", "
 SAMPLE_SEPARATOR = " | "
 KEYWORD_SEPARATOR = ", "
 NAME_SEPARATOR = " / "
+
+# ---- fixed values: input columns --------------------------------------------
+DEFAULT_COLUMN_MAP = {
+    "borrower_name": "B",
+    "entity_id": "E",
+    "actual_rating": "M",
+    "model_rating": "N",
+    "notch_difference": "O",
+    "override_flag": "P",
+    "reason_text": "R",
+}

@@ -8,11 +8,18 @@ travel as literals or broadcasts; everything row-sized stays distributed.
 
 from __future__ import annotations
 
-from pyspark.ml.clustering import KMeans
+from collections.abc import Iterator
+from dataclasses import dataclass
+from hashlib import blake2b
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from reasonscope import defaults as D
 from reasonscope.session import literal_table
@@ -109,49 +116,169 @@ def silhouette(df: DataFrame, vec_col: str, label_col: str, weight_col: str | No
     return scored.agg((F.sum(s * F.col("w")) / F.sum("w")).alias("silhouette"))
 
 
+GRID_BITS = 20
+
+
+def _dense(df: DataFrame, col: str) -> Column:
+    return _arr(col) if isinstance(df.schema[col].dataType, ArrayType) else vector_to_array(col)
+
+
+def _grid(values, unit: float) -> np.ndarray:
+    """Rows of whole numbers (as doubles): sums and products of them are exact, so no
+    result depends on the order or the partitions they are added in."""
+    return np.rint(np.array(values, np.float64) / unit)
+
+
+@dataclass
+class FittedKMeans:
+    """Centers (k x d) on a grid of step ``unit``, and the weighted inertia."""
+    centers: np.ndarray
+    unit: float
+    cost: float
+
+    def clusterCenters(self) -> list[np.ndarray]:
+        return list(self.centers)
+
+    def transform(self, df: DataFrame, features_col: str = "features", cluster_col: str = "_cluster") -> DataFrame:
+        """Nearest center of every row, ties to the lowest index."""
+        centers, unit = _grid(self.centers, self.unit), self.unit
+
+        @F.pandas_udf("int")
+        def nearest(x: pd.Series) -> pd.Series:
+            if not len(x):
+                return pd.Series([], dtype="int32")
+            return pd.Series(_distances(_grid(x.tolist(), unit), centers).argmin(axis=1).astype("int32"))
+
+        return df.withColumn(cluster_col, nearest(_dense(df, features_col)))
+
+
+def _distances(points: np.ndarray, centers: np.ndarray) -> np.ndarray:
+    return (points * points).sum(axis=1)[:, None] - 2 * points @ centers.T + (centers * centers).sum(axis=1)[None, :]
+
+
+def _batches(batches: Iterator[pa.RecordBatch], unit: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    for batch in batches:
+        if batch.num_rows:
+            flat = batch.column("x").flatten().to_numpy(zero_copy_only=False)
+            yield _grid(flat.reshape(batch.num_rows, -1), unit), batch.column("w").to_numpy().astype(np.int64)
+
+
+def _seed_rows(unit: float, k: int, runs: int, seed: int):
+    """Each partition's k distinct points of smallest hash, for each restart."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: list[dict[int, bytes]] = [{} for _ in range(runs)]
+        for points, _ in _batches(batches, unit):
+            raw = [p.tobytes() for p in points + 0.0]   # no negative zero
+            own = np.array([int.from_bytes(blake2b(r, digest_size=8).digest(), "little") for r in raw], np.uint64)
+            for r in range(runs):
+                mixed = (own ^ np.uint64((seed + r) * 0x9E3779B97F4A7C15 % 2**64)) * np.uint64(0xD6E8FEB86659FD93)
+                mixed ^= mixed >> np.uint64(32)
+                order = np.argsort(mixed, kind="stable")
+                for i in order.tolist():
+                    value = int(mixed[i] >> np.uint64(1))
+                    if len(best[r]) >= k and value >= max(best[r]):
+                        break
+                    best[r][value] = raw[i]
+                    if len(best[r]) > k:
+                        del best[r][max(best[r])]
+        rows = [(r, value, point) for r, chosen in enumerate(best) for value, point in chosen.items()]
+        columns = list(zip(*rows)) or [(), (), ()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.binary()))],
+                                         names=["run", "value", "point"])
+    return run
+
+
+def _step_rows(unit: float, centers: dict[int, np.ndarray]):
+    """Each partition's counts, inertia (upper and lower part) and coordinate sums by
+    restart and cluster, for all restarts in one pass."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: dict[int, np.ndarray] = {}
+        for points, weights in _batches(batches, unit):
+            whole = points.astype(np.int64) * weights[:, None]
+            for r, own in centers.items():
+                distances = _distances(points, own)
+                label = distances.argmin(axis=1)
+                least = distances[np.arange(len(points)), label].astype(np.int64)
+                total = totals.setdefault(r, np.zeros((len(own), points.shape[1] + 3), np.int64))
+                columns = np.column_stack([weights, weights * (least >> GRID_BITS), weights * (least & (1 << GRID_BITS) - 1), whole])
+                order = np.argsort(label, kind="stable")
+                begin = np.flatnonzero(np.append(True, np.diff(label[order]) > 0))
+                total[label[order][begin]] += np.add.reduceat(columns[order], begin, axis=0)
+        for r, total in totals.items():
+            cluster, place = np.indices(total.shape)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(total.size, r, np.int32)), pa.array(cluster.ravel().astype(np.int32)),
+                 pa.array(place.ravel().astype(np.int32)), pa.array(total.ravel())], names=["run", "cluster", "place", "value"])
+    return run
+
+
+def _step(arrays: DataFrame, unit: float, centers: dict[int, np.ndarray]) -> dict[int, np.ndarray]:
+    """restarts x clusters x (d + 3) sums: a bounded size, whatever the rows."""
+    rows = arrays.mapInArrow(_step_rows(unit, centers), "run int, cluster int, place int, value long")
+    sums = rows.groupBy("run", "cluster", "place").agg(F.sum("value").alias("value")).toArrow()
+    out = {r: np.zeros((len(c), c.shape[1] + 3), np.int64) for r, c in centers.items()}
+    run, cluster, place, value = (sums[c].to_numpy() for c in ("run", "cluster", "place", "value"))
+    for r, total in out.items():
+        own = run == r
+        total[cluster[own], place[own]] = value[own]
+    return out
+
+
 def fit_kmeans(points: DataFrame, k: int, features_col: str = "features", n_init: int = D.KMEANS_N_INIT,
                seed: int = D.KMEANS_SEED, max_iter: int = D.KMEANS_MAX_ITER, tol: float = D.KMEANS_TOL,
-               parallel: int | None = None, weight_col: str | None = None):
-    """K-Means (MLlib, k-means|| seeding) with ``n_init`` restarts (seeds
-    seed, seed+1, ...); the fit with the lowest training cost wins, ties to
-    the earlier seed. Restarts are independent jobs and run ``parallel`` at a
-    time from driver threads (default: all at once; the scheduler shares
-    the executors among them). Points should be persisted."""
-    from concurrent.futures import ThreadPoolExecutor
-
-    def one(i):
-        km = KMeans(k=k, seed=seed + i, maxIter=max_iter, tol=tol, featuresCol=features_col,
-                    predictionCol="_cluster")
-        if weight_col:
-            km = km.setWeightCol(weight_col)
-        model = km.fit(points)
-        return model.summary.trainingCost, i, model
+               weight_col: str | None = None) -> FittedKMeans:
+    """K-Means with ``n_init`` restarts, each from the k distinct points with the
+    smallest hash of (seed + restart, point). One pass over the points makes the
+    Lloyd step of all restarts that still move; an empty cluster keeps its center.
+    The lowest inertia wins, ties to the earlier restart.
 
+    Coordinates are rounded to a grid of 2**-20 of the largest one. All sums are then
+    whole numbers, so the fit is the same for any order, partitioning, and for a
+    point of weight w or w equal points. Fewer distinct points than k give as many
+    clusters. Points should be persisted."""
+    weight = F.col(weight_col).cast("long") if weight_col else F.lit(1).cast("long")
+    arrays = points.select(_dense(points, features_col).alias("x"), weight.alias("w"))
+    top = arrays.select(F.max(F.array_max(F.transform("x", F.abs)))).first()[0] or 1.0
+    unit = 2.0 ** (int(np.ceil(np.log2(top))) - GRID_BITS)
     runs = max(1, n_init)
-    parallel = runs if parallel is None else parallel
-    if parallel > 1 and runs > 1:
-        with ThreadPoolExecutor(max_workers=min(parallel, runs)) as pool:
-            fits = list(pool.map(one, range(runs)))
-    else:
-        fits = [one(i) for i in range(runs)]
-    return min(fits, key=lambda t: (t[0], t[1]))[2]
+    first = Window.partitionBy("run").orderBy("value")
+    seeds = (arrays.mapInArrow(_seed_rows(unit, k, runs, seed), "run int, value long, point binary")
+             .dropDuplicates(["run", "value"]).withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= k)
+             .orderBy("run", "rank").collect())       # at most restarts x k rows
+    centers = {r: np.array([np.frombuffer(bytes(s["point"])) for s in seeds if s["run"] == r]) for r in range(runs)}
+    moving = dict(centers)
+    for _ in range(max_iter):
+        if not moving:
+            break
+        for r, sums in _step(arrays, unit, moving).items():
+            counts = sums[:, :1]
+            new = np.where(counts > 0, np.rint(sums[:, 3:] / np.maximum(counts, 1)), centers[r])
+            moved = np.abs(new - centers[r]).max() * unit
+            centers[r] = new
+            if moved <= tol:
+                del moving[r]
+            else:
+                moving[r] = new
+    costs = {r: (int(s[:, 1].sum()) << GRID_BITS) + int(s[:, 2].sum()) for r, s in _step(arrays, unit, centers).items()}
+    best = min(costs, key=lambda r: (costs[r], r))
+    return FittedKMeans(centers[best] * unit, unit, costs[best] * unit * unit)
 
 
 def choose_k(points: DataFrame, n_points: int, features_col: str, min_k: int, max_k: int,
-             weight_col: str | None = None, **fit_kw) -> int:
-    """k in min_k..max_k (below n) with the best silhouette; strictly better
-    scores win, so ties keep the smaller k."""
-    best_k, best_score = min_k, -1.0
+             weight_col: str | None = None, **fit_kw) -> tuple[int, FittedKMeans]:
+    """k in min_k..max_k (below n) with the best silhouette, and its fit; strictly
+    better scores win, so ties keep the smaller k."""
+    best, best_score = None, -1.0
     for k in range(min_k, max_k + 1):
         if k >= n_points:
             break
         model = fit_kmeans(points, k, features_col, weight_col=weight_col, **fit_kw)
-        cols = [vector_to_array(features_col).alias("_x"), "_cluster"] + ([weight_col] if weight_col else [])
-        labeled = model.transform(points).select(*cols)
+        cols = [_dense(points, features_col).alias("_x"), "_cluster"] + ([weight_col] if weight_col else [])
+        labeled = model.transform(points, features_col).select(*cols)
         score = silhouette(labeled, "_x", "_cluster", weight_col).first()["silhouette"]
         if score is not None and score > best_score:
-            best_k, best_score = k, score
-    return best_k
+            best, best_score = (k, model), score
+    return best or (min_k, fit_kmeans(points, min_k, features_col, weight_col=weight_col, **fit_kw))
 
 
 def label_for_center(center: list[float], terms: list[str], top: int) -> str:

@@ -270,14 +270,14 @@ CONTEXT_COLUMNS = ("Word1", "Word2", "ContextSimilarity", "Freq_Word1", "Freq_Wo
                    "AlreadyInSynonyms", "Suggestion")
 
 
-def context_similarity(tok: DataFrame, counts: DataFrame, opts: Options) -> DataFrame:
+def context_similarity(tok: DataFrame, counts: DataFrame, opts: Options, keep_rank: bool = False) -> DataFrame:
     """Binary cosine similarity n_ab / (sqrt(df_a) sqrt(df_b)) between the
     frequent words; pairs above 0.3, top pairs by score (ties: later word
-    indexes first)."""
+    indexes first). ``keep_rank`` leaves the order's columns (score, i, j)."""
     spark = tok.sparkSession
     vocab = context_vocabulary(counts, opts)
     schema = "Word1 string, Word2 string, ContextSimilarity double, Freq_Word1 long, Freq_Word2 long, " \
-             "AlreadyInSynonyms string, Suggestion string"
+             "AlreadyInSynonyms string, Suggestion string" + (", score double, i int, j int" if keep_rank else "")
     if len(vocab) < 2:
         return literal_table(spark, [], schema)
     words = [w for w, _, _ in vocab]
@@ -296,14 +296,15 @@ def context_similarity(tok: DataFrame, counts: DataFrame, opts: Options) -> Data
     scored = pairs.select("i", "j", "Word1", "Word2", score.alias("score"), "Freq_Word1", "Freq_Word2",
                           already.alias("already")).where(F.col("score") > D.CONTEXT_MIN_SIMILARITY)
     top = scored.orderBy(F.col("score").desc(), F.col("i").desc(), F.col("j").desc()).limit(opts.context_top_pairs)
-    return top.select(
+    out = top.select(
         "Word1", "Word2", py_round("score", 3).alias("ContextSimilarity"), "Freq_Word1", "Freq_Word2",
         F.when(F.col("already"), F.lit(D.YES)).otherwise(F.lit("")).alias("AlreadyInSynonyms"),
         F.when((F.col("score") > D.CONTEXT_SUGGEST_ABOVE) & ~F.col("already"),
                F.concat(F.lit('Consider grouping "'), F.col("Word1"), F.lit('" and "'), F.col("Word2"),
                         F.lit('" in SYNONYMS'))).otherwise(F.lit("")).alias("Suggestion"),
         "score", "i", "j",
-    ).orderBy(F.col("score").desc(), F.col("i").desc(), F.col("j").desc()).drop("score", "i", "j")
+    ).orderBy(F.col("score").desc(), F.col("i").desc(), F.col("j").desc())
+    return out if keep_rank else out.drop("score", "i", "j")
 
 
 def top_phrases(colloc: DataFrame, n: int = D.VIEW_TOP_PHRASES) -> DataFrame:
@@ -312,7 +313,9 @@ def top_phrases(colloc: DataFrame, n: int = D.VIEW_TOP_PHRASES) -> DataFrame:
 
 
 def top_context_pairs(context: DataFrame, n: int = D.VIEW_TOP_CONTEXT) -> DataFrame:
-    return context.where(F.col("ContextSimilarity") > D.CONTEXT_SUGGEST_ABOVE).limit(n)
+    """The first ``n`` strong pairs of a table made with ``keep_rank``."""
+    strong = context.where(F.col("ContextSimilarity") > D.CONTEXT_SUGGEST_ABOVE)
+    return strong.orderBy(F.col("score").desc(), F.col("i").desc(), F.col("j").desc()).limit(n).drop("score", "i", "j")
 
 
 def top_stems(stems: DataFrame, n: int = D.VIEW_TOP_STEMS) -> DataFrame:

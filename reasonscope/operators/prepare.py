@@ -9,24 +9,20 @@ from reasonscope.functions.text import (
     canon_flag, clean_whitespace, coerce_notch, python_strip, with_clean_text,
 )
 from reasonscope.options import Options
-from reasonscope.sources.columns import LOGICAL_FIELDS, project_fields
-from reasonscope.sources.readers import spread
-
-DETAIL_COLUMNS = ("row_id", "BorrowerName", "EntityId", "ActualRating", "ModelRating",
-                  "NotchDifference", "OverrideFlag", "ReasonText")
+from reasonscope.sources.columns import DEFAULT_COLUMN_MAP, LOGICAL_FIELDS, Header, project_fields
 
 
 def map_fields(df: DataFrame, opts: Options) -> DataFrame:
-    """Apply the column map when one is given; otherwise the table must
-    already carry the logical field names."""
-    if opts.column_map:
-        out = project_fields(df, opts.column_map, keep=(opts.row_id_col,))
-    else:
-        missing = [f for f in LOGICAL_FIELDS if f not in df.columns]
-        if missing:
-            raise KeyError(f"missing fields {missing}; give Options.column_map")
-        out = df.select(opts.row_id_col, *LOGICAL_FIELDS)
-    return spread(out, opts.row_id_col)
+    """The logical fields by the column map; without one, by their own names, or by
+    the default letters if the table hasn't got them."""
+    column_map = opts.column_map
+    if not column_map:
+        named = all(f in df.columns for f in LOGICAL_FIELDS)
+        column_map = [(f, Header(f)) for f in LOGICAL_FIELDS] if named else DEFAULT_COLUMN_MAP
+    out = project_fields(df, column_map, keep=(opts.row_id_col,))
+    if opts.input_partitions and not df.isStreaming:
+        out = out.repartition(opts.input_partitions, opts.row_id_col)
+    return out
 
 
 def flag_predicate(flag_col, opts: Options):
@@ -46,7 +42,7 @@ def prepare_comments(df: DataFrame, opts: Options, clean: bool = True) -> DataFr
     out = src.select(
         F.col(opts.row_id_col).alias("row_id"),
         F.col("borrower_name").alias("BorrowerName"),
-        F.col("entity_id").cast("string").alias("EntityId"),
+        F.col("entity_id").alias("EntityId"),
         F.col("actual_rating").alias("ActualRating"),
         F.col("model_rating").alias("ModelRating"),
         coerce_notch(F.col("notch_difference").cast("string")).alias("NotchDifference"),

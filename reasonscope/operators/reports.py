@@ -30,7 +30,7 @@ def first_n_from(firsts: DataFrame, keys: list[str], value_col: str, n: int, sep
     ranked = firsts.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n)
     return (ranked.groupBy(*keys)
             .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_rn", value_col))),
-                                          lambda x: x[value_col]), sep).alias(out_col)))
+                                          lambda x: x[value_col].cast("string")), sep).alias(out_col)))
 
 
 def first_n_distinct(df: DataFrame, keys: list[str], value_col: str, n: int, sep: str,
@@ -72,6 +72,19 @@ def top_tokens(detail: DataFrame, keys: list[str], n: int, out_col: str, opts: O
     return top_tokens_from_texts(distinct_texts(detail, keys, text_col), keys, n, out_col, opts, text_col)
 
 
+def medians(detail: DataFrame) -> DataFrame:
+    """Exact median notch per category: rows are counted per value first, and a
+    running sum over the distinct values finds the middle."""
+    counts = detail.where(F.col("NotchDifference").isNotNull()).groupBy("Category", "NotchDifference").agg(
+        F.count(F.lit(1)).alias("c"))
+    run = Window.partitionBy("Category").orderBy("NotchDifference").rowsBetween(Window.unboundedPreceding, 0)
+    total = counts.groupBy("Category").agg(F.sum("c").alias("n"))
+    upto = counts.withColumn("upto", F.sum("c").over(run)).join(total, "Category")
+    at = lambda place: F.max(F.when((F.col("upto") >= place) & (F.col("upto") - F.col("c") < place), F.col("NotchDifference")))
+    low, high = F.floor((F.col("n") + 1) / 2), F.floor(F.col("n") / 2) + 1
+    return upto.groupBy("Category").agg(((at(low) + at(high)) / 2).alias("_median"))
+
+
 SUMMARY_COLUMNS = ("Category", "Count", "UniqueBorrowers", "AvgNotchDiff", "MedianNotchDiff",
                    "MinNotchDiff", "MaxNotchDiff", "EntityIds", "TopKeywords", "SampleReasons")
 
@@ -80,11 +93,9 @@ def group_summary(detail: DataFrame, opts: Options, ordered: bool = True) -> Dat
     """One row per category: counts, notch statistics, entity ids, top
     keywords and sample reasons."""
     notch = F.col("NotchDifference")
-    median = F.median(notch) if opts.exact_median else F.percentile_approx(notch, 0.5)
     stats = detail.groupBy("Category").agg(
         F.count(F.lit(1)).alias("Count"),
         rint_round(F.avg(notch), 2).alias("AvgNotchDiff"),
-        rint_round(median.cast("double"), 2).alias("MedianNotchDiff"),
         F.min(notch).alias("MinNotchDiff"),
         F.max(notch).alias("MaxNotchDiff"),
         F.min("row_id").alias("_first_row"),
@@ -100,12 +111,12 @@ def group_summary(detail: DataFrame, opts: Options, ordered: bool = True) -> Dat
     # one row per category: at most (#rule groups + #clusters + 1) rows
     bound = len(opts.priority_groups) + opts.n_clusters + 1
     out = stats
-    for small in (uniq, ents, samples, kws):
+    for small in (medians(detail), uniq, ents, samples, kws):
         out = out.join(bounded_broadcast(small, bound), "Category", "left")
     out = out.select(
         "Category", "Count",
         F.coalesce(F.col("UniqueBorrowers"), F.lit(0).cast("long")).alias("UniqueBorrowers"),
-        "AvgNotchDiff", "MedianNotchDiff", "MinNotchDiff", "MaxNotchDiff",
+        "AvgNotchDiff", rint_round(F.col("_median").cast("double"), 2).alias("MedianNotchDiff"), "MinNotchDiff", "MaxNotchDiff",
         F.coalesce(F.col("EntityIds"), F.lit("")).alias("EntityIds"),
         F.coalesce(F.col("TopKeywords"), F.lit("")).alias("TopKeywords"),
         F.coalesce(F.col("SampleReasons"), F.lit("")).alias("SampleReasons"),

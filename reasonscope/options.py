@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 from typing import Mapping, Sequence
 
 from reasonscope import defaults as D
+from reasonscope.sources.columns import as_spec
 
 
 def _frozen_groups(groups: Mapping[str, Sequence[str]]) -> tuple[tuple[str, tuple[str, ...]], ...]:
@@ -28,6 +29,8 @@ class Options:
     # input mapping: logical field -> column spec (letter, header text or name)
     column_map: tuple[tuple[str, str], ...] = ()
     row_id_col: str = "row_id"
+    # deal a source that arrives in few partitions (one unsplittable file) out by row id
+    input_partitions: int | None = None
     only_override_rows: bool = True
     override_yes_values: tuple[str, ...] = D.OVERRIDE_YES_VALUES
     min_reason_length: int = D.MIN_REASON_LENGTH
@@ -54,20 +57,12 @@ class Options:
     kmeans_max_iter: int = D.KMEANS_MAX_ITER
     kmeans_seed: int = D.KMEANS_SEED
     kmeans_tol: float = D.KMEANS_TOL
-    # fixed number of range partitions of the points before fitting, so that a
-    # fit does not depend on the input layout; None keeps the layout as is
-    fit_partitions: int | None = None
-    # otherwise the points are coalesced (no shuffle) to about this many rows
-    # per partition: each K-Means iteration is a job, and on small inputs its
-    # cost is task latency, not work; large inputs keep all their partitions
-    fit_rows_per_partition: int = 100_000
 
     # reports
     max_sample_reasons: int = D.MAX_SAMPLE_REASONS_PER_GROUP
     max_entity_ids: int = D.MAX_ENTITY_IDS_IN_SUMMARY_CELL
     summary_keywords: int = D.SUMMARY_KEYWORDS
     rollup_names: int = D.ROLLUP_NAMES_PER_CELL
-    exact_median: bool = True     # False: percentile_approx for huge groups
 
     # explore
     # tokenize / scan / fit each distinct text once (weights keep every count
@@ -94,7 +89,7 @@ class Options:
         if "abbreviations" in changes and isinstance(changes["abbreviations"], Mapping):
             changes["abbreviations"] = tuple(changes["abbreviations"].items())
         if "column_map" in changes and isinstance(changes["column_map"], Mapping):
-            changes["column_map"] = tuple(changes["column_map"].items())
+            changes["column_map"] = tuple((k, as_spec(v)) for k, v in changes["column_map"].items())
         for key in ("stopwords", "override_yes_values"):
             if key in changes:
                 changes[key] = tuple(changes[key])

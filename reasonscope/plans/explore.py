@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from reasonscope.operators import explore as X
 from reasonscope.operators.prepare import explore_reasons
@@ -25,7 +26,7 @@ def run_explore(df: DataFrame, opts: Options, persist: bool = True) -> dict[str,
         counts = materialize(X.word_counts(tok), "persist")
     stems = X.stem_groups(counts, opts)
     colloc = X.collocations(tok, counts, opts)
-    context = X.context_similarity(tok, counts, opts)
+    context = X.context_similarity(tok, counts, opts, keep_rank=True)
     if persist:
         # small results (<= vocabulary / top-n rows) read again by the views
         stems, colloc, context = (t.persist(StorageLevel.MEMORY_AND_DISK) for t in (stems, colloc, context))
@@ -35,7 +36,7 @@ def run_explore(df: DataFrame, opts: Options, persist: bool = True) -> dict[str,
         "word_frequencies": X.word_frequency(counts, tok, opts),
         "stem_groups": stems,
         "collocations": colloc,
-        "context_similarity": context,
+        "context_similarity": context.orderBy(F.col("score").desc(), F.col("i").desc(), F.col("j").desc()).drop("score", "i", "j"),
         "top_stems": X.top_stems(stems),
         "top_phrases": X.top_phrases(colloc),
         "top_context_pairs": X.top_context_pairs(context),

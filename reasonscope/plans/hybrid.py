@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
@@ -19,7 +18,7 @@ from reasonscope.session import materialize
 @dataclass
 class CategorizeModel:
     """What a fit learned: vocabulary (with idf), K-Means model, group names
-    per MLlib cluster index and the number of rows per group."""
+    per cluster index and the number of rows per group."""
     vocabulary: Vocabulary
     kmeans: object | None
     names: dict[int, str] = field(default_factory=dict)
@@ -60,27 +59,15 @@ def cluster_unmatched(ruled: DataFrame, opts: Options):
         name = D.AUTO_GROUP_FORMAT.format(n=1, label=D.MISC_LABEL)
         out = matched.unionByName(unmatched.withColumn("Category", F.lit(name)))
         return out, CategorizeModel(vocab, None, {0: name}, {0: n}, 1)
-    points = tfidf_features(distinct, vocab, opts)
-    if opts.fit_partitions:
-        # a fixed layout makes the fit independent of how the input was split
-        points = points.repartitionByRange(opts.fit_partitions, "terms").sortWithinPartitions("terms")
-    points = points.persist(StorageLevel.MEMORY_AND_DISK)
-    n_distinct = points.count()
-    distinct.unpersist()
-    if not opts.fit_partitions:
-        target = max(1, math.ceil(n_distinct / max(1, opts.fit_rows_per_partition)))
-        try:
-            current = points.rdd.getNumPartitions()
-        except Exception:   # no RDD view of the plan (e.g. a remote session)
-            current = 0
-        if current > target:
-            points = points.coalesce(target)
+    points = tfidf_features(distinct, vocab, opts).select("features", "_weight").persist(StorageLevel.MEMORY_AND_DISK)
     k = min(opts.n_clusters, n)
     fit_kw = dict(n_init=opts.kmeans_n_init, seed=opts.kmeans_seed, max_iter=opts.kmeans_max_iter,
                   tol=opts.kmeans_tol, weight_col="_weight")
     if opts.auto_select_k and n >= 2 * opts.min_k:
-        k = choose_k(points, n, "features", opts.min_k, opts.n_clusters, **fit_kw)
-    model = fit_kmeans(points, k, "features", **fit_kw)
+        _, model = choose_k(points, n, "features", opts.min_k, opts.n_clusters, **fit_kw)
+    else:
+        model = fit_kmeans(points, k, "features", **fit_kw)
+    distinct.unpersist()
     centers = [list(map(float, c)) for c in model.clusterCenters()]
     labels = {i: label_for_center(c, vocab.terms, opts.top_keywords_per_cluster) for i, c in enumerate(centers)}
     # every row is assigned row-locally (no join back to the distinct texts);
@@ -94,7 +81,7 @@ def cluster_unmatched(ruled: DataFrame, opts: Options):
     points.unpersist()
     if opts.materialize != "none":
         ruled.unpersist()
-    # group numbers: larger groups first, then label text (MLlib indices are arbitrary)
+    # group numbers: larger groups first, then label text (seed order is arbitrary)
     order = sorted(labels, key=lambda i: (-sizes.get(i, 0), labels[i]))
     names = {i: D.AUTO_GROUP_FORMAT.format(n=r + 1, label=labels[i]) for r, i in enumerate(order)}
     out = both.withColumn("Category", F.coalesce(F.col("Category"),

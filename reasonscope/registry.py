@@ -195,7 +195,8 @@ def q_context_similarity(spark, sf):
 
 
 def q_top_context_pairs(spark, sf):
-    return X.top_context_pairs(q_context_similarity(spark, sf))
+    _, tok, counts, opts = _reasons_tok(spark, sf, "doc")
+    return X.top_context_pairs(X.context_similarity(tok, counts, opts, keep_rank=True))
 
 
 def q_word_frequency_order(spark, sf):
@@ -364,7 +365,7 @@ def q_choose_k(spark, sf):
     emb = _emb(spark, sf).select("vec_id", array_to_vector(F.transform("embedding", lambda x: x.cast("double")))
                                  .alias("features")).cache()
     n = emb.count()
-    k = C.choose_k(emb, n, "features", 3, 8)
+    k, _ = C.choose_k(emb, n, "features", 3, 8)
     return literal_table(emb.sparkSession, [(k,)], "k long")
 
 

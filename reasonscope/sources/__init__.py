@@ -1,6 +1,4 @@
-"""Sources and sinks: table loading, column mapping, comment views, writers."""
+"""Table loading, column mapping, test views and report sinks."""
 
-from reasonscope.sources.columns import (  # noqa: F401
-    Header, Position, column_index, normalize_header, project_fields, resolve_column,
-)
-from reasonscope.sources.readers import load_table  # noqa: F401
+from reasonscope.sources.columns import LOGICAL_FIELDS, ColumnIndex, Header, Position, project_fields  # noqa: F401
+from reasonscope.sources.readers import load_table, with_row_id  # noqa: F401

@@ -77,6 +77,7 @@ VIEWS = {"order": comments_order, "doc": comments_doc, "turn": comments_turn}
 
 # Test dictionaries that match the texts of each view (FIXTURES.md §4).
 ORDER_OPTIONS = Options().with_(
+    input_partitions=16,     # the test tables are single files
     abbreviations={"LOW": "Low Priority", "F": "Filled", "P": "Partly Filled"},
     synonyms={"rush_order": ["1-URGENT", "2-HIGH"],
               "home_goods": ["household client", "furniture client"]},
@@ -84,6 +85,7 @@ ORDER_OPTIONS = Options().with_(
 )
 
 TEXT_OPTIONS = Options().with_(
+    input_partitions=16,
     abbreviations={"RE": "Real Estate"},
     synonyms={"article_pair": ["the the", "the and", "and the"]},
     priority_groups={"Spanish or French": ["que"], "German": ["und", "der die"]},

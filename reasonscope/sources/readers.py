@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+_IN_PARTITION = (1 << 33) - 1
+
 
 def load_table(spark: SparkSession, path, fmt: str = "parquet", **options) -> DataFrame:
     """Load one table (any Spark format: parquet, orc, csv, json, ...)."""
@@ -17,27 +19,18 @@ def load_table(spark: SparkSession, path, fmt: str = "parquet", **options) -> Da
 
 
 def with_row_id(df: DataFrame, name: str = "row_id") -> DataFrame:
-    """Give a table without an order column a unique increasing id.
-
-    Ids follow file and row order within a partition; a table that has an
-    order column of its own should use that instead (first-seen tie-breaks
-    of the reports follow this id).
+    """Number the rows of a file source in source order: by file path, place of
+    the split in the file, and row within the split.
+
+    A split is read by one task in order, so the running number of
+    ``monotonically_increasing_id`` orders its rows; the splits (a small table)
+    are ranked by path and offset, whatever order Spark packs them in. ``df`` must
+    come straight from a file reader. A table with an order column of its own
+    should name that instead (``Options.row_id_col``).
     """
-    return df.withColumn(name, F.monotonically_increasing_id())
-
-
-def spread(df: DataFrame, key: str = "row_id") -> DataFrame:
-    """Hash-partition a table by ``key`` when it has fewer partitions than
-    the cluster has cores (e.g. one unsplittable file) so that the CPU-heavy
-    text work after it runs in parallel. Tables that already arrive in
-    enough partitions -- any large input -- are left as they are."""
-    if df.isStreaming:
-        return df
-    try:
-        target = df.sparkSession.sparkContext.defaultParallelism
-        current = df.rdd.getNumPartitions()
-    except Exception:   # no RDD view of the plan (e.g. a remote session)
-        return df
-    if current >= target:
-        return df
-    return df.repartition(target, key)
+    read = df.withColumns({"_path": F.col("_metadata.file_path"), "_begin": F.col("_metadata.file_block_start"),
+                           "_running": F.monotonically_increasing_id()})
+    splits = df.select(F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_begin")).distinct()
+    ranked = splits.withColumn("_rank", F.row_number().over(Window.orderBy("_path", "_begin")).cast("long"))
+    row = F.shiftleft("_rank", 33) + F.col("_running").bitwiseAND(F.lit(_IN_PARTITION))
+    return read.join(ranked, ["_path", "_begin"]).select(*[f"`{c}`" for c in df.columns if c != name], row.alias(name))

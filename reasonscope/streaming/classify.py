@@ -1,18 +1,16 @@
 """Stateless categorisation of a stream with a model fitted in batch.
 
 Cleaning, rules, vectorisation and nearest-center assignment are all
-per-row Column / MLlib transforms, so they apply to a ``readStream``
+per-row transforms, so they apply to a ``readStream``
 DataFrame unchanged; no state store is involved.
 """
 
 from __future__ import annotations
 
-from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
-from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reasonscope.operators.features import with_terms
+from reasonscope.operators.features import tfidf_features, with_terms
 from reasonscope.operators.prepare import prepare_comments
 from reasonscope.operators.rules import priority_category
 from reasonscope.options import Options
@@ -27,15 +25,6 @@ def classify_stream(stream: DataFrame, opts: Options, model: CategorizeModel | N
     if model is None or model.kmeans is None:
         fallback = F.lit(model.names.get(0) if model and model.names else opts.unmatched_label)
         return detail.withColumn("Category", F.coalesce(rule, fallback))
-    v = model.vocabulary
-    x = with_terms(detail, opts)
-    x = CountVectorizerModel.from_vocabulary(v.terms, inputCol="terms", outputCol="_tf").transform(x)
-    if opts.tfidf_profile == "sublinear":
-        from pyspark.ml.functions import array_to_vector, vector_to_array
-        x = x.withColumn("_tf", array_to_vector(F.transform(vector_to_array("_tf"),
-                         lambda c: F.when(c > 0, 1.0 + F.log(c)).otherwise(F.lit(0.0)))))
-    x = ElementwiseProduct(scalingVec=Vectors.dense(v.idf), inputCol="_tf", outputCol="_w").transform(x)
-    x = Normalizer(p=2.0, inputCol="_w", outputCol="features").transform(x)
-    x = model.kmeans.transform(x)
+    x = model.kmeans.transform(tfidf_features(with_terms(detail, opts), model.vocabulary, opts))
     auto = F.element_at(_name_map(model.names), F.col("_cluster"))
-    return x.withColumn("Category", F.coalesce(rule, auto)).drop("terms", "_tf", "_w", "features", "_cluster")
+    return x.withColumn("Category", F.coalesce(rule, auto)).drop("terms", "features", "_cluster")

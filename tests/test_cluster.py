@@ -17,18 +17,20 @@ def points(spark, X, labels=None):
 
 
 def brute_silhouette_sq(X, lab):
-    uniq = np.unique(lab)
-    if len(uniq) <= 1:
+    """From the definition: all squared distances, averaged per group by one-hot sums."""
+    groups, of = np.unique(lab, return_inverse=True)
+    if len(groups) == 1:
         return -1.0
-    s = []
-    for i in range(len(X)):
-        d = ((X - X[i]) ** 2).sum(1)
-        same = lab == lab[i]
-        a = d[same].mean() if same.sum() > 1 else 0.0
-        b = min(d[lab == u].mean() for u in uniq if u != lab[i])
-        m = max(a, b)
-        s.append((b - a) / m if m > 0 else 0.0)
-    return float(np.mean(s))
+    member = np.eye(len(groups))[of]
+    gram = X @ X.T
+    squares = np.diag(gram)[:, None] + np.diag(gram)[None, :] - 2 * gram
+    mean = squares @ member / member.sum(axis=0)
+    rows = np.arange(len(X))
+    own = np.where(member.sum(axis=0)[of] > 1, mean[rows, of], 0.0)
+    mean[rows, of] = np.inf
+    other = mean.min(axis=1)
+    larger = np.maximum(own, other)
+    return float(np.divide(other - own, larger, out=np.zeros(len(X)), where=larger > 0).mean())
 
 
 def test_silhouette_matches_brute_force(spark):
@@ -95,7 +97,7 @@ def test_hybrid_categorize(spark):
              "house rule", "zz"]
     rows = [(i, "n", f"e{i}", "0", "Y", t) for i, t in enumerate(texts)]
     opts = Options().with_(abbreviations={}, synonyms={}, priority_groups={"House": ["house"]},
-                           n_clusters=2, kmeans_n_init=2, fit_partitions=2)
+                           n_clusters=2, kmeans_n_init=2)
     d, model = categorize(comments(spark, rows), opts)
     cats = {r["row_id"]: r["Category"] for r in d.collect()}
     assert cats[4] == "House"
@@ -138,3 +140,61 @@ def test_hybrid_without_dedupe(spark):
     cats = {r["row_id"]: r["Category"] for r in d.collect()}
     assert cats[4] == "House" and cats[0] == cats[1] and cats[2] == cats[3] and cats[0] != cats[2]
     assert sum(model.sizes.values()) == 4
+
+
+HOUSE = Options().with_(abbreviations={}, synonyms={}, priority_groups={"House": ["house"]}, n_clusters=3, kmeans_n_init=3)
+
+
+def many_rows(spark, n=400):
+    rng = np.random.default_rng(5)
+    words = ["cash", "flow", "weak", "strong", "equipment", "purchase", "rating", "sector", "outlook", "debt"]
+    texts = [" ".join(rng.choice(words, 4)) for _ in range(n)]
+    return comments(spark, [(i, "n", f"e{i % 7}", "0", "Y", t) for i, t in enumerate(texts)])
+
+
+def test_fit_is_the_same_for_any_layout(spark):
+    rows, results = many_rows(spark), []
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for shuffle, parts, dedupe in ((5, 1, True), (8, 7, True), (16, 3, True), (8, 7, False)):
+            spark.conf.set("spark.sql.shuffle.partitions", shuffle)
+            d, model = categorize(rows.repartition(parts), HOUSE.with_(dedupe_texts=dedupe))
+            results.append((sorted((r["row_id"], r["Category"]) for r in d.collect()), model.kmeans.cost))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert all(r == results[0] for r in results) and len({c for _, c in results[0][0]}) == 3
+
+
+@pytest.mark.parametrize("texts,opts", [
+    (["cash flow weak"], HOUSE), (["cash flow weak", "equipment purchase"], HOUSE), (["cash flow weak"] * 5, HOUSE),
+    (["cash flow weak"] * 8, HOUSE.with_(auto_select_k=True)), (["cash flow weak"], HOUSE.with_(n_clusters=1)),
+    (["cash flow weak", "equipment purchase", "cash"], HOUSE.with_(n_clusters=1))])
+def test_small_and_uniform_input(spark, texts, opts):
+    from reasonscope.streaming.classify import classify_stream
+    rows = comments(spark, [(i, "n", "e", "0", "Y", t) for i, t in enumerate(texts)])
+    d, model = categorize(rows, opts)
+    got = {r["row_id"]: r["Category"] for r in d.collect()}
+    assert len(got) == len(texts) and all(c.startswith("Auto Group ") for c in got.values())
+    assert len(set(got.values())) <= min(opts.n_clusters, len(set(texts)))
+    assert {r["row_id"]: r["Category"] for r in classify_stream(rows, opts, model).collect()} == got
+
+
+def test_numeric_entity_ids_keep_their_order(spark):
+    from reasonscope.operators import reports as R
+    rows = comments(spark, [(i, "n", "0", "0", "Y", "house rule") for i in range(4)]).withColumn(
+        "entity_id", F.element_at(F.array(*[F.lit(v) for v in (100, 9, 10, 9)]), F.col("row_id").cast("int") + 1))
+    d, _ = categorize(rows, HOUSE)
+    assert [r["EntityId"] for r in R.detail_report(d).collect()] == [9, 9, 10, 100]
+    assert R.group_summary(d, HOUSE).first()["EntityIds"] == "100, 9, 10"
+
+
+def test_planning_starts_no_job(spark):
+    from reasonscope.operators.prepare import prepare_comments
+    rows = many_rows(spark, 50)
+    joined = rows.join(rows.select(F.col("row_id").alias("other")), F.col("row_id") == F.col("other"))
+    spark.sparkContext.setJobGroup("plan-only", "plan-only")
+    try:
+        prepare_comments(joined, HOUSE)
+        assert not spark.sparkContext.statusTracker().getJobIdsForGroup("plan-only")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)

@@ -6,7 +6,11 @@ from conftest import comments
 from reasonscope.options import Options
 from reasonscope.plans.categorize import run_categorize
 from reasonscope.plans.explore import run_explore
-from reasonscope.sources.columns import Header, column_index, project_fields, resolve_column
+import pytest
+from pyspark.sql import functions as F
+
+from reasonscope.operators.prepare import map_fields
+from reasonscope.sources.columns import ColumnIndex, Header, Position, as_spec, project_fields
 from reasonscope.sources.sinks import CATEGORIZE_TABLES, write_tables
 
 
@@ -34,15 +38,23 @@ def test_write_explore_csv(spark):
 
 
 def test_column_mapping(spark):
-    assert [column_index(x) for x in ("A", "Z", "AA", "ab")] == [0, 25, 26, 27]
+    index = ColumnIndex([f"c{i}" for i in range(60)])
+    assert [index.find(x) for x in ("A", "Z", "AA", "ab", Position("b"))] == ["c0", "c25", "c26", "c27", "c1"]
     df = spark.createDataFrame([(1, "x", "y")], "`Row Id` long, `Entity  Id` string, reason string")
-    assert resolve_column(df, "C") == "reason"
-    assert resolve_column(df, Header(" entity id ")) == "Entity  Id"
-    assert resolve_column(df, "Entity Id") == "Entity  Id"
+    index = ColumnIndex(df.columns)
+    assert index.find("C") == "reason" == index.find(as_spec({"header": "Reason"})) == index.find(as_spec({"letters": "c"}))
+    assert index.find(Header(" entity id ")) == "Entity  Id" == index.find("Entity Id")
     out = project_fields(df, {"entity_id": "B", "reason_text": Header("REASON")}, keep=())
     assert out.columns == ["entity_id", "reason_text"]
-    import pytest
-    with pytest.raises(KeyError):
-        resolve_column(df, "D")
-    with pytest.raises(KeyError):
-        resolve_column(df, Header("missing"))
+    for spec in ("D", Header("missing"), Position("1")):
+        with pytest.raises(KeyError):
+            index.find(spec)
+
+
+def test_default_letters(spark):
+    """A table of 18 columns without logical names is read by the default letters."""
+    values = [f"v{i}" for i in range(18)]
+    df = spark.createDataFrame([tuple(values)], ", ".join(f"col{i} string" for i in range(18))).withColumn("row_id", F.lit(1))
+    assert map_fields(df, Options()).first().asDict() == {
+        "row_id": 1, "borrower_name": "v1", "entity_id": "v4", "actual_rating": "v12", "model_rating": "v13",
+        "notch_difference": "v14", "override_flag": "v15", "reason_text": "v17"}

@@ -67,6 +67,13 @@ def test_load_csv_json_and_row_id(spark):
     assert len(set(ids)) == 2
 
 
+def test_row_ids_follow_files_of_unequal_size(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("n\n1\n2\n")
+    (tmp_path / "b.csv").write_text("n\n" + "\n".join(str(i) for i in range(3, 5003)) + "\n")
+    df = with_row_id(load_table(spark, str(tmp_path), fmt="csv"))
+    assert [int(r["n"]) for r in df.orderBy("row_id").collect()] == list(range(1, 5003))
+
+
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="test tables not present")
 def test_plans_have_no_python_udf_or_cartesian(spark):
     import __spark_entry__ as E
