@@ -13,8 +13,9 @@ The same happens when more than ``max_open`` windows are open, which bounds the
 memory. Sequence ids hold the shard in their upper bits.
 
 Encoding: between two seams that hold in any context (before a space between two
-characters that aren't white space) ids are independent, so each distinct piece is
-encoded once and its ids are kept (``MEMO`` pieces at most, then anew).
+characters that aren't white space) ids are independent, so a text's new pieces are
+encoded at once and their ids kept, up to ``MEMO`` pieces (a full memo takes no more,
+and a later task starts it anew).
 
 Defined cases: a null text counts as empty and is the end id alone. Null and
 repeated ids are packed like any others. Other columns aren't carried.
@@ -39,7 +40,7 @@ from reasonscope.llm.common import utf8
 
 SIZE = 1024
 END = 0
-MEMO = 1 << 19
+MEMO = 1 << 20
 MAX_OPEN = 8192
 ROWS = 1 << 14
 SCRIPTS = "\u0530"  # from here on the two libraries' character tables could be of other Unicode versions
@@ -55,10 +56,17 @@ class PieceEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.library = Tokenizer.from_file(path)
         self.special = [t.content.encode() for t in self.library.get_added_tokens_decoder().values()]
-        self.fast = tiktoken.Encoding("pieces", pat_str=pattern, mergeable_ranks=vocabulary_ranks(path), special_tokens={})
+        ranks = vocabulary_ranks(path)
+        self.fast = tiktoken.Encoding("pieces", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.behind_space = np.zeros(max(ranks.values()) + 1, bool)  # of a closed piece, the first token alone
+        self.behind_space[[i for t, i in ranks.items() if t[0] == 32]] = True
         self.memo: dict[bytes, bytes | bool] = {}
         self.limit = memo
 
+    def renew(self) -> None:
+        if len(self.memo) > self.limit // 2:
+            self.memo.clear()
+
     def direct(self, text: bytes) -> bytes:
         plain = text.decode()
         if max(plain, default="") >= SCRIPTS or any(s in text for s in self.special):
@@ -70,21 +78,34 @@ class PieceEncoder:
     @staticmethod
     def _open(piece: bytes) -> bool:
         """Whether the piece is empty or has white space at either end."""
+        if piece and 32 < piece[0] < 127 and 32 < piece[-1] < 127:
+            return False
         text = piece.decode()
         return not text or text[0].isspace() or text[-1].isspace()
 
-    def _new(self, piece: bytes) -> bytes | bool:
-        if len(self.memo) >= self.limit:
-            self.memo.clear()
-        out = self.memo[piece] = not self._open(piece) and self.direct(b" " + piece)
-        return out
+    def _new(self, pieces: set[bytes]) -> dict[bytes, bytes | bool]:
+        """The ids of each piece behind a space; False for an open one."""
+        closed = [p for p in pieces if not self._open(p)]
+        found: dict[bytes, bytes | bool] = dict.fromkeys(pieces, False)
+        joined = b"".join(b" " + p for p in closed)
+        text = joined.decode()
+        if max(text, default="") < SCRIPTS and not any(s in joined for s in self.special):
+            ids = np.array(self.fast.encode_ordinary(text), "<u4")
+            cuts = [*(4 * np.flatnonzero(self.behind_space[ids])).tolist(), 4 * len(ids)]
+            raw = ids.tobytes()
+            found.update((p, raw[b:e]) for p, b, e in zip(closed, cuts, cuts[1:]))
+        else:
+            found.update((p, self.direct(b" " + p)) for p in closed)
+        if len(self.memo) + len(found) <= self.limit:
+            self.memo.update(found)
+        return found
 
     def encode(self, text: bytes) -> bytes:
         pieces = text.split(b" ")
         ids = list(map(self.memo.get, pieces))
         if None in ids:
-            new = self._new
-            ids = [new(p) if i is None else i for p, i in zip(pieces, ids)]
+            new = self._new({p for p, i in zip(pieces, ids) if i is None})
+            ids = [new[p] if i is None else i for p, i in zip(pieces, ids)]
         if False in ids:
             return self._merged(pieces, ids)
         ids[0] = self.direct(pieces[0])
@@ -194,6 +215,7 @@ def _packed(path: str, pattern: str, size: int, end: int, max_open: int):
         if (path, pattern) not in _LOADED:
             _LOADED[path, pattern] = PieceEncoder(path, pattern)
         encoder = _LOADED[path, pattern]
+        encoder.renew()
         packer = Packer(size, TaskContext.get().partitionId() << 40, max_open)
         ending = np.array([end], "<u4").tobytes()
         for batch in batches:
