@@ -94,8 +94,11 @@ class _Stretches:
                                      + (self.last - first).astype(np.uint64)))
 
 
-def _as_long(x: np.ndarray) -> pa.Array:
-    return pa.array(x.view(np.int64))
+def _distinct_rows(a: np.ndarray, b: np.ndarray, keys: np.ndarray) -> pa.RecordBatch:
+    """Each (a, b, key) of a block once: a text that repeats itself sends one row."""
+    _, at = np.unique(mix(a + mix(b + mix(keys.view(np.uint64)))), return_index=True)
+    return pa.RecordBatch.from_arrays([pa.array(a[at].view(np.int64)), pa.array(b[at].view(np.int64)), pa.array(keys[at])],
+                                      names=["a", "b", "_key"])
 
 
 def _seed_rows(window: int):
@@ -104,8 +107,7 @@ def _seed_rows(window: int):
             keys, texts = batch.column("_key").to_numpy(), utf8(batch.column(1))
             for b, e in blocks(texts):
                 s = _Stretches(Words(texts[b:e], versions=2), window)
-                yield pa.RecordBatch.from_arrays(
-                    [_as_long(s.anchor), _as_long(s.sig), pa.array(keys[b:e][s.doc])], names=["a", "b", "_key"])
+                yield _distinct_rows(s.anchor, s.sig, keys[b:e][s.doc])
     return run
 
 
@@ -189,8 +191,7 @@ def _window_rows(window: int, text_col: str):
                     continue
                 at = _spans(s.first[hit], s.last[hit], len(words))
                 _, wa, wb = _hashed_windows(words, window)
-                yield pa.RecordBatch.from_arrays(
-                    [_as_long(wa[at]), _as_long(wb[at]), pa.array(keys[b:e][words.doc[at]])], names=["a", "b", "_key"])
+                yield _distinct_rows(wa[at], wb[at], keys[b:e][words.doc[at]])
     return run
 
 
