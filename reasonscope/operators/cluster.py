@@ -117,6 +117,7 @@ def silhouette(df: DataFrame, vec_col: str, label_col: str, weight_col: str | No
 
 
 GRID_BITS = 20
+BLOCK_BYTES = 16 << 20
 
 
 def _dense(df: DataFrame, col: str) -> Column:
@@ -205,10 +206,10 @@ def _step_rows(unit: float, centers: dict[int, np.ndarray]):
                 begin = np.flatnonzero(np.append(True, np.diff(label[order]) > 0))
                 total[label[order][begin]] += np.add.reduceat(columns[order], begin, axis=0)
         for r, total in totals.items():
-            cluster, place = np.indices(total.shape)
+            cluster, place = np.nonzero(total)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(total.size, r, np.int32)), pa.array(cluster.ravel().astype(np.int32)),
-                 pa.array(place.ravel().astype(np.int32)), pa.array(total.ravel())], names=["run", "cluster", "place", "value"])
+                [pa.array(np.full(len(place), r, np.int32)), pa.array(cluster.astype(np.int32)), pa.array(place.astype(np.int32)),
+                 pa.array(total[cluster, place])], names=["run", "cluster", "place", "value"])
     return run
 
 
@@ -238,7 +239,10 @@ def fit_kmeans(points: DataFrame, k: int, features_col: str = "features", n_init
     clusters. Points should be persisted."""
     weight = F.col(weight_col).cast("long") if weight_col else F.lit(1).cast("long")
     arrays = points.select(_dense(points, features_col).alias("x"), weight.alias("w"))
-    top = arrays.select(F.max(F.array_max(F.transform("x", F.abs)))).first()[0] or 1.0
+    top, rows, width = arrays.select(F.max(F.array_max(F.transform("x", F.abs))), F.count(F.lit(1)), F.max(F.size("x"))).first()
+    top = top or 1.0
+    # each pass is a job: small partitions are read together (no result depends on it)
+    arrays = arrays.coalesce(1 + rows * (width or 1) * 8 // BLOCK_BYTES)
     unit = 2.0 ** (int(np.ceil(np.log2(top))) - GRID_BITS)
     runs = max(1, n_init)
     first = Window.partitionBy("run").orderBy("value")
