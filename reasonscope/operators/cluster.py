@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from hashlib import blake2b
+from hashlib import md5
 
 import numpy as np
 import pandas as pd
@@ -117,6 +117,7 @@ def silhouette(df: DataFrame, vec_col: str, label_col: str, weight_col: str | No
 
 
 GRID_BITS = 20
+SEED_DIGITS = 15   # hex digits of the hash that picks the seeds
 BLOCK_BYTES = 16 << 20
 
 
@@ -165,21 +166,19 @@ def _batches(batches: Iterator[pa.RecordBatch], unit: float) -> Iterator[tuple[n
 
 
 def _seed_rows(unit: float, k: int, runs: int, seed: int):
-    """Each partition's k distinct points of smallest hash, for each restart."""
+    """Each partition's k distinct points of smallest hash, for each restart. The
+    hash is the MD5 of "seed|index:value,..." over the nonzero grid coordinates."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: list[dict[int, bytes]] = [{} for _ in range(runs)]
         for points, _ in _batches(batches, unit):
-            raw = [p.tobytes() for p in points + 0.0]   # no negative zero
-            own = np.array([int.from_bytes(blake2b(r, digest_size=8).digest(), "little") for r in raw], np.uint64)
-            for r in range(runs):
-                mixed = (own ^ np.uint64((seed + r) * 0x9E3779B97F4A7C15 % 2**64)) * np.uint64(0xD6E8FEB86659FD93)
-                mixed ^= mixed >> np.uint64(32)
-                order = np.argsort(mixed, kind="stable")
-                for i in order.tolist():
-                    value = int(mixed[i] >> np.uint64(1))
+            for point in points + 0.0:   # no negative zero
+                at = np.flatnonzero(point)
+                text = ",".join(f"{i}:{v}" for i, v in zip(at.tolist(), point[at].astype(np.int64).tolist()))
+                for r in range(runs):
+                    value = int(md5(f"{seed + r}|{text}".encode()).hexdigest()[:SEED_DIGITS], 16)
                     if len(best[r]) >= k and value >= max(best[r]):
-                        break
-                    best[r][value] = raw[i]
+                        continue
+                    best[r][value] = point.tobytes()
                     if len(best[r]) > k:
                         del best[r][max(best[r])]
         rows = [(r, value, point) for r, chosen in enumerate(best) for value, point in chosen.items()]
@@ -243,7 +242,7 @@ def fit_kmeans(points: DataFrame, k: int, features_col: str = "features", n_init
     top = top or 1.0
     # each pass is a job: small partitions are read together (no result depends on it)
     arrays = arrays.coalesce(1 + rows * (width or 1) * 8 // BLOCK_BYTES)
-    unit = 2.0 ** (int(np.ceil(np.log2(top))) - GRID_BITS)
+    unit = 2.0 ** (int(np.ceil(np.log2(top) - 1e-9)) - GRID_BITS)   # rows of norm 1 give one grid, whatever their last bit
     runs = max(1, n_init)
     first = Window.partitionBy("run").orderBy("value")
     seeds = (arrays.mapInArrow(_seed_rows(unit, k, runs, seed), "run int, value long, point binary")

@@ -390,6 +390,8 @@ cn AS (SELECT o.row_id, o.term, count(*) AS c FROM occ o JOIN vocab v USING (ter
 w0 AS (SELECT cn.row_id, cn.term, {tf} * (ln((n + 1) / (v.df + 1)) + 1) AS w FROM cn JOIN vocab v USING (term), nd),
 wn AS (SELECT row_id, term, CASE WHEN sqrt(sum(w * w) OVER (PARTITION BY row_id)) > 0
                                  THEN w / sqrt(sum(w * w) OVER (PARTITION BY row_id)) ELSE w END AS weight FROM w0)"""
+    if mode == "body":
+        return body
     if mode == "vocab":
         return body + "\nSELECT term, df, CAST(idx AS BIGINT) AS idx FROM vocab"
     if mode == "weights":
@@ -408,6 +410,93 @@ LEFT JOIN lab l USING (cluster)"""
     raise ValueError(mode)
 
 
+# ---------------------------------------------------------------- k-means fit
+def fit_cte(name: str, weights: str, k: str, opts: Options) -> str:
+    """CTEs of a K-Means fit over the long table ``weights`` (id, i, x; every id has
+    a row, x may be 0): ``{name}_best`` (cluster, i, v) are the centers on the grid
+    (i = -1 marks a cluster) and ``{name}_label`` (id, cluster) the nearest ones.
+    Points are whole numbers of the grid, equal points are one weighted point, and
+    all restarts step together until they stop."""
+    n = name
+    nearest = """SELECT pid, run, arg_min(cluster, d * 1024 + cluster) AS cluster, min(d) AS d FROM (
+    SELECT p.pid, s.run, s.cluster, CAST(p.sq + s.c2 - 2 * coalesce(t.dot, 0) AS BIGINT) AS d
+    FROM {n}_sq p CROSS JOIN (SELECT run, cluster, sum(v * v) AS c2 FROM {c} GROUP BY run, cluster) s
+    LEFT JOIN (SELECT g.pid, c.run, c.cluster, sum(g.v * c.v) AS dot FROM {n}_g g JOIN {c} c ON g.i = c.i
+               GROUP BY g.pid, c.run, c.cluster) t ON t.pid = p.pid AND t.run = s.run AND t.cluster = s.cluster) GROUP BY pid, run"""
+    return f"""{n}_unit AS (SELECT pow(2.0, ceil(log2(max(abs(x))) - 1e-9) - 20) AS unit FROM {weights}),
+{n}_grid AS (SELECT id, i, CAST(round_even(x / unit, 0) AS BIGINT) AS v FROM {weights}, {n}_unit),
+{n}_id AS (SELECT id, coalesce(string_agg(CASE WHEN v <> 0 THEN i || ':' || v END, ',' ORDER BY i), '') AS pid FROM {n}_grid GROUP BY id),
+{n}_one AS (SELECT pid, min(id) AS id, count(*) AS w FROM {n}_id GROUP BY pid),
+{n}_g AS MATERIALIZED (SELECT o.pid, g.i, g.v, o.w FROM {n}_one o JOIN {n}_grid g USING (id) WHERE g.v <> 0),
+{n}_sq AS MATERIALIZED (SELECT o.pid, any_value(o.w) AS w, sum(coalesce(g.v, 0) * coalesce(g.v, 0)) AS sq
+                        FROM {n}_one o LEFT JOIN {n}_g g USING (pid) GROUP BY o.pid),
+{n}_hash AS (SELECT run, pid, row_number() OVER (PARTITION BY run ORDER BY CAST('0x' || substr(md5(({opts.kmeans_seed} + run) || '|' || pid), 1, 15) AS BIGINT)) AS rn
+             FROM {n}_one, range({opts.kmeans_n_init}) t(run)),
+{n}_seed AS (SELECT run, rn - 1 AS cluster, pid FROM {n}_hash WHERE rn <= {k}),
+{n}_c AS (
+  SELECT 0 AS it, run, cluster, i, v, true AS moving
+  FROM (SELECT run, cluster, CAST(-1 AS BIGINT) AS i, CAST(0 AS BIGINT) AS v FROM {n}_seed
+        UNION ALL SELECT s.run, s.cluster, CAST(g.i AS BIGINT), g.v FROM {n}_seed s JOIN {n}_g g USING (pid))
+  UNION ALL
+  (WITH cur AS (SELECT * FROM {n}_c WHERE moving AND it < {opts.kmeans_max_iter}),
+   near AS ({nearest.format(n=n, c='cur')}),
+   size AS (SELECT run, cluster, sum(w) AS n FROM near JOIN {n}_sq USING (pid) GROUP BY run, cluster),
+   total AS (SELECT run, cluster, i, sum(g.v * g.w) AS s FROM near JOIN {n}_g g USING (pid) GROUP BY run, cluster, i),
+   new AS (SELECT run, cluster, CAST(i AS BIGINT) AS i, CAST(round_even(CAST(s AS DOUBLE) / CAST(n AS DOUBLE), 0) AS BIGINT) AS v
+           FROM total JOIN size USING (run, cluster)
+           UNION ALL SELECT run, cluster, i, v FROM cur
+           WHERE i = -1 OR NOT EXISTS (SELECT 1 FROM size z WHERE z.run = cur.run AND z.cluster = cur.cluster)),
+   step AS (SELECT run, max(abs(coalesce(a.v, 0) - coalesce(b.v, 0))) AS far FROM new a FULL JOIN cur b USING (run, cluster, i) GROUP BY run)
+   SELECT (SELECT max(it) FROM cur) + 1, new.run, cluster, i, v, far * unit > {opts.kmeans_tol} FROM new JOIN step USING (run), {n}_unit)),
+{n}_last AS MATERIALIZED (SELECT run, cluster, i, v FROM (SELECT *, max(it) OVER (PARTITION BY run) AS last FROM {n}_c) WHERE it = last),
+{n}_near AS MATERIALIZED ({nearest.format(n=n, c=f'{n}_last')}),
+{n}_run AS (SELECT run FROM {n}_near JOIN {n}_sq USING (pid) GROUP BY run ORDER BY sum(w * d), run LIMIT 1),
+{n}_best AS (SELECT cluster, i, v FROM {n}_last JOIN {n}_run USING (run)),
+{n}_label AS (SELECT id, cluster FROM {n}_id JOIN {n}_near USING (pid) JOIN {n}_run USING (run))"""
+
+
+_LONG = "SELECT vec_id AS id, unnest(generate_series(0, len(embedding) - 1)) AS i, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings"
+
+
+def kmeans_fit_sql(k: int, opts: Options) -> str:
+    return f"WITH RECURSIVE pt AS ({_LONG}),\n" + fit_cte("f", "pt", str(k), opts) + "\nSELECT id AS vec_id, cluster FROM f_label"
+
+
+def choose_k_sql(min_k: int, max_k: int, opts: Options) -> str:
+    """Each k below the number of points, scored over all pairs of points."""
+    fits = [fit_cte(f"f{k}", "pt", str(k), opts) for k in range(min_k, max_k + 1)]
+    labels = " UNION ALL ".join(f"SELECT {k} AS k, id, cluster FROM f{k}_label" for k in range(min_k, max_k + 1))
+    return f"WITH RECURSIVE pt AS ({_LONG}),\n" + ",\n".join(fits) + f""",
+lab AS MATERIALIZED ({labels}),
+{_PTS},
+pr AS MATERIALIZED (SELECT a.vec_id AS id, b.vec_id AS other, {_dist('a.x', 'b.x')} AS d FROM pts a, pts b),
+md AS (SELECT l.k, l.id, l.cluster AS la, m.cluster AS lb, avg(d) AS m, count(*) AS n
+       FROM pr JOIN lab l ON l.id = pr.id JOIN lab m ON m.id = pr.other AND m.k = l.k GROUP BY ALL),
+ab AS (SELECT k, id, max(CASE WHEN la = lb THEN (CASE WHEN n > 1 THEN m ELSE 0 END) END) AS a, min(CASE WHEN la <> lb THEN m END) AS b
+       FROM md GROUP BY k, id),
+sc AS (SELECT k, avg(CASE WHEN b IS NULL THEN -1 WHEN greatest(a, b) > 0 THEN (b - a) / greatest(a, b) ELSE 0 END) AS s FROM ab GROUP BY k)
+SELECT CAST(k AS BIGINT) AS k FROM sc WHERE k < (SELECT count(*) FROM embeddings) ORDER BY s DESC, k LIMIT 1"""
+
+
+def hybrid_cte(view: str, opts: Options) -> str:
+    """Adds ``cat``: rule groups, and the automatic groups of the remaining rows."""
+    name = D.AUTO_GROUP_FORMAT.format(n="@n@", label="@label@")
+    name = q(name).replace("@n@", "' || rn || '").replace("@label@", "' || label || '")
+    body = tfidf_sql(view, opts, "body").replace("WITH ", "WITH RECURSIVE ", 1)
+    return body + f""",
+hx AS (SELECT tm.row_id AS id, coalesce(v.idx, 0) AS i, coalesce(wn.weight, 0) AS x
+       FROM tm LEFT JOIN wn USING (row_id) LEFT JOIN vocab v USING (term)),
+{fit_cte('h', 'hx', f'least({opts.n_clusters}, (SELECT count(*) FROM tm))', opts)},
+hw AS (SELECT b.cluster, v.term, row_number() OVER (PARTITION BY b.cluster ORDER BY b.v DESC, v.term) AS rn
+       FROM h_best b JOIN vocab v ON v.idx = b.i WHERE b.v > 0),
+hl AS (SELECT c.cluster, coalesce(string_agg(term, ', ' ORDER BY rn) FILTER (WHERE rn <= {opts.top_keywords_per_cluster}), {q(D.MISC_LABEL)}) AS label
+       FROM (SELECT cluster FROM h_best WHERE i = -1) c LEFT JOIN hw USING (cluster) GROUP BY c.cluster),
+hs AS (SELECT cluster, count(*) AS n FROM h_label GROUP BY cluster),
+hn AS (SELECT cluster, label, row_number() OVER (ORDER BY coalesce(n, 0) DESC, label, cluster) AS rn FROM hl LEFT JOIN hs USING (cluster)),
+cat AS (SELECT d.*, coalesce({rule_case('ReasonText', opts)}, {name}) AS Category
+        FROM detail d LEFT JOIN h_label l ON l.id = d.row_id LEFT JOIN hn USING (cluster))"""
+
+
 # ---------------------------------------------------------------- k-means on embeddings
 _PTS = "pts AS (SELECT vec_id, label, list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS x FROM embeddings)"
 

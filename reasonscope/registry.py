@@ -7,6 +7,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from reasonscope import oracle as O
+from reasonscope.options import Options
 from reasonscope.session import literal_table
 from reasonscope.functions import text as T
 from reasonscope.operators import cluster as C
@@ -375,6 +376,11 @@ def q_categorize(spark, sf):
     return R.detail_report(detail, ordered=False)
 
 
+def q_categorize_sublinear(spark, sf):
+    detail, _ = categorize(_view(spark, sf, "turn"), _opts("turn", tfidf_profile="sublinear"))
+    return R.detail_report(detail, ordered=False)
+
+
 def q_cluster_sizes(spark, sf):
     detail, _ = categorize(_view(spark, sf, "order"), _opts("order"))
     return R.cluster_sizes(detail)
@@ -470,4 +476,13 @@ SELECT Category, count(*) AS Count FROM pc WHERE Category IS NOT NULL GROUP BY C
     sql["kmeans_lloyd"] = O.kmeans_sql(FIXED_K, LLOYD_STEPS, "assign")
     sql["kmeans_inertia"] = O.kmeans_sql(FIXED_K, 0, "inertia")
     sql["silhouette"] = O.silhouette_sql()
+    sql["kmeans_fit"] = O.kmeans_fit_sql(10, Options())
+    sql["choose_k"] = O.choose_k_sql(3, 8, Options())
+    columns = ("SELECT row_id, BorrowerName, EntityId, ActualRating, ModelRating, NotchDifference, OverrideFlag, "
+               "ReasonText, Category FROM cat")
+    sql["categorize"] = f"{O.hybrid_cte('order', o)}\n{columns}"
+    sql["categorize_sublinear"] = f"{O.hybrid_cte('turn', t.with_(tfidf_profile='sublinear'))}\n{columns}"
+    sql["cluster_sizes"] = (O.hybrid_cte("order", o) + "\nSELECT Category, count(*) AS Count FROM cat "
+                            "WHERE Category LIKE 'Auto Group %' GROUP BY Category")
+    sql["group_summary_hybrid"] = O.hybrid_cte("order", o) + O.summary_select(o)
     return sql
