@@ -29,17 +29,10 @@ def _in_list(col, values):
 
 
 def reason_tokens(reasons: DataFrame, opts: Options, text_col: str = "reason") -> DataFrame:
-    """(row_id, weight, tokens) per *distinct* text: row_id is the first row
-    holding the text, weight the number of rows holding it. Repeated texts
-    (templates, copies) are tokenized once; a hot text is combined map-side.
-    Every table below weighs rows by ``weight``, so the results equal those
-    over all rows."""
-    if not opts.dedupe_texts:
-        return reasons.select("row_id", F.lit(1).cast("long").alias("weight"),
-                              tokenize(text_col, opts.stopwords).alias("tokens"))
-    distinct = reasons.groupBy(text_col).agg(F.min("row_id").alias("row_id"),
-                                             F.count(F.lit(1)).alias("weight"))
-    return distinct.select("row_id", "weight", tokenize(text_col, opts.stopwords).alias("tokens"))
+    """(row_id, weight, tokens) of every row, made row-locally: no text is shuffled.
+    The tables below weigh rows by ``weight`` (1 here), so a caller may also pass
+    rows that stand for several equal ones."""
+    return reasons.select("row_id", F.lit(1).cast("long").alias("weight"), tokenize(text_col, opts.stopwords).alias("tokens"))
 
 
 def _weight(tok: DataFrame):
@@ -93,9 +86,10 @@ def word_frequency(counts: DataFrame, reasons: DataFrame, opts: Options) -> Data
     w = _weight(reasons) if "tokens" in reasons.columns else F.lit(1)
     total = reasons.select(F.sum(w).cast("double")).scalar()
     top = counts.orderBy(F.col("n").desc(), F.col("first")).limit(opts.word_frequency_rows)
-    share = F.col("df") / total
-    in_stop = _in_list("token", opts.stopwords)
-    return top.where(F.length("token") >= 3).select(
+    # a column of its own: the scalar subquery stands once in the plan
+    top = top.where(F.length("token") >= 3).withColumn("share", F.col("df") / total)
+    share, in_stop = F.col("share"), _in_list("token", opts.stopwords)
+    return top.select(
         F.col("token").alias("Word"),
         F.col("n").alias("TotalOccurrences"),
         F.col("df").alias("InNReasons"),
@@ -116,36 +110,20 @@ ABBREVIATION_PATTERN = "(?=[A-Z]{2})" + whole_word(D.ABBREVIATION_LETTERS, "A",
 
 
 def abbreviation_matches(reasons: DataFrame, text_col: str = "reason") -> DataFrame:
-    """Every case-sensitive 2-6 capital word: (row_id, pos, abbr, text)."""
-    m = reasons.select("row_id", F.col(text_col).alias("text"),
-                       F.regexp_extract_all(text_col, F.lit(ABBREVIATION_PATTERN), 0).alias("_m"))
+    """Every case-sensitive 2-6 capital word: (row_id, pos, abbr)."""
+    m = reasons.select("row_id", F.regexp_extract_all(text_col, F.lit(ABBREVIATION_PATTERN), 0).alias("_m"))
     return explode_positions(m, "_m", "pos", "abbr")
 
 
-def _first_rows_per_text(reasons: DataFrame, text_col: str, k: int) -> DataFrame:
-    """(row_id, text) for the first ``k`` rows of every distinct text. Once
-    a text's first k rows hold a match, every later row of that text comes
-    after k earlier example slots, so these rows decide the examples. The
-    limit runs as a partial WindowGroupLimit, so a hot text stays bounded."""
-    w = Window.partitionBy(text_col).orderBy("row_id")
-    return (reasons.select("row_id", text_col).withColumn("_r", F.row_number().over(w))
-            .where(F.col("_r") <= k).drop("_r"))
-
-
 def abbreviation_report(reasons: DataFrame, opts: Options, text_col: str = "reason") -> DataFrame:
     """Abbreviation candidates with up to 3 example texts (one per match,
-    first matches first), whether they are defined and their meaning.
-    Each distinct text is scanned once (with its first k rows)."""
+    first matches first), whether they are defined and their meaning. The
+    matches are ranked without the texts (a partial WindowGroupLimit, so a hot
+    abbreviation stays bounded); only the winners' texts are fetched, by row."""
     k = opts.abbreviation_examples
-    if opts.dedupe_texts:
-        firsts = _first_rows_per_text(reasons, text_col, k)
-        distinct = firsts.groupBy(text_col).agg(F.collect_list("row_id").alias("_rows"))   # <= k ids
-        scanned = abbreviation_matches(distinct.select(F.col("_rows").alias("row_id"), text_col), text_col)
-        m = scanned.select(F.explode("row_id").alias("row_id"), "text", "pos", "abbr")
-    else:
-        m = abbreviation_matches(reasons, text_col)
     w = Window.partitionBy("abbr").orderBy("row_id", "pos")
-    ranked = m.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k)
+    ranked = abbreviation_matches(reasons, text_col).withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k)
+    ranked = ranked.join(reasons.select("row_id", F.col(text_col).alias("text")), "row_id")
     ex = [F.max(F.when(F.col("rn") == i, F.col("text"))).alias(f"Example{i}") for i in range(1, 4)]
     agg = ranked.groupBy("abbr").agg(F.count(F.lit(1)).alias("ExampleCount"),
                                      F.min(F.struct("row_id", "pos")).alias("first"), *ex)

@@ -11,8 +11,8 @@ same idf and normalisation.
 
 The vocabulary is bounded by ``max_features`` and is the only thing that
 reaches the driver; weights are computed row-locally (MLlib
-CountVectorizerModel / ElementwiseProduct / Normalizer) or, for the long
-(row_id, term, weight) table, with one shuffle keyed by row.
+CountVectorizerModel / ElementwiseProduct / Normalizer), and the long
+(row_id, term, weight) table is read off those vectors: no row is shuffled.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from reasonscope.functions.regex import WORD_CLASS
 from reasonscope.functions.text import ngrams, tokenize
 from reasonscope.options import Options
-from reasonscope.session import bounded_broadcast
+from reasonscope.session import literal_table
 
 SUBLINEAR_TOKEN = WORD_CLASS + "{2,}"
 
@@ -66,12 +66,13 @@ def term_statistics(terms: DataFrame, weight_col: str | None = None) -> DataFram
     """Per term: document frequency and total count (one shuffle by term).
     With ``weight_col`` each row stands for that many identical rows."""
     w = F.col(weight_col).cast("long") if weight_col else F.lit(1).cast("long")
-    occ = (terms.select(F.explode_outer("terms").alias("term"), w.alias("_w")).where(F.col("term").isNotNull())
-           .select("term", F.col("_w").alias("_o"), F.lit(0).cast("long").alias("_d")))
-    docs = (terms.select(F.explode_outer(F.array_distinct("terms")).alias("term"), w.alias("_w"))
-            .where(F.col("term").isNotNull()).select("term", F.lit(0).cast("long").alias("_o"), F.col("_w").alias("_d")))
-    return occ.unionByName(docs).groupBy("term").agg(F.sum("_o").cast("long").alias("count"),
-                                                      F.sum("_d").cast("long").alias("df"))
+    marked = lambda arr, occ: F.transform(arr, lambda t: F.struct(t.alias("term"), F.lit(occ).alias("occ")))
+    # one generator over occurrences and distinct terms: the input is read once
+    both = F.concat(marked(F.col("terms"), True), marked(F.array_distinct("terms"), False))
+    rows = terms.select(F.explode_outer(both).alias("t"), w.alias("_w")).where(F.col("t.term").isNotNull())
+    return rows.groupBy(F.col("t.term").alias("term")).agg(
+        F.sum(F.when(F.col("t.occ"), F.col("_w")).otherwise(0)).cast("long").alias("count"),
+        F.sum(F.when(F.col("t.occ"), 0).otherwise(F.col("_w"))).cast("long").alias("df"))
 
 
 def vocabulary_table(terms: DataFrame, opts: Options, weight_col: str | None = None) -> DataFrame:
@@ -92,22 +93,13 @@ def build_vocabulary(terms: DataFrame, opts: Options, n_docs: int | None = None,
 
 def tfidf_long(terms: DataFrame, opts: Options) -> DataFrame:
     """(row_id, term, weight) for every in-vocabulary term of every row."""
-    vocab = vocabulary_table(terms, opts)
-    n_docs = terms.select(F.count(F.lit(1)).cast("double")).scalar()
-    idf = F.log((n_docs + 1) / (F.col("df") + 1)) + 1.0
-    # the vocabulary has at most max_features rows: a bounded broadcast
-    v = bounded_broadcast(vocab.select("term", idf.alias("idf")), opts.max_features)
-    # one shuffle by row: the count aggregation and both row windows reuse it
-    counts = (terms.repartition("row_id").select("row_id", F.explode_outer("terms").alias("term"))
-              .where(F.col("term").isNotNull())
-              .join(v, "term").groupBy("row_id", "term", "idf").agg(F.count(F.lit(1)).alias("c")))
-    if opts.tfidf_profile == "sublinear":
-        tf = 1.0 + F.log(F.col("c").cast("double"))
-    else:
-        tf = F.col("c") / F.sum("c").over(Window.partitionBy("row_id"))
-    w = counts.select("row_id", "term", (tf * F.col("idf")).alias("w"))
-    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("row_id")))
-    return w.select("row_id", "term", F.when(norm > 0, F.col("w") / norm).otherwise(F.col("w")).alias("weight"))
+    vocab = build_vocabulary(terms, opts)
+    if not vocab.terms:
+        return literal_table(terms.sparkSession, [], "row_id long, term string, weight double")
+    names = F.array(*[F.lit(t) for t in vocab.terms])     # <= max_features literals
+    rows = tfidf_features(terms, vocab, opts).select("row_id", F.posexplode(vector_to_array("features")).alias("i", "weight"))
+    # idf and term frequency of a present term are positive: zero means absent
+    return rows.where(F.col("weight") > 0).select("row_id", F.element_at(names, F.col("i") + 1).alias("term"), "weight")
 
 
 def tfidf_features(terms: DataFrame, vocab: Vocabulary, opts: Options, out_col: str = "features") -> DataFrame:

@@ -43,21 +43,27 @@ def first_n_distinct(df: DataFrame, keys: list[str], value_col: str, n: int, sep
     return first_n_from(firsts, keys, value_col, n, sep, out_col), firsts
 
 
-def distinct_texts(detail: DataFrame, keys: list[str], text_col: str = "ReasonText") -> DataFrame:
-    """(keys, text, first row, rows) per distinct text of a group; a hot text
-    is combined map-side. Samples and keywords both read it."""
-    return (detail.where(F.col(text_col).isNotNull()).groupBy(*keys, text_col)
-            .agg(F.min("row_id").alias("_first"), F.count(F.lit(1)).alias("_w")))
+def sample_texts(detail: DataFrame, keys: list[str], n: int, out_col: str, bound: int,
+                 text_col: str = "ReasonText") -> DataFrame:
+    """Per key group: the first ``n`` distinct texts in first-seen order, joined by
+    the sample separator. Texts are compared by their MD5; only the texts of the
+    winning rows (at most n for each of at most ``bound`` groups) are fetched."""
+    firsts = (detail.where(F.col(text_col).isNotNull()).groupBy(*keys, F.md5(text_col).alias("_digest"))
+              .agg(F.min("row_id").alias("row_id")))
+    w = Window.partitionBy(*keys).orderBy("row_id")
+    winners = firsts.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).select(*keys, "row_id", "_rn")
+    texts = detail.select(*keys, "row_id", text_col).join(bounded_broadcast(winners, n * bound), [*keys, "row_id"])
+    return texts.groupBy(*keys).agg(F.array_join(
+        F.transform(F.array_sort(F.collect_list(F.struct("_rn", text_col))), lambda x: x[text_col]), D.SAMPLE_SEPARATOR).alias(out_col))
 
 
-def top_tokens_from_texts(texts: DataFrame, keys: list[str], n: int, out_col: str, opts: Options,
-                          text_col: str = "ReasonText") -> DataFrame:
+def top_tokens(detail: DataFrame, keys: list[str], n: int, out_col: str, opts: Options,
+               text_col: str = "ReasonText") -> DataFrame:
     """Per key group: the ``n`` most frequent tokens, ties by first
-    appearance, joined by ', ', from distinct texts weighted by their rows
-    (a token first appears in the earliest first row of a text holding it)."""
-    toks = texts.select(*keys, F.col("_first").alias("row_id"), "_w", raw_tokens(text_col).alias("_t"))
-    counts = token_stats(toks, keys, "_t", stopwords=opts.stopwords, min_length=D.TOKEN_MIN_LENGTH,
-                         weight_col="_w").withColumnRenamed("n", "_n")
+    appearance, joined by ', '. Tokens are made row-locally and summed map-side."""
+    toks = detail.where(F.col(text_col).isNotNull()).select(*keys, "row_id", raw_tokens(text_col).alias("_t"))
+    counts = token_stats(toks, keys, "_t", stopwords=opts.stopwords,
+                         min_length=D.TOKEN_MIN_LENGTH).withColumnRenamed("n", "_n")
     w = Window.partitionBy(*keys).orderBy(F.col("_n").desc(), F.col("first_row"), F.col("first_rank"))
     ranked = counts.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n)
     return (ranked.groupBy(*keys)
@@ -65,13 +71,6 @@ def top_tokens_from_texts(texts: DataFrame, keys: list[str], n: int, out_col: st
                                           lambda x: x["token"]), D.KEYWORD_SEPARATOR).alias(out_col)))
 
 
-def top_tokens(detail: DataFrame, keys: list[str], n: int, out_col: str, opts: Options,
-               text_col: str = "ReasonText") -> DataFrame:
-    """Per key group: the ``n`` most frequent tokens, ties by first
-    appearance, joined by ', '."""
-    return top_tokens_from_texts(distinct_texts(detail, keys, text_col), keys, n, out_col, opts, text_col)
-
-
 def medians(detail: DataFrame) -> DataFrame:
     """Exact median notch per category: rows are counted per value first, and a
     running sum over the distinct values finds the middle."""
@@ -103,13 +102,10 @@ def group_summary(detail: DataFrame, opts: Options, ordered: bool = True) -> Dat
     ents, ent_firsts = first_n_distinct(detail, ["Category"], "EntityId", opts.max_entity_ids,
                                         D.ENTITY_SEPARATOR, "EntityIds")
     uniq = ent_firsts.groupBy("Category").agg(F.count(F.lit(1)).alias("UniqueBorrowers"))
-    # one aggregation per (category, text) feeds both the samples and the keywords
-    texts = distinct_texts(detail, ["Category"])
-    samples = first_n_from(texts.select("Category", "ReasonText", "_first"), ["Category"], "ReasonText",
-                           opts.max_sample_reasons, D.SAMPLE_SEPARATOR, "SampleReasons")
-    kws = top_tokens_from_texts(texts, ["Category"], opts.summary_keywords, "TopKeywords", opts)
     # one row per category: at most (#rule groups + #clusters + 1) rows
     bound = len(opts.priority_groups) + opts.n_clusters + 1
+    samples = sample_texts(detail, ["Category"], opts.max_sample_reasons, "SampleReasons", bound)
+    kws = top_tokens(detail, ["Category"], opts.summary_keywords, "TopKeywords", opts)
     out = stats
     for small in (medians(detail), uniq, ents, samples, kws):
         out = out.join(bounded_broadcast(small, bound), "Category", "left")
@@ -133,18 +129,17 @@ ROLLUP_COLUMNS = ("Category", "EntityId", "BorrowerName", "OverrideCount", "AvgN
 def entity_rollup(detail: DataFrame, opts: Options, ordered: bool = True) -> DataFrame:
     """One row per (Category, EntityId), a null entity being its own group:
     up to 3 distinct names in first-seen order, row count, mean notch."""
-    keys = ["Category", "EntityId"]
-    base = detail.groupBy(*keys).agg(
+    # one struct key, never null itself: nulls inside it are equal, and the join
+    # finds both aggregations already dealt out by it
+    keyed = detail.select(F.struct("Category", "EntityId").alias("_key"), "row_id", "NotchDifference",
+                          F.col("BorrowerName").cast("string").alias("BorrowerName"))
+    base = keyed.groupBy("_key").agg(
         F.count(F.lit(1)).alias("OverrideCount"),
         rint_round(F.avg("NotchDifference"), 2).alias("AvgNotchDiff"),
     )
-    names_src = detail.select(*keys, "row_id", F.col("BorrowerName").cast("string").alias("BorrowerName"))
-    names, _ = first_n_distinct(names_src, keys, "BorrowerName", opts.rollup_names, D.NAME_SEPARATOR,
-                                "_names")
-    cond = [base["Category"].eqNullSafe(names["Category"]), base["EntityId"].eqNullSafe(names["EntityId"])]
-    out = base.join(names, cond, "left").select(
-        base["Category"], base["EntityId"],
-        F.coalesce(names["_names"], F.lit("")).alias("BorrowerName"),
+    names, _ = first_n_distinct(keyed, ["_key"], "BorrowerName", opts.rollup_names, D.NAME_SEPARATOR, "_names")
+    out = base.join(names, "_key", "left").select(
+        "_key.Category", "_key.EntityId", F.coalesce("_names", F.lit("")).alias("BorrowerName"),
         "OverrideCount", "AvgNotchDiff")
     if ordered:
         out = out.orderBy(F.col("Category").asc_nulls_last(), F.col("OverrideCount").desc(),

@@ -64,11 +64,10 @@ class Options:
     summary_keywords: int = D.SUMMARY_KEYWORDS
     rollup_names: int = D.ROLLUP_NAMES_PER_CELL
 
-    # explore
-    # tokenize / scan / fit each distinct text once (weights keep every count
-    # and every Lloyd step exact); worth it for repetitive comments, a
-    # needless shuffle of the text for corpora of unique documents
+    # fit equal points once, weighted (the fit is exact, so the result is the same)
     dedupe_texts: bool = True
+
+    # explore
     abbreviation_examples: int = D.ABBREVIATION_EXAMPLES
     stem_min_variants: int = D.STEM_MIN_VARIANTS
     collocation_top_n: int = D.COLLOCATION_TOP_N

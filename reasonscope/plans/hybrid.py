@@ -43,22 +43,19 @@ def cluster_unmatched(ruled: DataFrame, opts: Options):
     n = termed.count()
     if n == 0:
         return ruled, None
-    # Identical texts give identical term lists and vectors: the distinct
-    # lists with their counts (a hot text is combined map-side) feed both the
-    # vocabulary (df and counts as weighted sums, exact) and the fit (Lloyd
-    # steps on weighted points equal those on the repeated rows).
-    if opts.dedupe_texts:
-        distinct = termed.groupBy("terms").agg(F.count(F.lit(1)).cast("double").alias("_weight"))
-    else:
-        distinct = termed.select("terms", F.lit(1.0).alias("_weight"))
-    distinct = distinct.persist(StorageLevel.MEMORY_AND_DISK)
-    vocab = build_vocabulary(distinct, opts, n_docs=n, weight_col="_weight")
+    vocab = build_vocabulary(termed, opts, n_docs=n)
     if not vocab.terms:
         # every remaining row is a zero vector: a single group
-        distinct.unpersist()
         name = D.AUTO_GROUP_FORMAT.format(n=1, label=D.MISC_LABEL)
         out = matched.unionByName(unmatched.withColumn("Category", F.lit(name)))
         return out, CategorizeModel(vocab, None, {0: name}, {0: n}, 1)
+    # a vector depends on the row's vocabulary terms alone: only those are shuffled to
+    # find the distinct points, with their rows as weights (a hot one is combined map-side)
+    inside = termed.select(F.filter("terms", lambda t: t.isin(vocab.terms)).alias("terms"))
+    if opts.dedupe_texts:
+        distinct = inside.groupBy(F.array_sort("terms").alias("terms")).agg(F.count(F.lit(1)).cast("double").alias("_weight"))
+    else:
+        distinct = inside.select("terms", F.lit(1.0).alias("_weight"))
     points = tfidf_features(distinct, vocab, opts).select("features", "_weight").persist(StorageLevel.MEMORY_AND_DISK)
     k = min(opts.n_clusters, n)
     fit_kw = dict(n_init=opts.kmeans_n_init, seed=opts.kmeans_seed, max_iter=opts.kmeans_max_iter,
@@ -67,7 +64,6 @@ def cluster_unmatched(ruled: DataFrame, opts: Options):
         _, model = choose_k(points, n, "features", opts.min_k, opts.n_clusters, **fit_kw)
     else:
         model = fit_kmeans(points, k, "features", **fit_kw)
-    distinct.unpersist()
     centers = [list(map(float, c)) for c in model.clusterCenters()]
     labels = {i: label_for_center(c, vocab.terms, opts.top_keywords_per_cluster) for i, c in enumerate(centers)}
     # every row is assigned row-locally (no join back to the distinct texts);

@@ -234,8 +234,7 @@ def q_summary_entity_ids(spark, sf):
 
 def q_summary_samples(spark, sf):
     d, opts = _detail_rules(spark, sf, "turn")
-    out, _ = R.first_n_distinct(d, ["Category"], "ReasonText", opts.max_sample_reasons, " | ", "SampleReasons")
-    return out
+    return R.sample_texts(d, ["Category"], opts.max_sample_reasons, "SampleReasons", len(opts.priority_groups) + 1)
 
 
 def q_summary_keywords(spark, sf):
