@@ -165,26 +165,24 @@ def _batches(batches: Iterator[pa.RecordBatch], unit: float) -> Iterator[tuple[n
             yield _grid(flat.reshape(batch.num_rows, -1), unit), batch.column("w").to_numpy().astype(np.int64)
 
 
-def _seed_rows(unit: float, k: int, runs: int, seed: int):
-    """Each partition's k distinct points of smallest hash, for each restart. The
-    hash is the MD5 of "seed|index:value,..." over the nonzero grid coordinates."""
+def _seed_rows(unit: float, n: int, seed: int):
+    """Each partition's n distinct points of smallest hash: the MD5 of
+    "seed|index:value,..." over the nonzero grid coordinates."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: list[dict[int, bytes]] = [{} for _ in range(runs)]
+        best: dict[int, bytes] = {}
+        worst = 0
         for points, _ in _batches(batches, unit):
             for point in points + 0.0:   # no negative zero
                 at = np.flatnonzero(point)
                 text = ",".join(f"{i}:{v}" for i, v in zip(at.tolist(), point[at].astype(np.int64).tolist()))
-                for r in range(runs):
-                    value = int(md5(f"{seed + r}|{text}".encode()).hexdigest()[:SEED_DIGITS], 16)
-                    if len(best[r]) >= k and value >= max(best[r]):
-                        continue
-                    best[r][value] = point.tobytes()
-                    if len(best[r]) > k:
-                        del best[r][max(best[r])]
-        rows = [(r, value, point) for r, chosen in enumerate(best) for value, point in chosen.items()]
-        columns = list(zip(*rows)) or [(), (), ()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.binary()))],
-                                         names=["run", "value", "point"])
+                value = int(md5(f"{seed}|{text}".encode()).hexdigest()[:SEED_DIGITS], 16)
+                if value < worst or len(best) < n:
+                    best[value] = point.tobytes()
+                    if len(best) > n:
+                        del best[max(best)]
+                    worst = max(best)
+        yield pa.RecordBatch.from_arrays([pa.array(list(best), pa.int64()), pa.array(list(best.values()), pa.binary())],
+                                         names=["value", "point"])
     return run
 
 
@@ -227,8 +225,9 @@ def _step(arrays: DataFrame, unit: float, centers: dict[int, np.ndarray]) -> dic
 def fit_kmeans(points: DataFrame, k: int, features_col: str = "features", n_init: int = D.KMEANS_N_INIT,
                seed: int = D.KMEANS_SEED, max_iter: int = D.KMEANS_MAX_ITER, tol: float = D.KMEANS_TOL,
                weight_col: str | None = None) -> FittedKMeans:
-    """K-Means with ``n_init`` restarts, each from the k distinct points with the
-    smallest hash of (seed + restart, point). One pass over the points makes the
+    """K-Means with ``n_init`` restarts. In the order of a hash of (seed, point) each
+    restart starts from the next k distinct points (from the first again when they
+    run out), so restarts don't repeat each other's seeds. One pass over the points makes the
     Lloyd step of all restarts that still move; an empty cluster keeps its center.
     The lowest inertia wins, ties to the earlier restart.
 
@@ -244,11 +243,10 @@ def fit_kmeans(points: DataFrame, k: int, features_col: str = "features", n_init
     arrays = arrays.coalesce(1 + rows * (width or 1) * 8 // BLOCK_BYTES)
     unit = 2.0 ** (int(np.ceil(np.log2(top) - 1e-9)) - GRID_BITS)   # rows of norm 1 give one grid, whatever their last bit
     runs = max(1, n_init)
-    first = Window.partitionBy("run").orderBy("value")
-    seeds = (arrays.mapInArrow(_seed_rows(unit, k, runs, seed), "run int, value long, point binary")
-             .dropDuplicates(["run", "value"]).withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= k)
-             .orderBy("run", "rank").collect())       # at most restarts x k rows
-    centers = {r: np.array([np.frombuffer(bytes(s["point"])) for s in seeds if s["run"] == r]) for r in range(runs)}
+    seeds = (arrays.mapInArrow(_seed_rows(unit, runs * k, seed), "value long, point binary")
+             .dropDuplicates(["value"]).orderBy("value").limit(runs * k).collect())       # restarts x k rows
+    grid = [np.frombuffer(bytes(s["point"])) for s in seeds]
+    centers = {r: np.array([grid[(r * k + i) % len(grid)] for i in range(min(k, len(grid)))]) for r in range(runs)}
     moving = dict(centers)
     for _ in range(max_iter):
         if not moving:

@@ -28,13 +28,22 @@ def _in_list(col, values):
     return F.col(col).isin(values) if values else F.lit(False)
 
 
-def reason_tokens(reasons: DataFrame, opts: Options, text_col: str = "reason") -> DataFrame:
-    """(row_id, weight, tokens) of every row, made row-locally: no text is shuffled.
-    The tables below weigh rows by ``weight`` (1 here), so a caller may also pass
-    rows that stand for several equal ones."""
+def row_tokens(reasons: DataFrame, opts: Options, text_col: str = "reason") -> DataFrame:
+    """(row_id, weight, tokens) of every row, made row-locally: no text is shuffled."""
     return reasons.select("row_id", F.lit(1).cast("long").alias("weight"), tokenize(text_col, opts.stopwords).alias("tokens"))
 
 
+def reason_tokens(reasons: DataFrame, opts: Options, text_col: str = "reason") -> DataFrame:
+    """``row_tokens`` of each *distinct* text once: row_id is the first row holding
+    the text, weight the rows holding it. The tables below weigh rows by ``weight``,
+    so both give the same results; this one shuffles the texts, and is for callers
+    with short, much repeated comments (the Explore job uses ``row_tokens``)."""
+    if not opts.dedupe_texts:
+        return row_tokens(reasons, opts, text_col)
+    distinct = reasons.groupBy(text_col).agg(F.min("row_id").alias("row_id"), F.count(F.lit(1)).alias("weight"))
+    return distinct.select("row_id", "weight", tokenize(text_col, opts.stopwords).alias("tokens"))
+
+
 def _weight(tok: DataFrame):
     return F.col("weight") if "weight" in tok.columns else F.lit(1).cast("long")
 

@@ -25,6 +25,15 @@ def map_fields(df: DataFrame, opts: Options) -> DataFrame:
     return out
 
 
+def flag_text(df: DataFrame):
+    """The flag in its canonical form; a whole number in a floating-point column
+    reads without its fraction (1.0 is "1", as the sheet shows it)."""
+    flag = F.col("override_flag")
+    if df.schema["override_flag"].dataType.typeName() in ("double", "float"):
+        flag = F.when(flag == F.floor(flag), flag.cast("decimal(38,0)").cast("string")).otherwise(flag.cast("string"))
+    return canon_flag(flag)
+
+
 def flag_predicate(flag_col, opts: Options):
     return F.col(flag_col).isin(list(opts.override_yes_values))
 
@@ -46,7 +55,7 @@ def prepare_comments(df: DataFrame, opts: Options, clean: bool = True) -> DataFr
         F.col("actual_rating").alias("ActualRating"),
         F.col("model_rating").alias("ModelRating"),
         coerce_notch(F.col("notch_difference").cast("string")).alias("NotchDifference"),
-        canon_flag("override_flag").alias("OverrideFlag"),
+        flag_text(src).alias("OverrideFlag"),
         F.col("reason_text").cast("string").alias("ReasonText"),
     )
     if opts.only_override_rows:
@@ -64,7 +73,7 @@ def explore_reasons(df: DataFrame, opts: Options) -> DataFrame:
     src = map_fields(df, opts)
     reason = python_strip(F.coalesce(F.col("reason_text").cast("string"), F.lit("")))
     out = src.select(F.col(opts.row_id_col).alias("row_id"), reason.alias("reason"),
-                     canon_flag("override_flag").alias("flag"))
+                     flag_text(src).alias("flag"))
     cond = F.length("reason") >= opts.min_reason_length
     if opts.only_override_rows:
         cond = cond & flag_predicate("flag", opts)

@@ -430,9 +430,11 @@ def fit_cte(name: str, weights: str, k: str, opts: Options) -> str:
 {n}_g AS MATERIALIZED (SELECT o.pid, g.i, g.v, o.w FROM {n}_one o JOIN {n}_grid g USING (id) WHERE g.v <> 0),
 {n}_sq AS MATERIALIZED (SELECT o.pid, any_value(o.w) AS w, sum(coalesce(g.v, 0) * coalesce(g.v, 0)) AS sq
                         FROM {n}_one o LEFT JOIN {n}_g g USING (pid) GROUP BY o.pid),
-{n}_hash AS (SELECT run, pid, row_number() OVER (PARTITION BY run ORDER BY CAST('0x' || substr(md5(({opts.kmeans_seed} + run) || '|' || pid), 1, 15) AS BIGINT)) AS rn
-             FROM {n}_one, range({opts.kmeans_n_init}) t(run)),
-{n}_seed AS (SELECT run, rn - 1 AS cluster, pid FROM {n}_hash WHERE rn <= {k}),
+{n}_hash AS (SELECT pid, row_number() OVER (ORDER BY CAST('0x' || substr(md5({opts.kmeans_seed} || '|' || pid), 1, 15) AS BIGINT)) AS rn
+             FROM {n}_one),
+{n}_size AS (SELECT {k} AS k, least(count(*), {opts.kmeans_n_init} * {k}) AS m FROM {n}_one),
+{n}_seed AS (SELECT run, s.cluster, pid FROM {n}_size, range({opts.kmeans_n_init}) t(run), range(1024) s(cluster), {n}_hash
+             WHERE s.cluster < least(k, m) AND rn = (run * k + s.cluster) % m + 1),
 {n}_c AS (
   SELECT 0 AS it, run, cluster, i, v, true AS moving
   FROM (SELECT run, cluster, CAST(-1 AS BIGINT) AS i, CAST(0 AS BIGINT) AS v FROM {n}_seed

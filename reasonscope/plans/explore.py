@@ -19,7 +19,7 @@ def run_explore(df: DataFrame, opts: Options, persist: bool = True) -> dict[str,
     persisted because every table reads them.
     """
     reasons = explore_reasons(df, opts)
-    tok = X.reason_tokens(reasons, opts)
+    tok = X.row_tokens(reasons, opts)
     counts = X.word_counts(tok)
     if persist:
         tok = materialize(tok, opts.materialize)

@@ -45,7 +45,7 @@ def _detail_rules(spark, sf, view):
 def _reasons_tok(spark, sf, view):
     opts = _opts(view)
     reasons = explore_reasons(_view(spark, sf, view), opts)
-    tok = X.reason_tokens(reasons, opts)
+    tok = X.row_tokens(reasons, opts)
     return reasons, tok, X.word_counts(tok), opts
 
 

@@ -82,3 +82,13 @@ def test_plans_have_no_python_udf_or_cartesian(spark):
         plan = E.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert "BatchEvalPython" not in plan and "CartesianProduct" not in plan, name
         assert "BroadcastNestedLoopJoin" not in plan, name
+
+
+def test_whole_number_flags_in_a_float_column(spark):
+    from pyspark.sql import functions as F
+    from reasonscope.operators.prepare import explore_reasons, prepare_comments
+    rows = comments(spark, [(i, "n", "e", "0", "Y", "alpha beta") for i in range(4)]).withColumn(
+        "override_flag", F.element_at(F.array(F.lit(1.0), F.lit(0.0), F.lit(1.5), F.lit(None).cast("double")), F.col("row_id").cast("int") + 1))
+    opts = Options().with_(override_yes_values=("1",))
+    assert [r["row_id"] for r in prepare_comments(rows, opts).collect()] == [0]
+    assert [r["row_id"] for r in explore_reasons(rows, opts).collect()] == [0]
