@@ -18,6 +18,11 @@ streams over them with the state of one anchor and forms no pairs:
   document of each stretch extends word by word: its windows are compared one by
   one, again as sorted rows. (A later document with an equal stretch is settled.)
 
+Both kinds of rows are judged inside each block of texts (about 1 MB) first. A block
+sends the task of an anchor at most the smallest document of two stretches, and the
+task of a window its smallest document, however common they are; rows it has settled
+go through the same exchange dealt out by document.
+
 Overlapping matched windows join into maximal repeats; every kept one has at least
 ``window`` words. All hashes compared together have 128 bits.
 
@@ -47,6 +52,8 @@ ANCHOR = 4
 _LAST = 2**63 - 1
 _SIG_BASE = 0xC2B2AE3D27D4EB4F
 _RESULTS = ("n_words", "n_removed", "kept_text")
+_ROWS = "a long, b long, _key long, state byte"
+OPEN, REPEAT, ASKED = np.int8(0), np.int8(1), np.int8(2)
 
 
 def _anchors(h: np.ndarray, span: int) -> np.ndarray:
@@ -94,11 +101,24 @@ class _Stretches:
                                      + (self.last - first).astype(np.uint64)))
 
 
-def _distinct_rows(a: np.ndarray, b: np.ndarray, keys: np.ndarray) -> pa.RecordBatch:
-    """Each (a, b, key) of a block once: a text that repeats itself sends one row."""
-    _, at = np.unique(mix(a + mix(b + mix(keys.view(np.uint64)))), return_index=True)
-    return pa.RecordBatch.from_arrays([pa.array(a[at].view(np.int64)), pa.array(b[at].view(np.int64)), pa.array(keys[at])],
-                                      names=["a", "b", "_key"])
+def _sent_rows(a: np.ndarray, b: np.ndarray, keys: np.ndarray, ask: bool) -> pa.RecordBatch:
+    """The rows (a, b, _key, state) of a block, each once, judged as far as the block
+    can: rows whose (a, b) a smaller document of the block has are ``REPEAT``. With
+    ``ask``, the first rows of an ``a``'s third and further ``b`` are ``ASKED``: the
+    first two tell the task of ``a`` that there are several. All others are ``OPEN``."""
+    order = np.lexsort((keys, b, a))
+    a, b, keys = a[order], b[order], keys[order]
+    new_a, new_b, new = np.ones(len(a), bool), np.ones(len(a), bool), np.ones(len(a), bool)
+    new_a[1:] = a[1:] != a[:-1]
+    new_b[1:] = new_a[1:] | (b[1:] != b[:-1])
+    new[1:] = new_b[1:] | (keys[1:] != keys[:-1])
+    state = np.where(new_b, OPEN, REPEAT).astype(np.int8)
+    if ask:
+        nth = np.cumsum(new_b)
+        nth -= nth[np.flatnonzero(new_a)][np.cumsum(new_a) - 1] if len(a) else 0
+        state[new_b & (nth > 1)] = ASKED
+    return pa.RecordBatch.from_arrays([pa.array(a[new].view(np.int64)), pa.array(b[new].view(np.int64)), pa.array(keys[new]),
+                                       pa.array(state[new])], names=["a", "b", "_key", "state"])
 
 
 def _seed_rows(window: int):
@@ -107,45 +127,49 @@ def _seed_rows(window: int):
             keys, texts = batch.column("_key").to_numpy(), utf8(batch.column(1))
             for b, e in blocks(texts):
                 s = _Stretches(Words(texts[b:e], versions=2), window)
-                yield _distinct_rows(s.anchor, s.sig, keys[b:e][s.doc])
+                yield _sent_rows(s.anchor, s.sig, keys[b:e][s.doc], True)
     return run
 
 
 def _later(batches: Iterator[pa.RecordBatch], ask: bool) -> Iterator[pa.RecordBatch]:
     """Over rows sorted by (a, b, _key): the rows whose (a, b) a smaller document
     also has (``whole``). With ``ask``, also the first row of each (a, b) whose
-    ``a`` has several ``b``, to be extended window by window (``whole`` false)."""
+    ``a`` has several ``b``, to be extended window by window (``whole`` false).
+    Rows judged in their block pass through."""
     prev = None  # the last row's a, b and least key; the first b's row until a second b comes
     pending = None
     for batch in batches:
-        a, b, k = (batch.column(c).to_numpy() for c in ("a", "b", "_key"))
-        if not len(a):
-            continue
-        new_a, new_b = np.ones(len(a), bool), np.ones(len(a), bool)
-        new_a[1:] = a[1:] != a[:-1]
-        new_b[1:] = new_a[1:] | (b[1:] != b[:-1])
-        if prev is not None:
-            new_a[0] = a[0] != prev[0]
-            new_b[0] = new_a[0] or b[0] != prev[1]
-        at = np.flatnonzero(new_b)
-        group = np.cumsum(new_b) - 1
-        least = np.append(k[at], 0)[group]
-        least[group < 0] = prev[2] if prev is not None else 0
-        repeat = k > least
-        out_a, out_b, out_k, out_w = [a[repeat]], [b[repeat]], [k[repeat]], [np.ones(int(repeat.sum()), bool)]
-        if ask:
-            more = new_b & ~new_a                       # a further b of its a: asked for
-            follow = np.zeros(len(at), bool)            # a first b with another behind it
-            follow[:-1] = more[at[1:]]
-            wanted = at[more[at] | follow]
-            if pending is not None and len(at) and more[at[0]]:
-                out_a.append(np.array([pending[0]])), out_b.append(np.array([pending[1]]))
-                out_k.append(np.array([pending[2]])), out_w.append(np.zeros(1, bool))
-            out_a.append(a[wanted]), out_b.append(b[wanted]), out_k.append(k[wanted])
-            out_w.append(np.zeros(len(wanted), bool))
-            if len(at):
-                pending = (a[at[-1]], b[at[-1]], k[at[-1]]) if new_a[at[-1]] else None
-        prev = (a[-1], b[-1], least[-1])
+        a, b, k, state = (batch.column(c).to_numpy() for c in ("a", "b", "_key", "state"))
+        done, still = state != OPEN, state == OPEN
+        out_a, out_b, out_k, out_w = [a[done]], [b[done]], [k[done]], [state[done] == REPEAT]
+        a, b, k = a[still], b[still], k[still]
+        if len(a):
+            new_a, new_b = np.ones(len(a), bool), np.ones(len(a), bool)
+            new_a[1:] = a[1:] != a[:-1]
+            new_b[1:] = new_a[1:] | (b[1:] != b[:-1])
+            if prev is not None:
+                new_a[0] = a[0] != prev[0]
+                new_b[0] = new_a[0] or b[0] != prev[1]
+            at = np.flatnonzero(new_b)
+            group = np.cumsum(new_b) - 1
+            least = np.append(k[at], 0)[group]
+            least[group < 0] = prev[2] if prev is not None else 0
+            repeat = k > least
+            out_a.append(a[repeat]), out_b.append(b[repeat]), out_k.append(k[repeat])
+            out_w.append(np.ones(int(repeat.sum()), bool))
+            if ask:
+                more = new_b & ~new_a                       # a further b of its a: asked for
+                follow = np.zeros(len(at), bool)            # a first b with another behind it
+                follow[:-1] = more[at[1:]]
+                wanted = at[more[at] | follow]
+                if pending is not None and len(at) and more[at[0]]:
+                    out_a.append(np.array([pending[0]])), out_b.append(np.array([pending[1]]))
+                    out_k.append(np.array([pending[2]])), out_w.append(np.zeros(1, bool))
+                out_a.append(a[wanted]), out_b.append(b[wanted]), out_k.append(k[wanted])
+                out_w.append(np.zeros(len(wanted), bool))
+                if len(at):
+                    pending = (a[at[-1]], b[at[-1]], k[at[-1]]) if new_a[at[-1]] else None
+            prev = (a[-1], b[-1], least[-1])
         columns = [np.concatenate(x) for x in (out_a, out_b, out_k, out_w)]
         if len(columns[0]):
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["a", "b", "_key", "whole"])
@@ -191,7 +215,7 @@ def _window_rows(window: int, text_col: str):
                     continue
                 at = _spans(s.first[hit], s.last[hit], len(words))
                 _, wa, wb = _hashed_windows(words, window)
-                yield _distinct_rows(wa[at], wb[at], keys[b:e][words.doc[at]])
+                yield _sent_rows(wa[at], wb[at], keys[b:e][words.doc[at]], False)
     return run
 
 
@@ -262,10 +286,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     joined by one space)."""
     source = without(docs, (*_RESULTS, "_key", "_whole", "_asked", "_single"))
     texts = source.withColumn("_key", F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)))
-    seeds = texts.select("_key", text_col).mapInArrow(_seed_rows(window), "a long, b long, _key long")
+    seeds = texts.select("_key", text_col).mapInArrow(_seed_rows(window), _ROWS)
 
     def verdicts(rows: DataFrame, judge) -> DataFrame:
-        return rows.repartition("a").sortWithinPartitions("a", "b", "_key").mapInArrow(
+        # rows judged in their block are spread by document, not sent to the task of a
+        place = F.when(F.col("state") == int(OPEN), F.col("a")).otherwise(F.col("_key"))
+        return rows.repartition(place).sortWithinPartitions("a", "b", "_key").mapInArrow(
             judge, "a long, b long, _key long, whole boolean")
 
     def pairs(condition: Column) -> Column:
@@ -276,7 +302,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         pairs(F.col("whole")).alias("_whole"), pairs(~F.col("whole")).alias("_asked"))
     # both consumers take this join with all its columns, so its two exchanges are made once
     joined = texts.join(lists.hint("shuffle_hash"), "_key", "left")
-    singles = verdicts(joined.mapInArrow(_window_rows(window, text_col), "a long, b long, _key long"), _window_verdicts)
+    singles = verdicts(joined.mapInArrow(_window_rows(window, text_col), _ROWS), _window_verdicts)
     found = singles.groupBy("_key").agg(pairs(F.col("whole")).alias("_single"))
     schema = extended(source.schema, StructField("n_words", LongType()), StructField("n_removed", LongType()),
                       StructField("kept_text", StringType()))

@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
@@ -57,6 +58,33 @@ def test_substring_dedup_partial_overlaps(spark):
     assert got == brute_removal(rows) and any(x[2] for x in got)
 
 
+@pytest.mark.parametrize("partitions", [1, 4, 40])
+def test_substring_dedup_common_anchors(spark, partitions):
+    """Phrases in most documents, in few and in many surroundings, over few and many blocks."""
+    r = random.Random(partitions)
+    noise = lambda n: [f"n{r.randrange(10**6)}" for _ in range(n)]
+    phrase, passage = [f"p{i}" for i in range(11)], [f"q{i}" for i in range(30)]
+    sides = [noise(6) for _ in range(5)]
+    rows = []
+    for i in range(150):
+        a = r.randrange(18)
+        w = noise(3) + r.choice(sides) + phrase + r.choice(sides) + noise(2) + passage[a:a + r.randint(8, 30)]
+        rows.append((i // 2 if i % 10 == 0 else 1000 - i, " ".join(w + (r.choice(rows)[1].split()[:r.randint(5, 40)] if rows else []))))
+    got = sorted(((x.doc_id, x.n_words, x.n_removed, x.kept_text) for x in
+                  substring_dedup.remove_repeats(table(spark, rows, partitions)).collect()), key=str)
+    assert got == brute_removal(rows) and sum(x[2] for x in got) > 1000
+
+
+def test_a_block_sends_few_rows_of_a_common_anchor():
+    n = 5000
+    a, keys = np.full(n, 7, np.uint64), np.arange(n, dtype=np.int64)[::-1].copy()
+    one = substring_dedup._sent_rows(a, a, keys, True).to_pydict()
+    assert [k for k, s in zip(one["_key"], one["state"]) if s == 0] == [0] and one["state"].count(1) == n - 1
+    many = substring_dedup._sent_rows(a, np.arange(n, dtype=np.uint64), keys, True).to_pydict()
+    assert many["state"].count(0) == 2 and many["state"].count(2) == n - 2
+    assert substring_dedup._sent_rows(a, a, np.zeros(n, np.int64), True).num_rows == 1
+
+
 def test_substring_dedup_empty(spark):
     assert substring_dedup.remove_repeats(spark.createDataFrame([], SCHEMA)).count() == 0
 
