@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -55,6 +57,24 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or configured
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application, through
+    Spark's own file distribution. Workers need it where the package isn't
+    installed on the executors or the driver was started in another folder."""
+    sc, package = spark.sparkContext, Path(__file__).resolve().parent
+    if sc.applicationId in _SHIPPED or not package.is_dir():  # in a zip: shipped by the user
+        return
+    archive = Path(tempfile.mkdtemp(prefix="reasonscope-ship-")) / f"{package.name}.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for source in sorted(package.rglob("*.py")):
+            z.write(source, source.relative_to(package.parent))
+    sc.addPyFile(str(archive))
+    _SHIPPED.add(sc.applicationId)
+
+
 def materialize(df: DataFrame, mode: str = "persist") -> DataFrame:
     """Keep an intermediate result that several consumers read.
 
