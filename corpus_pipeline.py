@@ -15,7 +15,7 @@ from reasonscope.llm.packing import pack
 from reasonscope.llm.quality import judge
 from reasonscope.llm.simhash import keep_first
 from reasonscope.llm.substring_dedup import remove_repeats
-from reasonscope.session import ensure_checkpoint_dir
+from reasonscope.session import ensure_checkpoint_dir, ship_package
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,6 +48,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
     folder = f"{ensure_checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (_, stage) in enumerate(STAGES):

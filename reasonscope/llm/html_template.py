@@ -65,9 +65,12 @@ DROPPED_WORDS = {"ad", "ads", "advert", "adverts", "advertisement", "advertising
                  "newsletter", "nav", "navbar", "navigation", "menu", "menus", "breadcrumb", "breadcrumbs", "sidebar", "side", "aside",
                  "footer", "header", "masthead", "topbar", "comment", "comments", "reply", "replies", "disqus", "discussion", "share",
                  "sharing", "social", "related", "recommended", "login", "signup", "search", "complementary", "contentinfo", "skip"}
+# Whole classes or ids of article elements that aren't the page's article.
+DROPPED_ARTICLES = {"comment", "comments", "reply", "ad", "advert", "advertisement", "sponsored", "promo", "related", "recommended"}
 
+# Quotes count behind "=" only (<p title=it's> is a tag); possessive, so that an unclosed tag is read once.
 _MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(" + "|".join(RAW) + r")\b[^>]*>.*?(?:</\1\s*>|\Z)"
-                     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z/][^>]*\Z", re.S | re.I)
+                     r"|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*+(?:\"[^\"]*+\"|'[^']*+')|[^>])*+)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z/][^>]*\Z", re.S | re.I)
 _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _WORD = re.compile(r"[a-z]+")
 _NODES: dict[tuple[str, str], tuple[str, bool, bool]] = {}
@@ -77,12 +80,14 @@ def _node(name: str, attributes: str) -> tuple[str, bool, bool]:
     """How an element is written in a path; whether it is dropped; whether main."""
     key = name, attributes if "=" in attributes else ""
     if key not in _NODES:
-        words = sorted({w for m in _NAMED.finditer(key[1]) for w in _WORD.findall((m[1] or m[2] or m[3] or "").lower())})
+        names = {n for m in _NAMED.finditer(key[1]) for n in (m[1] or m[2] or m[3] or "").lower().split()}
+        words = sorted({w for n in names for w in _WORD.findall(n)})
         if len(_NODES) > 1 << 16:
             _NODES.clear()
         roles = [m[1] or m[2] or m[3] or "" for m in _NAMED.finditer(key[1]) if m[0].lower().startswith("role")]
         main = name in MAIN or "main" in roles
-        dropped = name in DROPPED or (not main and name not in ("html", "body") and any(w in DROPPED_WORDS for w in words))
+        dropped = name in DROPPED or (bool(names & DROPPED_ARTICLES) if main else
+                                      name not in ("html", "body") and any(w in DROPPED_WORDS for w in words))
         _NODES[key] = ".".join([name, *words]), dropped, main
     return _NODES[key]
 

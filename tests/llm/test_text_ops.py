@@ -238,6 +238,10 @@ def test_main_text():
     assert html_template.main_text("", frozenset()) == "" == html_template.main_text("<p", frozenset())
     assert html_template.main_text("<p>a<p>b <i>c</i>d<scri", frozenset()) == "a b cd"
     assert html_template.main_text("plain a &lt; b", frozenset()) == "plain a < b"
+    assert html_template.main_text("<p title=it's>a</p><p x='b>' y = \"c>\">don't</p>", frozenset()) == "a don't"
+    assert html_template.main_text("<article class='post comments-open'><p>a</p><article class='comment odd'><p>b</p></article>c</article>",
+                                   frozenset()) == "a c"
+    assert html_template.main_text("a<a " + 'x="1" ' * 100000, frozenset()) == "a"
 
 
 def test_template_drops_what_repeats_outside_marked_elements(spark):
