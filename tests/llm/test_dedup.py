@@ -8,7 +8,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from conftest_llm import SCHEMA, clashing, table
+from conftest_llm import SCHEMA, clashing, corpus, table  # noqa: F401
 from reasonscope.llm import simhash, substring_dedup
 
 LAST = 2**63

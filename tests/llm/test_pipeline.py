@@ -4,7 +4,7 @@ import pytest
 
 pytest.importorskip("public_tokenizers")
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
-from conftest_llm import SCHEMA, table  # noqa: E402
+from conftest_llm import SCHEMA, corpus, table  # noqa: E402, F401
 from test_dedup import brute_components, brute_print, brute_removal  # noqa: E402
 
 

@@ -14,7 +14,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from conftest_llm import SCHEMA, clashing, table
+from conftest_llm import SCHEMA, clashing, corpus, table  # noqa: F401
 from reasonscope.llm import chat, fingerprints, hmm, html_template, quality
 
 

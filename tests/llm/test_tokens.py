@@ -6,7 +6,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from conftest_llm import SCHEMA, clashing, table
+from conftest_llm import SCHEMA, clashing, corpus, table  # noqa: F401
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 from reasonscope.llm import bpe, packing, token_counts  # noqa: E402
