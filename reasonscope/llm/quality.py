@@ -7,16 +7,17 @@ Divergence: a document's histogram over character classes, and its histogram ove
 the common words of its language (with one bin for all other words), are compared
 to the language's reference by Jensen-Shannon distance (base 2, 0..1). References
 are the summed histograms of all documents of the language that pass the base
-rules; languages without a list of common words share one reference and skip the
-word test. A histogram with fewer than ``min_chars`` characters or
+rules, one for each value of the language column; languages without a list of
+common words skip the word test. A histogram with fewer than ``min_chars`` characters or
 ``min_hist_words`` words isn't tested: short texts diverge by chance.
 
 One pass over the texts makes the counts, which are cut off by a checkpoint; the
-references (at most one row per listed language and one more) are broadcast.
+references (one row per language) are broadcast up to ``BROADCAST`` rows, else
+joined by language.
 
-Defined cases: a null text counts as empty and fails; a null or unlisted language
-uses the shared reference; a language whose documents all fail has no reference,
-so only the base rules decide. Repeated rows are judged each on its own.
+Defined cases: a null text counts as empty and fails; a null or empty language and
+the codes of no single language (``NO_LANGUAGE``) have no reference, nor has a
+language whose documents all fail: there only the base rules decide. Repeated rows are judged each on its own.
 """
 
 from __future__ import annotations
@@ -40,7 +41,8 @@ SPACE = "[ \\t-\\r]+"
 # Character classes, each counted in what the ones before left over; the rest is a last class.
 CLASSES = [("lower", "[a-z]+"), ("space", SPACE), ("upper", "[A-Z]+"), ("letter", "\\p{L}+"), ("digit", "\\p{N}+"),
            ("point", "[.,;:!?'\"()-]+")]
-SHARED = "*"
+NO_LANGUAGE = ("", "und", "mul", "mis", "zxx")
+BROADCAST = 1 << 16
 
 
 @dataclass(frozen=True)
@@ -104,10 +106,10 @@ def measures(docs: DataFrame, rules: QualityRules, text_col: str = "text", lang_
     every = sorted({w for v in rules.common_words.values() for w in v})
     widest = max(map(len, rules.common_words.values()))
     lang = F.col(lang_col).cast("string") if lang_col in docs.columns else F.lit(None).cast("string")
-    out = out.withColumn("_lang", F.when(lang.isin(list(rules.common_words)), lang).otherwise(SHARED))
+    out = out.withColumn("_lang", F.when(~F.lower(F.btrim(lang)).isin(list(NO_LANGUAGE)), lang))
     counted = let(F.filter(F.transform("_words", F.lower), lambda w: w.isin(every)), lambda common: F.transform(
         F.element_at(listed, F.col("_lang")), lambda c: F.size(F.filter(common, lambda w: w == c)).cast("long")))
-    out = out.withColumn("_common", F.when(F.col("_lang") != SHARED, counted).otherwise(F.array_repeat(F.lit(0).cast("long"), widest)))
+    out = out.withColumn("_common", F.when(F.col("_lang").isin(list(rules.common_words)), counted).otherwise(F.array_repeat(F.lit(0).cast("long"), widest)))
     out = out.withColumn("_common", F.concat("_common", F.array(
         F.col("n_words") - F.aggregate("_common", F.lit(0).cast("long"), lambda a, x: a + x))))
     left = [text]
@@ -146,12 +148,12 @@ def judge(docs: DataFrame, rules: QualityRules | None = None, text_col: str = "t
     counts = cut_lineage(measures(docs, rules, text_col, lang_col))
     bins = len(CLASSES) + 1, max(map(len, rules.common_words.values())) + 1
     plain = ~F.col("base_failed") & (100 * F.col("n_symbols") <= rules.max_reference_symbols * F.col("n_words"))
-    references = counts.where(plain).groupBy("_lang").agg(
-        _summed("_classes", bins[0]).alias("_class_reference"), _summed("_common", bins[1]).alias("_word_reference"))
-    out = counts.join(F.broadcast(references), "_lang", "left")
+    references = cut_lineage(counts.where(plain & F.col("_lang").isNotNull()).groupBy("_lang").agg(
+        _summed("_classes", bins[0]).alias("_class_reference"), _summed("_common", bins[1]).alias("_word_reference")))
+    out = counts.join(F.broadcast(references) if references.count() <= BROADCAST else references, "_lang", "left")
     out = out.withColumns({
         "class_distance": F.when(_total(F.col("_classes")) >= rules.min_chars, jensen_shannon(F.col("_classes"), F.col("_class_reference"))),
-        "word_distance": F.when((F.col("n_words") >= rules.min_hist_words) & (F.col("_lang") != SHARED),
+        "word_distance": F.when((F.col("n_words") >= rules.min_hist_words) & F.col("_lang").isin(list(rules.common_words)),
                                 jensen_shannon(F.col("_common"), F.col("_word_reference"))),
     })
     close = [F.coalesce(F.col(c) <= limit, F.lit(True)) for c, limit in (

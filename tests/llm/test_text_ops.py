@@ -311,3 +311,15 @@ def test_quality_verdicts_and_empty(spark):
     assert quality.judge(spark.createDataFrame([], SCHEMA)).count() == 0
     none = table(spark, rows).withColumn("lang", F.lit(None).cast("string"))
     assert quality.judge(none).where("kept").count() >= 40 and quality.judge(none.drop("lang")).count() == len(rows)
+
+
+def test_each_language_has_its_own_reference(spark, monkeypatch):
+    r = np.random.default_rng(1)
+    text = lambda letters: " ".join("".join(r.choice(list(letters), 5)) for _ in range(150)) + "."
+    rows = [(i, text("abcdefghilmno"), "it") for i in range(30)] + [(100 + i, text("абвгдежзиклмн"), "ru") for i in range(3)]
+    rows += [(200 + i, text("的一是不了人我在有他"), None) for i in range(2)] + [(300, text("абвгд").upper(), "it"), (400, text("abc"), "und")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for limit in (quality.BROADCAST, 0):  # 0: the other join
+        monkeypatch.setattr(quality, "BROADCAST", limit)
+        kept = {x.doc_id: x.kept for x in quality.judge(docs).collect()}
+        assert len(kept) == len(rows) and {i for i, k in kept.items() if not k} == {300}
