@@ -69,8 +69,11 @@ DROPPED_WORDS = {"ad", "ads", "advert", "adverts", "advertisement", "advertising
 DROPPED_ARTICLES = {"comment", "comments", "reply", "ad", "advert", "advertisement", "sponsored", "promo", "related", "recommended"}
 
 # Quotes count behind "=" only (<p title=it's> is a tag); possessive, so that an unclosed tag is read once.
-_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(" + "|".join(RAW) + r")\b[^>]*>.*?(?:</\1\s*>|\Z)"
-                     r"|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*+(?:\"[^\"]*+\"|'[^']*+')|[^>])*+)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z/][^>]*\Z", re.S | re.I)
+# A self-closed svg is empty; a name that only begins like one of RAW (title-card) is an element of its own.
+_ATTRIBUTES = r"(?:=\s*+(?:\"[^\"]*+\"|'[^']*+')|[^>])*+"
+_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<svg(?=[\s/])" + _ATTRIBUTES + r"(?<=/)>"
+                     r"|<(" + "|".join(RAW) + r")(?=[\s/>])" + _ATTRIBUTES + r">.*?(?:</\1\s*>|\Z)"
+                     r"|<(/?)([a-zA-Z][^\s/>]*)(" + _ATTRIBUTES + r")>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z/][^>]*\Z", re.S | re.I)
 _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _WORD = re.compile(r"[a-z]+")
 _NODES: dict[tuple[str, str], tuple[str, bool, bool]] = {}

@@ -267,6 +267,13 @@ def test_copies_of_a_page_keep_their_text(spark):
     assert all(out[n] == "copied text second" for n in range(4)) and out[12] == "own 2 words 14"
 
 
+def test_raw_elements_end_where_they_should():
+    plain = lambda h: html_template.main_text(h, frozenset())
+    assert plain("<article><p>one <svg/> two</p><svg class='i' /><p>three</p></article>") == "one two three"
+    assert plain("<p>a<svg x='1/2'><path d='m'/>no</svg>b") == "a b" and plain("<p>a<svg title='>'>no</svg> b") == "a b"
+    assert plain("<title-card><p>a</p></title-card><script-y>b</script-y><template-x>c</template-x><p>d<script>no</script>") == "a b c d"
+
+
 # --- quality rules ---
 
 def test_quality_base_columns(spark, corpus):
