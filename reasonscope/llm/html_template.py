@@ -58,13 +58,20 @@ SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "
             "option": {"option"}}
 SCOPES = {"ul", "ol", "dl", "table", "select"}
 MAIN = {"article", "main"}
-# Element names and class, id or role words of what isn't main text.
+# Element names of what isn't main text (a header inside main text may be), and whole class, id or role names: those that
+# drop by themselves, also as a prefix, and those that are also ordinary words and need the template's word for it.
 DROPPED = {"head", "nav", "header", "footer", "aside", "form", "button", "select", "dialog", "menu", "object", "canvas", *RAW}
-DROPPED_WORDS = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "sponsor", "sponsored", "promo", "promotion", "banner",
-                 "cookie", "cookies", "consent", "gdpr", "notice", "notices", "alert", "popup", "modal", "overlay", "subscribe",
-                 "newsletter", "nav", "navbar", "navigation", "menu", "menus", "breadcrumb", "breadcrumbs", "sidebar", "side", "aside",
-                 "footer", "header", "masthead", "topbar", "comment", "comments", "reply", "replies", "disqus", "discussion", "share",
-                 "sharing", "social", "related", "recommended", "login", "signup", "search", "complementary", "contentinfo", "skip"}
+DROPPED_NAMES = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "sponsored", "promo", "cookie", "cookies", "gdpr", "popup",
+                 "modal", "newsletter", "nav", "navbar", "navigation", "breadcrumb", "breadcrumbs", "sidebar", "footer", "masthead", "topbar",
+                 "comment", "comments", "disqus", "complementary", "contentinfo"}
+DROPPED_PREFIX = re.compile("(?:ads?|advert|cookie|gdpr|newsletter|breadcrumbs?|navbar|sponsored|promo)[-_]")
+NAMED = {"consent", "notice", "notices", "alert", "overlay", "subscribe", "menu", "menus", "side", "aside", "header", "reply", "replies",
+         "discussion", "share", "sharing", "social", "related", "recommended", "login", "signup", "search", "skip", "sponsor", "promotion",
+         "banner"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+# How sure it is that an element isn't main text: UNSURE, if its text recurs on the host; LIKELY, the same inside main text,
+# elsewhere if it belongs to the template; SURE.
+UNSURE, LIKELY, SURE = 1, 2, 3
 # Whole classes or ids of article elements that aren't the page's article.
 DROPPED_ARTICLES = {"comment", "comments", "reply", "ad", "advert", "advertisement", "sponsored", "promo", "related", "recommended"}
 
@@ -76,89 +83,168 @@ _MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<svg(?=[\s/]
                      r"|<(/?)([a-zA-Z][^\s/>]*)(" + _ATTRIBUTES + r")>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z/][^>]*\Z", re.S | re.I)
 _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _WORD = re.compile(r"[a-z]+")
-_NODES: dict[tuple[str, str], tuple[str, bool, bool]] = {}
+_NODES: dict[tuple[str, str], tuple[str, int, bool]] = {}
+_HASHES: dict[str, str] = {}
 
 
-def _node(name: str, attributes: str) -> tuple[str, bool, bool]:
-    """How an element is written in a path; whether it is dropped; whether main."""
+def _node(name: str, attributes: str) -> tuple[str, int, bool]:
+    """How an element is written in a path; how surely it is dropped; whether main."""
     key = name, attributes if "=" in attributes else ""
     if key not in _NODES:
-        names = {n for m in _NAMED.finditer(key[1]) for n in (m[1] or m[2] or m[3] or "").lower().split()}
+        found = [(m[0][:2].lower(), (m[1] or m[2] or m[3] or "").lower()) for m in _NAMED.finditer(key[1])]
+        names = {n for _, value in found for n in value.split()}
         words = sorted({w for n in names for w in _WORD.findall(n)})
         if len(_NODES) > 1 << 16:
             _NODES.clear()
-        roles = [m[1] or m[2] or m[3] or "" for m in _NAMED.finditer(key[1]) if m[0].lower().startswith("role")]
-        main = name in MAIN or "main" in roles
-        dropped = name in DROPPED or (bool(names & DROPPED_ARTICLES) if main else
-                                      name not in ("html", "body") and any(w in DROPPED_WORDS for w in words))
-        _NODES[key] = ".".join([name, *words]), dropped, main
+        main = name in MAIN or ("ro", "main") in found
+        level = 0
+        if name in DROPPED or main and names & DROPPED_ARTICLES:
+            level = SURE
+        elif not main and name not in ("html", "body"):
+            if any(n in DROPPED_NAMES or DROPPED_PREFIX.match(n) for n in names):
+                level = UNSURE if name in HEADINGS or name in INLINE else SURE
+            elif names & NAMED:  # ids of headings and sections are their titles
+                level = UNSURE if name in HEADINGS or name in INLINE or name == "section" else LIKELY
+        _NODES[key] = ".".join([name, *words]), level, main and level < SURE
     return _NODES[key]
 
 
-def events(page: str) -> Iterator[tuple]:
-    """("open" | "close", path, block, dropped, main) and ("text", raw, path, dropped,
-    main) in page order; the last two hold for the place."""
-    stack: list[tuple[str, str, bool, bool]] = []  # name, path, dropped, main
-
-    def place() -> tuple[str, bool, bool]:
-        return stack[-1][1:] if stack else ("", False, False)
-
-    def pop() -> tuple:
-        name, path, dropped, main = stack.pop()
-        return "close", path, name not in INLINE, dropped, main
-
-    at = 0
-    for m in _MARKUP.finditer(page):
-        if m.start() > at:
-            yield ("text", page[at: m.start()], *place())
-        at = m.end()
-        if m[3] is None:
-            if m[1]:
-                yield "open", f"{place()[0]}/{m[1].lower()}", True, True, False
-            continue
-        name = m[3].lower()
-        if m[2]:
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
-            if depth is not None:
-                while len(stack) > depth:
-                    yield pop()
-            elif name not in INLINE:
-                yield "close", "", True, *place()[1:]
-            continue
-        closing = None
-        if name in ENDS_P:
-            closing = {"p"}
-        elif name in SIBLINGS:
-            closing = SIBLINGS[name]
-        if closing:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in closing:
-                    while len(stack) > i:
-                        yield pop()
-                    break
-                if stack[i][0] in SCOPES or stack[i][0] not in INLINE and name == "p":
-                    break
-        written, dropped, main = _node(name, m[4])
-        path, above, inside = place()
-        path, dropped, main = f"{path}/{written}", dropped or above, main or inside
-        yield "open", path, name not in INLINE, dropped, main
-        if name not in VOID and not m[4].endswith("/"):
-            stack.append((name, path, dropped, main))
-    if at < len(page):
-        yield ("text", page[at:], *place())
-
-
-def page_tokens(page: str) -> dict[str, int]:
+def path_hash(path: str) -> str:
+    if path not in _HASHES:
+        if len(_HASHES) > 1 << 16:
+            _HASHES.clear()
+        _HASHES[path] = xxhash.xxh64_hexdigest(path)
+    return _HASHES[path]
+
+
+class Page:
+    """A page's elements, in the order of their openings, and its items in page order:
+    ("open" | "close", element, "") and ("text", element, raw); element -1 is none."""
+
+    def __init__(self, page: str):
+        self.names: list[str] = []
+        self.paths: list[str] = []
+        self.parents: list[int] = []
+        self.own: list[int] = []
+        self.mains: list[bool] = []
+        self.items: list[tuple[str, int, str]] = []
+        self._read(page)
+        self._judge()
+
+    def _open(self, name: str, parent: int, written: str, level: int, main: bool) -> int:
+        self.names.append(name)
+        self.paths.append(f"{self.paths[parent] if parent >= 0 else ''}/{written}")
+        self.parents.append(parent)
+        self.own.append(level)
+        self.mains.append(main)
+        self.items.append(("open", len(self.names) - 1, ""))
+        return len(self.names) - 1
+
+    def _read(self, page: str) -> None:
+        stack: list[int] = []
+        names, items = self.names, self.items
+
+        def close(depth: int) -> None:
+            while len(stack) > depth:
+                items.append(("close", stack.pop(), ""))
+
+        at = 0
+        for m in _MARKUP.finditer(page):
+            if m.start() > at:
+                items.append(("text", stack[-1] if stack else -1, page[at: m.start()]))
+            at = m.end()
+            if m[3] is None:
+                if m[1]:
+                    self._open(m[1].lower(), stack[-1] if stack else -1, m[1].lower(), SURE, False)
+                continue
+            name = m[3].lower()
+            if m[2]:
+                depth = next((i for i in range(len(stack) - 1, -1, -1) if names[stack[i]] == name), None)
+                if depth is not None:
+                    close(depth)
+                elif name not in INLINE:
+                    items.append(("close", -1, ""))
+                continue
+            closing = {"p"} if name in ENDS_P else SIBLINGS.get(name)
+            if closing:
+                for i in range(len(stack) - 1, -1, -1):
+                    if names[stack[i]] in closing:
+                        close(i)
+                        break
+                    if names[stack[i]] in SCOPES or names[stack[i]] not in INLINE and name == "p":
+                        break
+            opened = self._open(name, stack[-1] if stack else -1, *_node(name, m[4]))
+            if name not in VOID and not m[4].endswith("/"):
+                stack.append(opened)
+        if at < len(page):
+            items.append(("text", stack[-1] if stack else -1, page[at:]))
+
+    def _inherit(self) -> None:
+        self.levels, self.roots, self.likely = [], [], []
+        for e, parent in enumerate(self.parents):
+            level, root, likely = (self.levels[parent], self.roots[parent], self.likely[parent]) if parent >= 0 else (0, -1, -1)
+            own = self.own[e]
+            if root >= 0 and (own == LIKELY or self.names[e] == "header"):
+                own = min(own, UNSURE)
+            if own == LIKELY and likely < 0:
+                likely = e
+            level = max(level, own)
+            self.levels.append(level)
+            self.likely.append(likely)
+            self.roots.append(root if root >= 0 or not self.mains[e] or level == SURE else e)
+
+    def _judge(self) -> None:
+        """Sets of each element its level, its outermost main element and its outermost
+        LIKELY one. No ancestor of the page's main elements (of those with the most
+        text, if all are in dropped elements) is dropped by its name."""
+        self._inherit()
+        if not any(m and self.levels[e] >= LIKELY for e, m in enumerate(self.mains)):
+            return
+        sizes = [0] * len(self.names)
+        for kind, e, raw in self.items:
+            if kind == "text" and e >= 0:
+                sizes[e] += len(raw.strip())
+        for e in range(len(sizes) - 1, 0, -1):
+            if self.parents[e] >= 0 and self.own[e] < SURE:
+                sizes[self.parents[e]] += sizes[e]
+        mains = [e for e, m in enumerate(self.mains) if m and sizes[e]]
+        most = max((sizes[e] for e in mains), default=0)
+        if any(self.levels[e] < LIKELY and 2 * sizes[e] >= most for e in mains):
+            return
+        for e in mains:
+            if 2 * sizes[e] >= most:
+                while (e := self.parents[e]) >= 0:
+                    if self.names[e] != "head":
+                        self.own[e] = 0
+        self._inherit()
+
+    def place(self, e: int) -> tuple[int, int, int]:
+        """Level, main element, LIKELY element (-1: none) of an element."""
+        return (self.levels[e], self.roots[e], self.likely[e]) if e >= 0 else (0, -1, -1)
+
+    def token(self, e: int, raw: str) -> str:
+        """A text node: the hashes of its path and its main element's path, whether it
+        needs the template's word ("?"), the hash of its text."""
+        level, root, _ = self.place(e)
+        return "".join(["=", path_hash(self.paths[e] if e >= 0 else ""), path_hash(self.paths[root]) if root >= 0 else NO_MAIN,
+                        "?" if level else ".", xxhash.xxh128_hexdigest(" ".join(html.unescape(raw).split()))])
+
+
+NO_MAIN = "-" * 16
+
+
+def page_tokens(parsed: Page) -> dict[str, int]:
     """Counts of the template candidates of a page: the openings ("<"), closings (">")
-    of elements, and text nodes ("=") outside main text."""
+    of elements, and text nodes ("=") outside main text or under a doubted name."""
     counts: dict[str, int] = {}
-    for kind, what, *rest in events(page):
+    for kind, e, raw in parsed.items:
         if kind == "text":
-            if rest[2] or not what.strip():
+            level, root, _ = parsed.place(e)
+            if not raw.strip() or level == SURE or root >= 0 and not level:
                 continue
-            token = "=" + rest[0] + " " + xxhash.xxh128_hexdigest(" ".join(html.unescape(what).split()))
-        elif what:
-            token = ("<" if kind == "open" else ">") + what
+            token = parsed.token(e, raw)
+        elif e >= 0:
+            token = ("<" if kind == "open" else ">") + path_hash(parsed.paths[e])
         else:
             continue
         counts[token] = counts.get(token, 0) + 1
@@ -166,25 +252,23 @@ def page_tokens(page: str) -> dict[str, int]:
 
 
 def main_text(page: str, template: frozenset[str]) -> str:
-    """The text of a page's remaining slots. ``template``: paths and text nodes."""
+    """The text of a page's remaining slots. ``template``: tokens."""
+    parsed = Page(page)
     kept: dict[bool, list[list[str]]] = {True: [[]], False: [[]]}
-    seen_main = False
-    for kind, what, *rest in events(page):
+    for kind, e, raw in parsed.items:
         if kind != "text":
-            _, dropped, main = rest
-            seen_main = seen_main or (main and not dropped)
-            if rest[0]:
+            if e < 0 or parsed.names[e] not in INLINE:
                 for blocks in kept.values():
                     if blocks[-1]:
                         blocks.append([])
             continue
-        path, dropped, main = rest
-        if dropped:
+        level, root, likely = parsed.place(e)
+        if level == SURE or level == LIKELY and (not template or "<" + path_hash(parsed.paths[likely]) in template):
             continue
-        if not main and template and "=" + path + " " + xxhash.xxh128_hexdigest(" ".join(html.unescape(what).split())) in template:
+        if template and raw.strip() and parsed.token(e, raw) in template:
             continue
-        kept[main][-1].append(what)
-    blocks = kept[True] if seen_main else kept[False]
+        kept[root >= 0][-1].append(raw)
+    blocks = kept[True] if any(r >= 0 for r in parsed.roots) else kept[False]
     texts = (" ".join(html.unescape("".join(b)).split()) for b in blocks)
     return " ".join(t for t in texts if t)
 
@@ -196,7 +280,7 @@ def _token_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for host, url, page in zip(batch.column("_host").to_pylist(), batch.column("_url").to_pylist(), batch.column("_html").to_pylist()):
             page = page or ""
             digest = xxhash.xxh64_intdigest((url or "") + "\0" + page)
-            for token, n in page_tokens(page).items():
+            for token, n in page_tokens(Page(page)).items():
                 mixed = xxhash.xxh64_intdigest(f"{digest} {n}")
                 one = sums.setdefault((host, token), [0, 0, 0])
                 one[0] += 1
@@ -218,7 +302,8 @@ def templates(pages: DataFrame, support: int = SUPPORT) -> DataFrame:
     whole = tokens.groupBy("host").agg(F.max("pages").alias("most"))
     valid = classes.select("host", "pages", F.explode(F.filter("tokens", member)).alias("token")).join(whole, "host").where(
         ~F.col("token").startswith("=") | (2 * F.col("pages") > F.col("most")))
-    return valid.groupBy("host").agg(F.array_join(F.sort_array(F.collect_set("token")), _SPLIT).alias("template"))
+    doubted = tokens.where(F.col("token").startswith("=") & (F.substring("token", 34, 1) == "?"))
+    return valid.select("host", "token").unionAll(doubted.select("host", "token")).groupBy("host").agg(F.array_join(F.sort_array(F.collect_set("token")), _SPLIT).alias("template"))
 
 
 _SETS: dict[str, frozenset[str]] = {}

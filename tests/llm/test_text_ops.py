@@ -274,6 +274,22 @@ def test_raw_elements_end_where_they_should():
     assert plain("<title-card><p>a</p></title-card><script-y>b</script-y><template-x>c</template-x><p>d<script>no</script>") == "a b c d"
 
 
+def test_names_are_whole_and_do_not_drop_main_text():
+    plain = lambda h: html_template.main_text(h, frozenset())
+    assert plain("<div class='layout has-sidebar'><article><p>a</p></article></div>") == "a"
+    assert plain("<div class='sidebar'><article><p>a</p></article></div>") == "a" == plain("<form id=f><main>a</main></form>")
+    assert plain("<article><header><h1>t</h1></header><div class='post-header'><h2 id='side-effects'>h</h2></div><section id='related-work'>r"
+                 "</section><section id='discussion'>d</section><h2 id='comments'>c</h2></article>") == "t h r d c"
+    assert plain("<article><p>long text</p></article><div class='sidebar'><article>short</article></div><div class='ad-box'>x</div>") == "long text"
+
+
+def test_a_named_section_goes_if_its_text_recurs(spark):
+    pages = [(n, f"http://h.org/{n}", f"<body><article><p>text {n * n}</p><section id='discussion'><p>talk {n}</p></section>"
+              f"<section id='related'><p>see {n // 3}</p></section></article></body>") for n in range(12)]
+    out = {r.page_id: r.text for r in html_template.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert out == {n: f"text {n * n} talk {n}" for n in range(12)}
+
+
 # --- quality rules ---
 
 def test_quality_base_columns(spark, corpus):
