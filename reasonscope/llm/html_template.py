@@ -2,20 +2,26 @@
 
 Tokens of a page are the opening and the closing of each element, told apart by
 their path (tag names with class, id and role words, from the root), and the text
-nodes outside main-text elements. A token's occurrence vector holds its count on
-every page of the host; it is carried as its support and two sums of a hash of
-(page, count), so vectors are summed over pages in parallel and compared exactly
-but for collisions. Tokens with equal vectors form an equivalence class. A class is
-valid if it is frequent (``support`` pages) and large (two tokens), and if every
-element in it opens and closes within it, which makes it ordered; valid classes
+nodes outside dropped elements. Pages of a host with the same text (outside dropped
+and doubted elements) are copies and count once. A token's occurrence vector holds
+its count on every such page; it is carried as its support and two sums of a hash of
+(page's text, count), so vectors are summed over pages in parallel and compared
+exactly but for collisions. Tokens with equal vectors form an equivalence class. A
+class is valid if it is frequent (``support`` pages) and large (two tokens), and if
+every element in it opens and closes within it, which makes it ordered; valid classes
 nest by their paths and are the host's template. A text node must also be on over
-half of the host's pages, so that a group of copied pages isn't taken for one.
+half of the host's pages, so that a group of edited pages isn't taken for one.
 
-Between template tokens are slots. Slots inside menus, headers, footers, sidebars,
-notices, adverts, forms, scripts, styles and comments are dropped, as are text nodes
-of the template itself. If the page has main-text elements (article, main), the
-slots inside them remain, else all others. Hosts with too few pages have no
-template; their elements are judged by their own names alone.
+Between template tokens are slots; text nodes of the template outside main-text
+elements (article, main) are dropped.
+
+Menus, footers, sidebars, adverts, forms, scripts and comments are dropped by element
+or whole class, id or role names. Names that are also ordinary words (related, search)
+need the template's word: inside main text that their text recurs, elsewhere that the
+element is in the template. No ancestor of the page's main element drops by its name.
+
+If the page has main-text elements, the slots inside them remain, else all others.
+Hosts with too few pages have no template; their elements are judged by their names.
 
 A template is at most one page's tokens per class. Templates are broadcast if their
 measured size is at most ``BROADCAST`` bytes; else pages are joined to them by host,
@@ -23,7 +29,7 @@ and hosts with over a thousandth of all pages (a thousand at most) are split in
 parts of that size, so that no host lands in one task.
 
 Defined cases: null html or url count as empty; an empty page has an empty text.
-Repeated pages are pages of their own. Unclosed elements end with their parent; a
+Repeated pages each have their row. Unclosed elements end with their parent; a
 text cut off inside a tag loses that tag only.
 """
 
@@ -31,6 +37,7 @@ from __future__ import annotations
 
 import html
 import re
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -227,27 +234,31 @@ class Page:
         needs the template's word ("?"), the hash of its text."""
         level, root, _ = self.place(e)
         return "".join(["=", path_hash(self.paths[e] if e >= 0 else ""), path_hash(self.paths[root]) if root >= 0 else NO_MAIN,
-                        "?" if level else ".", xxhash.xxh128_hexdigest(" ".join(html.unescape(raw).split()))])
+                        "?" if level else ".", xxhash.xxh64_hexdigest(" ".join(html.unescape(raw).split()))])
 
 
 NO_MAIN = "-" * 16
 
 
-def page_tokens(parsed: Page) -> dict[str, int]:
-    """Counts of the template candidates of a page: the openings ("<"), closings (">")
-    of elements, and text nodes ("=") outside main text or under a doubted name."""
-    counts: dict[str, int] = {}
+def page_tokens(parsed: Page) -> dict[str, list[int]]:
+    """Count and size (for text nodes the characters, else the count) of the template
+    candidates of a page: the openings ("<"), closings (">") of elements, text nodes
+    ("="). "*" stands for the page."""
+    counts: dict[str, list[int]] = {"*": [1, 1]}
     for kind, e, raw in parsed.items:
+        size = 1
         if kind == "text":
             level, root, _ = parsed.place(e)
             if not raw.strip() or level == SURE or root >= 0 and not level:
                 continue
-            token = parsed.token(e, raw)
+            token, size = parsed.token(e, raw), len(raw.strip())
         elif e >= 0:
             token = ("<" if kind == "open" else ">") + path_hash(parsed.paths[e])
         else:
             continue
-        counts[token] = counts.get(token, 0) + 1
+        one = counts.setdefault(token, [0, 0])
+        one[0] += 1
+        one[1] += size
     return counts
 
 
@@ -265,45 +276,70 @@ def main_text(page: str, template: frozenset[str]) -> str:
         level, root, likely = parsed.place(e)
         if level == SURE or level == LIKELY and (not template or "<" + path_hash(parsed.paths[likely]) in template):
             continue
-        if template and raw.strip() and parsed.token(e, raw) in template:
-            continue
+        if template and raw.strip():
+            token = parsed.token(e, raw)
+            if token in template:
+                continue
         kept[root >= 0][-1].append(raw)
-    blocks = kept[True] if any(r >= 0 for r in parsed.roots) else kept[False]
+    blocks = kept[True] if any(e >= 0 for e in parsed.roots) else kept[False]
     texts = (" ".join(html.unescape("".join(b)).split()) for b in blocks)
     return " ".join(t for t in texts if t)
 
 
+def _page_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(host, hash of the page's text without doubted names, its tokens)."""
+    for batch in batches:
+        digests, written = [], []
+        for page in batch.column("_html").to_pylist():
+            parsed = Page(page or "")
+            texts = (" ".join(raw.split()) for kind, e, raw in parsed.items if kind == "text" and not parsed.place(e)[0])
+            digests.append(xxhash.xxh128_hexdigest("\0".join(t for t in texts if t)))
+            written.append(zlib.compress(" ".join(f"{t} {n} {size}" for t, (n, size) in sorted(page_tokens(parsed).items())).encode(), 1))
+        yield pa.RecordBatch.from_arrays([batch.column("_host"), pa.array(digests, pa.string()), pa.array(written, pa.binary())],
+                                         names=["host", "digest", "tokens"])
+
+
+def _read_tokens(written: bytes) -> Iterator[tuple[str, int, int]]:
+    parts = zlib.decompress(written).decode().split(" ")
+    return zip(parts[::3], map(int, parts[1::3]), map(int, parts[2::3]))
+
+
 def _token_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, token, pages, two hash sums), summed within the batch."""
+    """(host, token, pages, two hash sums, size), summed within the batch."""
     for batch in batches:
         sums: dict[tuple[str, str], list[int]] = {}
-        for host, url, page in zip(batch.column("_host").to_pylist(), batch.column("_url").to_pylist(), batch.column("_html").to_pylist()):
-            page = page or ""
-            digest = xxhash.xxh64_intdigest((url or "") + "\0" + page)
-            for token, n in page_tokens(Page(page)).items():
+        for host, digest, written in zip(*(batch.column(c).to_pylist() for c in ("host", "digest", "tokens"))):
+            for token, n, size in _read_tokens(written):
                 mixed = xxhash.xxh64_intdigest(f"{digest} {n}")
-                one = sums.setdefault((host, token), [0, 0, 0])
+                one = sums.setdefault((host, token), [0, 0, 0, 0])
                 one[0] += 1
                 one[1] += mixed >> 32
                 one[2] += mixed & 0xFFFFFFFF
+                one[3] += size
         if sums:
             keys, values = zip(*sums.keys()), zip(*sums.values())
             yield pa.RecordBatch.from_arrays([*[pa.array(k, pa.string()) for k in keys], *[pa.array(v, pa.int64()) for v in values]],
-                                             names=["host", "token", "pages", "high", "low"])
+                                             names=["host", "token", "pages", "high", "low", "size"])
 
 
 def templates(pages: DataFrame, support: int = SUPPORT) -> DataFrame:
-    """``(host, template)``: the valid classes' tokens, as one string."""
-    tokens = pages.mapInArrow(_token_rows, "host string, token string, pages long, high long, low long").groupBy("host", "token").agg(
-        *[F.sum(c).alias(c) for c in ("pages", "high", "low")]).where(F.col("pages") >= support)
+    """``(host, template)``: the template's tokens, as one string."""
+    # One page of each group with the same text stands for it.
+    distinct = cut_lineage(pages.mapInArrow(_page_rows, "host string, digest string, tokens binary").groupBy("host", "digest").agg(
+        F.min("tokens").alias("tokens")))
+    kind = F.substring("token", 1, 1)
+    every = cut_lineage(distinct.mapInArrow(_token_rows, "host string, token string, pages long, high long, low long, size long").groupBy(
+        "host", "token").agg(*[F.sum(c).alias(c) for c in ("pages", "high", "low", "size")]).where(F.col("pages") >= support))
+    tokens = every.where(kind.isin("<", ">", "="))
     classes = tokens.groupBy("host", "pages", "high", "low").agg(F.collect_list("token").alias("tokens")).where(F.size("tokens") > 1)
     member = lambda t: F.when(t.startswith("<"), F.array_contains("tokens", F.concat(F.lit(">"), F.substring(t, 2, 1 << 30)))).when(
         t.startswith(">"), F.array_contains("tokens", F.concat(F.lit("<"), F.substring(t, 2, 1 << 30)))).otherwise(True)
-    whole = tokens.groupBy("host").agg(F.max("pages").alias("most"))
-    valid = classes.select("host", "pages", F.explode(F.filter("tokens", member)).alias("token")).join(whole, "host").where(
-        ~F.col("token").startswith("=") | (2 * F.col("pages") > F.col("most")))
-    doubted = tokens.where(F.col("token").startswith("=") & (F.substring("token", 34, 1) == "?"))
-    return valid.select("host", "token").unionAll(doubted.select("host", "token")).groupBy("host").agg(F.array_join(F.sort_array(F.collect_set("token")), _SPLIT).alias("template"))
+    valid = classes.select("host", "pages", F.explode(F.filter("tokens", member)).alias("token"))
+    most = every.where(kind == "*").select("host", F.col("pages").alias("most"))
+    valid = valid.join(most, "host").where((kind != "=") | (2 * F.col("pages") > F.col("most")))
+    doubted = tokens.where((kind == "=") & (F.substring("token", 34, 1) == "?"))
+    return valid.select("host", "token").unionAll(doubted.select("host", "token")).groupBy("host").agg(
+        F.array_join(F.sort_array(F.collect_set("token")), _SPLIT).alias("template"))
 
 
 _SETS: dict[str, frozenset[str]] = {}
@@ -348,7 +384,7 @@ def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", supp
     host = F.regexp_replace(F.lower(F.coalesce(F.col(url_col), F.lit(""))), "^[a-z][a-z0-9+.-]*://", "")
     host = F.regexp_replace(F.regexp_extract(host, "^([^/?#]*)", 1), "^.*@", "")
     named = source.select(*[f"`{f.name}`" for f in rest], F.col(url_col).alias("_url"), F.col(html_col).alias("_html"), host.alias("_host"))
-    found = cut_lineage(templates(named.select("_host", "_url", "_html"), support))
+    found = cut_lineage(templates(named.select("_host", "_html"), support))
     out = _joined(named, found)
     schema = extended(source.select(*[f"`{f.name}`" for f in rest]).schema, StructField("text", StringType()))
     return out.select(*[f"`{f.name}`" for f in rest], "_html", "template").mapInArrow(_texts, schema)

@@ -290,6 +290,21 @@ def test_a_named_section_goes_if_its_text_recurs(spark):
     assert out == {n: f"text {n * n} talk {n}" for n in range(12)}
 
 
+def extracted(spark, bodies):
+    pages = [(n, f"http://{host}/{n}", f"<html><body>{body}</body></html>") for n, (host, body) in enumerate(bodies)]
+    rows = html_template.extract(spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3)).collect()
+    return [r.text for r in sorted(rows, key=lambda r: r.page_id)]
+
+
+def test_copies_in_the_majority_keep_their_text(spark):
+    bodies = [("a.org", "<div><p>copied text</p><p>second</p></div>")] * 6 + [("a.org", "<div><p>other</p></div>")]
+    near = [("b.org", f"<script>{n}</script><nav>{n}</nav><div><p>copied text</p></div>") for n in range(6)]
+    edited = [("c.org", "<article>" + "".join(f"<p>long passage {k} of it</p>" for k in range(8) if k != n) + "</article>") for n in range(6)]
+    out = extracted(spark, bodies + near + edited)
+    assert out[:7] == ["copied text second"] * 6 + ["other"] and out[7:13] == ["copied text"] * 6
+    assert out[13:] == [" ".join(f"long passage {k} of it" for k in range(8) if k != n) for n in range(6)]
+
+
 # --- quality rules ---
 
 def test_quality_base_columns(spark, corpus):
