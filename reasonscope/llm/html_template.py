@@ -12,8 +12,11 @@ every element in it opens and closes within it, which makes it ordered; valid cl
 nest by their paths and are the host's template. A text node must also be on over
 half of the host's pages, so that a group of edited pages isn't taken for one.
 
-Between template tokens are slots; text nodes of the template outside main-text
-elements (article, main) are dropped.
+Between the elements of the template are slots: the text nodes of one path. A slot
+whose text mostly recurs on the host (adverts, notices from a pool) is dropped, as are
+the text nodes of the template, inside main-text elements (article, main) too. Inside
+these, texts found in main elements of several hosts stay, and all stay if over half
+of the host's text would go: its pages are then edited copies of each other.
 
 Menus, footers, sidebars, adverts, forms, scripts and comments are dropped by element
 or whole class, id or role names. Names that are also ordinary words (related, search)
@@ -39,6 +42,7 @@ import html
 import re
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 import xxhash
@@ -243,13 +247,13 @@ NO_MAIN = "-" * 16
 def page_tokens(parsed: Page) -> dict[str, list[int]]:
     """Count and size (for text nodes the characters, else the count) of the template
     candidates of a page: the openings ("<"), closings (">") of elements, text nodes
-    ("="). "*" stands for the page."""
+    ("="). Besides, "*" stands for the page, "s" for a slot: a path's distinct text
+    nodes without a doubted name, and their characters."""
     counts: dict[str, list[int]] = {"*": [1, 1]}
     for kind, e, raw in parsed.items:
         size = 1
         if kind == "text":
-            level, root, _ = parsed.place(e)
-            if not raw.strip() or level == SURE or root >= 0 and not level:
+            if not raw.strip() or parsed.place(e)[0] == SURE:
                 continue
             token, size = parsed.token(e, raw), len(raw.strip())
         elif e >= 0:
@@ -259,6 +263,11 @@ def page_tokens(parsed: Page) -> dict[str, list[int]]:
         one = counts.setdefault(token, [0, 0])
         one[0] += 1
         one[1] += size
+    for token, (_, size) in list(counts.items()):
+        if token[0] == "=" and token[33] == ".":
+            one = counts.setdefault("s" + token[1:33], [0, 0])
+            one[0] += 1
+            one[1] += size
     return counts
 
 
@@ -278,7 +287,7 @@ def main_text(page: str, template: frozenset[str]) -> str:
             continue
         if template and raw.strip():
             token = parsed.token(e, raw)
-            if token in template:
+            if token in template or not level and "s" + token[1:33] in template:
                 continue
         kept[root >= 0][-1].append(raw)
     blocks = kept[True] if any(e >= 0 for e in parsed.roots) else kept[False]
@@ -305,14 +314,15 @@ def _read_tokens(written: bytes) -> Iterator[tuple[str, int, int]]:
 
 
 def _token_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, token, pages, two hash sums, size), summed within the batch."""
+    """(host, token, pages, two hash sums, size), summed within the batch; a slot's
+    pages are its text nodes."""
     for batch in batches:
         sums: dict[tuple[str, str], list[int]] = {}
         for host, digest, written in zip(*(batch.column(c).to_pylist() for c in ("host", "digest", "tokens"))):
             for token, n, size in _read_tokens(written):
                 mixed = xxhash.xxh64_intdigest(f"{digest} {n}")
                 one = sums.setdefault((host, token), [0, 0, 0, 0])
-                one[0] += 1
+                one[0] += n if token[0] == "s" else 1
                 one[1] += mixed >> 32
                 one[2] += mixed & 0xFFFFFFFF
                 one[3] += size
@@ -322,6 +332,15 @@ def _token_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                              names=["host", "token", "pages", "high", "low", "size"])
 
 
+def _main_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(host, text) of the text nodes in main elements, each once a batch."""
+    for batch in batches:
+        found = {(host, t[34:]) for host, written in zip(batch.column("host").to_pylist(), batch.column("tokens").to_pylist())
+                 for t, _, _ in _read_tokens(written) if t[0] == "=" and t[17:33] != NO_MAIN}
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(k, pa.string()) for k in zip(*found)], names=["other", "text"])
+
+
 def templates(pages: DataFrame, support: int = SUPPORT) -> DataFrame:
     """``(host, template)``: the template's tokens, as one string."""
     # One page of each group with the same text stands for it.
@@ -329,17 +348,47 @@ def templates(pages: DataFrame, support: int = SUPPORT) -> DataFrame:
         F.min("tokens").alias("tokens")))
     kind = F.substring("token", 1, 1)
     every = cut_lineage(distinct.mapInArrow(_token_rows, "host string, token string, pages long, high long, low long, size long").groupBy(
-        "host", "token").agg(*[F.sum(c).alias(c) for c in ("pages", "high", "low", "size")]).where(F.col("pages") >= support))
+        "host", "token").agg(*[F.sum(c).alias(c) for c in ("pages", "high", "low", "size")]).where((F.col("pages") >= support) | (kind == "s")))
     tokens = every.where(kind.isin("<", ">", "="))
     classes = tokens.groupBy("host", "pages", "high", "low").agg(F.collect_list("token").alias("tokens")).where(F.size("tokens") > 1)
     member = lambda t: F.when(t.startswith("<"), F.array_contains("tokens", F.concat(F.lit(">"), F.substring(t, 2, 1 << 30)))).when(
         t.startswith(">"), F.array_contains("tokens", F.concat(F.lit("<"), F.substring(t, 2, 1 << 30)))).otherwise(True)
     valid = classes.select("host", "pages", F.explode(F.filter("tokens", member)).alias("token"))
+    structure = valid.where(kind != "=").select("host", "token")
     most = every.where(kind == "*").select("host", F.col("pages").alias("most"))
-    valid = valid.join(most, "host").where((kind != "=") | (2 * F.col("pages") > F.col("most")))
-    doubted = tokens.where((kind == "=") & (F.substring("token", 34, 1) == "?"))
-    return valid.select("host", "token").unionAll(doubted.select("host", "token")).groupBy("host").agg(
-        F.array_join(F.sort_array(F.collect_set("token")), _SPLIT).alias("template"))
+    fixed = valid.where(kind == "=").join(most, "host").where(2 * F.col("pages") > F.col("most")).select("host", "token", F.lit(True).alias("fixed"))
+
+    # Text nodes that recur; not those in main elements of several hosts.
+    slot = [F.substring("token", 2, 16).alias("slot"), F.substring("token", 18, 16).alias("root")]
+    inside = F.col("root") != NO_MAIN
+    recurring = tokens.where(kind == "=").join(fixed, ["host", "token"], "left").select(
+        "host", "token", *slot, F.substring("token", 35, 16).alias("text"), (F.substring("token", 34, 1) == "?").alias("doubted"),
+        F.coalesce("fixed", F.lit(False)).alias("fixed"), "pages", "size")
+    shared = distinct.mapInArrow(_main_texts, "other string, text string").groupBy("text").agg(
+        F.min(F.xxhash64("other")).alias("least"), F.max(F.xxhash64("other")).alias("last")).where(
+        F.col("least") != F.col("last")).select("text", F.lit(True).alias("shared"))
+    recurring = recurring.join(shared, "text", "left").where(~inside | F.col("shared").isNull())
+
+    # Slots of the template whose text is mostly (over three quarters) from a pool.
+    plain = recurring.where(~F.col("doubted")).groupBy("host", "slot", "root").agg(
+        *[F.sum(F.when(F.col("fixed") == f, F.col(c)).otherwise(0)).alias(n)
+          for n, f, c in (("fixed_pages", True, "pages"), ("fixed_size", True, "size"), ("pool_pages", False, "pages"))])
+    opened = structure.where(kind == "<").select("host", F.substring("token", 2, 16).alias("slot"), F.lit(True).alias("bounded"))
+    slots = every.where(kind == "s").select("host", *slot, "pages", "size").join(plain, ["host", "slot", "root"], "left").join(
+        opened, ["host", "slot"], "left").fillna(0, ["fixed_pages", "fixed_size", "pool_pages"]).withColumn(
+        "pool", F.coalesce("bounded", F.lit(False)) & (4 * F.col("pool_pages") > 3 * (F.col("pages") - F.col("fixed_pages"))))
+    # Where over half of the text would go so, the host's pages are near copies, and it stays.
+    varying = F.col("size") - F.col("fixed_size")
+    pooled = F.when(F.col("pool"), varying).otherwise(0)
+    copies = slots.groupBy("host", inside.alias("inside")).agg(
+        (2 * F.sum(F.when(inside, pooled + F.col("fixed_size")).otherwise(pooled)) > F.sum(F.when(inside, F.col("size")).otherwise(varying))).alias("copies"))
+    judged = slots.withColumn("inside", inside).join(copies, ["host", "inside"])
+    slots_out = judged.where(F.col("pool") & ~F.col("copies"))
+    kept_copies = copies.where(F.col("copies") & F.col("inside")).select("host", F.lit(True).alias("copied"))
+    texts = recurring.where(F.col("fixed") | F.col("doubted")).join(kept_copies, "host", "left").where(
+        F.col("doubted") | ~inside | F.col("copied").isNull())
+    entries = [structure, texts.select("host", "token"), slots_out.select("host", F.concat(F.lit("s"), "slot", "root").alias("token"))]
+    return reduce(DataFrame.unionAll, entries).groupBy("host").agg(F.array_join(F.sort_array(F.collect_set("token")), _SPLIT).alias("template"))
 
 
 _SETS: dict[str, frozenset[str]] = {}

@@ -305,6 +305,13 @@ def test_copies_in_the_majority_keep_their_text(spark):
     assert out[13:] == [" ".join(f"long passage {k} of it" for k in range(8) if k != n) for n in range(6)]
 
 
+def test_the_template_decides_inside_main_elements(spark):
+    own = lambda n: f"own words of page {n}, {n * n} and more of them to read"
+    bodies = [("a.org", f"<article><p>{own(n)}</p><div class='x'>buy number {n % 2}</div><p class='y'>Follow this place</p><p>Said on two hosts</p></article>")
+              for n in range(12)] + [("b.org", "<article><p>Said on two hosts</p></article>")]
+    assert extracted(spark, bodies) == [f"{own(n)} Said on two hosts" for n in range(12)] + ["Said on two hosts"]
+
+
 # --- quality rules ---
 
 def test_quality_base_columns(spark, corpus):
