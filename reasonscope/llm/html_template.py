@@ -23,8 +23,12 @@ or whole class, id or role names. Names that are also ordinary words (related, s
 need the template's word: inside main text that their text recurs, elsewhere that the
 element is in the template. No ancestor of the page's main element drops by its name.
 
-If the page has main-text elements, the slots inside them remain, else all others.
-Hosts with too few pages have no template; their elements are judged by their names.
+Of the remaining slots those inside main elements are the text, if their varying text
+is at least as long as that outside; only those outside, if it is over four times as
+long; else both. The measure of the former is the page's largest main element, raised
+to the host's mean of that path (to four times its length at most), so that a short
+article isn't lost to long comments. Hosts with too few pages have no template; their
+elements are judged by their names and their page's lengths alone.
 
 A template is at most one page's tokens per class. Templates are broadcast if their
 measured size is at most ``BROADCAST`` bytes; else pages are joined to them by host,
@@ -271,10 +275,12 @@ def page_tokens(parsed: Page) -> dict[str, list[int]]:
     return counts
 
 
-def main_text(page: str, template: frozenset[str]) -> str:
-    """The text of a page's remaining slots. ``template``: tokens."""
+def main_text(page: str, template: frozenset[str], weights: dict[str, int] | None = None) -> str:
+    """The text of a page's remaining slots. ``template``: tokens; ``weights``: the mean
+    varying text of the host's main elements, by the hash of their path."""
     parsed = Page(page)
-    kept: dict[bool, list[list[str]]] = {True: [[]], False: [[]]}
+    kept: dict[bool | None, list[list[str]]] = {True: [[]], False: [[]], None: [[]]}  # None: inside and outside
+    sizes: dict[int, int] = {}
     for kind, e, raw in parsed.items:
         if kind != "text":
             if e < 0 or parsed.names[e] not in INLINE:
@@ -289,8 +295,12 @@ def main_text(page: str, template: frozenset[str]) -> str:
             token = parsed.token(e, raw)
             if token in template or not level and "s" + token[1:33] in template:
                 continue
+        sizes[root] = sizes.get(root, 0) + len(raw.strip())
         kept[root >= 0][-1].append(raw)
-    blocks = kept[True] if any(e >= 0 for e in parsed.roots) else kept[False]
+        kept[None][-1].append(raw)
+    outside = sizes.pop(-1, 0)
+    inside = max((max(n, min(4 * n, (weights or {}).get(path_hash(parsed.paths[e]), 0))) for e, n in sizes.items()), default=0)
+    blocks = kept[True if outside <= inside else False if outside > 4 * inside else None]
     texts = (" ".join(html.unescape("".join(b)).split()) for b in blocks)
     return " ".join(t for t in texts if t)
 
@@ -387,26 +397,33 @@ def templates(pages: DataFrame, support: int = SUPPORT) -> DataFrame:
     kept_copies = copies.where(F.col("copies") & F.col("inside")).select("host", F.lit(True).alias("copied"))
     texts = recurring.where(F.col("fixed") | F.col("doubted")).join(kept_copies, "host", "left").where(
         F.col("doubted") | ~inside | F.col("copied").isNull())
-    entries = [structure, texts.select("host", "token"), slots_out.select("host", F.concat(F.lit("s"), "slot", "root").alias("token"))]
+
+    # The mean text that remains in a main element.
+    remains = F.when(F.col("copies"), F.col("size")).when(F.col("pool"), 0).otherwise(varying)
+    weights = judged.where("inside").groupBy("host", "root").agg(F.sum(remains).alias("remains")).join(
+        every.where(kind == "<").select("host", F.substring("token", 2, 16).alias("root"), F.col("size").alias("n")), ["host", "root"])
+    entries = [structure, texts.select("host", "token"), slots_out.select("host", F.concat(F.lit("s"), "slot", "root").alias("token")),
+               weights.select("host", F.concat(F.lit("@"), "root", F.floor(F.col("remains") / F.col("n")).cast("string")).alias("token"))]
     return reduce(DataFrame.unionAll, entries).groupBy("host").agg(F.array_join(F.sort_array(F.collect_set("token")), _SPLIT).alias("template"))
 
 
-_SETS: dict[str, frozenset[str]] = {}
+_SETS: dict[str, tuple[frozenset[str], dict[str, int]]] = {}
 
 
-def _template_set(written: str | None) -> frozenset[str]:
+def _template_set(written: str | None) -> tuple[frozenset[str], dict[str, int]]:
     if not written:
-        return frozenset()
+        return frozenset(), {}
     if written not in _SETS:
         if len(_SETS) >= 256:
             _SETS.clear()
-        _SETS[written] = frozenset(written.split(_SPLIT))
+        tokens = written.split(_SPLIT)
+        _SETS[written] = frozenset(t for t in tokens if t[0] != "@"), {t[1:17]: int(t[17:]) for t in tokens if t[0] == "@"}
     return _SETS[written]
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = [main_text(page or "", _template_set(t)) for page, t in zip(batch.column("_html").to_pylist(), batch.column("template").to_pylist())]
+        found = [main_text(page or "", *_template_set(t)) for page, t in zip(batch.column("_html").to_pylist(), batch.column("template").to_pylist())]
         keep = [c for c in batch.schema.names if c not in ("_html", "_url", "_host", "template")]
         yield append(batch.select(keep), text=pa.array(found, pa.string()))
 

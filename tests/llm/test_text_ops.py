@@ -312,6 +312,15 @@ def test_the_template_decides_inside_main_elements(spark):
     assert extracted(spark, bodies) == [f"{own(n)} Said on two hosts" for n in range(12)] + ["Said on two hosts"]
 
 
+def test_inside_or_outside_by_the_text_that_varies(spark):
+    words = lambda n, k: " ".join(f"w{n * 100 + i}" for i in range(k))
+    teaser = lambda n: f"<article class='card'>More {n}..</article>"
+    bodies = [("a.org", f"<div class='content'><p>{words(n, 40)}</p></div>{teaser(n)}<article></article>") for n in range(6)]
+    bodies += [("b.org", f"<article><p>{words(n, 5 if n == 3 else 60)}</p></article><div class='x'>{words(n + 50, 9)}</div>") for n in range(6)]
+    bodies += [("lone.org", f"<div>{words(1, 40)}</div>{teaser(1)}")]
+    assert extracted(spark, bodies) == [words(n, 40) for n in range(6)] + [words(n, 5 if n == 3 else 60) for n in range(6)] + [words(1, 40)]
+
+
 # --- quality rules ---
 
 def test_quality_base_columns(spark, corpus):
