@@ -14,7 +14,10 @@ is nearest to either of the two, among 2 x 2**27 anchors.
 
 Only distinct fingerprints are copied. Anchors with over ``HOT`` fingerprints are
 found by a count and dealt out further by each byte of the other half (a linked
-pair agrees in at least one of its four bytes). An anchor's task finds the classes
+pair agrees in at least one of its four bytes); (anchor, byte) groups still over
+``HOT`` once more by each six bits of the other half's remaining 24 (a linked pair
+agrees in at least one of these four groups). A task's group is then of one anchor,
+one byte and six bits at least. An anchor's task finds the classes
 of its fingerprints by growing them and emits one link for each further member,
 never all pairs. Classes are joined over anchors by alternating star steps, each
 of which is checkpointed.
@@ -27,11 +30,12 @@ without any id has a null component_id. Repeated rows share a fingerprint.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reasonscope.llm.common import append, cut_lineage, utf8, without
@@ -161,6 +165,19 @@ def _links(max_bits: int):
     return run
 
 
+def _dealt_again(dealt: DataFrame, other: Column, hot: int) -> DataFrame:
+    """Rows of crowded anchors, those of (anchor, byte) groups over ``hot`` dealt out by
+    each six of the other half's 24 bits beside the byte."""
+    crowded = dealt.groupBy("anchor", "part").count().where(F.col("count") > hot).select("anchor", "part", F.lit(True).alias("hot"))
+    byte = F.shiftright("part", 8)
+    rest = reduce(lambda out, i: out.when(byte == i, F.shiftleft(F.shiftright(other, 8 * i + 8), 8 * i).bitwiseOR(
+        other.bitwiseAND(F.lit((1 << 8 * i) - 1)))), range(1, 4), F.when(byte == 0, F.shiftright(other, 8)))
+    parts = F.array(*[(F.col("part") * 256 + 1024 + 64 * i).cast("int") + F.shiftright(rest, 6 * i).bitwiseAND(F.lit(63)).cast("int")
+                      for i in range(4)])
+    return dealt.join(crowded, ["anchor", "part"], "left").select(
+        "anchor", "fp", F.explode(F.when(F.col("hot"), parts).otherwise(F.array("part"))).alias("part"))
+
+
 def _links_of(prints: DataFrame, max_bits: int, hot: int) -> DataFrame:
     rows = prints.select("fp").mapInArrow(_anchor_rows, "anchor long, fp long")
     crowded = rows.groupBy("anchor").count().where(F.col("count") > hot).select("anchor", F.lit(True).alias("hot"))
@@ -169,6 +186,7 @@ def _links_of(prints: DataFrame, max_bits: int, hot: int) -> DataFrame:
     parts = F.array(*[(F.shiftright(other, 8 * i).bitwiseAND(F.lit(255)) + 256 * i).cast("int") for i in range(4)])
     dealt = rows.join(crowded, "anchor", "left").select(
         "anchor", "fp", F.explode(F.when(F.col("hot"), parts).otherwise(F.array(F.lit(-1)))).alias("part"))
+    dealt = dealt.where(F.col("part") < 0).unionAll(_dealt_again(dealt.where(F.col("part") >= 0), other, hot))
     return dealt.repartition("anchor", "part").sortWithinPartitions("anchor", "part").mapInArrow(_links(max_bits), "u long, v long")
 
 

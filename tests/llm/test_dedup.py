@@ -1,5 +1,6 @@
 """SimHash near-dedup and substring dedup against brute force."""
 
+import collections
 import random
 import re
 
@@ -171,3 +172,22 @@ def test_every_word_has_an_anchor_within_one_bit():
 def test_simhash_empty(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert simhash.components(none).count() == 0 and simhash.keep_first(none).count() == 0
+
+
+def test_crowded_parts_are_dealt_out_again(spark):
+    r = np.random.default_rng(4)
+    base = int(r.integers(1 << 62))
+    prints = sorted({base ^ sum(1 << int(b) for b in r.choice(63, n, replace=False)) for n in (1, 2, 3, 4, 5) for _ in range(60)})
+    rows = spark.createDataFrame([(p,) for p in prints], "fp long")
+    once = simhash._links_of(rows, 3, 1 << 20)
+    again = simhash._dealt_again(spark.createDataFrame([(0, p, 256 * i + (p >> 32 + 8 * i & 255)) for p in prints for i in range(4)],
+                                                       "anchor long, fp long, part int"), F.shiftrightunsigned("fp", 32), 20)
+    groups = collections.defaultdict(set)
+    for x in again.collect():
+        groups[x.part].add(x.fp)
+    assert min(groups) >= 0 and max(groups) >= 1024
+    high = {p: p >> 32 for p in prints}
+    together = {(a, b) for g in groups.values() for a in g for b in g}
+    assert all((a, b) in together for a in prints for b in prints if (high[a] ^ high[b]).bit_count() <= 3)
+    classes = lambda links: sorted((x.node, x.root) for x in simhash.connected(links).collect())
+    assert classes(once) == classes(simhash._links_of(rows, 3, 20))
