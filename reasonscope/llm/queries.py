@@ -10,8 +10,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reasonscope.llm import bpe, chat, fingerprints, hmm, html_template, packing, token_counts
+from reasonscope.llm import alignment, bpe, centroids, chat, decontamination, fingerprints, hmm, html_template, packing, token_counts
 from reasonscope.llm.common import table
+from reasonscope.llm.oracles import ORACLES  # noqa: F401
 from reasonscope.llm.quality import judge
 from reasonscope.llm.simhash import components
 from reasonscope.llm.substring_dedup import remove_repeats
@@ -72,6 +73,25 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
                       "class_distance", "word_distance", "kept")
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = centroids.cluster(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    out = centroids.with_inertia(found)
+    return out.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", F.sha2("center", 256).alias("centroid_sha256"))
+
+
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontamination.decontaminate(table(spark, sf_dir, "documents").select("doc_id", "text"),
+                                        table(spark, sf_dir, "benchmark").select("item_id", "text"))
+    return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+                      "contaminated", "n_near_items")
+
+
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = alignment.compare_tokenizers(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"),
+                                       public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.PATTERN)
+    return out.select("doc_id", *alignment.SUMS, "groups_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hmm_scores": op1_hmm_scores,
     "op2_token_counts": op2_token_counts,
@@ -83,6 +103,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_html_extraction": op9_html_extraction,
     "op10_quality_rules": op10_quality_rules,
+    "op11_centroid_clustering": op11_centroid_clustering,
+    "op12_decontamination": op12_decontamination,
+    "op13_tokenizer_alignment": op13_tokenizer_alignment,
 }
-
-ORACLES: dict[str, str] = {}
