@@ -8,6 +8,7 @@ travel as literals or broadcasts; everything row-sized stays distributed.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from hashlib import md5
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
 from reasonscope import defaults as D
-from reasonscope.session import literal_table
+from reasonscope.session import literal_table, ship_package
 
 
 def _arr(col) -> Column:
@@ -143,6 +144,7 @@ class FittedKMeans:
 
     def transform(self, df: DataFrame, features_col: str = "features", cluster_col: str = "_cluster") -> DataFrame:
         """Nearest center of every row, ties to the lowest index."""
+        ship_package(df.sparkSession)
         centers, unit = _grid(self.centers, self.unit), self.unit
 
         @F.pandas_udf("int")
@@ -165,61 +167,181 @@ def _batches(batches: Iterator[pa.RecordBatch], unit: float) -> Iterator[tuple[n
             yield _grid(flat.reshape(batch.num_rows, -1), unit), batch.column("w").to_numpy().astype(np.int64)
 
 
+def _seeds(points: np.ndarray, n: int, seed: int) -> dict[int, bytes]:
+    """The n distinct points of smallest hash: the MD5 of "seed|index:value,..." over
+    the nonzero grid coordinates."""
+    best: dict[int, bytes] = {}
+    worst = 0
+    for point in points + 0.0:   # no negative zero
+        at = np.flatnonzero(point)
+        text = ",".join(f"{i}:{v}" for i, v in zip(at.tolist(), point[at].astype(np.int64).tolist()))
+        value = int(md5(f"{seed}|{text}".encode()).hexdigest()[:SEED_DIGITS], 16)
+        if value < worst or len(best) < n:
+            best[value] = point.tobytes()
+            if len(best) > n:
+                del best[max(best)]
+            worst = max(best)
+    return best
+
+
 def _seed_rows(unit: float, n: int, seed: int):
-    """Each partition's n distinct points of smallest hash: the MD5 of
-    "seed|index:value,..." over the nonzero grid coordinates."""
+    """Each partition's seeds."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: dict[int, bytes] = {}
-        worst = 0
         for points, _ in _batches(batches, unit):
-            for point in points + 0.0:   # no negative zero
-                at = np.flatnonzero(point)
-                text = ",".join(f"{i}:{v}" for i, v in zip(at.tolist(), point[at].astype(np.int64).tolist()))
-                value = int(md5(f"{seed}|{text}".encode()).hexdigest()[:SEED_DIGITS], 16)
-                if value < worst or len(best) < n:
-                    best[value] = point.tobytes()
-                    if len(best) > n:
-                        del best[max(best)]
-                    worst = max(best)
+            best = dict(sorted({**best, **_seeds(points, n, seed)}.items())[:n])
         yield pa.RecordBatch.from_arrays([pa.array(list(best), pa.int64()), pa.array(list(best.values()), pa.binary())],
                                          names=["value", "point"])
     return run
 
 
+def _starts(grid: list[np.ndarray], fits: list[tuple[int, int]], runs: int) -> dict[int, np.ndarray]:
+    """First centers of each fit (k, restart): the next k seeds, from the first again when
+    the ``runs * k`` that count for k run out."""
+    own = {k: grid[: runs * k] for k, _ in fits}
+    return {n: np.array([own[k][(r * k + i) % len(own[k])] for i in range(min(k, len(own[k])))]) for n, (k, r) in enumerate(fits)}
+
+
+def _fit_sums(points: np.ndarray, weights: np.ndarray, centers: dict[int, np.ndarray]) -> dict[int, np.ndarray]:
+    """By fit and cluster: count, inertia (upper and lower part) and coordinate sums."""
+    out, at = {}, 0
+    whole = points.astype(np.int64) * weights[:, None]
+    every = _distances(points, np.concatenate(list(centers.values())))   # of all fits at once
+    for n, own in centers.items():
+        distances = every[:, at: at + len(own)]
+        at += len(own)
+        label = distances.argmin(axis=1)
+        least = distances[np.arange(len(points)), label].astype(np.int64)
+        total = np.zeros((len(own), points.shape[1] + 3), np.int64)
+        columns = np.column_stack([weights, weights * (least >> GRID_BITS), weights * (least & (1 << GRID_BITS) - 1), whole])
+        order = np.argsort(label, kind="stable")
+        begin = np.flatnonzero(np.append(True, np.diff(label[order]) > 0))
+        total[label[order][begin]] += np.add.reduceat(columns[order], begin, axis=0)
+        out[n] = total
+    return out
+
+
+def _moved(centers: np.ndarray, sums: np.ndarray) -> np.ndarray:
+    """Means on the grid; an empty cluster keeps its center."""
+    return np.where(sums[:, :1] > 0, np.rint(sums[:, 3:] / np.maximum(sums[:, :1], 1)), centers)
+
+
+def _iterate(centers: dict[int, np.ndarray], step, unit: float, max_iter: int, tol: float) -> dict[int, np.ndarray]:
+    """Lloyd steps of all fits that still move; ``step`` gives their sums."""
+    moving = dict(centers)
+    for _ in range(max_iter):
+        if not moving:
+            break
+        for n, sums in step(moving).items():
+            new = _moved(centers[n], sums)
+            if np.abs(new - centers[n]).max() * unit <= tol:
+                del moving[n]
+            else:
+                moving[n] = new
+            centers[n] = new
+    return centers
+
+
+def _long(tables: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """Whole-number tables by fit as rows (fit, cluster, place, value), zeros left out."""
+    for n, table in tables.items():
+        cluster, place = np.nonzero(table)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.full(len(place), n, np.int32)), pa.array(cluster.astype(np.int32)), pa.array(place.astype(np.int32)),
+             pa.array(table[cluster, place].astype(np.int64))], names=["fit", "cluster", "place", "value"])
+
+
+_LONG = "fit int, cluster int, place int, value long"
+
+
+def _tables(rows: pa.Table, shapes: dict[int, tuple[int, int]]) -> dict[int, np.ndarray]:
+    out = {n: np.zeros(shape, np.int64) for n, shape in shapes.items()}
+    fit, cluster, place, value = (rows[c].to_numpy() for c in ("fit", "cluster", "place", "value"))
+    for n, table in out.items():
+        own = fit == n
+        table[cluster[own], place[own]] = value[own]
+    return out
+
+
+def _summed(arrays: DataFrame, per_partition) -> pa.Table:
+    """Partition tables added up by Spark: a bounded size, whatever the rows."""
+    return (arrays.mapInArrow(per_partition, _LONG).groupBy("fit", "cluster", "place")
+            .agg(F.sum("value").alias("value")).toArrow())
+
+
 def _step_rows(unit: float, centers: dict[int, np.ndarray]):
-    """Each partition's counts, inertia (upper and lower part) and coordinate sums by
-    restart and cluster, for all restarts in one pass."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[int, np.ndarray] = {}
         for points, weights in _batches(batches, unit):
-            whole = points.astype(np.int64) * weights[:, None]
-            for r, own in centers.items():
-                distances = _distances(points, own)
-                label = distances.argmin(axis=1)
-                least = distances[np.arange(len(points)), label].astype(np.int64)
-                total = totals.setdefault(r, np.zeros((len(own), points.shape[1] + 3), np.int64))
-                columns = np.column_stack([weights, weights * (least >> GRID_BITS), weights * (least & (1 << GRID_BITS) - 1), whole])
-                order = np.argsort(label, kind="stable")
-                begin = np.flatnonzero(np.append(True, np.diff(label[order]) > 0))
-                total[label[order][begin]] += np.add.reduceat(columns[order], begin, axis=0)
-        for r, total in totals.items():
-            cluster, place = np.nonzero(total)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(place), r, np.int32)), pa.array(cluster.astype(np.int32)), pa.array(place.astype(np.int32)),
-                 pa.array(total[cluster, place])], names=["run", "cluster", "place", "value"])
+            for n, sums in _fit_sums(points, weights, centers).items():
+                totals[n] = totals[n] + sums if n in totals else sums
+        yield from _long(totals)
     return run
 
 
-def _step(arrays: DataFrame, unit: float, centers: dict[int, np.ndarray]) -> dict[int, np.ndarray]:
-    """restarts x clusters x (d + 3) sums: a bounded size, whatever the rows."""
-    rows = arrays.mapInArrow(_step_rows(unit, centers), "run int, cluster int, place int, value long")
-    sums = rows.groupBy("run", "cluster", "place").agg(F.sum("value").alias("value")).toArrow()
-    out = {r: np.zeros((len(c), c.shape[1] + 3), np.int64) for r, c in centers.items()}
-    run, cluster, place, value = (sums[c].to_numpy() for c in ("run", "cluster", "place", "value"))
-    for r, total in out.items():
-        own = run == r
-        total[cluster[own], place[own]] = value[own]
-    return out
+def _block_rows(unit: float, fits: list[tuple[int, int]], runs: int, seed: int, max_iter: int, tol: float):
+    """All fits of points that lie in one partition of bounded size: final centers, and
+    in the last two places their inertia (upper and lower part)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = list(_batches(batches, unit))
+        if not parts:
+            return
+        points, weights = (np.concatenate(x) for x in zip(*parts))
+        seeds = _seeds(points, runs * max(k for k, _ in fits), seed)
+        grid = [np.frombuffer(seeds[v]) for v in sorted(seeds)]
+        step = lambda centers: _fit_sums(points, weights, centers)
+        centers = _iterate(_starts(grid, fits, runs), step, unit, max_iter, tol)
+        costs = step(centers)
+        # as many rows as clusters, so that a center of zeros leaves its size behind
+        yield from _long({n: np.column_stack([c, costs[n][:, 1:3], np.ones(len(c))]) for n, c in centers.items()})
+    return run
+
+
+@dataclass
+class _Points:
+    """Points as arrays (x, w) on a grid of step ``unit``; ``block``: all fit in one block."""
+    arrays: DataFrame
+    unit: float
+    width: int
+    block: bool
+
+
+def _on_grid(points: DataFrame, features_col: str, weight_col: str | None) -> _Points:
+    ship_package(points.sparkSession)
+    weight = F.col(weight_col).cast("long") if weight_col else F.lit(1).cast("long")
+    arrays = points.select(_dense(points, features_col).alias("x"), weight.alias("w"))
+    top, rows, width = arrays.select(F.max(F.array_max(F.transform("x", F.abs))), F.count(F.lit(1)), F.max(F.size("x"))).first()
+    size = rows * (width or 1) * 8
+    unit = 2.0 ** (int(np.ceil(np.log2(top or 1.0) - 1e-9)) - GRID_BITS)   # rows of norm 1 give one grid, whatever their last bit
+    # each pass is a job: small partitions are read together (no result depends on it)
+    return _Points(arrays.coalesce(1 + size // BLOCK_BYTES), unit, width or 0, size < BLOCK_BYTES)
+
+
+def _fit_all(data: _Points, fits: list[tuple[int, int]], runs: int, seed: int, max_iter: int, tol: float) -> dict[int, tuple[np.ndarray, int]]:
+    """Centers and inertia (grid units) of each fit (k, restart)."""
+    if data.block:
+        rows = data.arrays.mapInArrow(_block_rows(data.unit, fits, runs, seed, max_iter, tol), _LONG).toArrow()
+        sizes = Counter(rows["fit"].to_numpy()[rows["place"].to_numpy() == data.width + 2].tolist())
+        found = _tables(rows, {n: (size, data.width + 3) for n, size in sizes.items()})
+        return {n: (t[:, :data.width].astype(np.float64), (int(t[:, -3].sum()) << GRID_BITS) + int(t[:, -2].sum())) for n, t in found.items()}
+    most = runs * max(k for k, _ in fits)
+    seeds = (data.arrays.mapInArrow(_seed_rows(data.unit, most, seed), "value long, point binary")
+             .dropDuplicates(["value"]).orderBy("value").limit(most).collect())       # restarts x k rows
+
+    def step(centers):
+        return _tables(_summed(data.arrays, _step_rows(data.unit, centers)), {n: (len(c), data.width + 3) for n, c in centers.items()})
+
+    centers = _iterate(_starts([np.frombuffer(bytes(s["point"])) for s in seeds], fits, runs), step, data.unit, max_iter, tol)
+    return {n: (centers[n], (int(s[:, 1].sum()) << GRID_BITS) + int(s[:, 2].sum())) for n, s in step(centers).items()}
+
+
+def _best(data: _Points, ks: list[int], n_init: int, seed: int, max_iter: int, tol: float) -> dict[int, FittedKMeans]:
+    """For each k the fit of lowest inertia, ties to the earlier restart."""
+    runs = max(1, n_init)
+    fits = [(k, r) for k in ks for r in range(runs)]
+    found = _fit_all(data, fits, runs, seed, max_iter, tol)
+    least = {k: min((found[n][1], n) for n, (own, _) in enumerate(fits) if own == k)[1] for k in ks}
+    return {k: FittedKMeans(found[n][0] * data.unit, data.unit, found[n][1] * data.unit * data.unit) for k, n in least.items()}
 
 
 def fit_kmeans(points: DataFrame, k: int, features_col: str = "features", n_init: int = D.KMEANS_N_INIT,
@@ -234,52 +356,77 @@ def fit_kmeans(points: DataFrame, k: int, features_col: str = "features", n_init
     Coordinates are rounded to a grid of 2**-20 of the largest one. All sums are then
     whole numbers, so the fit is the same for any order, partitioning, and for a
     point of weight w or w equal points. Fewer distinct points than k give as many
-    clusters. Points should be persisted."""
-    weight = F.col(weight_col).cast("long") if weight_col else F.lit(1).cast("long")
-    arrays = points.select(_dense(points, features_col).alias("x"), weight.alias("w"))
-    top, rows, width = arrays.select(F.max(F.array_max(F.transform("x", F.abs))), F.count(F.lit(1)), F.max(F.size("x"))).first()
-    top = top or 1.0
-    # each pass is a job: small partitions are read together (no result depends on it)
-    arrays = arrays.coalesce(1 + rows * (width or 1) * 8 // BLOCK_BYTES)
-    unit = 2.0 ** (int(np.ceil(np.log2(top) - 1e-9)) - GRID_BITS)   # rows of norm 1 give one grid, whatever their last bit
-    runs = max(1, n_init)
-    seeds = (arrays.mapInArrow(_seed_rows(unit, runs * k, seed), "value long, point binary")
-             .dropDuplicates(["value"]).orderBy("value").limit(runs * k).collect())       # restarts x k rows
-    grid = [np.frombuffer(bytes(s["point"])) for s in seeds]
-    centers = {r: np.array([grid[(r * k + i) % len(grid)] for i in range(min(k, len(grid)))]) for r in range(runs)}
-    moving = dict(centers)
-    for _ in range(max_iter):
-        if not moving:
-            break
-        for r, sums in _step(arrays, unit, moving).items():
-            counts = sums[:, :1]
-            new = np.where(counts > 0, np.rint(sums[:, 3:] / np.maximum(counts, 1)), centers[r])
-            moved = np.abs(new - centers[r]).max() * unit
-            centers[r] = new
-            if moved <= tol:
-                del moving[r]
-            else:
-                moving[r] = new
-    costs = {r: (int(s[:, 1].sum()) << GRID_BITS) + int(s[:, 2].sum()) for r, s in _step(arrays, unit, centers).items()}
-    best = min(costs, key=lambda r: (costs[r], r))
-    return FittedKMeans(centers[best] * unit, unit, costs[best] * unit * unit)
+    clusters. Points should be persisted. Points that fill less than ``BLOCK_BYTES`` are one
+    partition, which makes all its passes within one job (the same sums)."""
+    return _best(_on_grid(points, features_col, weight_col), [k], n_init, seed, max_iter, tol)[k]
+
+
+def _members(points: np.ndarray, weights: np.ndarray, models: dict[int, np.ndarray]):
+    labels = {n: _distances(points, c).argmin(axis=1) for n, c in models.items()}
+    return (points * points).sum(axis=1), labels
+
+
+def _member_rows(unit: float, models: dict[int, np.ndarray]):
+    """By model and cluster: members, coordinate sums, sum of squared norms (upper and lower part)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals = {n: np.zeros((len(c), c.shape[1] + 3), np.int64) for n, c in models.items()}
+        for points, weights in _batches(batches, unit):
+            norms, labels = _members(points, weights, models)
+            norms = norms.astype(np.int64)
+            columns = np.column_stack([weights, weights * (norms >> GRID_BITS), weights * (norms & (1 << GRID_BITS) - 1),
+                                       points.astype(np.int64) * weights[:, None]])
+            for n, label in labels.items():
+                np.add.at(totals[n], label, columns)
+        yield from _long(totals)
+    return run
+
+
+def _score_rows(unit: float, models: dict[int, np.ndarray], stats: dict[int, np.ndarray]):
+    """By model: the members' silhouettes, summed in steps of 2**-40 (upper and lower part)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals = {n: np.zeros((1, 2), np.int64) for n in models}
+        for points, weights in _batches(batches, unit):
+            norms, labels = _members(points, weights, models)
+            rows = np.arange(len(points))
+            for n, label in labels.items():
+                count = np.maximum(stats[n][:, 0], 1).astype(np.float64)
+                spread = (stats[n][:, 1] * float(1 << GRID_BITS) + stats[n][:, 2]) / count
+                mean = np.maximum(norms[:, None] - 2 * points @ (stats[n][:, 3:] / count[:, None]).T + spread, 0.0)
+                mean[:, stats[n][:, 0] == 0] = np.inf
+                own = np.where(stats[n][label, 0] > 1, mean[rows, label], 0.0)
+                mean[rows, label] = np.inf
+                other = mean.min(axis=1)
+                larger = np.maximum(own, other)
+                scaled = np.rint(np.divide(other - own, larger, out=np.zeros(len(points)), where=larger > 0) * float(1 << 2 * GRID_BITS)).astype(np.int64)
+                totals[n] += [[int((weights * (scaled >> GRID_BITS)).sum()), int((weights * (scaled & (1 << GRID_BITS) - 1)).sum())]]
+        yield from _long(totals)
+    return run
+
+
+def _silhouettes(data: _Points, models: dict[int, FittedKMeans]) -> dict[int, float]:
+    """Mean silhouette (squared distances, see :func:`silhouette`) of every model in two passes for all."""
+    centers = {n: _grid(m.centers, m.unit) for n, m in models.items()}
+    stats = _tables(_summed(data.arrays, _member_rows(data.unit, centers)), {n: (len(c), data.width + 3) for n, c in centers.items()})
+    sums = _tables(_summed(data.arrays, _score_rows(data.unit, centers, stats)), {n: (1, 2) for n in centers})
+    score = lambda n: ((int(sums[n][0, 0]) << GRID_BITS) + int(sums[n][0, 1])) / float(1 << 2 * GRID_BITS) / int(stats[n][:, 0].sum())
+    return {n: score(n) if (stats[n][:, 0] > 0).sum() > 1 else -1.0 for n in centers}
 
 
 def choose_k(points: DataFrame, n_points: int, features_col: str, min_k: int, max_k: int,
-             weight_col: str | None = None, **fit_kw) -> tuple[int, FittedKMeans]:
+             weight_col: str | None = None, n_init: int = D.KMEANS_N_INIT, seed: int = D.KMEANS_SEED,
+             max_iter: int = D.KMEANS_MAX_ITER, tol: float = D.KMEANS_TOL) -> tuple[int, FittedKMeans]:
     """k in min_k..max_k (below n) with the best silhouette, and its fit; strictly
-    better scores win, so ties keep the smaller k."""
-    best, best_score = None, -1.0
-    for k in range(min_k, max_k + 1):
-        if k >= n_points:
-            break
-        model = fit_kmeans(points, k, features_col, weight_col=weight_col, **fit_kw)
-        cols = [_dense(points, features_col).alias("_x"), "_cluster"] + ([weight_col] if weight_col else [])
-        labeled = model.transform(points, features_col).select(*cols)
-        score = silhouette(labeled, "_x", "_cluster", weight_col).first()["silhouette"]
-        if score is not None and score > best_score:
-            best, best_score = (k, model), score
-    return best or (min_k, fit_kmeans(points, min_k, features_col, weight_col=weight_col, **fit_kw))
+    better scores win, so ties keep the smaller k. The fits of all k share their passes
+    over the points, and so do their silhouettes: the number of jobs doesn't grow with the range."""
+    data = _on_grid(points, features_col, weight_col)
+    ks = [k for k in range(min_k, max_k + 1) if k < n_points]
+    models = _best(data, ks or [min_k], n_init, seed, max_iter, tol)
+    scores = _silhouettes(data, models) if ks else {}
+    best, best_score = min_k, -1.0
+    for k in ks:
+        if scores[k] > best_score:
+            best, best_score = k, scores[k]
+    return best, models[best]
 
 
 def label_for_center(center: list[float], terms: list[str], top: int) -> str:

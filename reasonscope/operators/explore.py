@@ -20,7 +20,7 @@ from reasonscope.functions.text import (
     explode_positions, explode_values, py_round, repr_quote, rint_round, stem, token_stats, tokenize,
 )
 from reasonscope.options import Options
-from reasonscope.session import bounded_broadcast, literal_table
+from reasonscope.session import bounded_broadcast, literal_table, ship_package
 
 
 def _in_list(col, values):
@@ -247,6 +247,7 @@ def cooccurrence(tok: DataFrame, vocab: list[str]) -> DataFrame:
     based) keeps each row's distinct vocabulary words; each partition then
     multiplies its binary row x word block with numpy and emits at most
     V(V-1)/2 partial counts, which Spark sums per pair."""
+    ship_package(tok.sparkSession)
     arr = F.array(*[F.lit(w) for w in vocab])
     words = tok.select(F.array_intersect("tokens", arr).alias("vw"), _weight(tok).cast("long").alias("w"))
     parts = words.mapInPandas(_cooccurrence_partials(vocab), "i int, j int, n long")

@@ -198,3 +198,39 @@ def test_planning_starts_no_job(spark):
         assert not spark.sparkContext.statusTracker().getJobIdsForGroup("plan-only")
     finally:
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def spread_points(spark, n=120):
+    from pyspark.ml.functions import array_to_vector
+    rng = np.random.default_rng(2)
+    X = np.vstack([rng.normal(c, 0.4, (n // 4, 6)) for c in range(4)])
+    return points(spark, X).repartition(5).select("id", array_to_vector("v").alias("features")).cache()
+
+
+def test_passes_by_jobs_equal_passes_within_one(spark, monkeypatch):
+    df = spread_points(spark)
+    one = [C.fit_kmeans(df, k, n_init=3) for k in (2, 5)]
+    chosen, model = C.choose_k(df, 120, "features", 2, 6, n_init=3)
+    monkeypatch.setattr(C, "BLOCK_BYTES", 1 << 10)
+    for k, fit in zip((2, 5), one):
+        again = C.fit_kmeans(df, k, n_init=3)
+        assert again.cost == fit.cost and np.array_equal(again.centers, fit.centers)
+    assert C.choose_k(df, 120, "features", 2, 6, n_init=3)[0] == chosen == 4
+    labeled = model.transform(df)
+    assert C._silhouettes(C._on_grid(df, "features", None), {4: model})[4] == pytest.approx(
+        C.silhouette(labeled.withColumn("v", C._dense(df, "features")), "v", "_cluster").first()[0], abs=1e-5)
+
+
+def test_jobs_do_not_grow_with_the_range_of_k(spark):
+    df = spread_points(spark)
+    df.count()
+    jobs = []
+    for high in (3, 8):
+        group = f"choose-{high}"
+        spark.sparkContext.setJobGroup(group, group)
+        try:
+            C.choose_k(df, 120, "features", 2, high, n_init=2)
+            jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(group)))
+        finally:
+            spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs[0] == jobs[1] > 0
