@@ -203,7 +203,7 @@ def test_planning_starts_no_job(spark):
 def spread_points(spark, n=120):
     from pyspark.ml.functions import array_to_vector
     rng = np.random.default_rng(2)
-    X = np.vstack([rng.normal(c, 0.4, (n // 4, 6)) for c in range(4)])
+    X = np.vstack([rng.normal(0, 0.4, (n // 4, 6)) + 5 * np.eye(6)[c] for c in range(4)])
     return points(spark, X).repartition(5).select("id", array_to_vector("v").alias("features")).cache()
 
 
