@@ -114,11 +114,14 @@ def with_clean_text(df: DataFrame, src: str, dst: str, opts: Options) -> DataFra
     """
     tmp = "_clean"
     out = df.withColumn(tmp, clean_whitespace(F.coalesce(F.col(src), F.lit(""))))
-    items = list(opts.abbreviations)
+    items, synonyms = list(opts.abbreviations), opts.synonyms
+    if len(items) + len(opts.synonym_phrases) > opts.chain_limit:
+        from reasonscope.operators.phrases import fold_phrases, ordered_entries
+        out, items, synonyms = fold_phrases(out, tmp, tmp, ordered_entries(items, synonyms)), [], ()
     if items:
         reps = [(phrase_pattern(a), java_replacement(f)) for a, f in items]
         out = out.withColumn(tmp, _guarded(F.col(tmp), any_phrase_pattern([a for a, _ in items]), reps))
-    for guard, reps in normalize_synonyms_steps(opts.synonyms):
+    for guard, reps in normalize_synonyms_steps(synonyms):
         out = out.withColumn(tmp, _guarded(F.col(tmp), guard, reps))
     cols = [F.col(f"`{c}`") for c in out.columns if c not in (dst, tmp)]
     return out.select(*cols, F.explode_outer(F.array(F.col(tmp))).alias(dst))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reasonscope.functions.regex import any_phrase_pattern
+from reasonscope.operators.phrases import first_rule
 from reasonscope.options import Options
 
 
@@ -23,6 +25,10 @@ def priority_category(col, priority_groups) -> Column:
 
 def with_rule_category(detail: DataFrame, opts: Options, text_col: str = "ReasonText",
                        out_col: str = "Category") -> DataFrame:
+    rules = [(n, name, p) for n, (name, phrases) in enumerate(opts.priority_groups) for p in phrases if p]
+    if len(rules) > opts.chain_limit and not detail.isStreaming:
+        table = detail.sparkSession.createDataFrame(pa.table(dict(zip(("rule_no", "name", "phrase"), map(list, zip(*rules))))))
+        return first_rule(detail, table, text_col, out_col, max_rules=len(rules))
     return detail.withColumn(out_col, priority_category(text_col, opts.priority_groups))
 
 

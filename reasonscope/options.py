@@ -43,6 +43,10 @@ class Options:
     priority_groups: tuple[tuple[str, tuple[str, ...]], ...] = field(
         default_factory=lambda: _frozen_groups(D.PRIORITY_GROUPS))
 
+    # up to so many phrases a dictionary is a chain of regular expressions in the plan; a
+    # larger one is a table (operators.phrases), with the same result
+    chain_limit: int = 200
+
     # clustering
     cluster_unmatched: bool = True
     unmatched_label: str = "Other"          # used when cluster_unmatched is False

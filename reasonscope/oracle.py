@@ -255,6 +255,29 @@ SELECT token AS Word, n AS TotalOccurrences, df AS InNReasons,
 FROM top, tot WHERE length(token) >= 3"""
 
 
+def table_rules_sql(view: str, opts: Options, phrase: str) -> str:
+    """First rule (by number) of the benchmark's phrases in each detail row: adjacent runs of
+    word characters of a text, with what stands between them, are looked up by phrase."""
+    return "WITH " + prepared_cte(view, opts) + f""",
+texts AS MATERIALIZED (SELECT row_id, ReasonText FROM detail),
+rules AS (SELECT lower(phrase) AS phrase, min(item_id) AS rule_no FROM
+  (SELECT item_id, unnest(regexp_extract_all(text, {q(phrase)})) AS phrase FROM benchmark) GROUP BY lower(phrase)),
+runs AS (SELECT row_id, regexp_extract_all(lower(ReasonText), {q(f'[{W}]+|[^{W}]+')}) AS l FROM texts),
+met AS (SELECT row_id, min(rule_no) AS rule_no FROM
+  (SELECT row_id, unnest(list_transform(generate_series(1, len(l) - 2), lambda i: l[i] || l[i + 1] || l[i + 2])) AS phrase FROM runs)
+  JOIN rules USING (phrase) GROUP BY row_id)
+SELECT row_id, 'Item ' || rule_no AS Category FROM texts LEFT JOIN met USING (row_id)"""
+
+
+def fold_terms_sql(view: str, opts: Options, n: int) -> str:
+    """Runs of word characters replaced one by one (no replacement is a word of the dictionary)."""
+    return "WITH " + reasons_cte(view, opts) + f""",
+dict AS (SELECT token, {stem_sql('token')} || '_' AS new FROM wc WHERE regexp_full_match(token, '[a-z]{{4,}}') ORDER BY n DESC, token LIMIT {n}),
+runs AS (SELECT row_id, regexp_extract_all(reason, {q(f'[{W}]+|[^{W}]+')}) AS l FROM r),
+each AS (SELECT row_id, unnest(l) AS run, unnest(generate_series(1, len(l))) AS i FROM runs)
+SELECT row_id, string_agg(coalesce(new, run), '' ORDER BY i) AS text FROM each LEFT JOIN dict ON token = lower(run) GROUP BY row_id"""
+
+
 def abbreviation_sql(view: str, opts: Options) -> str:
     pat = f"(?:^|{MARK})([A-Z]{{2,6}})(?:[^{W}{MARK}]|$)"
     abbrs = opts.abbreviation_map

@@ -4,6 +4,7 @@ lives in :mod:`reasonscope.oracle` and is listed by :func:`oracle_sql`."""
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from reasonscope import oracle as O
@@ -14,6 +15,7 @@ from reasonscope.operators import cluster as C
 from reasonscope.operators import explore as X
 from reasonscope.operators import features as FT
 from reasonscope.operators import reports as R
+from reasonscope.operators.phrases import first_rule, fold_phrases, ordered_entries
 from reasonscope.operators.prepare import explore_reasons, prepare_comments
 from reasonscope.operators.rules import priority_counts
 from reasonscope.plans.categorize import categorize, rule_categorized
@@ -100,6 +102,35 @@ def q_priority_match(spark, sf):
     return rule_categorized(_view(spark, sf, "doc"), opts).select("row_id", "Category")
 
 
+BENCHMARK_PHRASE = "[A-Za-z]+ [A-Za-z]+"
+FOLDED_TERMS = 10_000
+
+
+def q_priority_match_table(spark, sf):
+    """Rules given as a table: the word pairs of the benchmark items, named by item."""
+    detail = prepare_comments(_view(spark, sf, "doc"), _opts("doc"))
+    rules = table(spark, sf, "benchmark").select(
+        F.col("item_id").alias("rule_no"), F.concat(F.lit("Item "), F.col("item_id").cast("string")).alias("name"),
+        F.explode(F.regexp_extract_all("text", F.lit(BENCHMARK_PHRASE), 0)).alias("phrase"))
+    return first_rule(detail, rules).select("row_id", "Category")
+
+
+def q_clean_reason_table(spark, sf):
+    """The cleaning dictionaries as one table of replacements."""
+    opts = _opts("turn")
+    v = _view(spark, sf, "turn").select("row_id", T.clean_whitespace(F.coalesce("reason_text", F.lit(""))).alias("text"))
+    return fold_phrases(v, "text", "text", ordered_entries(opts.abbreviations, opts.synonyms))
+
+
+def q_fold_terms(spark, sf):
+    """A dictionary of the 10,000 most frequent words: each is replaced by its marked stem."""
+    reasons, _, counts, _ = _reasons_tok(spark, sf, "doc")
+    top = counts.where(F.col("token").rlike("^[a-z]{4,}$")).orderBy(F.col("n").desc(), "token").limit(FOLDED_TERMS)
+    entries = top.select(F.row_number().over(Window.orderBy(F.col("n").desc(), "token")).alias("entry_no"),   # at most FOLDED_TERMS rows
+                         F.col("token").alias("phrase"), F.concat(T.stem("token"), F.lit("_")).alias("replacement"))
+    return fold_phrases(reasons, "reason", "text", entries).select("row_id", "text")
+
+
 def q_clean_whitespace(spark, sf):
     return _view(spark, sf, "doc").select("row_id", T.clean_whitespace("reason_text").alias("text"))
 
@@ -412,6 +443,9 @@ def oracle_sql() -> dict[str, str]:
                                 + " SELECT row_id, ReasonText FROM detail")
     sql["priority_match"] = ("WITH " + O.prepared_cte("doc", d)
                              + f" SELECT row_id, {O.rule_case('ReasonText', d)} AS Category FROM detail")
+    sql["priority_match_table"] = O.table_rules_sql("doc", d, BENCHMARK_PHRASE)
+    sql["clean_reason_table"] = f"SELECT row_id, {O.clean_reason('reason_text', t)} AS text FROM ({O.VIEW_SQL['turn']})"
+    sql["fold_terms"] = O.fold_terms_sql("doc", d, FOLDED_TERMS)
     sql["clean_whitespace"] = f"SELECT row_id, {O.ws_clean('reason_text')} AS text FROM ({O.VIEW_SQL['doc']})"
     sql["expand_abbreviations"] = (f"SELECT row_id, {O.expand_abbreviations(O.ws_clean('reason_text'), d)} AS text "
                                    f"FROM ({O.VIEW_SQL['doc']})")
