@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
 from reasonscope import defaults as D
-from reasonscope.session import literal_table, ship_package
+from reasonscope.session import bounded_broadcast, literal_table, ship_package
 
 
 def _arr(col) -> Column:
@@ -47,6 +47,29 @@ def assign_nearest(df: DataFrame, vec_col: str, centers: list[list[float]],
              .withColumn(dist_col, F.col("_best.d")).drop("_best")
 
 
+def assign_sparse(rows: DataFrame, weights: DataFrame, centers: DataFrame, max_center_rows: int | None = None,
+                  digits: int = 9) -> DataFrame:
+    """Nearest center of every row (row_id) from long tables: weights (row_id, term, weight)
+    and centers (cluster, term, weight), both without negative weights. The centers are an
+    inverted index: a row meets the centers it shares a term with and adds up its dot products;
+    all others are as far as their norm says, so the shortest one stands for them.
+    Distances are compared rounded to ``digits``, ties to the lowest cluster. No vocabulary is held
+    as a block; ``max_center_rows`` is a proven bound of the center rows, which allows a broadcast."""
+    listed = centers.select("cluster", "term", F.col("weight").alias("c"))
+    norms = centers.groupBy("cluster").agg(F.sum(F.col("weight") * F.col("weight")).alias("c2"))
+    far = norms.agg(F.min(F.struct("c2", "cluster")).alias("s")).select("s.cluster", "s.c2")   # one row
+    if max_center_rows is not None:
+        listed, norms = bounded_broadcast(listed, max_center_rows), bounded_broadcast(norms, max_center_rows)
+    own = rows.select("row_id").join(weights.groupBy("row_id").agg(F.sum(F.col("weight") * F.col("weight")).alias("x2")), "row_id", "left")
+    own = own.select("row_id", F.coalesce("x2", F.lit(0.0)).alias("x2"))
+    dots = (weights.join(listed, "term").groupBy("row_id", "cluster").agg(F.sum(F.col("weight") * F.col("c")).alias("dot"))
+            .join(norms, "cluster").select("row_id", "cluster", (F.col("c2") - 2 * F.col("dot")).alias("d")))
+    met = dots.groupBy("row_id").agg(F.min(F.struct(F.round("d", digits).alias("d"), "cluster")).alias("near"))
+    found = own.join(met, "row_id", "left").join(F.broadcast(far.select(F.struct(F.round("c2", digits).alias("d"), "cluster").alias("far"))))
+    nearest = F.least(F.coalesce("near", "far"), F.col("far"))
+    return found.select("row_id", nearest["cluster"].alias("cluster"), F.greatest(F.lit(0.0), F.col("x2") + nearest["d"]).alias("dist2"))
+
+
 def cluster_means(assigned: DataFrame, vec_col: str, cluster_col: str = "cluster") -> dict[int, list[float]]:
     """Mean point per cluster (k rows reach the driver)."""
     v = array_to_vector(_arr(vec_col))

@@ -75,9 +75,37 @@ def term_statistics(terms: DataFrame, weight_col: str | None = None) -> DataFram
         F.sum(F.when(F.col("t.occ"), 0).otherwise(F.col("_w"))).cast("long").alias("df"))
 
 
+#: most words that are taken along to sort out n-grams before they are counted
+PRUNING_WORDS = 20_000
+
+
+def vocabulary_statistics(terms: DataFrame, opts: Options, weight_col: str | None = None) -> DataFrame:
+    """``term_statistics`` of all terms that can enter the vocabulary. An n-gram is at most as
+    frequent as each of its words, so none can that has a word below the ``max_features``-th word.
+    Words are counted first; n-grams with a weaker word go before they are counted (and
+    shuffled). With more than ``PRUNING_WORDS`` words tied at the threshold nothing is sorted out."""
+    if opts.ngram_range[0] != 1 or opts.ngram_range[1] < 2:
+        return term_statistics(terms, weight_col)
+    gram = lambda t: F.contains(t, F.lit(" "))
+    words = term_statistics(terms.withColumn("terms", F.filter("terms", lambda t: ~gram(t))), weight_col)
+    key = "count" if opts.tfidf_profile == "sublinear" else "df"
+    top = words.orderBy(F.col(key).desc(), "term").limit(PRUNING_WORDS + 1).toArrow()
+    keys = top[key].to_pylist()
+    least = keys[opts.max_features - 1] if len(keys) >= opts.max_features else 0
+    strong = [t for t, n in zip(top["term"].to_pylist(), keys) if n >= least]
+    if len(strong) > PRUNING_WORDS:
+        return term_statistics(terms, weight_col)
+    kept = terms.withColumn("terms", F.filter("terms", gram))
+    if strong and len(strong) < len(keys):
+        known = lambda t: F.forall(F.split(t, " "), lambda w: w.isin(strong))
+        kept = terms.withColumn("terms", F.filter("terms", lambda t: gram(t) & known(t)))
+    counted = terms.sparkSession.createDataFrame(top.slice(0, len(strong)))
+    return counted.unionByName(term_statistics(kept, weight_col))
+
+
 def vocabulary_table(terms: DataFrame, opts: Options, weight_col: str | None = None) -> DataFrame:
     """Top ``max_features`` terms with their df and 0-based index."""
-    stats = term_statistics(terms, weight_col)
+    stats = vocabulary_statistics(terms, opts, weight_col)
     key = F.col("count") if opts.tfidf_profile == "sublinear" else F.col("df")
     top = stats.orderBy(key.desc(), F.col("term")).limit(opts.max_features)
     # a single-partition window is fine here: ``top`` has at most max_features rows

@@ -71,15 +71,35 @@ def top_tokens(detail: DataFrame, keys: list[str], n: int, out_col: str, opts: O
                                           lambda x: x["token"]), D.KEYWORD_SEPARATOR).alias(out_col)))
 
 
-def medians(detail: DataFrame) -> DataFrame:
-    """Exact median notch per category: rows are counted per value first, and a
-    running sum over the distinct values finds the middle."""
-    counts = detail.where(F.col("NotchDifference").isNotNull()).groupBy("Category", "NotchDifference").agg(
-        F.count(F.lit(1)).alias("c"))
-    run = Window.partitionBy("Category").orderBy("NotchDifference").rowsBetween(Window.unboundedPreceding, 0)
-    total = counts.groupBy("Category").agg(F.sum("c").alias("n"))
-    upto = counts.withColumn("upto", F.sum("c").over(run)).join(total, "Category")
-    at = lambda place: F.max(F.when((F.col("upto") >= place) & (F.col("upto") - F.col("c") < place), F.col("NotchDifference")))
+#: rank error of the bracket around a median: one row in so many
+MEDIAN_ACCURACY = 10_000
+
+
+def median_bracket(detail: DataFrame) -> DataFrame:
+    """Per category: the rows with a notch ``n`` and two values (``lo``, ``hi``) that the median lies between.
+    The mergeable quantile summary is at most n / MEDIAN_ACCURACY ranks off, and the
+    bracket is four times as wide to either side."""
+    margin = 4 / MEDIAN_ACCURACY
+    ends = F.percentile_approx("NotchDifference", [0.5 - margin, 0.5 + margin], MEDIAN_ACCURACY)
+    return (detail.where(F.col("NotchDifference").isNotNull()).groupBy("Category").agg(ends.alias("_b"), F.count(F.lit(1)).alias("n"))
+            .select("Category", "n", F.get("_b", F.lit(0)).alias("lo"), F.get("_b", F.lit(1)).alias("hi")))
+
+
+def median_counts(detail: DataFrame, bound: int) -> DataFrame:
+    """(Category, n, v, c): the rows per notch inside the bracket, and below it as one
+    null value; what lies above isn't needed. A category leaves about a thousandth of its values."""
+    notch = F.col("NotchDifference")
+    inside = detail.select("Category", notch).join(bounded_broadcast(median_bracket(detail), bound), "Category").where(notch <= F.col("hi"))
+    return inside.groupBy("Category", "n", F.when(notch >= F.col("lo"), notch).alias("v")).agg(F.count(F.lit(1)).alias("c"))
+
+
+def medians(detail: DataFrame, bound: int) -> DataFrame:
+    """Exact median notch per category (at most ``bound`` of them), by selection: only the
+    values near the middle are counted one by one, and a running sum over them finds it."""
+    counts = median_counts(detail, bound)
+    run = Window.partitionBy("Category").orderBy(F.col("v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    upto = counts.withColumn("upto", F.sum("c").over(run))
+    at = lambda place: F.max(F.when((F.col("upto") >= place) & (F.col("upto") - F.col("c") < place), F.col("v")))
     low, high = F.floor((F.col("n") + 1) / 2), F.floor(F.col("n") / 2) + 1
     return upto.groupBy("Category").agg(((at(low) + at(high)) / 2).alias("_median"))
 
@@ -107,7 +127,7 @@ def group_summary(detail: DataFrame, opts: Options, ordered: bool = True) -> Dat
     samples = sample_texts(detail, ["Category"], opts.max_sample_reasons, "SampleReasons", bound)
     kws = top_tokens(detail, ["Category"], opts.summary_keywords, "TopKeywords", opts)
     out = stats
-    for small in (medians(detail), uniq, ents, samples, kws):
+    for small in (medians(detail, bound), uniq, ents, samples, kws):
         out = out.join(bounded_broadcast(small, bound), "Category", "left")
     out = out.select(
         "Category", "Count",

@@ -419,12 +419,19 @@ wn AS (SELECT row_id, term, CASE WHEN sqrt(sum(w * w) OVER (PARTITION BY row_id)
         return body + "\nSELECT term, df, CAST(idx AS BIGINT) AS idx FROM vocab"
     if mode == "weights":
         return body + f"\nSELECT row_id, term, {rint('weight', 6)} AS weight FROM wn"
-    if mode == "labels":
-        return body + f""",
+    if mode in ("labels", "nearest"):
+        body += f""",
 role AS (SELECT row_id, actual_rating AS cluster FROM src),
 nrole AS (SELECT r.cluster, count(*) AS n FROM role r JOIN tm USING (row_id) GROUP BY r.cluster),
 cen AS (SELECT r.cluster, wn.term, {rint('sum(wn.weight) / nr.n', 9)} AS weight
-        FROM wn JOIN role r USING (row_id) JOIN nrole nr ON r.cluster = nr.cluster GROUP BY r.cluster, wn.term, nr.n),
+        FROM wn JOIN role r USING (row_id) JOIN nrole nr ON r.cluster = nr.cluster GROUP BY r.cluster, wn.term, nr.n)"""
+        if mode == "nearest":   # the dense form: every row against every center, term by term
+            return body + f""",
+grid AS (SELECT row_id, cluster, v.term FROM tm, (SELECT DISTINCT cluster FROM cen) k, vocab v),
+far AS (SELECT g.row_id, g.cluster, sum(power(coalesce(wn.weight, 0) - coalesce(cen.weight, 0), 2)) AS d FROM grid g
+        LEFT JOIN wn ON wn.row_id = g.row_id AND wn.term = g.term LEFT JOIN cen ON cen.cluster = g.cluster AND cen.term = g.term GROUP BY g.row_id, g.cluster)
+SELECT row_id, cluster, {rint('d', 6)} AS dist2 FROM far QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY round(d, 9), cluster) = 1"""
+        return body + f""",
 rk AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY weight DESC, term) AS rn FROM cen),
 lab AS (SELECT cluster, string_agg(term, ', ' ORDER BY rn) AS label FROM rk
         WHERE rn <= {opts.top_keywords_per_cluster} AND weight > 0 GROUP BY cluster)

@@ -340,17 +340,29 @@ def q_tfidf_sublinear(spark, sf):
     return w.select("row_id", "term", T.rint_round("weight", 6).alias("weight"))
 
 
-def q_cluster_labels(spark, sf):
-    """Labels of centers = mean TF-IDF weight per speaker role."""
+def _role_centers(spark, sf):
+    """Centers = mean TF-IDF weight per speaker role."""
     terms, opts = _unmatched_terms(spark, sf, "turn", only_override_rows=False)
     w = FT.tfidf_long(terms, opts)
     role = _view(spark, sf, "turn").select("row_id", F.col("actual_rating").alias("cluster"))
     n = role.join(terms.select("row_id"), "row_id").groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
     centers = (w.join(role, "row_id").groupBy("cluster", "term").agg(F.sum("weight").alias("s"))
                .join(n, "cluster").select("cluster", "term", T.rint_round(F.col("s") / F.col("n"), 9).alias("weight")))
+    return terms, w, centers, opts
+
+
+def q_cluster_labels(spark, sf):
+    _, _, centers, opts = _role_centers(spark, sf)
     return C.center_labels(centers, opts.top_keywords_per_cluster)
 
 
+def q_kmeans_assign_sparse(spark, sf):
+    """Every unmatched row's nearest role center, over the long tables."""
+    terms, w, centers, _ = _role_centers(spark, sf)
+    out = C.assign_sparse(terms, w, centers)
+    return out.select("row_id", "cluster", T.rint_round("dist2", 6).alias("dist2"))
+
+
 # ------------------------------------------------------------------ clustering on embeddings
 def _emb(spark, sf):
     return table(spark, sf, "embeddings")
@@ -505,6 +517,7 @@ SELECT Category, count(*) AS Count FROM pc WHERE Category IS NOT NULL GROUP BY C
     sql["tfidf_sublinear"] = O.tfidf_sql("turn", t.with_(tfidf_profile="sublinear"), "weights")
     sql["tfidf_vectors"] = O.tfidf_sql("turn", t, "weights")
     sql["cluster_labels"] = O.tfidf_sql("turn", t.with_(only_override_rows=False), "labels")
+    sql["kmeans_assign_sparse"] = O.tfidf_sql("turn", t.with_(only_override_rows=False), "nearest")
     sql["kmeans_assign"] = O.kmeans_sql(FIXED_K, 0, "assign")
     sql["kmeans_lloyd"] = O.kmeans_sql(FIXED_K, LLOYD_STEPS, "assign")
     sql["kmeans_inertia"] = O.kmeans_sql(FIXED_K, 0, "inertia")
