@@ -295,6 +295,55 @@ def context_similarity(tok: DataFrame, counts: DataFrame, opts: Options, keep_ra
     return out if keep_rank else out.drop("score", "i", "j")
 
 
+#: rows per block of a word's row list; a frequent word has as many lists as the rows have blocks
+LIST_ROWS = 1 << 16
+
+
+def _prefixes(post: DataFrame, least: float) -> DataFrame:
+    """The postings (row_id, word, df) by which a word can be found, with ``small``.
+
+    Two words are that similar only if they share ``least * sqrt(df1 * df2)`` rows or more, so they
+    share one of the rows that are left when as many but one are taken from the end of either list.
+    Rows with few words come first (by powers of two), so long texts, which give the most
+    pairs, are mostly at the end. ``small``: the posting also counts towards more frequent words."""
+    sized = post.withColumn("_l", F.floor(F.log2(F.count(F.lit(1)).over(Window.partitionBy("row_id")))))
+    steps = sized.groupBy("word", "_l").agg(F.count(F.lit(1)).alias("_n"), F.max("df").alias("_df"))   # a few rows per word
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("word").orderBy("_l").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    room = lambda share: F.col("_df") - F.ceil(F.col("_df") * (share - 1e-9)) + 1
+    kept = steps.withColumn("_before", before).where(F.col("_before") < room(least * least))
+    return sized.join(kept.select("word", "_l", (F.col("_before") < room(least)).alias("small")), ["word", "_l"]).select("row_id", "word", "df", "small")
+
+
+def similar_words(tok: DataFrame, counts: DataFrame, min_similarity: float = D.CONTEXT_MIN_SIMILARITY,
+                  min_doc_freq: int = D.CONTEXT_MIN_DOC_FREQ, list_rows: int = LIST_ROWS) -> DataFrame:
+    """Every pair of words (in at least ``min_doc_freq`` rows) whose binary cosine similarity
+    is above ``min_similarity``, over the whole vocabulary: Word1 < Word2, SharedRows, ContextSimilarity,
+    Rows1, Rows2.
+
+    Candidates share a row of both prefixes (see ``_prefixes``) and differ in frequency by
+    1 / min_similarity**2 at most. Their row lists are then intersected, block by block of
+    about ``list_rows`` rows, so no list is much longer. ``tok`` has a row per comment
+    (``row_tokens``)."""
+    words = counts.where(F.col("df") >= min_doc_freq).select(F.col("token").alias("word"), "df")
+    post = explode_values(tok.select("row_id", F.array_distinct("tokens").alias("t")), "t", "word").join(words, "word")
+    least = F.lit(min_similarity * min_similarity)
+    rows = _prefixes(post, min_similarity).groupBy("row_id").agg(F.sort_array(F.collect_list(F.struct("df", "word", "small"))).alias("w"))
+    # sorted by frequency: the partners of a word stand behind it
+    partners = lambda a, i: F.when(a["small"], F.transform(
+        F.filter("w", lambda b, j: (j > i) & (b["df"] * (least - 1e-12) <= a["df"])),
+        lambda b: F.struct(F.least(a["word"], b["word"]).alias("Word1"), F.greatest(a["word"], b["word"]).alias("Word2"))))
+    pairs = rows.select(F.explode(F.flatten(F.filter(F.transform("w", partners), lambda x: x.isNotNull()))).alias("p")).select("p.*").distinct()
+    blocks = F.lit(1 + tok.count() // list_rows)
+    lists = post.groupBy("word", F.pmod(F.xxhash64("row_id"), blocks).alias("block")).agg(F.collect_list("row_id").alias("l"))
+    both = pairs.join(lists.select(F.col("word").alias("Word1"), "block", F.col("l").alias("l1")), "Word1")
+    both = both.join(lists.select(F.col("word").alias("Word2"), "block", F.col("l").alias("l2")), ["Word2", "block"])
+    shared = both.groupBy("Word1", "Word2").agg(F.sum(F.size(F.array_intersect("l1", "l2"))).cast("long").alias("SharedRows"))
+    one, two = (words.select(F.col("word").alias(f"Word{i}"), F.col("df").alias(f"Rows{i}")) for i in (1, 2))
+    score = F.col("SharedRows") / (F.sqrt(F.col("Rows1").cast("double")) * F.sqrt(F.col("Rows2").cast("double")))
+    found = shared.join(one, "Word1").join(two, "Word2").withColumn("score", score).where(F.col("score") > min_similarity)
+    return found.select("Word1", "Word2", "SharedRows", py_round("score", 3).alias("ContextSimilarity"), "Rows1", "Rows2")
+
+
 def top_phrases(colloc: DataFrame, n: int = D.VIEW_TOP_PHRASES) -> DataFrame:
     return (colloc.where(F.col("PMI_Score") > D.PMI_SUGGEST_ABOVE)
             .orderBy(F.col("PMI_Score").desc(), F.col("Count").desc(), F.col("Phrase")).limit(n))

@@ -345,6 +345,17 @@ co AS (SELECT Phrase, Count, {rint('pmi', 2)} AS PMI_Score, w1 AS Word1, w2 AS W
        FROM p ORDER BY PMI_Score DESC, Count DESC, Phrase LIMIT {opts.collocation_top_n}){tail}"""
 
 
+def similar_words_sql(view: str, opts: Options) -> str:
+    """All pairs of words that share a row, scored."""
+    score = "shared / (sqrt(CAST(a.df AS DOUBLE)) * sqrt(CAST(b.df AS DOUBLE)))"
+    return "WITH " + reasons_cte(view, opts) + f""",
+tw AS MATERIALIZED (SELECT DISTINCT row_id, token FROM occ),
+pairs AS (SELECT x.token AS Word1, y.token AS Word2, count(*) AS shared FROM tw x JOIN tw y ON x.row_id = y.row_id AND x.token < y.token GROUP BY ALL)
+SELECT Word1, Word2, shared AS SharedRows, {pyround(score, 3)} AS ContextSimilarity, a.df AS Rows1, b.df AS Rows2
+FROM pairs JOIN wc a ON a.token = Word1 JOIN wc b ON b.token = Word2
+WHERE {score} > CAST(0.3 AS DOUBLE) AND a.df >= {opts.context_min_doc_freq} AND b.df >= {opts.context_min_doc_freq}"""
+
+
 def context_sql(view: str, opts: Options, view_top: int | None = None) -> str:
     phrases = opts.synonym_phrases
     already = f"({_in('Word1', phrases)} OR {_in('Word2', phrases)})"

@@ -231,6 +231,12 @@ def q_top_context_pairs(spark, sf):
     return X.top_context_pairs(X.context_similarity(tok, counts, opts, keep_rank=True))
 
 
+def q_similar_words(spark, sf):
+    """Context similarity over the whole vocabulary."""
+    _, tok, counts, _ = _reasons_tok(spark, sf, "turn")
+    return X.similar_words(tok, counts)
+
+
 def q_word_frequency_order(spark, sf):
     reasons, _, counts, opts = _reasons_tok(spark, sf, "order")
     return X.word_frequency(counts, reasons, opts)
@@ -488,6 +494,7 @@ SELECT row_id, CAST(unnest(generate_series(0, len(l) - 1)) AS BIGINT) AS pos, un
     sql["top_phrases"] = O.collocations_sql("doc", d, view_top=20)
     sql["context_similarity"] = O.context_sql("doc", d)
     sql["top_context_pairs"] = O.context_sql("doc", d, view_top=20)
+    sql["similar_words"] = O.similar_words_sql("turn", t)
     sql["word_frequency_order"] = O.word_frequency_sql("order", o)
     sql["collocations_turn"] = O.collocations_sql("turn", t)
     sql["abbreviation_report_order"] = O.abbreviation_sql("order", o)

@@ -1,5 +1,6 @@
 """Explore tables on micro inputs."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import comments
@@ -102,3 +103,27 @@ def test_dedupe_option_gives_same_tables(spark):
     b = run_explore(r, OPTS.with_(dedupe_texts=False))
     for name in ("abbreviations", "word_frequencies", "stem_groups", "collocations", "context_similarity"):
         assert sorted(map(tuple, a[name].collect())) == sorted(map(tuple, b[name].collect())), name
+
+
+@pytest.mark.parametrize("least,min_df,list_rows", [(0.3, 2, 1 << 16), (0.3, 1, 7), (0.6, 3, 25), (0.45, 1, 100)])
+def test_similar_words_equal_all_pairs(spark, least, min_df, list_rows):
+    import random
+    from collections import defaultdict
+    r = random.Random(6)
+    words = [f"word{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(45)]
+    texts = [" ".join(r.choices(words, [1 / (i + 1) for i in range(45)], k=r.choice([0, 1, 2, 3, 5, 40]))) for _ in range(150)]
+    texts = [f"common {t}" for t in texts]   # a word in every row
+    rows = comments(spark, [(i, "n", "e", "0", "Y", t) for i, t in enumerate(texts)])
+    tok = X.row_tokens(explore_reasons(rows, Options()), Options())
+    held = defaultdict(set)
+    for i, t in enumerate(texts):
+        for w in set(t.split()):
+            held[w].add(i)
+    expected = {}
+    for a in held:
+        for b in held:
+            n = len(held[a] & held[b])
+            if a < b and min(len(held[a]), len(held[b])) >= min_df and n / (len(held[a]) ** 0.5 * len(held[b]) ** 0.5) > least:
+                expected[a, b] = (n, len(held[a]), len(held[b]))
+    got = X.similar_words(tok, X.word_counts(tok), least, min_df, list_rows).collect()
+    assert {(x.Word1, x.Word2): (x.SharedRows, x.Rows1, x.Rows2) for x in got} == expected and len(got) == len(expected) > 0
