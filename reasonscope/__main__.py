@@ -18,7 +18,7 @@ import json
 from reasonscope.options import Options
 from reasonscope.plans.categorize import run_categorize
 from reasonscope.plans.explore import run_explore
-from reasonscope.session import build_session
+from reasonscope.session import build_session, release
 from reasonscope.sources.readers import load_table, with_row_id
 from reasonscope.sources.sinks import write_tables
 
@@ -46,7 +46,10 @@ def main(argv=None) -> dict[str, str]:
     if opts.row_id_col not in df.columns:
         df = with_row_id(df, opts.row_id_col)
     tables = run_categorize(df, opts) if a.job == "categorize" else run_explore(df, opts)
-    return write_tables(tables, a.out, fmt=a.out_format)
+    try:
+        return write_tables(tables, a.out, fmt=a.out_format)
+    finally:
+        release()
 
 
 if __name__ == "__main__":

@@ -3,5 +3,5 @@
 from reasonscope.functions.text import (  # noqa: F401
     canon_flag, clean_reason, clean_whitespace, coerce_notch, expand_abbreviations, normalize_synonyms,
     ngrams, python_strip, repr_quote, rint_round, stem,
-    token_set, tokenize, with_clean_text,
+    tokenize, with_clean_text,
 )

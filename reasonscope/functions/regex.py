@@ -58,7 +58,7 @@ def is_word_char(ch: str) -> bool:
     return re.match(r"\w", ch) is not None
 
 
-def whole_word(phrase_pattern: str, first: str, last: str, length: int | None = None) -> str:
+def whole_word(phrase_pattern: str, first: str, last: str, length: int | None = None, prefix: bool = False) -> str:
     """Wrap a pattern with Python ``\\b`` semantics at both ends, given the
     first and last character the pattern matches.
 
@@ -67,7 +67,7 @@ def whole_word(phrase_pattern: str, first: str, last: str, length: int | None =
     then rejects most positions on the first character, which is several
     times faster than a leading lookbehind.
     """
-    right = f"(?!{WORD_CLASS})" if is_word_char(last) else f"(?={WORD_CLASS})"
+    right = ("" if prefix else f"(?!{WORD_CLASS})") if is_word_char(last) else f"(?={WORD_CLASS})"
     if length is None:
         left = f"(?<!{WORD_CLASS})" if is_word_char(first) else f"(?<={WORD_CLASS})"
         return left + phrase_pattern + right
@@ -84,9 +84,10 @@ def phrase_pattern(phrase: str, ignore_case: bool = True) -> str:
     return ("(?ius)" if ignore_case else "(?s)") + body
 
 
-def any_phrase_pattern(phrases: list[str] | tuple[str, ...], ignore_case: bool = True) -> str:
-    """Match any of the phrases as a whole word (for existence tests only)."""
-    alts = [whole_word(escape_literal(p), p[0], p[-1], len(p)) for p in phrases if p]
+def any_phrase_pattern(phrases: list[str] | tuple[str, ...], ignore_case: bool = True, prefix: bool = False) -> str:
+    """Match any of the phrases as a whole word (for existence tests only); with
+    ``prefix`` a word may go on behind a phrase that ends inside one."""
+    alts = [whole_word(escape_literal(p), p[0], p[-1], len(p), prefix) for p in phrases if p]
     if not alts:
         raise ValueError("no phrases")
     return ("(?ius)" if ignore_case else "(?s)") + "(?:" + "|".join(alts) + ")"

@@ -200,11 +200,6 @@ def tokenize(col, stopwords=D.STOPWORDS) -> Column:
     return F.filter(raw, lambda t: (~t.isin(stop)) & (F.length(t) >= D.TOKEN_MIN_LENGTH))
 
 
-def token_set(col) -> Column:
-    """Distinct raw tokens (no stopword or length filter)."""
-    return F.array_distinct(F.regexp_extract_all(F.lower(_c(col)), F.lit(D.TOKEN_PATTERN), 0))
-
-
 def _gram_at(t: Column, n: int):
     # a one-argument lambda: PySpark reads a second parameter as the index
     return lambda i: F.array_join(F.slice(t, i, n), " ")

@@ -20,7 +20,7 @@ from reasonscope.functions.text import (
     explode_positions, explode_values, py_round, repr_quote, rint_round, stem, token_stats, tokenize,
 )
 from reasonscope.options import Options
-from reasonscope.session import bounded_broadcast, literal_table, ship_package
+from reasonscope.session import bounded_broadcast, literal_table, materialize, ship_package
 
 
 def _in_list(col, values):
@@ -128,14 +128,20 @@ def abbreviation_report(reasons: DataFrame, opts: Options, text_col: str = "reas
     """Abbreviation candidates with up to 3 example texts (one per match,
     first matches first), whether they are defined and their meaning. The
     matches are ranked without the texts (a partial WindowGroupLimit, so a hot
-    abbreviation stays bounded); only the winners' texts are fetched, by row."""
+    abbreviation stays bounded); only the winners' texts are fetched, by row: the counted
+    winners are broadcast up to BROADCAST_ROW_LIMIT."""
     k = opts.abbreviation_examples
     w = Window.partitionBy("abbr").orderBy("row_id", "pos")
-    ranked = abbreviation_matches(reasons, text_col).withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k)
-    ranked = ranked.join(reasons.select("row_id", F.col(text_col).alias("text")), "row_id")
+    matches = abbreviation_matches(reasons, text_col)
+    ranked = materialize(matches.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k))
+    # few winners go to the texts; only many of them are worth dealing out the texts
+    ranked = bounded_broadcast(ranked, ranked.count()).join(reasons.select("row_id", F.col(text_col).alias("text")), "row_id")
     ex = [F.max(F.when(F.col("rn") == i, F.col("text"))).alias(f"Example{i}") for i in range(1, 4)]
     agg = ranked.groupBy("abbr").agg(F.count(F.lit(1)).alias("ExampleCount"),
                                      F.min(F.struct("row_id", "pos")).alias("first"), *ex)
+    extra = []
+    if opts.abbreviation_match_count:
+        agg, extra = agg.join(matches.groupBy("abbr").agg(F.count(F.lit(1)).alias("MatchCount")), "abbr"), ["MatchCount"]
     abbrs = opts.abbreviation_map
     known = sorted({a.upper() for a in abbrs})
     exact = F.create_map(*[F.lit(x) for kv in abbrs.items() for x in kv]) if abbrs else None
@@ -145,7 +151,7 @@ def abbreviation_report(reasons: DataFrame, opts: Options, text_col: str = "reas
         F.col("abbr").alias("Abbreviation"), "ExampleCount",
         F.when(_in_list("abbr", known), F.lit(D.YES)).otherwise(F.lit("")).alias("AlreadyDefined"),
         meaning.alias("CurrentMeaning"), F.lit("").alias("YourMeaning"),
-        *[F.coalesce(F.col(f"Example{i}"), F.lit("")).alias(f"Example{i}") for i in range(1, 4)],
+        *[F.coalesce(F.col(f"Example{i}"), F.lit("")).alias(f"Example{i}") for i in range(1, 4)], *extra,
         "first",
     ).orderBy(F.col("ExampleCount").desc(), "first").drop("first")
 

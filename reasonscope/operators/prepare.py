@@ -19,7 +19,8 @@ def map_fields(df: DataFrame, opts: Options) -> DataFrame:
     if not column_map:
         named = all(f in df.columns for f in LOGICAL_FIELDS)
         column_map = [(f, Header(f)) for f in LOGICAL_FIELDS] if named else DEFAULT_COLUMN_MAP
-    out = project_fields(df, column_map, keep=(opts.row_id_col,))
+    own = (opts.text_col,) if opts.text_col in df.columns and opts.text_col not in dict(column_map) else ()
+    out = project_fields(df, column_map, keep=(opts.row_id_col, *own))
     if opts.input_partitions and not df.isStreaming:
         out = out.repartition(opts.input_partitions, opts.row_id_col)
     return out
@@ -69,9 +70,12 @@ def prepare_comments(df: DataFrame, opts: Options, clean: bool = True) -> DataFr
 
 def explore_reasons(df: DataFrame, opts: Options) -> DataFrame:
     """Comment texts for Explore: raw text stripped (no cleaning), length and
-    flag filter. A missing text counts as empty and is dropped."""
-    src = map_fields(df, opts)
-    reason = python_strip(F.coalesce(F.col("reason_text").cast("string"), F.lit("")))
+    flag filter. A missing text counts as empty and is dropped. ``opts.text_col``
+    names another column of the source, or ``ReasonText`` for the cleaned text."""
+    src, text = map_fields(df, opts), opts.text_col
+    if text == "ReasonText" and text not in src.columns:
+        src = with_clean_text(src.withColumn(text, F.col("reason_text").cast("string")), text, text, opts)
+    reason = python_strip(F.coalesce(F.col(text).cast("string"), F.lit("")))
     out = src.select(F.col(opts.row_id_col).alias("row_id"), reason.alias("reason"),
                      flag_text(src).alias("flag"))
     cond = F.length("reason") >= opts.min_reason_length

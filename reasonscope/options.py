@@ -71,7 +71,12 @@ class Options:
     # fit equal points once, weighted (the fit is exact, so the result is the same)
     dedupe_texts: bool = True
 
+    # rule phrases also match the beginning of a word ("realloc" finds "reallocated")
+    prefix_match: bool = False
+
     # explore
+    text_col: str = "reason_text"           # or "ReasonText", the cleaned text, or a column of the source
+    abbreviation_match_count: bool = False  # adds MatchCount, all matches of an abbreviation
     abbreviation_examples: int = D.ABBREVIATION_EXAMPLES
     stem_min_variants: int = D.STEM_MIN_VARIANTS
     collocation_top_n: int = D.COLLOCATION_TOP_N

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,7 +15,7 @@ def run_explore(df: DataFrame, opts: Options, persist: bool = True) -> dict[str,
     """All Explore tables from a comment table (logical fields + row_id).
 
     Texts are tokenized once; the token arrays and the per-token counts are
-    persisted because every table reads them.
+    persisted because every table reads them, until ``session.release``.
     """
     reasons = explore_reasons(df, opts)
     tok = X.row_tokens(reasons, opts)
@@ -29,7 +28,7 @@ def run_explore(df: DataFrame, opts: Options, persist: bool = True) -> dict[str,
     context = X.context_similarity(tok, counts, opts, keep_rank=True)
     if persist:
         # small results (<= vocabulary / top-n rows) read again by the views
-        stems, colloc, context = (t.persist(StorageLevel.MEMORY_AND_DISK) for t in (stems, colloc, context))
+        stems, colloc, context = (materialize(t) for t in (stems, colloc, context))
     return {
         "abbreviations": X.abbreviation_report(reasons, opts),
         # row total from the kept token rows (weights sum to the rows) instead of a rescan

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from reasonscope import oracle as O
 from reasonscope.options import Options
-from reasonscope.session import literal_table
+from reasonscope.session import literal_table, materialize
 from reasonscope.functions import text as T
 from reasonscope.operators import cluster as C
 from reasonscope.operators import explore as X
@@ -403,16 +403,14 @@ def q_silhouette(spark, sf):
 
 def q_kmeans_fit(spark, sf):
     from pyspark.ml.functions import array_to_vector
-    emb = _emb(spark, sf).select("vec_id", array_to_vector(F.transform("embedding", lambda x: x.cast("double")))
-                                 .alias("features")).cache()
+    emb = materialize(_emb(spark, sf).select("vec_id", array_to_vector(F.transform("embedding", lambda x: x.cast("double"))).alias("features")))
     model = C.fit_kmeans(emb, 10)
     return model.transform(emb).select("vec_id", F.col("_cluster").cast("long").alias("cluster"))
 
 
 def q_choose_k(spark, sf):
     from pyspark.ml.functions import array_to_vector
-    emb = _emb(spark, sf).select("vec_id", array_to_vector(F.transform("embedding", lambda x: x.cast("double")))
-                                 .alias("features")).cache()
+    emb = materialize(_emb(spark, sf).select("vec_id", array_to_vector(F.transform("embedding", lambda x: x.cast("double"))).alias("features")))
     n = emb.count()
     k, _ = C.choose_k(emb, n, "features", 3, 8)
     return literal_table(emb.sparkSession, [(k,)], "k long")

@@ -75,19 +75,34 @@ def ship_package(spark: SparkSession) -> None:
     _SHIPPED.add(sc.applicationId)
 
 
+_KEPT: list[DataFrame] = []
+
+
+def release() -> int:
+    """Drop every result that ``materialize`` cached in this process; how many there
+    were. For after a job's tables are written."""
+    number = len(_KEPT)
+    while _KEPT:
+        _KEPT.pop().unpersist()
+    return number
+
+
 def materialize(df: DataFrame, mode: str = "persist") -> DataFrame:
     """Keep an intermediate result that several consumers read.
 
     ``persist``: cached (memory, spilling to disk); a lost executor's blocks
     are recomputed from lineage. ``checkpoint``: written to the shared
     checkpoint directory and the lineage is cut, so a lost executor costs a
-    re-read instead of re-running the work before it. ``none``: as is.
+    re-read instead of re-running the work before it (Spark deletes the files when
+    ``spark.cleaner.referenceTracking.cleanCheckpoints`` is on). ``none``: as is.
+    Cached results stay until :func:`release`.
     """
     if mode == "checkpoint":
         ensure_checkpoint_dir(df.sparkSession)
         return df.checkpoint(eager=True)
     if mode == "persist":
-        return df.persist(StorageLevel.MEMORY_AND_DISK)
+        _KEPT.append(df.persist(StorageLevel.MEMORY_AND_DISK))
+        return df
     if mode == "none":
         return df
     raise ValueError(f"unknown materialize mode {mode!r}")

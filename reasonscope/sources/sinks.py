@@ -9,16 +9,14 @@ failure replaces partial output.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from reasonscope.options import Options
 from reasonscope.session import literal_table
 
 CATEGORIZE_TABLES = ("detailed_results", "group_summary", "entity_rollup", "run_info")
-EXPLORE_TABLES = ("abbreviations", "word_frequencies", "stem_groups", "collocations", "context_similarity")
 
 
-def run_info(spark: SparkSession, opts: Options, engine: str = "spark-mllib") -> DataFrame:
+def run_info(spark: SparkSession, opts: Options, engine: str = "spark") -> DataFrame:
     """The settings of a run as (Setting, Value) rows."""
     rows = [
         ("Input file", opts.input_name or ""),
@@ -45,8 +43,3 @@ def write_tables(tables: dict[str, DataFrame], out_dir: str, fmt: str = "parquet
         w.save(path)
         paths[name] = path
     return paths
-
-
-def sorted_for_output(df: DataFrame, *cols) -> DataFrame:
-    """Globally sorted output (range partitioning + sort inside partitions)."""
-    return df.orderBy(*[F.col(c) if isinstance(c, str) else c for c in cols])

@@ -21,7 +21,7 @@ def classify_stream(stream: DataFrame, opts: Options, model: CategorizeModel | N
     """Detail rows of a stream with a Category: the rule group, else the
     nearest automatic group of ``model`` (else ``opts.unmatched_label``)."""
     detail = prepare_comments(stream, opts)
-    rule = priority_category("ReasonText", opts.priority_groups)
+    rule = priority_category("ReasonText", opts.priority_groups, opts.prefix_match)
     if model is None or model.kmeans is None:
         fallback = F.lit(model.names.get(0) if model and model.names else opts.unmatched_label)
         return detail.withColumn("Category", F.coalesce(rule, fallback))

@@ -30,7 +30,7 @@ def test_abbreviation_examples_one_per_match(spark):
 
 def test_word_frequency_and_stems(spark):
     r = reasons(spark, ["loans loan loaning", "loan debt", "debts"])
-    tok = X.reason_tokens(r, OPTS)
+    tok = X.row_tokens(r, OPTS)
     counts = X.word_counts(tok)
     wf = {x["Word"]: x.asDict() for x in X.word_frequency(counts, r, OPTS).collect()}
     assert wf["loan"]["TotalOccurrences"] == 2 and wf["loan"]["InNReasons"] == 2
@@ -45,7 +45,7 @@ def test_word_frequency_and_stems(spark):
 def test_collocations_pmi(spark):
     import math
     r = reasons(spark, ["cash flow cash flow", "cash flow issue"])
-    tok = X.reason_tokens(r, OPTS)
+    tok = X.row_tokens(r, OPTS)
     out = X.collocations(tok, X.word_counts(tok), OPTS).collect()
     got = {x["Phrase"]: x for x in out}
     assert set(got) == {"cash flow", "flow cash"} - {"flow cash"} | {"cash flow"}
@@ -57,7 +57,7 @@ def test_collocations_pmi(spark):
 
 def test_empty_collocations_and_context(spark):
     r = reasons(spark, ["one", "two"], flag="N")
-    tok = X.reason_tokens(r, OPTS)
+    tok = X.row_tokens(r, OPTS)
     counts = X.word_counts(tok)
     assert X.collocations(tok, counts, OPTS).count() == 0
     ctx = X.context_similarity(tok, counts, OPTS)
@@ -67,7 +67,7 @@ def test_empty_collocations_and_context(spark):
 def test_context_similarity_values(spark):
     texts = ["alpha beta", "alpha beta", "alpha gamma", "delta gamma", "delta gamma"]
     r = reasons(spark, texts)
-    tok = X.reason_tokens(r, OPTS)
+    tok = X.row_tokens(r, OPTS)
     rows = X.context_similarity(tok, X.word_counts(tok), OPTS).collect()
     sims = {(x["Word1"], x["Word2"]): x["ContextSimilarity"] for x in rows}
     assert sims[("alpha", "beta")] == round(2 / (3 ** 0.5 * 2 ** 0.5), 3)
@@ -127,3 +127,39 @@ def test_similar_words_equal_all_pairs(spark, least, min_df, list_rows):
                 expected[a, b] = (n, len(held[a]), len(held[b]))
     got = X.similar_words(tok, X.word_counts(tok), least, min_df, list_rows).collect()
     assert {(x.Word1, x.Word2): (x.SharedRows, x.Rows1, x.Rows2) for x in got} == expected and len(got) == len(expected) > 0
+
+
+def test_distinct_texts_once_give_the_same_counts(spark):
+    r = reasons(spark, ["new debt now", "new debt now", "other words here", "new debt now"])
+    strip = lambda tok: sorted((x["token"], x["n"], x["df"], x["first"]["row_id"]) for x in X.word_counts(tok).collect())
+    assert strip(X.row_tokens(r, OPTS)) == strip(X.reason_tokens(r, OPTS))
+
+
+def test_text_column_and_uncapped_match_count(spark):
+    rows = comments(spark, [(i, "n", "e", "0", "Y", t) for i, t in enumerate(["LOC LOC due", "LOC  renewal LOC", "PS issue"])])
+    opts = Options().with_(abbreviations={"PS": "problem sheet"}, synonyms={})
+    counts = lambda o: {x["Abbreviation"]: (x["ExampleCount"], x["MatchCount"]) for x in X.abbreviation_report(explore_reasons(rows, o), o).collect()}
+    assert counts(opts.with_(abbreviation_match_count=True)) == {"LOC": (3, 4), "PS": (1, 1)}
+    cleaned = opts.with_(abbreviation_match_count=True, text_col="ReasonText")
+    assert counts(cleaned) == {"LOC": (3, 4)}
+    assert [x["reason"] for x in explore_reasons(rows, cleaned).orderBy("row_id").collect()] == ["LOC LOC due", "LOC renewal LOC", "problem sheet issue"]
+    other = explore_reasons(rows.withColumn("note", F.lit(" other words ")), opts.with_(text_col="note"))
+    assert {x["reason"] for x in other.collect()} == {"other words"}
+    assert "MatchCount" not in X.abbreviation_report(explore_reasons(rows, opts), opts).columns
+
+
+def test_winners_are_broadcast_not_the_texts(spark):
+    r = reasons(spark, ["LOC due", "LOC renewal", "PS issue"])
+    plan = X.abbreviation_report(r, OPTS)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "BuildLeft" in plan and "BuildRight" not in plan
+
+
+def test_caches_are_released(spark):
+    from reasonscope.session import release
+    rows = comments(spark, [(i, "n", "e", "0", "Y", t) for i, t in enumerate(["LOC due now", "LOC renewal", "PS issue"])])
+    release()
+    before = spark.sparkContext._jsc.getPersistentRDDs().size()
+    for df in run_explore(rows, Options()).values():
+        df.collect()
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() > before
+    assert release() > 0 and spark.sparkContext._jsc.getPersistentRDDs().size() == before

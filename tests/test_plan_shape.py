@@ -28,7 +28,7 @@ def test_top_n_uses_partial_group_limit_and_hash_aggregation(spark):
 
 def test_word_counts_hash_only(spark):
     rows = [(i, "n", "e", "0", "Y", t) for i, t in enumerate(["alpha beta", "beta gamma gamma"])]
-    tok = X.reason_tokens(explore_reasons(comments(spark, rows), Options()), Options())
+    tok = X.row_tokens(explore_reasons(comments(spark, rows), Options()), Options())
     plan = executed(X.word_counts(tok))
     assert "SortAggregate" not in plan and "HashAggregate" in plan
 

@@ -92,3 +92,13 @@ def test_whole_number_flags_in_a_float_column(spark):
     opts = Options().with_(override_yes_values=("1",))
     assert [r["row_id"] for r in prepare_comments(rows, opts).collect()] == [0]
     assert [r["row_id"] for r in explore_reasons(rows, opts).collect()] == [0]
+
+
+def test_prefix_match_is_opt_in(spark):
+    from reasonscope.operators.rules import with_rule_category
+    df = spark.createDataFrame([(1, "was reallocated"), (2, "realloc"), (3, "unrealloc"), (4, "a refinance, ok")], "row_id long, ReasonText string")
+    opts = Options().with_(priority_groups={"Moved": ["realloc", "refinanc"]})
+    for chain in (0, 200):
+        got = lambda o: {r["row_id"]: r["Category"] for r in with_rule_category(df, o.with_(chain_limit=chain)).collect()}
+        assert got(opts) == {1: None, 2: "Moved", 3: None, 4: None}
+        assert got(opts.with_(prefix_match=True)) == {1: "Moved", 2: "Moved", 3: None, 4: "Moved"}
