@@ -16,6 +16,7 @@ from hashlib import md5
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
@@ -70,29 +71,48 @@ def assign_sparse(rows: DataFrame, weights: DataFrame, centers: DataFrame, max_c
     return found.select("row_id", nearest["cluster"].alias("cluster"), F.greatest(F.lit(0.0), F.col("x2") + nearest["d"]).alias("dist2"))
 
 
-def cluster_means(assigned: DataFrame, vec_col: str, cluster_col: str = "cluster") -> dict[int, list[float]]:
-    """Mean point per cluster (k rows reach the driver)."""
-    v = array_to_vector(_arr(vec_col))
-    rows = (assigned.select(F.col(cluster_col), v.alias("_v")).groupBy(cluster_col)
-            .agg(Summarizer.metrics("sum", "count").summary(F.col("_v")).alias("s")).collect())
-    return {int(r[cluster_col]): [float(x) / r["s"]["count"] for x in r["s"]["sum"].toArray()] for r in rows}
+def _mean_rows(centers: np.ndarray):
+    """Each partition's members and coordinate sums by nearest center (ties to the lowest index)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((len(centers), centers.shape[1] + 1))
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                x = part.column("x").flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
+                label = ((x[:, None, :] - centers[None]) ** 2).sum(axis=2).argmin(axis=1)
+                np.add.at(total, label, np.column_stack([np.ones(len(x)), x]))
+        own = np.flatnonzero(total[:, 0])
+        yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.array(total[own].tolist(), pa.list_(pa.float64()))], names=["cluster", "sums"])
+    return run
+
+
+def cluster_means(arrays: DataFrame, centers: list[list[float]]) -> dict[int, list[float]]:
+    """Mean of the points (an array column ``x``) nearest to each center; clusters without
+    one are missing. A row per partition and cluster is sent, k rows reach the driver."""
+    rows = arrays.mapInArrow(_mean_rows(np.array(centers, np.float64)), "cluster int, sums array<double>")
+    d = len(centers[0])
+    sums = rows.groupBy("cluster").agg(*[F.sum(F.get("sums", F.lit(i))).alias(f"s{i}") for i in range(d + 1)]).collect()
+    return {r["cluster"]: [r[f"s{i}"] / r["s0"] for i in range(1, d + 1)] for r in sums}
 
 
 def lloyd(df: DataFrame, vec_col: str, centers: list[list[float]], max_iter: int,
           atol: float = D.KMEANS_TOL) -> tuple[list[list[float]], int]:
     """Lloyd iterations from given centers; an empty cluster keeps its
     center; stops when no coordinate moves by more than ``atol``. Each
-    iteration is one distributed pass; the plan does not grow because the
-    centers are re-planted as literals."""
+    iteration is one distributed pass over the persisted points; the centers travel with
+    the task, so the plan is the same in every pass."""
+    ship_package(df.sparkSession)
+    arrays = df.select(_arr(vec_col).alias("x")).persist(StorageLevel.MEMORY_AND_DISK)
     centers = [list(map(float, c)) for c in centers]
     it = 0
     for it in range(1, max_iter + 1):
-        means = cluster_means(assign_nearest(df, vec_col, centers), vec_col)
+        means = cluster_means(arrays, centers)
         new = [means.get(i, c) for i, c in enumerate(centers)]
         moved = max((abs(a - b) for c0, c1 in zip(centers, new) for a, b in zip(c0, c1)), default=0.0)
         centers = new
         if moved <= atol:
             break
+    arrays.unpersist()
     return centers, it
 
 

@@ -184,6 +184,26 @@ def stem_groups(counts: DataFrame, opts: Options) -> DataFrame:
     ).orderBy(F.col("TotalFrequency").desc(), F.col("StemRoot"))
 
 
+#: most frequent words whose counts are joined by broadcast
+HEAVY_WORDS = 1024
+
+
+def spread_key(word: str, found: str, other: str):
+    """The join key of a bigram's word. Words already found get keys that no word has, dealt
+    by the bigram's other word, so a frequent word's bigrams don't meet in one task."""
+    return F.when(F.col(found).isNull(), F.col(word)).otherwise(F.concat(F.lit("\0"), F.col(other)))
+
+
+def with_word_count(bigrams: DataFrame, counts: DataFrame, heavy: DataFrame, word: str, out: str, other: str) -> DataFrame:
+    """``bigrams`` with the count ``out`` of one of its words: from the broadcast ``heavy`` words
+    (at most HEAVY_WORDS rows) or else by a shuffle, in which no word is behind more than
+    1 / HEAVY_WORDS of all bigrams."""
+    known = bigrams.join(bounded_broadcast(heavy.select(F.col("token").alias(word), F.col("n").alias("_heavy")), HEAVY_WORDS), word, "left")
+    rest = counts.select(F.col("token").alias("_key"), F.col("n").alias("_n"))
+    found = known.withColumn("_key", spread_key(word, "_heavy", other)).join(rest, "_key", "left")
+    return found.withColumn(out, F.coalesce("_heavy", "_n")).drop("_heavy", "_key", "_n")
+
+
 COLLOCATION_COLUMNS = ("Phrase", "Count", "PMI_Score", "Word1", "Word2", "AlreadyInSynonyms", "Suggestion")
 
 
@@ -193,9 +213,8 @@ def collocations(tok: DataFrame, counts: DataFrame, opts: Options) -> DataFrame:
     # scalar subquery: evaluated once, no driver round trip
     total = tok.select(F.sum(F.size("tokens") * _weight(tok)).cast("double")).scalar()
     big = bigram_counts(tok).where(F.col("Count") >= opts.collocation_min_count)
-    u1 = counts.select(F.col("token").alias("w1"), F.col("n").alias("n1"))
-    u2 = counts.select(F.col("token").alias("w2"), F.col("n").alias("n2"))
-    j = big.join(u1, "w1").join(u2, "w2")
+    heavy = counts.orderBy(F.col("n").desc(), "token").limit(HEAVY_WORDS).select("token", "n")
+    j = with_word_count(with_word_count(big, counts, heavy, "w1", "n1", "w2"), counts, heavy, "w2", "n2", "w1")
     p1, p2, p12 = F.col("n1") / total, F.col("n2") / total, F.col("Count") / total
     pmi = F.log(p12 / (p1 * p2 + D.PMI_EPSILON))
     phrase = F.concat_ws(" ", "w1", "w2")

@@ -4,12 +4,14 @@ lives in :mod:`reasonscope.oracle` and is listed by :func:`oracle_sql`."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from reasonscope import oracle as O
 from reasonscope.options import Options
-from reasonscope.session import literal_table, materialize
+from reasonscope.session import ensure_checkpoint_dir, literal_table, materialize
 from reasonscope.functions import text as T
 from reasonscope.operators import cluster as C
 from reasonscope.operators import explore as X
@@ -17,6 +19,7 @@ from reasonscope.operators import features as FT
 from reasonscope.operators import reports as R
 from reasonscope.operators.phrases import first_rule, fold_phrases, ordered_entries
 from reasonscope.operators.prepare import explore_reasons, prepare_comments
+from reasonscope.operators.refresh import read_state, summary_of_state, summary_state, write_state
 from reasonscope.operators.rules import priority_counts
 from reasonscope.plans.categorize import categorize, rule_categorized
 from reasonscope.sources.columns import Header, project_fields
@@ -263,6 +266,15 @@ def q_group_summary_doc(spark, sf):
     return R.group_summary(d, opts)
 
 
+def q_group_summary_refreshed(spark, sf):
+    """The summary from the stored states of two batches (odd and even row ids)."""
+    d, opts = _detail_rules(spark, sf, "order")
+    folder = f"{ensure_checkpoint_dir(spark)}/summary-{uuid.uuid4().hex}"
+    for batch in (0, 1):
+        write_state(summary_state(d.where(F.col("row_id") % 2 == batch), opts), folder, str(batch))
+    return summary_of_state(read_state(spark, folder), opts)
+
+
 def q_summary_entity_ids(spark, sf):
     d, opts = _detail_rules(spark, sf, "turn")
     out, _ = R.first_n_distinct(d, ["Category"], "EntityId", opts.max_entity_ids, ", ", "EntityIds")
@@ -498,6 +510,7 @@ SELECT row_id, CAST(unnest(generate_series(0, len(l) - 1)) AS BIGINT) AS pos, un
     sql["abbreviation_report_order"] = O.abbreviation_sql("order", o)
     sql["group_summary"] = "WITH " + O.ruled_cte("order", ro) + O.summary_select(ro)
     sql["group_summary_doc"] = "WITH " + O.ruled_cte("doc", rd) + O.summary_select(rd)
+    sql["group_summary_refreshed"] = sql["group_summary"]
     sql["summary_entity_ids"] = ("WITH " + O.ruled_cte("turn", rt) + ",\n"
                                  + O.first_n_sql("ents", "cat", ["Category"], "EntityId", rt.max_entity_ids, ", ", "EntityIds")
                                  + " SELECT * FROM ents")
