@@ -19,7 +19,8 @@ these, texts found in main elements of several hosts stay, and all stay if over
 of the host's text would go: its pages are then edited copies of each other.
 
 Menus, footers, sidebars, adverts, forms, scripts and comments are dropped by element
-or whole class, id or role names. Names that are also ordinary words (related, search)
+or whole class, id or role names, or names of several words that say so (user-comments);
+a form around the whole page isn't. Names that are also ordinary words (related, search)
 need the template's word: inside main text that their text recurs, elsewhere that the
 element is in the template. No ancestor of the page's main element drops by its name.
 
@@ -30,8 +31,8 @@ to the host's mean of that path (to four times its length at most), so that a sh
 article isn't lost to long comments. Hosts with too few pages have no template; their
 elements are judged by their names and their page's lengths alone.
 
-A template is at most one page's tokens per class. Templates are broadcast if their
-measured size is at most ``BROADCAST`` bytes; else pages are joined to them by host,
+A template is at most one page's tokens per class. Templates are broadcast (one copy
+for a worker, whatever its pages) if their measured size is at most ``BROADCAST`` bytes; else pages are joined to them by host,
 and hosts with over a thousandth of all pages (a thousand at most) are split in
 parts of that size, so that no host lands in one task.
 
@@ -60,6 +61,7 @@ SUPPORT = 3
 BROADCAST = 8 << 20
 PART = 1000
 _SPLIT = "\x1e"
+WHOLE = 0.8
 
 # Fixed values of HTML: elements without content, whose text isn't shown, that begin a new block.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -69,7 +71,7 @@ INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "dat
           "time", "tt", "u", "var", "wbr"}
 ENDS_P = {"address", "article", "aside", "blockquote", "details", "div", "dl", "fieldset", "figcaption", "figure", "footer", "form",
           "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "menu", "nav", "ol", "p", "pre", "section", "table", "ul"}
-SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
+SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th"}, "th": {"td", "th"},
             "option": {"option"}}
 SCOPES = {"ul", "ol", "dl", "table", "select"}
 MAIN = {"article", "main"}
@@ -83,6 +85,13 @@ DROPPED_PREFIX = re.compile("(?:ads?|advert|cookie|gdpr|newsletter|breadcrumbs?|
 NAMED = {"consent", "notice", "notices", "alert", "overlay", "subscribe", "menu", "menus", "side", "aside", "header", "reply", "replies",
          "discussion", "share", "sharing", "social", "related", "recommended", "login", "signup", "search", "skip", "sponsor", "promotion",
          "banner"}
+# Words that, in a name of several words, tell what an element holds; all others of the name must be of the second set.
+TELLING = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "comment", "comments", "cookie", "cookies", "newsletter", "notice",
+           "notices", "promo", "recommended", "related", "share", "sharing", "social", "sponsored"}
+PLAIN = {"area", "article", "articles", "bar", "block", "bottom", "box", "button", "buttons", "card", "cards", "container", "feed", "form", "google",
+         "group", "holder", "icons", "inline", "inner", "item", "items", "left", "link", "links", "list", "media", "outer", "page", "panel",
+         "post", "posts", "reader", "readers", "right", "row", "section", "site", "slot", "stories", "story", "thread", "top", "unit", "user",
+         "users", "widget", "wrap", "wrapper", "zone"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 # How sure it is that an element isn't main text: UNSURE, if its text recurs on the host; LIKELY, the same inside main text,
 # elsewhere if it belongs to the template; SURE.
@@ -98,12 +107,18 @@ _MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<svg(?=[\s/]
                      r"|<(/?)([a-zA-Z][^\s/>]*)(" + _ATTRIBUTES + r")>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z/][^>]*\Z", re.S | re.I)
 _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _WORD = re.compile(r"[a-z]+")
-_NODES: dict[tuple[str, str], tuple[str, int, bool]] = {}
-_HASHES: dict[str, str] = {}
+_NODES: dict[tuple[str, str], tuple[str, int, bool, bool]] = {}
 
 
-def _node(name: str, attributes: str) -> tuple[str, int, bool]:
-    """How an element is written in a path; how surely it is dropped; whether main."""
+def _tells(name: str) -> bool:
+    """Whether a name of several words says that an element isn't main text (user-comments, share-buttons)."""
+    words = _WORD.findall(name)
+    return len(words) > 1 and not TELLING.isdisjoint(words) and all(w in TELLING or w in PLAIN for w in words)
+
+
+def _node(name: str, attributes: str) -> tuple[str, int, bool, bool]:
+    """How an element is written in a path; how surely it is dropped; whether main; whether
+    a name of several words alone drops it."""
     key = name, attributes if "=" in attributes else ""
     if key not in _NODES:
         found = [(m[0][:2].lower(), (m[1] or m[2] or m[3] or "").lower()) for m in _NAMED.finditer(key[1])]
@@ -116,22 +131,15 @@ def _node(name: str, attributes: str) -> tuple[str, int, bool]:
         if name in DROPPED or main and names & DROPPED_ARTICLES:
             level = SURE
         elif not main and name not in ("html", "body"):
-            if any(n in DROPPED_NAMES or DROPPED_PREFIX.match(n) for n in names):
+            if any(n in DROPPED_NAMES or DROPPED_PREFIX.match(n) or _tells(n) for n in names):
                 level = UNSURE if name in HEADINGS or name in INLINE else SURE
             elif names & NAMED:  # ids of headings and sections are their titles
                 level = UNSURE if name in HEADINGS or name in INLINE or name == "section" else LIKELY
-        _NODES[key] = ".".join([name, *words]), level, main and level < SURE
+        alone = name not in DROPPED and not any(n in DROPPED_NAMES or DROPPED_PREFIX.match(n) for n in names)
+        _NODES[key] = ".".join([name, *words]), level, main and level < SURE, level == SURE and alone and not main
     return _NODES[key]
 
 
-def path_hash(path: str) -> str:
-    if path not in _HASHES:
-        if len(_HASHES) > 1 << 16:
-            _HASHES.clear()
-        _HASHES[path] = xxhash.xxh64_hexdigest(path)
-    return _HASHES[path]
-
-
 class Page:
     """A page's elements, in the order of their openings, and its items in page order:
     ("open" | "close", element, "") and ("text", element, raw); element -1 is none."""
@@ -142,13 +150,16 @@ class Page:
         self.parents: list[int] = []
         self.own: list[int] = []
         self.mains: list[bool] = []
+        self.named: list[bool] = []
         self.items: list[tuple[str, int, str]] = []
         self._read(page)
         self._judge()
 
-    def _open(self, name: str, parent: int, written: str, level: int, main: bool) -> int:
+    def _open(self, name: str, parent: int, written: str, level: int, main: bool, named: bool = False) -> int:
+        self.named.append(named)
         self.names.append(name)
-        self.paths.append(f"{self.paths[parent] if parent >= 0 else ''}/{written}")
+        # the hash of the whole path, from the parent's
+        self.paths.append(xxhash.xxh64_hexdigest(f"{self.paths[parent] if parent >= 0 else ''}/{written}"))
         self.parents.append(parent)
         self.own.append(level)
         self.mains.append(main)
@@ -158,10 +169,20 @@ class Page:
     def _read(self, page: str) -> None:
         stack: list[int] = []
         names, items = self.names, self.items
+        depths: dict[str, list[int]] = {}   # where on the stack the elements of each name are
+        blocks: list[int] = []              # and those that aren't inline
 
         def close(depth: int) -> None:
             while len(stack) > depth:
                 items.append(("close", stack.pop(), ""))
+                name = names[items[-1][1]]
+                depths[name].pop()
+                if name not in INLINE:
+                    blocks.pop()
+
+        def last(of) -> int:
+            """Where the innermost open element of these names is; -1 if none is open."""
+            return max((depths[n][-1] for n in of if depths.get(n)), default=-1)
 
         at = 0
         for m in _MARKUP.finditer(page):
@@ -174,26 +195,28 @@ class Page:
                 continue
             name = m[3].lower()
             if m[2]:
-                depth = next((i for i in range(len(stack) - 1, -1, -1) if names[stack[i]] == name), None)
-                if depth is not None:
-                    close(depth)
+                if depths.get(name):
+                    close(depths[name][-1])
                 elif name not in INLINE:
                     items.append(("close", -1, ""))
                 continue
             closing = {"p"} if name in ENDS_P else SIBLINGS.get(name)
             if closing:
-                for i in range(len(stack) - 1, -1, -1):
-                    if names[stack[i]] in closing:
-                        close(i)
-                        break
-                    if names[stack[i]] in SCOPES or names[stack[i]] not in INLINE and name == "p":
-                        break
+                inner = last(closing)
+                if inner >= 0 and inner >= (blocks[-1] if name == "p" and blocks else last(SCOPES)):
+                    close(inner)
             opened = self._open(name, stack[-1] if stack else -1, *_node(name, m[4]))
             if name not in VOID and not m[4].endswith("/"):
+                depths.setdefault(name, []).append(len(stack))
+                if name not in INLINE:
+                    blocks.append(len(stack))
                 stack.append(opened)
         if at < len(page):
             items.append(("text", stack[-1] if stack else -1, page[at:]))
 
+    def _can_frame(self, e: int) -> bool:
+        return self.names[e] == "form" or self.named[e]
+
     def _inherit(self) -> None:
         self.levels, self.roots, self.likely = [], [], []
         for e, parent in enumerate(self.parents):
@@ -211,14 +234,31 @@ class Page:
     def _judge(self) -> None:
         """Sets of each element its level, its outermost main element and its outermost
         LIKELY one. No ancestor of the page's main elements (of those with the most
-        text, if all are in dropped elements) is dropped by its name."""
+        text, if all are in dropped elements) is dropped by its name. A form, or an element
+        named in several words, that holds ``WHOLE`` of the page's text and no less of
+        any main element's is the page's frame and doesn't drop."""
         self._inherit()
-        if not any(m and self.levels[e] >= LIKELY for e, m in enumerate(self.mains)):
+        framed = [e for e, level in enumerate(self.own) if level == SURE and self._can_frame(e)]
+        if not framed and not any(m and self.levels[e] >= LIKELY for e, m in enumerate(self.mains)):
             return
-        sizes = [0] * len(self.names)
+        plain = [0] * len(self.names)
+        total = 0
         for kind, e, raw in self.items:
-            if kind == "text" and e >= 0:
-                sizes[e] += len(raw.strip())
+            if kind == "text":
+                total += len(raw.strip())
+                if e >= 0:
+                    plain[e] += len(raw.strip())
+        if framed:
+            whole = plain.copy()
+            for e in range(len(whole) - 1, 0, -1):
+                if self.parents[e] >= 0:
+                    whole[self.parents[e]] += whole[e]
+            total -= sum(whole[e] for e, name in enumerate(self.names) if name == "head")
+            for e in framed:
+                if whole[e] >= WHOLE * total > 0 and (self.names[e] == "form" or not any(m and whole[i] for i, m in enumerate(self.mains))):
+                    self.own[e] = 0
+            self._inherit()
+        sizes = plain
         for e in range(len(sizes) - 1, 0, -1):
             if self.parents[e] >= 0 and self.own[e] < SURE:
                 sizes[self.parents[e]] += sizes[e]
@@ -241,11 +281,12 @@ class Page:
         """A text node: the hashes of its path and its main element's path, whether it
         needs the template's word ("?"), the hash of its text."""
         level, root, _ = self.place(e)
-        return "".join(["=", path_hash(self.paths[e] if e >= 0 else ""), path_hash(self.paths[root]) if root >= 0 else NO_MAIN,
+        return "".join(["=", self.paths[e] if e >= 0 else NO_PATH, self.paths[root] if root >= 0 else NO_MAIN,
                         "?" if level else ".", xxhash.xxh64_hexdigest(" ".join(html.unescape(raw).split()))])
 
 
 NO_MAIN = "-" * 16
+NO_PATH = "." * 16
 
 
 def page_tokens(parsed: Page) -> dict[str, list[int]]:
@@ -261,7 +302,7 @@ def page_tokens(parsed: Page) -> dict[str, list[int]]:
                 continue
             token, size = parsed.token(e, raw), len(raw.strip())
         elif e >= 0:
-            token = ("<" if kind == "open" else ">") + path_hash(parsed.paths[e])
+            token = ("<" if kind == "open" else ">") + parsed.paths[e]
         else:
             continue
         one = counts.setdefault(token, [0, 0])
@@ -289,7 +330,7 @@ def main_text(page: str, template: frozenset[str], weights: dict[str, int] | Non
                         blocks.append([])
             continue
         level, root, likely = parsed.place(e)
-        if level == SURE or level == LIKELY and (not template or "<" + path_hash(parsed.paths[likely]) in template):
+        if level == SURE or level == LIKELY and (not template or "<" + parsed.paths[likely] in template):
             continue
         if template and raw.strip():
             token = parsed.token(e, raw)
@@ -299,7 +340,7 @@ def main_text(page: str, template: frozenset[str], weights: dict[str, int] | Non
         kept[root >= 0][-1].append(raw)
         kept[None][-1].append(raw)
     outside = sizes.pop(-1, 0)
-    inside = max((max(n, min(4 * n, (weights or {}).get(path_hash(parsed.paths[e]), 0))) for e, n in sizes.items()), default=0)
+    inside = max((max(n, min(4 * n, (weights or {}).get(parsed.paths[e], 0))) for e, n in sizes.items()), default=0)
     blocks = kept[True if outside <= inside else False if outside > 4 * inside else None]
     texts = (" ".join(html.unescape("".join(b)).split()) for b in blocks)
     return " ".join(t for t in texts if t)
@@ -421,18 +462,22 @@ def _template_set(written: str | None) -> tuple[frozenset[str], dict[str, int]]:
     return _SETS[written]
 
 
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        found = [main_text(page or "", *_template_set(t)) for page, t in zip(batch.column("_html").to_pylist(), batch.column("template").to_pylist())]
-        keep = [c for c in batch.schema.names if c not in ("_html", "_url", "_host", "template")]
-        yield append(batch.select(keep), text=pa.array(found, pa.string()))
+def _texts(shared=None):
+    """Main texts, with the template of each row or of its host in the broadcast ``shared``."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if shared is None:
+                written = batch.column("template").to_pylist()
+            else:
+                written = [shared.value.get(h) for h in batch.column("_host").to_pylist()]
+            found = [main_text(page or "", *_template_set(t)) for page, t in zip(batch.column("_html").to_pylist(), written)]
+            keep = [c for c in batch.schema.names if c not in ("_html", "_url", "_host", "template")]
+            yield append(batch.select(keep), text=pa.array(found, pa.string()))
+    return run
 
 
 def _joined(pages: DataFrame, found: DataFrame) -> DataFrame:
     """Pages with their host's template."""
-    size = found.agg(F.coalesce(F.sum(F.octet_length("template") + F.octet_length("host")), F.lit(0))).first()[0]
-    if size <= BROADCAST:
-        return pages.join(F.broadcast(found.withColumnRenamed("host", "_host")), "_host", "left")
     per_host = pages.groupBy("_host").count()
     every = pages.count()
     hot = per_host.where(F.col("count") * PART > every).select("_host", F.ceil(F.col("count") * PART / every).cast("int").alias("_parts"))
@@ -451,6 +496,10 @@ def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", supp
     host = F.regexp_replace(F.regexp_extract(host, "^([^/?#]*)", 1), "^.*@", "")
     named = source.select(*[f"`{f.name}`" for f in rest], F.col(url_col).alias("_url"), F.col(html_col).alias("_html"), host.alias("_host"))
     found = cut_lineage(templates(named.select("_host", "_html"), support))
-    out = _joined(named, found)
     schema = extended(source.select(*[f"`{f.name}`" for f in rest]).schema, StructField("text", StringType()))
-    return out.select(*[f"`{f.name}`" for f in rest], "_html", "template").mapInArrow(_texts, schema)
+    own = [f"`{f.name}`" for f in rest]
+    size = found.agg(F.coalesce(F.sum(F.octet_length("template") + F.octet_length("host")), F.lit(0))).first()[0]
+    if size <= BROADCAST:   # a worker holds each template once, not once a page
+        shared = pages.sparkSession.sparkContext.broadcast({r["host"]: r["template"] for r in found.collect()})
+        return named.select(*own, "_html", "_host").mapInArrow(_texts(shared), schema)
+    return _joined(named, found).select(*own, "_html", "template").mapInArrow(_texts(), schema)

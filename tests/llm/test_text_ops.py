@@ -323,6 +323,53 @@ def test_inside_or_outside_by_the_text_that_varies(spark):
 
 # --- quality rules ---
 
+def test_deep_and_hostile_pages_take_linear_time():
+    import time
+    plain = lambda h: html_template.main_text(h, frozenset())
+    began = time.time()
+    assert plain("<body>" + '<div class="aa bb">' * 20000 + "deep" + "</div>" * 20000) == "deep"
+    assert plain("<p><table>" + "<div>" * 40000 + "x" + "</i></section>" * 20000) == "x"
+    assert plain("<ul>" + "<li><p>" * 20000 + "x") == "x"
+    html_template.page_tokens(html_template.Page('<div class="aa bb">' * 20000))
+    assert time.time() - began < 5
+
+
+def test_implied_ends_of_elements():
+    paths = lambda h: [(p.names[e], p.names[p.parents[e]] if p.parents[e] >= 0 else "") for p in [html_template.Page(h)] for e in range(len(p.names))]
+    assert paths("<p>a<div>b") == [("p", ""), ("div", "")]
+    assert paths("<p><b>a<p>b") == [("p", ""), ("b", "p"), ("p", "")]
+    assert paths("<p><span><div>b") == [("p", ""), ("span", "p"), ("div", "")]
+    assert paths("<p><table><tr><td><p>a<td>b<tr><td>c") == [("p", ""), ("table", ""), ("tr", "table"), ("td", "tr"), ("p", "td"), ("td", "tr"), ("tr", "table"), ("td", "tr")]
+    assert paths("<ul><li>a<ul><li>b</ul><li>c") == [("ul", ""), ("li", "ul"), ("ul", "li"), ("li", "ul"), ("li", "ul")]
+    assert paths("<div><p>a</div><p>b</section><i>c") == [("div", ""), ("p", "div"), ("p", ""), ("i", "p")]
+
+
+def test_reader_comments_and_adverts_inside_main_text_go(spark):
+    plain = lambda h: html_template.main_text(h, frozenset())
+    for name in ("user-comments", "comment-list", "google-ads", "article-ad", "share-buttons", "related-posts", "site-notice"):
+        for mark in ("class", "id"):
+            assert plain(f'<main><article><p>Body.</p></article><section {mark}="{name}"><p>x</p></section></main>') == "Body.", name
+            assert plain(f'<article><p>Body.</p><div {mark}="wide {name}">x</div></article>') == "Body.", name
+    for name in ("comments-open", "no-comments", "related-work", "side-effects", "post-header", "comment-on-law", "ad-free"):
+        assert plain(f'<article><p>Body.</p><div class="{name}">x</div></article>') == "Body. x", name
+    bodies = [("h", f'<main><article><p>Text {n} of {n * 7}.</p></article><section class="comment-list"><p>Reader {n}: {n * 13} is long, long.</p></section></main>')
+              for n in range(20)]
+    pages = [(n, f"http://{host}/{n}", f"<html><body>{body}</body></html>") for n, (host, body) in enumerate(bodies)]
+    rows = html_template.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in rows} == {n: f"Text {n} of {n * 7}." for n in range(20)}
+
+
+def test_a_form_or_name_around_the_whole_text_does_not_drop_it(spark):
+    plain = lambda h: html_template.main_text(h, frozenset())
+    assert plain("<body><p>Long body text.</p><form>name <input></form></body>") == "Long body text."
+    assert plain('<body><div class="news-comment"><p>Long body.</p></div></body>') == "Long body."
+    assert plain('<body><article>Short.</article><div class="user-comments">Many long comments of readers.</div></body>') == "Short."
+    pages = [(n, f"http://h/{n}", f'<html><head><title>t</title></head><body><form id="aspnetForm"><div><p>Text {n * 31} here.</p><input></div></form></body></html>')
+             for n in range(20)]
+    rows = html_template.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in rows} == {n: f"Text {n * 31} here." for n in range(20)}
+
+
 def test_quality_base_columns(spark, corpus):
     rules = quality.QualityRules()
     docs = clashing(table(spark, corpus), "kept", "n_words")
