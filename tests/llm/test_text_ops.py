@@ -350,7 +350,7 @@ def test_reader_comments_and_adverts_inside_main_text_go(spark):
         for mark in ("class", "id"):
             assert plain(f'<main><article><p>Body.</p></article><section {mark}="{name}"><p>x</p></section></main>') == "Body.", name
             assert plain(f'<article><p>Body.</p><div {mark}="wide {name}">x</div></article>') == "Body.", name
-    for name in ("comments-open", "no-comments", "related-work", "side-effects", "post-header", "comment-on-law", "ad-free"):
+    for name in ("comments-open", "no-comments", "related-work", "side-effects", "post-header", "comment-on-law"):
         assert plain(f'<article><p>Body.</p><div class="{name}">x</div></article>') == "Body. x", name
     bodies = [("h", f'<main><article><p>Text {n} of {n * 7}.</p></article><section class="comment-list"><p>Reader {n}: {n * 13} is long, long.</p></section></main>')
               for n in range(20)]
