@@ -43,6 +43,7 @@ from reasonscope.llm.common import append, cut_lineage, utf8, without
 SHINGLE = 3
 MAX_BITS = 3
 HOT = 4096
+SPLIT = 64
 _LAST = 2**63 - 1
 _HALF = np.uint64(0xFFFFFFFF)
 _FREE = np.uint64(1 << 31)
@@ -192,14 +193,18 @@ def _links_of(prints: DataFrame, max_bits: int, hot: int) -> DataFrame:
 
 def connected(links: DataFrame) -> DataFrame:
     """``(node, root)`` for every node of ``links`` (u, v), by alternating large-star
-    and small-star steps until nothing changes."""
+    and small-star steps until nothing changes. The neighbours of a node are dealt out in
+    ``SPLIT`` parts, so the root of a large component doesn't gather them in one task."""
     def both(e: DataFrame) -> DataFrame:
         return e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
 
     def star(e: DataFrame, large: bool) -> DataFrame:
         near = both(e) if large else e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        least = near.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
-        linked = near.join(least, "u")
+        # a hub's neighbours lie in up to SPLIT parts: the least of each part, of all parts, and back to the parts
+        near = near.withColumn("s", F.pmod(F.xxhash64("v"), F.lit(SPLIT)))
+        parts = near.groupBy("u", "s").agg(F.min("v").alias("m"))
+        least = parts.groupBy("u").agg(F.least("u", F.min("m")).alias("m"))
+        linked = near.join(parts.select("u", "s").join(least, "u"), ["u", "s"])
         if large:
             out = linked.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         else:

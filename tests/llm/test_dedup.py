@@ -191,3 +191,13 @@ def test_crowded_parts_are_dealt_out_again(spark):
     assert all((a, b) in together for a in prints for b in prints if (high[a] ^ high[b]).bit_count() <= 3)
     classes = lambda links: sorted((x.node, x.root) for x in simhash.connected(links).collect())
     assert classes(once) == classes(simhash._links_of(rows, 3, 20))
+
+
+def test_components_of_one_large_hub_and_a_long_chain(spark):
+    from reasonscope.llm.simhash import connected
+    n, chain = 20000, 300
+    hub = spark.range(1, n).selectExpr("cast(0 as long) u", "id v")
+    back = spark.range(1, n, 3).selectExpr("id u", "cast(-5 as long) v")
+    line = spark.range(chain).selectExpr("1000000 + (id * 7) % 300 u", "1000000 + ((id + 1) * 7) % 300 v")
+    found = {r.node: r.root for r in connected(hub.unionAll(back).unionAll(line).unionAll(hub.limit(5))).collect()}
+    assert found == {**{i: -5 for i in range(n)}, -5: -5, **{1000000 + i: 1000000 for i in range(chain)}}
