@@ -59,7 +59,18 @@ SELECT docs.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(covered.n,
   CAST(coalesce(close.n, 0) AS BIGINT) AS n_near_items
 FROM docs LEFT JOIN covered USING (doc_id) LEFT JOIN own USING (doc_id) LEFT JOIN close USING (doc_id)"""
 
+SUBSTRINGS = """WITH docs AS MATERIALIZED (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+windows AS MATERIALIZED (SELECT doc_id, s, list_aggregate(w[s : s + 12], 'string_agg', ' ') AS g FROM docs, unnest(range(1, len(w) - 11)) u(s)),
+firsts AS (SELECT g, min(doc_id) AS least FROM windows GROUP BY g),
+covered AS MATERIALIZED (SELECT DISTINCT doc_id, p FROM windows JOIN firsts USING (g), unnest(range(s, s + 13)) u(p) WHERE least < doc_id),
+words AS (SELECT doc_id, p, w[p] AS word FROM docs, unnest(range(1, len(w) + 1)) u(p)),
+each AS (SELECT o.doc_id, o.p, word, c.p IS NOT NULL AS gone FROM words o LEFT JOIN covered c ON c.doc_id = o.doc_id AND c.p = o.p),
+counted AS (SELECT doc_id, count(*) FILTER (WHERE gone) AS lost, string_agg(word, ' ' ORDER BY p) FILTER (WHERE NOT gone) AS kept FROM each GROUP BY doc_id)
+SELECT docs.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(lost, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM docs LEFT JOIN counted USING (doc_id)"""
+
 ORACLES: dict[str, str] = {
+    "op6_substring_dedup": SUBSTRINGS,
     "op11_centroid_clustering": _kmeans(),
     "op12_decontamination": DECONTAMINATION,
 }
