@@ -177,10 +177,12 @@ def _grid(values, unit: float) -> np.ndarray:
 
 @dataclass
 class FittedKMeans:
-    """Centers (k x d) on a grid of step ``unit``, and the weighted inertia."""
+    """Centers (k x d) on a grid of step ``unit``, the weighted inertia, and the share of points
+    whose distances weren't measured again in a Lloyd step (0 if the points fill several blocks)."""
     centers: np.ndarray
     unit: float
     cost: float
+    skipped: float = 0.0
 
     def clusterCenters(self) -> list[np.ndarray]:
         return list(self.centers)
@@ -322,6 +324,50 @@ def _step_rows(unit: float, centers: dict[int, np.ndarray]):
     return run
 
 
+class _Block:
+    """Points of one partition, with what each fit knows of them: the nearest center, an upper
+    bound of the distance to it and a lower bound of the distance to all others. Centers that
+    move loosen the bounds; only points whose bounds then overlap are measured again."""
+
+    def __init__(self, points: np.ndarray, weights: np.ndarray):
+        self.points, self.weights = points, weights
+        self.columns = np.column_stack([weights, np.zeros((len(points), 2), np.int64), points.astype(np.int64) * weights[:, None]])
+        self.known: dict[int, tuple] = {}
+        self.asked = self.made = 0
+
+    def _nearest(self, rows, centers: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        distances = _distances(self.points[rows], centers)
+        label = distances.argmin(axis=1)
+        every = np.arange(len(label))
+        best = distances[every, label]
+        distances[every, label] = np.inf
+        self.made += len(label)
+        return label, np.sqrt(np.maximum(best, 0)), np.sqrt(np.maximum(distances.min(axis=1), 0))
+
+    def step(self, centers: dict[int, np.ndarray]) -> dict[int, np.ndarray]:
+        """By fit and cluster: count and coordinate sums (no inertia)."""
+        out = {}
+        for n, own in centers.items():
+            self.asked += len(self.points)
+            if n not in self.known:
+                label, upper, lower = self._nearest(slice(None), own)
+                sums = np.zeros((len(own), self.columns.shape[1]), np.int64)
+                np.add.at(sums, label, self.columns)
+            else:
+                old, label, upper, lower, sums = self.known[n]
+                drift = np.sqrt(((own - old) ** 2).sum(axis=1))
+                upper, lower = (upper + drift[label]) * (1 + 1e-9), (lower - drift.max()) * (1 - 1e-9) - 1e-6
+                rows = np.flatnonzero(upper >= lower)
+                found, upper[rows], lower[rows] = self._nearest(rows, own)
+                moved = rows[found != label[rows]]
+                np.subtract.at(sums, label[moved], self.columns[moved])
+                label[rows] = found
+                np.add.at(sums, label[moved], self.columns[moved])
+            self.known[n] = own, label, upper, lower, sums
+            out[n] = sums.copy()
+        return out
+
+
 def _block_rows(unit: float, fits: list[tuple[int, int]], runs: int, seed: int, max_iter: int, tol: float):
     """All fits of points that lie in one partition of bounded size: final centers, and
     in the last two places their inertia (upper and lower part)."""
@@ -332,9 +378,10 @@ def _block_rows(unit: float, fits: list[tuple[int, int]], runs: int, seed: int,
         points, weights = (np.concatenate(x) for x in zip(*parts))
         seeds = _seeds(points, runs * max(k for k, _ in fits), seed)
         grid = [np.frombuffer(seeds[v]) for v in sorted(seeds)]
-        step = lambda centers: _fit_sums(points, weights, centers)
-        centers = _iterate(_starts(grid, fits, runs), step, unit, max_iter, tol)
-        costs = step(centers)
+        block = _Block(points, weights)
+        centers = _iterate(_starts(grid, fits, runs), block.step, unit, max_iter, tol)
+        costs = _fit_sums(points, weights, centers)
+        yield from _long({-1: np.array([[block.asked, block.made]])})
         # as many rows as clusters, so that a center of zeros leaves its size behind
         yield from _long({n: np.column_stack([c, costs[n][:, 1:3], np.ones(len(c))]) for n, c in centers.items()})
     return run
@@ -347,6 +394,7 @@ class _Points:
     unit: float
     width: int
     block: bool
+    skipped: float = 0.0
 
 
 def _on_grid(points: DataFrame, features_col: str, weight_col: str | None) -> _Points:
@@ -364,8 +412,10 @@ def _fit_all(data: _Points, fits: list[tuple[int, int]], runs: int, seed: int, m
     """Centers and inertia (grid units) of each fit (k, restart)."""
     if data.block:
         rows = data.arrays.mapInArrow(_block_rows(data.unit, fits, runs, seed, max_iter, tol), _LONG).toArrow()
-        sizes = Counter(rows["fit"].to_numpy()[rows["place"].to_numpy() == data.width + 2].tolist())
-        found = _tables(rows, {n: (size, data.width + 3) for n, size in sizes.items()})
+        sizes = Counter(rows["fit"].to_numpy()[(rows["place"].to_numpy() == data.width + 2) & (rows["fit"].to_numpy() >= 0)].tolist())
+        found = _tables(rows, {-1: (1, 2), **{n: (size, data.width + 3) for n, size in sizes.items()}})
+        asked, made = found.pop(-1)[0].tolist()
+        data.skipped = 1 - made / asked if asked else 0.0
         return {n: (t[:, :data.width].astype(np.float64), (int(t[:, -3].sum()) << GRID_BITS) + int(t[:, -2].sum())) for n, t in found.items()}
     most = runs * max(k for k, _ in fits)
     seeds = (data.arrays.mapInArrow(_seed_rows(data.unit, most, seed), "value long, point binary")
@@ -384,7 +434,7 @@ def _best(data: _Points, ks: list[int], n_init: int, seed: int, max_iter: int, t
     fits = [(k, r) for k in ks for r in range(runs)]
     found = _fit_all(data, fits, runs, seed, max_iter, tol)
     least = {k: min((found[n][1], n) for n, (own, _) in enumerate(fits) if own == k)[1] for k in ks}
-    return {k: FittedKMeans(found[n][0] * data.unit, data.unit, found[n][1] * data.unit * data.unit) for k, n in least.items()}
+    return {k: FittedKMeans(found[n][0] * data.unit, data.unit, found[n][1] * data.unit * data.unit, data.skipped) for k, n in least.items()}
 
 
 def fit_kmeans(points: DataFrame, k: int, features_col: str = "features", n_init: int = D.KMEANS_N_INIT,

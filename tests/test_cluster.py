@@ -211,6 +211,7 @@ def test_passes_by_jobs_equal_passes_within_one(spark, monkeypatch):
     df = spread_points(spark)
     one = [C.fit_kmeans(df, k, n_init=3) for k in (2, 5)]
     chosen, model = C.choose_k(df, 120, "features", 2, 6, n_init=3)
+    assert all(0 < fit.skipped < 1 for fit in one)   # settled points weren't measured again
     monkeypatch.setattr(C, "BLOCK_BYTES", 1 << 10)
     for k, fit in zip((2, 5), one):
         again = C.fit_kmeans(df, k, n_init=3)
