@@ -11,6 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from reasonscope.llm.common import drop_folder
 from reasonscope.llm.packing import pack
 from reasonscope.llm.quality import judge
 from reasonscope.llm.simhash import keep_first
@@ -54,4 +55,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for i, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}")
         docs = spark.read.parquet(f"{folder}/{i}")
+        if i:
+            drop_folder(spark, f"{folder}/{i - 1}")  # no later stage reads it
     return docs
