@@ -19,7 +19,7 @@ from reasonscope.operators import reports as R  # noqa: E402
 from reasonscope.plans.categorize import categorize  # noqa: E402
 from reasonscope.plans.explore import run_explore  # noqa: E402
 from reasonscope.registry import QUERIES  # noqa: E402
-from reasonscope.session import build_session  # noqa: E402
+from reasonscope.session import build_session, release  # noqa: E402
 from reasonscope.sources.fixtures import VIEW_OPTIONS, VIEWS, table  # noqa: E402
 
 
@@ -40,6 +40,7 @@ def main():
         t = time.time()
         fn()
         times[name] = round(time.time() - t, 3)
+        release()
         spark.catalog.clearCache()
 
     def categorize_order():
@@ -63,6 +64,8 @@ def main():
         _drain(C.silhouette(emb, "embedding", "label"))
         _drain(QUERIES["kmeans_lloyd"](spark, sf_dir))
 
+    # the session's first plan, so that no query pays for it; part of the total
+    timed("warm_up", lambda: _drain(QUERIES["load_comments"](spark, sf_dir)))
     timed("clean_reason_doc", lambda: _drain(QUERIES["prepare_comments"](spark, sf_dir)))
     timed("group_summary_rules", lambda: _drain(QUERIES["group_summary"](spark, sf_dir)))
     timed("categorize_order", categorize_order)
