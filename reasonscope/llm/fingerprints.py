@@ -7,14 +7,17 @@ hashes sketch both parts together. Two sketches estimate resemblance (the share
 the merged sketch that both hold), containment and distinct shingle counts.
 
 ``with_next`` pairs each document with the next one in descending id, streaming:
-ids are dealt into ranges by approximate percentiles (at most ``ranges``, collected
-as plain numbers), the texts are shuffled once by range and sorted, and each
-range's top row is copied to the range before it.
+ids are dealt into ranges by approximate percentiles, the texts are shuffled once by
+range (one partition each) and sorted, and each range's top row is copied to the
+range before it. There is a range for every ``RANGE_BYTES`` of text; an id that many
+rows hold (null included) gets ranges of its own, split by a hash of the text. The
+driver holds some plain numbers per range, ``MAX_RANGES`` of them at most: beyond
+``MAX_RANGES * RANGE_BYTES`` (4 TB) the ranges grow, and a range is streamed in any case.
 
 Defined cases: a null text counts as empty and has an empty sketch; two empty
 sketches have likeness 1, an empty and another one 0. Rows with equal ids are
-ordered by a hash of their texts; null ids come last. A single document is its own
-next one.
+ordered by a hash of their texts; null ids come last. Rows equal in id and text are
+each other's next ones and lie in one range. A single document is its own next one.
 """
 
 from __future__ import annotations
@@ -35,7 +38,8 @@ from reasonscope.llm.wordhash import Words, mix
 
 K = 128
 SHINGLE = 5
-RANGES = 1024
+RANGE_BYTES = 1 << 26
+MIN_RANGES, MAX_RANGES = 64, 1 << 16
 _NONE = np.zeros(0, np.uint64)
 
 
@@ -172,20 +176,50 @@ def _pairs(k: int, shingle: int):
     return run
 
 
+class _Ranges:
+    """Numbers of ranges, in ascending (id, digest reversed). ``cuts`` are ids in ascending
+    order; an id listed n times makes n ranges of its own, told apart by digest."""
+
+    def __init__(self, cuts: list[int]):
+        values, times = np.unique(np.array(cuts, np.int64), return_counts=True)
+        pieces = dict(zip(values.tolist(), times.tolist()))
+        for v in values[times > 1].tolist():
+            if v < 2**63 - 1:
+                pieces.setdefault(v + 1, 1)
+        self.starts = np.array(sorted(pieces), np.int64)
+        self.pieces = np.array([1, *[pieces[v] for v in self.starts.tolist()]], np.int64)
+        self.base = np.cumsum(self.pieces) - self.pieces
+        self.total = int(self.pieces.sum())
+
+    def of(self, key: np.ndarray, digest: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(self.starts, key, side="right")
+        share = (digest.astype(np.int64).view(np.uint64) ^ np.uint64(2**63)) >> np.uint64(32)
+        piece = (share * self.pieces[at].astype(np.uint64)) >> np.uint64(32)
+        return (self.base[at] + self.pieces[at] - 1 - piece.astype(np.int64)).astype(np.int32)
+
+
+def range_count(docs: DataFrame, text_col: str = "text") -> int:
+    """Ranges of about ``RANGE_BYTES`` of text each, ``MIN_RANGES`` at least."""
+    size = docs.agg(F.sum(F.octet_length(text_col)).alias("size")).first()["size"] or 0
+    return min(max(MIN_RANGES, -(-size // RANGE_BYTES)), MAX_RANGES)
+
+
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, shingle: int = SHINGLE,
-              ranges: int = RANGES) -> DataFrame:
+              ranges: int | None = None) -> DataFrame:
     """One row per document: its fingerprint, that of its edited text (see
-    ``edited``), and the likeness to it and to the next document's."""
+    ``edited``), and the likeness to it and to the next document's. ``ranges``
+    follows the size of the texts if not given."""
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    ranges = ranges or range_count(source)
     source = source.withColumns({"_key": F.coalesce(F.col("doc_id"), F.lit(-(2**63))), "_digest": F.xxhash64("text")})
-    keys = source.select("_key").agg(F.percentile_approx("_key", [i / ranges for i in range(1, ranges)], 100 * ranges).alias("cuts"))
-    cuts = np.unique(np.array(keys.first()["cuts"] or [], np.int64))
+    shares = [i / ranges for i in range(1, ranges)] or [0.5]
+    cuts = _Ranges(source.agg(F.percentile_approx("_key", shares, max(10000, 16 * ranges)).alias("cuts")).first()["cuts"] or [])
 
     @F.pandas_udf("int")
-    def range_of(key: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(cuts, key.to_numpy(), side="right"), dtype="int32")
+    def range_of(key: pd.Series, digest: pd.Series) -> pd.Series:
+        return pd.Series(cuts.of(key.to_numpy(), digest.to_numpy()), dtype="int32")
 
-    ranged = source.withColumn("_range", range_of("_key"))
+    ranged = source.withColumn("_range", range_of("_key", "_digest"))
     top = F.struct(F.col("_key"), (F.lit(-1) - F.col("_digest")).alias("_back"))
     tops = [(r["_range"], r["top"]["_key"], -1 - r["top"]["_back"]) for r in
             ranged.groupBy("_range").agg(F.max(top).alias("top")).orderBy(F.desc("_range")).collect()]  # one row per range
@@ -197,6 +231,7 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
     guest = F.struct(F.col("_before").alias("_range"), F.lit(True).alias("_copy"))
     dealt = ranged.join(F.broadcast(guests), ["_key", "_digest"], "left").select(
         "_key", "_digest", "doc_id", "text", F.explode(F.when(F.col("_before").isNull(), F.array(own)).otherwise(F.array(own, guest))).alias("_at"))
-    dealt = dealt.select("_at.*", "doc_id", "text", "_key", "_digest").repartition("_range").sortWithinPartitions(
+    # one range, one partition: a hash of the range's number would put several into one task
+    dealt = dealt.select("_at.*", "doc_id", "text", "_key", "_digest").repartitionById(cuts.total, "_range").sortWithinPartitions(
         "_range", "_copy", F.desc("_key"), "_digest")
     return dealt.select("_range", "_copy", "doc_id", "text").mapInArrow(_pairs(k, shingle), _PAIRED)

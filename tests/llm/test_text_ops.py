@@ -126,7 +126,7 @@ def shingles(text):
     return {tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
 
 
-@pytest.mark.parametrize("ranges", [2, 7, 1024])
+@pytest.mark.parametrize("ranges", [None, 1, 2, 7, 300])
 def test_fingerprints_and_next(spark, corpus, ranges):
     rows = list({i: t or "" for i, t in corpus if i is not None}.items()) + [(None, "last one")]
     got = {r.doc_id: r for r in fingerprints.with_next(clashing(table(spark, rows), "_range", "fingerprint"), ranges=ranges).collect()}
@@ -147,6 +147,39 @@ def test_fingerprints_and_next(spark, corpus, ranges):
         assert 0 <= r.near_next <= 1 and (a & c or r.near_next in (0.0, 1.0))
 
 
+def test_ranges_follow_the_size_of_the_texts(spark, monkeypatch):
+    docs = table(spark, [(i, "x" * 1000) for i in range(100)] + [(None, None)])
+    assert fingerprints.range_count(docs) == fingerprints.MIN_RANGES
+    monkeypatch.setattr(fingerprints, "RANGE_BYTES", 1000)
+    assert fingerprints.range_count(docs) == 100
+    assert fingerprints.range_count(spark.createDataFrame([], SCHEMA)) == fingerprints.MIN_RANGES
+
+
+@pytest.mark.parametrize("hot", [None, -(2**63), 2**63 - 1, 50])
+def test_one_id_in_most_rows_is_split(spark, hot):
+    """Nine rows of ten hold one id: their texts follow each other by hash, over many ranges."""
+    rows = [(i if i % 10 == 0 else hot, f"text {i} " + "w " * (i % 7)) for i in range(600)]
+    docs = table(spark, rows)
+    key = lambda i: -(2**63) if i is None else i
+    digests = {r.text: r.d for r in docs.select("text", F.xxhash64("text").alias("d")).collect()}
+    order = sorted(rows, key=lambda r: (-key(r[0]), digests[r[1]]))
+    want = sorted((str(i), hashlib.sha256(fingerprints.edited(t, after).encode()).hexdigest())
+                  for (i, t), (_, after) in zip(order, order[1:] + order[:1]))
+    out = fingerprints.with_next(docs, ranges=40)
+    assert sorted((str(r.doc_id), r.edited_sha256) for r in out.collect()) == want
+    sizes = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+    assert max(sizes) < 60  # of 600 rows
+
+
+def test_repeated_rows_are_each_others_next(spark):
+    rows = [(5, "a b c d e f")] * 40 + [(7, "top"), (3, "g h i j k l"), (None, "")] + [(None, "none " * 9)] * 30
+    got = fingerprints.with_next(table(spark, rows), ranges=10).collect()
+    same = hashlib.sha256(fingerprints.edited("a b c d e f", "a b c d e f").encode()).hexdigest()
+    last = hashlib.sha256(fingerprints.edited("a b c d e f", "g h i j k l").encode()).hexdigest()
+    assert len(got) == len(rows)
+    assert sorted(r.edited_sha256 for r in got if r.doc_id == 5) == sorted([same] * 39 + [last])
+
+
 def test_one_document_is_its_own_next(spark):
     r = fingerprints.with_next(table(spark, [(4, "a b c d e f g h i")])).collect()
     assert len(r) == 1 and r[0].near_next == 1.0
