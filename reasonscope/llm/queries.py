@@ -70,7 +70,7 @@ def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = judge(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-                      "class_distance", "word_distance", "kept")
+                      F.round("class_distance", 6).alias("class_distance"), F.round("word_distance", 6).alias("word_distance"), "kept")
 
 
 def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
