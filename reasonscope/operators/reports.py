@@ -7,7 +7,9 @@ way numpy rounds; a null entity is a group of its own in the rollup.
 Scale notes: every "first n" or "top n" list is ranked with
 ``row_number() <= n`` over a window, which Spark plans as a partial
 WindowGroupLimit before the shuffle, so a hot category never gathers more
-than n rows per partition into one task. Per-category tables have at most
+than n rows per partition into one task. Spark does so up to a limit of its own
+(1,000 rows by default); a longer list is cut in ``PARTS`` parts of each group
+first, so its last task gets n rows a part. Per-category tables have at most
 (#priority groups + #clusters + 1) rows, which bounds the broadcasts below.
 """
 
@@ -22,12 +24,26 @@ from reasonscope.options import Options
 from reasonscope.session import bounded_broadcast
 
 
+#: parts that a group is dealt into for lists that Spark doesn't cut before the shuffle
+PARTS = 256
+
+
+def first_rows(df: DataFrame, keys: list[str], order: list, n: int, spread: list[str]) -> DataFrame:
+    """The first ``n`` rows of each key group in ``order``, numbered by ``_rn``.
+    ``spread``: columns whose values tell the rows of a group apart."""
+    if n > int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold")):
+        part = F.pmod(F.xxhash64(*spread), F.lit(PARTS))
+        df = df.withColumn("_part", part)
+        df = df.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(*order)))
+        df = df.where(F.col("_rn") <= n).drop("_part", "_rn")
+    return df.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_rn") <= n)
+
+
 def first_n_from(firsts: DataFrame, keys: list[str], value_col: str, n: int, sep: str,
                  out_col: str, first_col: str = "_first") -> DataFrame:
     """Per key group, the first ``n`` values of a (keys, value, first) table in
     first-seen order, joined by ``sep``."""
-    w = Window.partitionBy(*keys).orderBy(F.col(first_col), F.col(value_col))
-    ranked = firsts.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n)
+    ranked = first_rows(firsts, keys, [F.col(first_col), F.col(value_col)], n, [value_col])
     return (ranked.groupBy(*keys)
             .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_rn", value_col))),
                                           lambda x: x[value_col].cast("string")), sep).alias(out_col)))
@@ -50,8 +66,7 @@ def sample_texts(detail: DataFrame, keys: list[str], n: int, out_col: str, bound
     winning rows (at most n for each of at most ``bound`` groups) are fetched."""
     firsts = (detail.where(F.col(text_col).isNotNull()).groupBy(*keys, F.md5(text_col).alias("_digest"))
               .agg(F.min("row_id").alias("row_id")))
-    w = Window.partitionBy(*keys).orderBy("row_id")
-    winners = firsts.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).select(*keys, "row_id", "_rn")
+    winners = first_rows(firsts, keys, [F.col("row_id")], n, ["row_id"]).select(*keys, "row_id", "_rn")
     texts = detail.select(*keys, "row_id", text_col).join(bounded_broadcast(winners, n * bound), [*keys, "row_id"])
     return texts.groupBy(*keys).agg(F.array_join(
         F.transform(F.array_sort(F.collect_list(F.struct("_rn", text_col))), lambda x: x[text_col]), D.SAMPLE_SEPARATOR).alias(out_col))
@@ -64,8 +79,7 @@ def top_tokens(detail: DataFrame, keys: list[str], n: int, out_col: str, opts: O
     toks = detail.where(F.col(text_col).isNotNull()).select(*keys, "row_id", raw_tokens(text_col).alias("_t"))
     counts = token_stats(toks, keys, "_t", stopwords=opts.stopwords,
                          min_length=D.TOKEN_MIN_LENGTH).withColumnRenamed("n", "_n")
-    w = Window.partitionBy(*keys).orderBy(F.col("_n").desc(), F.col("first_row"), F.col("first_rank"))
-    ranked = counts.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n)
+    ranked = first_rows(counts, keys, [F.col("_n").desc(), F.col("first_row"), F.col("first_rank")], n, ["token"])
     return (ranked.groupBy(*keys)
             .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_rn", "token"))),
                                           lambda x: x["token"]), D.KEYWORD_SEPARATOR).alias(out_col)))

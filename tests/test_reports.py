@@ -89,3 +89,28 @@ def test_checkpoint_materialize_same_result(spark):
     opts = RULES.with_(materialize="checkpoint")
     b = R.group_summary(categorize(comments(spark, ROWS), opts)[0], opts).collect()
     assert a == b
+
+
+def test_long_lists_are_cut_in_parts_of_a_group(spark, monkeypatch):
+    """Beyond Spark's limit for cuts before the shuffle, the rows and their order stay the same."""
+    rows = [("hot" if i % 10 else f"k{i % 3}", f"v{(i * 7919) % 3001:04d}", i) for i in range(6000)]
+    df = spark.createDataFrame(rows, "key string, value string, row_id long")
+    monkeypatch.setattr(R, "PARTS", 8)
+
+    def run(n):
+        out, _ = R.first_n_distinct(df, ["key"], "value", n, ",", "values")
+        return {r.key: r["values"].split(",") for r in out.collect()}
+
+    plans = {}
+    for limit in ("1000", "5"):
+        spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", limit)
+        try:
+            got = run(40)
+            plans[limit] = R.first_rows(df, ["key"], [F.col("row_id")], 40, ["value"])._jdf.queryExecution().executedPlan().toString()
+        finally:
+            spark.conf.unset("spark.sql.optimizer.windowGroupLimitThreshold")
+        for key in ("hot", "k0", "k1", "k2"):
+            first = list(dict.fromkeys(v for k, v, _ in rows if k == key))
+            assert got[key] == first[:40]
+    assert "WindowGroupLimit" in plans["1000"] and "_part" not in plans["1000"]
+    assert "WindowGroupLimit" not in plans["5"] and "_part" in plans["5"]
