@@ -9,7 +9,9 @@ don't pass the join on keys; rows meet their candidates by row id.
 Replacements (``fold_phrases``). One pass of a phrase automaton (a trie with failure links) finds the
 entries a text holds. They are applied in order, as the chain of regular expressions
 does, but only those found; around each replacement the automaton looks for phrases
-that it made. The dictionary reaches the workers as a broadcast of at most
+that it made. Characters that are neither part of a word nor of any phrase cut a text into stretches
+which no match leaves, so each stretch is replaced by itself, and a worker remembers the results
+of frequent ones. The dictionary reaches the workers as a broadcast of at most
 ``DICTIONARY_ROWS`` entries; a larger one is applied slice by slice, with a checkpoint in between.
 
 Matching is that of ``functions.regex``: whole words, any letter case.
@@ -17,7 +19,10 @@ Matching is that of ``functions.regex``: whole words, any letter case.
 
 from __future__ import annotations
 
+import re
+import sys
 from collections import defaultdict
+from functools import cache
 
 import ahocorasick
 import pandas as pd
@@ -106,6 +111,21 @@ def _word(char: str) -> bool:
     return char.isalnum() or char == "_"
 
 
+@cache
+def _others() -> dict[str, list[str]]:
+    """Characters outside words that have letter cases, by their common form."""
+    out = defaultdict(list)
+    for char in map(chr, range(sys.maxunicode + 1)):
+        if not char.isalnum() and (char.upper() != char or char.lower() != char):
+            out[char.translate(_FOLD)].append(char)
+    return out
+
+
+#: results a worker remembers, and the longest text of one
+REMEMBERED = 1 << 17
+REMEMBERED_CHARS = 64
+
+
 class Folder:
     """Ordered whole-word replacements of one dictionary."""
 
@@ -121,6 +141,9 @@ class Folder:
         if numbers:
             self.automaton.make_automaton()
         self.empty = not numbers
+        kept = {c for phrase in numbers for char in phrase for c in (char, *_others().get(char, ())) if not _word(c)}
+        self.stretch = re.compile("[\\w" + "".join(map(re.escape, sorted(kept))) + "]+")
+        self.known: dict[str, str] = {}
 
     @staticmethod
     def _at(text: str, begin: int, end: int, first: bool, last: bool) -> bool:
@@ -133,8 +156,7 @@ class Folder:
         """The entries with an occurrence inside [low, high)."""
         out: set[int] = set()
         for end, (size, own) in self.automaton.iter(folded, low, len(folded) if high is None else high):
-            if own[0] not in out and self._at(text, end + 1 - size, end + 1, *self.entries[own[0]][2:]):
-                out.update(own)
+            out.update(i for i in own if i not in out and self._at(text, end + 1 - size, end + 1, *self.entries[i][2:]))
         return out
 
     def places(self, text: str) -> list[tuple[int, int]]:
@@ -165,6 +187,20 @@ class Folder:
     def apply(self, text: str | None) -> str | None:
         if not text or self.empty:
             return text
+        return self.stretch.sub(self._stretch, text)
+
+    def _stretch(self, match: re.Match) -> str:
+        text = match[0]
+        if len(text) > REMEMBERED_CHARS:
+            return self._chain(text)
+        new = self.known.get(text)
+        if new is None:
+            if len(self.known) >= REMEMBERED:
+                self.known.clear()
+            new = self.known[text] = self._chain(text)
+        return new
+
+    def _chain(self, text: str) -> str:
         folded = text.translate(_FOLD)
         waiting = self.found(text, folded)
         while waiting:
@@ -194,7 +230,8 @@ def fold_phrases(df: DataFrame, src: str, dst: str, entries: list[tuple[str, str
     A table has the columns entry_no, phrase and replacement."""
     spark = df.sparkSession
     if isinstance(entries, DataFrame):
-        numbered, at = entries.where(F.length("phrase") > 0).select("entry_no", "phrase", "replacement"), 0
+        # kept: the entries are counted and then read slice by slice
+        numbered, at = materialize(entries.where(F.length("phrase") > 0).select("entry_no", "phrase", "replacement")), 0
         rows = numbered.count()
         slices = []
         while at < rows:   # each slice has a bounded number of rows
