@@ -206,7 +206,8 @@ def _gram_at(t: Column, n: int):
 
 
 def ngrams(tokens, lo: int = 1, hi: int = 2) -> Column:
-    """n-grams for n = lo..hi, each joined by one space; unigrams first."""
+    """n-grams for n = lo..hi, each joined by one space; unigrams first. Give it a column of
+    tokens: inside the grams' lambda an expression would run again for every gram."""
     t = _c(tokens)
     parts = []
     for n in range(lo, hi + 1):

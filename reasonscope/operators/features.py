@@ -47,7 +47,8 @@ def with_terms(df: DataFrame, opts: Options, text_col: str = "ReasonText") -> Da
         toks = F.filter(raw, lambda t: ~t.isin(stop)) if stop else raw
     else:
         toks = tokenize(text_col, opts.stopwords)
-    return df.withColumn("terms", ngrams(toks, lo, hi))
+    # the tokens are a column of their own: an expression would be evaluated for every n-gram
+    return df.withColumn("_tokens", toks).withColumn("terms", ngrams("_tokens", lo, hi)).drop("_tokens")
 
 
 @dataclass

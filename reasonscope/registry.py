@@ -165,9 +165,9 @@ def q_tokenize(spark, sf):
 
 def q_ngrams(spark, sf):
     opts = _opts("turn")
-    g = T.ngrams(T.tokenize(F.coalesce(F.col("reason_text"), F.lit("")), opts.stopwords), 1, 2)
-    return _view(spark, sf, "turn").select("row_id", F.array_join(g, "|").alias("terms"),
-                                           F.size(g).cast("long").alias("n_terms"))
+    tokens = T.tokenize(F.coalesce(F.col("reason_text"), F.lit("")), opts.stopwords)
+    grams = _view(spark, sf, "turn").select("row_id", tokens.alias("t")).select("row_id", T.ngrams("t", 1, 2).alias("g"))
+    return grams.select("row_id", F.array_join("g", "|").alias("terms"), F.size("g").cast("long").alias("n_terms"))
 
 
 def q_stem_words(spark, sf):
