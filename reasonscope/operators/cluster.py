@@ -163,6 +163,7 @@ def silhouette(df: DataFrame, vec_col: str, label_col: str, weight_col: str | No
 GRID_BITS = 20
 SEED_DIGITS = 15   # hex digits of the hash that picks the seeds
 BLOCK_BYTES = 16 << 20
+PACK_BYTES = 1 << 20    # of points that one step of a pass holds
 
 
 def _dense(df: DataFrame, col: str) -> Column:
@@ -192,11 +193,15 @@ class FittedKMeans:
         ship_package(df.sparkSession)
         centers, unit = _grid(self.centers, self.unit), self.unit
 
+        step = max(1, PACK_BYTES // (8 * centers.shape[1]))
+
         @F.pandas_udf("int")
         def nearest(x: pd.Series) -> pd.Series:
-            if not len(x):
-                return pd.Series([], dtype="int32")
-            return pd.Series(_distances(_grid(x.tolist(), unit), centers).argmin(axis=1).astype("int32"))
+            out = np.empty(len(x), np.int32)
+            for at in range(0, len(x), step):   # a part of the batch at a time
+                part = _grid(x.iloc[at: at + step].tolist(), unit)
+                out[at: at + step] = _distances(part, centers).argmin(axis=1)
+            return pd.Series(out)
 
         return df.withColumn(cluster_col, nearest(_dense(df, features_col)))
 
@@ -205,11 +210,26 @@ def _distances(points: np.ndarray, centers: np.ndarray) -> np.ndarray:
     return (points * points).sum(axis=1)[:, None] - 2 * points @ centers.T + (centers * centers).sum(axis=1)[None, :]
 
 
-def _batches(batches: Iterator[pa.RecordBatch], unit: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _pack_rows(unit: float, width: int):
+    """Points on the grid as rows of at most ``PACK_BYTES``, read by every pass as they lie in memory."""
+    step = max(1, PACK_BYTES // (8 * max(1, width)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
+                flat = part.column("x").flatten().to_numpy(zero_copy_only=False)
+                x = _grid(flat.reshape(part.num_rows, -1), unit)
+                w = part.column("w").to_numpy().astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()), pa.array([w.tobytes()], pa.binary())], names=["x", "w"])
+    return run
+
+
+def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     for batch in batches:
-        if batch.num_rows:
-            flat = batch.column("x").flatten().to_numpy(zero_copy_only=False)
-            yield _grid(flat.reshape(batch.num_rows, -1), unit), batch.column("w").to_numpy().astype(np.int64)
+        for x, w in zip(batch.column("x"), batch.column("w")):
+            weights = np.frombuffer(w.as_buffer(), np.int64)
+            yield np.frombuffer(x.as_buffer()).reshape(len(weights), -1), weights
 
 
 def _seeds(points: np.ndarray, n: int, seed: int) -> dict[int, bytes]:
@@ -229,11 +249,11 @@ def _seeds(points: np.ndarray, n: int, seed: int) -> dict[int, bytes]:
     return best
 
 
-def _seed_rows(unit: float, n: int, seed: int):
+def _seed_rows(n: int, seed: int):
     """Each partition's seeds."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: dict[int, bytes] = {}
-        for points, _ in _batches(batches, unit):
+        for points, _ in _batches(batches):
             best = dict(sorted({**best, **_seeds(points, n, seed)}.items())[:n])
         yield pa.RecordBatch.from_arrays([pa.array(list(best), pa.int64()), pa.array(list(best.values()), pa.binary())],
                                          names=["value", "point"])
@@ -266,6 +286,22 @@ def _fit_sums(points: np.ndarray, weights: np.ndarray, centers: dict[int, np.nda
     return out
 
 
+def _step_sums(points: np.ndarray, weights: np.ndarray, centers: dict[int, np.ndarray]) -> dict[int, np.ndarray]:
+    """By fit and cluster: count and coordinate sums, in the places of ``_fit_sums`` (no inertia). The
+    members are added up by a product with their 0/1 table, exact as long as no sum passes 2**53."""
+    if int(weights.sum()) >= 1 << 32:
+        return _fit_sums(points, weights, centers)
+    every = np.concatenate(list(centers.values()))
+    nearness = (every * every).sum(axis=1) - 2 * points @ every.T   # the distances without the points' norms
+    member = np.zeros(nearness.shape)
+    rows, at = np.arange(len(points)), 0
+    for own in centers.values():
+        member[rows, at + nearness[:, at: at + len(own)].argmin(axis=1)] = weights
+        at += len(own)
+    columns = np.column_stack([np.ones(len(points)), np.zeros((len(points), 2)), points])
+    return dict(zip(centers, np.split((member.T @ columns).astype(np.int64), np.cumsum([len(c) for c in centers.values()])[:-1])))
+
+
 def _moved(centers: np.ndarray, sums: np.ndarray) -> np.ndarray:
     """Means on the grid; an empty cluster keeps its center."""
     return np.where(sums[:, :1] > 0, np.rint(sums[:, 3:] / np.maximum(sums[:, :1], 1)), centers)
@@ -314,11 +350,11 @@ def _summed(arrays: DataFrame, per_partition) -> pa.Table:
             .agg(F.sum("value").alias("value")).toArrow())
 
 
-def _step_rows(unit: float, centers: dict[int, np.ndarray]):
+def _step_rows(centers: dict[int, np.ndarray], sums_of):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[int, np.ndarray] = {}
-        for points, weights in _batches(batches, unit):
-            for n, sums in _fit_sums(points, weights, centers).items():
+        for points, weights in _batches(batches):
+            for n, sums in sums_of(points, weights, centers).items():
                 totals[n] = totals[n] + sums if n in totals else sums
         yield from _long(totals)
     return run
@@ -372,7 +408,7 @@ def _block_rows(unit: float, fits: list[tuple[int, int]], runs: int, seed: int,
     """All fits of points that lie in one partition of bounded size: final centers, and
     in the last two places their inertia (upper and lower part)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = list(_batches(batches, unit))
+        parts = list(_batches(batches))
         if not parts:
             return
         points, weights = (np.concatenate(x) for x in zip(*parts))
@@ -389,7 +425,8 @@ def _block_rows(unit: float, fits: list[tuple[int, int]], runs: int, seed: int,
 
 @dataclass
 class _Points:
-    """Points as arrays (x, w) on a grid of step ``unit``; ``block``: all fit in one block."""
+    """Points packed on a grid of step ``unit`` (kept until ``arrays`` is unpersisted);
+    ``block``: all fit in one block."""
     arrays: DataFrame
     unit: float
     width: int
@@ -398,14 +435,19 @@ class _Points:
 
 
 def _on_grid(points: DataFrame, features_col: str, weight_col: str | None) -> _Points:
-    ship_package(points.sparkSession)
+    spark = points.sparkSession
+    ship_package(spark)
     weight = F.col(weight_col).cast("long") if weight_col else F.lit(1).cast("long")
-    arrays = points.select(_dense(points, features_col).alias("x"), weight.alias("w"))
-    top, rows, width = arrays.select(F.max(F.array_max(F.transform("x", F.abs))), F.count(F.lit(1)), F.max(F.size("x"))).first()
+    arrays = lambda df: df.select(_dense(df, features_col).alias("x"), weight.alias("w"))
+    top, rows, width = arrays(points).select(F.max(F.array_max(F.transform("x", F.abs))), F.count(F.lit(1)), F.max(F.size("x"))).first()
     size = rows * (width or 1) * 8
     unit = 2.0 ** (int(np.ceil(np.log2(top or 1.0) - 1e-9)) - GRID_BITS)   # rows of norm 1 give one grid, whatever their last bit
-    # each pass is a job: small partitions are read together (no result depends on it)
-    return _Points(arrays.coalesce(1 + size // BLOCK_BYTES), unit, width or 0, size < BLOCK_BYTES)
+    block = size < BLOCK_BYTES
+    # each pass is a job: the points are dealt out once, evenly to all cores (no result depends on it)
+    cores = spark.sparkContext.defaultParallelism
+    dealt = points.coalesce(1) if block else points.repartition(cores * (1 + size // (cores * BLOCK_BYTES)))
+    packed = arrays(dealt).mapInArrow(_pack_rows(unit, width or 0), "x binary, w binary")
+    return _Points(packed.persist(StorageLevel.MEMORY_AND_DISK), unit, width or 0, block)
 
 
 def _fit_all(data: _Points, fits: list[tuple[int, int]], runs: int, seed: int, max_iter: int, tol: float) -> dict[int, tuple[np.ndarray, int]]:
@@ -418,14 +460,14 @@ def _fit_all(data: _Points, fits: list[tuple[int, int]], runs: int, seed: int, m
         data.skipped = 1 - made / asked if asked else 0.0
         return {n: (t[:, :data.width].astype(np.float64), (int(t[:, -3].sum()) << GRID_BITS) + int(t[:, -2].sum())) for n, t in found.items()}
     most = runs * max(k for k, _ in fits)
-    seeds = (data.arrays.mapInArrow(_seed_rows(data.unit, most, seed), "value long, point binary")
+    seeds = (data.arrays.mapInArrow(_seed_rows(most, seed), "value long, point binary")
              .dropDuplicates(["value"]).orderBy("value").limit(most).collect())       # restarts x k rows
 
-    def step(centers):
-        return _tables(_summed(data.arrays, _step_rows(data.unit, centers)), {n: (len(c), data.width + 3) for n, c in centers.items()})
+    def step(centers, sums_of=_step_sums):
+        return _tables(_summed(data.arrays, _step_rows(centers, sums_of)), {n: (len(c), data.width + 3) for n, c in centers.items()})
 
     centers = _iterate(_starts([np.frombuffer(bytes(s["point"])) for s in seeds], fits, runs), step, data.unit, max_iter, tol)
-    return {n: (centers[n], (int(s[:, 1].sum()) << GRID_BITS) + int(s[:, 2].sum())) for n, s in step(centers).items()}
+    return {n: (centers[n], (int(s[:, 1].sum()) << GRID_BITS) + int(s[:, 2].sum())) for n, s in step(centers, _fit_sums).items()}
 
 
 def _best(data: _Points, ks: list[int], n_init: int, seed: int, max_iter: int, tol: float) -> dict[int, FittedKMeans]:
@@ -451,7 +493,11 @@ def fit_kmeans(points: DataFrame, k: int, features_col: str = "features", n_init
     point of weight w or w equal points. Fewer distinct points than k give as many
     clusters. Points should be persisted. Points that fill less than ``BLOCK_BYTES`` are one
     partition, which makes all its passes within one job (the same sums)."""
-    return _best(_on_grid(points, features_col, weight_col), [k], n_init, seed, max_iter, tol)[k]
+    data = _on_grid(points, features_col, weight_col)
+    try:
+        return _best(data, [k], n_init, seed, max_iter, tol)[k]
+    finally:
+        data.arrays.unpersist()
 
 
 def _members(points: np.ndarray, weights: np.ndarray, models: dict[int, np.ndarray]):
@@ -459,11 +505,11 @@ def _members(points: np.ndarray, weights: np.ndarray, models: dict[int, np.ndarr
     return (points * points).sum(axis=1), labels
 
 
-def _member_rows(unit: float, models: dict[int, np.ndarray]):
+def _member_rows(models: dict[int, np.ndarray]):
     """By model and cluster: members, coordinate sums, sum of squared norms (upper and lower part)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals = {n: np.zeros((len(c), c.shape[1] + 3), np.int64) for n, c in models.items()}
-        for points, weights in _batches(batches, unit):
+        for points, weights in _batches(batches):
             norms, labels = _members(points, weights, models)
             norms = norms.astype(np.int64)
             columns = np.column_stack([weights, weights * (norms >> GRID_BITS), weights * (norms & (1 << GRID_BITS) - 1),
@@ -474,11 +520,11 @@ def _member_rows(unit: float, models: dict[int, np.ndarray]):
     return run
 
 
-def _score_rows(unit: float, models: dict[int, np.ndarray], stats: dict[int, np.ndarray]):
+def _score_rows(models: dict[int, np.ndarray], stats: dict[int, np.ndarray]):
     """By model: the members' silhouettes, summed in steps of 2**-40 (upper and lower part)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals = {n: np.zeros((1, 2), np.int64) for n in models}
-        for points, weights in _batches(batches, unit):
+        for points, weights in _batches(batches):
             norms, labels = _members(points, weights, models)
             rows = np.arange(len(points))
             for n, label in labels.items():
@@ -499,8 +545,8 @@ def _score_rows(unit: float, models: dict[int, np.ndarray], stats: dict[int, np.
 def _silhouettes(data: _Points, models: dict[int, FittedKMeans]) -> dict[int, float]:
     """Mean silhouette (squared distances, see :func:`silhouette`) of every model in two passes for all."""
     centers = {n: _grid(m.centers, m.unit) for n, m in models.items()}
-    stats = _tables(_summed(data.arrays, _member_rows(data.unit, centers)), {n: (len(c), data.width + 3) for n, c in centers.items()})
-    sums = _tables(_summed(data.arrays, _score_rows(data.unit, centers, stats)), {n: (1, 2) for n in centers})
+    stats = _tables(_summed(data.arrays, _member_rows(centers)), {n: (len(c), data.width + 3) for n, c in centers.items()})
+    sums = _tables(_summed(data.arrays, _score_rows(centers, stats)), {n: (1, 2) for n in centers})
     score = lambda n: ((int(sums[n][0, 0]) << GRID_BITS) + int(sums[n][0, 1])) / float(1 << 2 * GRID_BITS) / int(stats[n][:, 0].sum())
     return {n: score(n) if (stats[n][:, 0] > 0).sum() > 1 else -1.0 for n in centers}
 
@@ -513,8 +559,11 @@ def choose_k(points: DataFrame, n_points: int, features_col: str, min_k: int, ma
     over the points, and so do their silhouettes: the number of jobs doesn't grow with the range."""
     data = _on_grid(points, features_col, weight_col)
     ks = [k for k in range(min_k, max_k + 1) if k < n_points]
-    models = _best(data, ks or [min_k], n_init, seed, max_iter, tol)
-    scores = _silhouettes(data, models) if ks else {}
+    try:
+        models = _best(data, ks or [min_k], n_init, seed, max_iter, tol)
+        scores = _silhouettes(data, models) if ks else {}
+    finally:
+        data.arrays.unpersist()
     best, best_score = min_k, -1.0
     for k in ks:
         if scores[k] > best_score:
